@@ -42,3 +42,15 @@ def melted_cte(name: str, src: str, cols: list[str]) -> str:
 
 def union_rows(rows: list[str]) -> str:
     return "\nUNION ALL\n".join(rows)
+
+
+NULLS_CTE = ("li_nulls AS (SELECT * REPLACE ("
+             "CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_quantity END AS l_quantity, "
+             "CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_returnflag END AS l_returnflag) "
+             "FROM lineitem)")
+
+# Spark type names of the lineitem columns (as ``DataType.simpleString``)
+LINEITEM_TYPES = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"),
+                  ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                  ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"),
+                  ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
