@@ -42,7 +42,7 @@ def rounded(spec: QuerySpec) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spec.run(spark, sf_dir)
         if spec.doubles:
-            df = df.withColumns({c: r6(df[c], spec.places) for c in spec.doubles})
+            df = df.withColumns({c: r6(df[c], p) for c, p in _places(spec)})
         return df
     run.__name__ = spec.qid
     run.__doc__ = spec.doc
@@ -54,10 +54,19 @@ def rounded_sql(spec: QuerySpec) -> str | None:
         return None
     if not spec.doubles:
         return spec.sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {spec.places}) + 0.0 AS {c}" for c in spec.doubles)
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {p}) + 0.0 AS {c}" for c, p in _places(spec))
     return f"SELECT * REPLACE ({rep}) FROM (\n{spec.sql}\n) AS q"
 
 
+def _places(spec: QuerySpec) -> list[tuple[str, int]]:
+    """``doubles`` entries are names (default places) or ``name:places``."""
+    out = []
+    for d in spec.doubles:
+        name, _, p = d.partition(":")
+        out.append((name, int(p) if p else spec.places))
+    return out
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     return {qid: rounded(spec) for qid, spec in REGISTRY.items()}
