@@ -51,3 +51,12 @@ def safe_div(a: Column, b: Column) -> Column:
 def r6(c: Column, places: int = 6) -> Column:
     """Round for cross-engine comparison; '+ 0.0' turns -0.0 into 0.0."""
     return F.round(c.cast("double"), places) + F.lit(0.0)
+
+
+def rsig(c: Column, digits: int = 12) -> Column:
+    """Round to ``digits`` significant digits (same formula as the oracle text)."""
+    c = c.cast("double")
+    e = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))))
+    return (F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), c)
+            .when(c == 0, F.lit(0.0))
+            .otherwise(F.round(c / e, digits - 1) * e + F.lit(0.0)))

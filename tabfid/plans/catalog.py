@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfid.functions.exprs import r6
+from tabfid.functions.exprs import r6, rsig
 
 
 @dataclass
@@ -42,7 +42,8 @@ def rounded(spec: QuerySpec) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = spec.run(spark, sf_dir)
         if spec.doubles:
-            df = df.withColumns({c: r6(df[c], p) for c, p in _places(spec)})
+            df = df.withColumns({c: (rsig(df[c], int(p[1:])) if isinstance(p, str) else r6(df[c], p))
+                                 for c, p in _places(spec)})
         return df
     run.__name__ = spec.qid
     run.__doc__ = spec.doc
@@ -54,19 +55,27 @@ def rounded_sql(spec: QuerySpec) -> str | None:
         return None
     if not spec.doubles:
         return spec.sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {p}) + 0.0 AS {c}" for c, p in _places(spec))
+    rep = ", ".join((_sig_sql(c, int(p[1:])) if isinstance(p, str) else
+                     f"round(CAST({c} AS DOUBLE), {p}) + 0.0") + f" AS {c}" for c, p in _places(spec))
     return f"SELECT * REPLACE ({rep}) FROM (\n{spec.sql}\n) AS q"
 
 
 def _places(spec: QuerySpec) -> list[tuple[str, int]]:
-    """``doubles`` entries are names (default places) or ``name:places``."""
+    """``doubles`` entries are names (default places), ``name:places`` or ``name:sN``
+    (N significant digits, for values whose magnitude varies widely)."""
     out = []
     for d in spec.doubles:
         name, _, p = d.partition(":")
-        out.append((name, int(p) if p else spec.places))
+        out.append((name, p if p.startswith("s") else (int(p) if p else spec.places)))
     return out
 
 
+def _sig_sql(c: str, digits: int) -> str:
+    e = f"pow(10.0, floor(log10(abs(CAST({c} AS DOUBLE)))))"
+    return (f"CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN CAST({c} AS DOUBLE) "
+            f"WHEN {c} = 0 THEN 0.0 ELSE round(CAST({c} AS DOUBLE) / {e}, {digits - 1}) * {e} + 0.0 END")
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
     return {qid: rounded(spec) for qid, spec in REGISTRY.items()}
