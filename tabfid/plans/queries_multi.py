@@ -172,3 +172,30 @@ J12_SQL = (f"WITH {pair_cte()}, r AS (SELECT {_MM} FROM real), s AS (SELECT {_MM
 def q_j12(spark, sf_dir):
     """Range-preservation loss of synthetic vs real (whole-table min/max)."""
     return mv.range_preservation(lineitem_pair(spark, sf_dir), NUM)
+
+
+def _nn_sql() -> str:
+    from tabfid.plans.sqltext import pair_cte as _pc
+    st = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}"
+                   for c in NUM)
+    z = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NUM)
+    dist = " + ".join(f"(s.{c} - r.{c}) * (s.{c} - r.{c})" for c in NUM)
+    cols = ", ".join(NUM)
+    grp = ", ".join(f"s.{c}" for c in NUM)
+    return (f"WITH {_pc()}, st AS (SELECT {st} FROM real),\n"
+            f"zr AS (SELECT DISTINCT {z} FROM real, st),\n"
+            f"zs AS (SELECT {cols}, count(*) AS w FROM (SELECT {z} FROM syn, st) AS q GROUP BY {cols}),\n"
+            f"d AS (SELECT s.w, sqrt(min({dist})) AS d FROM zs AS s, zr AS r GROUP BY {grp}, s.w),\n"
+            "a AS (SELECT sum(w) AS n, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(CASE WHEN d = 0 THEN w ELSE 0 END) "
+            "AS z FROM d)\n"
+            "SELECT s1 / n AS nearest_neighbor_mean, sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0.0)) "
+            "AS nearest_neighbor_std, z / n AS exact_match_share FROM a")
+
+
+@register("j6_nearest_neighbor", _nn_sql(),
+          doubles=["nearest_neighbor_mean", "nearest_neighbor_std", "exact_match_share"])
+def q_j6(spark, sf_dir):
+    """Exact nearest-real-row distance of every synthetic row (whole tables),
+    k-d tree pruning instead of all pairs; oracle is brute force."""
+    from tabfid.operators.neighbors import nearest_neighbor_distance
+    return nearest_neighbor_distance(lineitem_pair(spark, sf_dir), NUM)
