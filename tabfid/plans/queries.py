@@ -8,7 +8,7 @@ from tabfid.operators import univariate as uni
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import PAIR_NUMERIC, lineitem_pair
 from tabfid.plans.sqltext import melted_cte, pair_cte
-from tabfid.plans import queries_base, queries_multi, queries_transform, queries_uni  # noqa: F401
+from tabfid.plans import queries_base, queries_model, queries_multi, queries_transform, queries_uni  # noqa: F401
 
 NUM = PAIR_NUMERIC
 
