@@ -8,7 +8,8 @@ from tabfid.operators import univariate as uni
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import PAIR_NUMERIC, lineitem_pair
 from tabfid.plans.sqltext import melted_cte, pair_cte
-from tabfid.plans import (queries_base, queries_model, queries_multi, queries_synth,  # noqa: F401
+from tabfid.plans import (queries_base, queries_model, queries_multi, queries_stream,  # noqa: F401
+                          queries_synth,
                           queries_transform, queries_uni)
 
 NUM = PAIR_NUMERIC

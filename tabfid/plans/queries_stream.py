@@ -1,0 +1,52 @@
+"""Streaming queries: the training-log monitor run over the whole log as a stream."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tabfid.operators.runlog import epoch_means
+from tabfid.plans.catalog import register
+from tabfid.plans.fixtures import training_log
+from tabfid.plans.queries_model import L3_SQL, LOG_CTE, LOSS
+from tabfid.session import ensure_checkpoint_dir
+from tabfid.streaming import runlog_stream as rs
+
+
+def _staged(spark, df, order: str) -> str:
+    path = f"{ensure_checkpoint_dir(spark)}/stream-in-{uuid.uuid4().hex}"
+    return rs.stage_for_stream(df, path, order)
+
+
+@register("s1_stream_epoch_means",
+          f"WITH {LOG_CTE}\nSELECT run_id, epoch, metric, avg(value) AS value, count(*) AS batches "
+          "FROM log GROUP BY 1, 2, 3", doubles=["value"])
+def q_s1(spark, sf_dir):
+    """L1 as a streaming aggregation over the training log read file by file."""
+    log = training_log(spark, sf_dir)
+    path = _staged(spark, log, "epoch")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rs.run_stream_to_table(spark, rs.epoch_means_stream(stream), ["run_id", "epoch", "metric"])
+
+
+@register("s2_stream_run_summary",
+          f"WITH {LOG_CTE}\nSELECT run_id, metric, arg_max(value, (epoch, batch)) AS last_value, "
+          "max(epoch) AS last_epoch FROM log GROUP BY 1, 2", doubles=["last_value"])
+def q_s2(spark, sf_dir):
+    """L5 as a streaming aggregation (last value per run and metric)."""
+    log = training_log(spark, sf_dir)
+    path = _staged(spark, log, "epoch")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rs.run_stream_to_table(spark, rs.run_summary_stream(stream), ["run_id", "metric"])
+
+
+@register("s3_stream_early_stopping", L3_SQL, doubles=["best_value"])
+def q_s3(spark, sf_dir):
+    """L3 as a stateful streaming operator (applyInPandasWithState) over epoch rows
+    arriving in epoch order."""
+    ep = epoch_means(training_log(spark, sf_dir).where(F.col("metric") == LOSS)).select(
+        "run_id", "epoch", "value")
+    path = _staged(spark, ep, "epoch")
+    stream = spark.readStream.schema(ep.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rs.run_stream_to_table(spark, rs.early_stopping_stream(stream), ["run_id"])
