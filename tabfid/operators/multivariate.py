@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabfid.functions.exprs import safe_corr
 from tabfid.operators.pair import SIDE, TablePair, on_side, side_agg
 
 # fixed constants of the reference
@@ -41,7 +42,7 @@ def correlation_long(pair: TablePair, cols: list[str] | None = None) -> DataFram
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
             for s in (0, 1):
-                aggs.append(F.corr(on_side(a, s), on_side(b, s)).alias(f"{a}__{b}__corr__{s}"))
+                aggs.append(safe_corr(on_side(a, s), on_side(b, s)).alias(f"{a}__{b}__corr__{s}"))
     row = t.agg(*aggs)
     structs = []
     for a in cols:

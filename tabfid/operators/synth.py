@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfid.functions.exprs import INTEGRAL_TYPES
+from tabfid.functions.exprs import INTEGRAL_TYPES, safe_corr
 from tabfid.functions.random import norm_cdf, norm_ppf, normals
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
 
@@ -177,7 +177,7 @@ def _fit_corr(df: DataFrame, model: CopulaModel, g) -> dict:
 
     z = src.mapInPandas(zs, "_g string, " + ", ".join(f"{c} double" for c in zcols))
     k = len(cols)
-    aggs = [F.corr(zcols[i], zcols[j]).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)]
+    aggs = [safe_corr(F.col(zcols[i]), F.col(zcols[j])).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)]
     res = {s: np.eye(k) for s in model.marginals}
     if aggs:
         for r in z.groupBy("_g").agg(*aggs).collect():

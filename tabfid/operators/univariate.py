@@ -55,7 +55,7 @@ def ks_wasserstein(pair: TablePair, cols: list[str] | None = None, cdf: DataFram
     """
     cols = cols or pair.numeric
     cdf = cdf if cdf is not None else cdf_table(pair, cols, **cdf_kw)
-    diff = F.abs(F.col("cum_real") / F.col("tot_real") - F.col("cum_syn") / F.col("tot_syn"))
+    diff = F.abs(safe_div(F.col("cum_real"), F.col("tot_real")) - safe_div(F.col("cum_syn"), F.col("tot_syn")))
     per = cdf.groupBy("column_name").agg(
         F.max(diff).alias("ks_statistic"),
         F.sum(F.when(F.col("next_value").isNotNull(),
@@ -172,7 +172,7 @@ def ecdf(pair: TablePair, cols: list[str] | None = None, cdf: DataFrame | None =
                                   ("synthetic", "n_syn", "cum_syn", "tot_syn")):
         s = cdf.where(F.col(n_col) > 0).select(
             "column_name", F.lit(side).alias("side"), "value",
-            (F.col(cum) / F.col(tot)).alias("p"))
+            safe_div(F.col(cum), F.col(tot)).alias("p"))
         outs.append(s)
     pts = outs[0].unionByName(outs[1])
     w = Window.partitionBy("column_name", "side")
@@ -241,8 +241,8 @@ def categorical_cdf(pair: TablePair, cols: list[str] | None = None) -> DataFrame
     w = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     wa = Window.partitionBy("column_name")
     return cc.select("column_name", "value", "n_real", "n_syn",
-                     (F.sum("n_real").over(w) / F.sum("n_real").over(wa)).alias("real_cdf"),
-                     (F.sum("n_syn").over(w) / F.sum("n_syn").over(wa)).alias("synthetic_cdf"))
+                     safe_div(F.sum("n_real").over(w), F.sum("n_real").over(wa)).alias("real_cdf"),
+                     safe_div(F.sum("n_syn").over(w), F.sum("n_syn").over(wa)).alias("synthetic_cdf"))
 
 
 def category_frequencies(pair: TablePair, cols: list[str] | None = None,
@@ -253,8 +253,8 @@ def category_frequencies(pair: TablePair, cols: list[str] | None = None,
     cc = category_counts(pair, cols)
     wa = Window.partitionBy("column_name")
     cc = cc.select("column_name", "value",
-                   (F.col("n_real") / F.sum("n_real").over(wa)).alias("real_share"),
-                   (F.col("n_syn") / F.sum("n_syn").over(wa)).alias("synthetic_share"),
+                   safe_div(F.col("n_real"), F.sum("n_real").over(wa)).alias("real_share"),
+                   safe_div(F.col("n_syn"), F.sum("n_syn").over(wa)).alias("synthetic_share"),
                    F.count(F.lit(1)).over(wa).alias("n_cat"),
                    F.row_number().over(wa.orderBy(F.desc("n_real"), "value")).alias("rk_real"),
                    F.row_number().over(wa.orderBy(F.desc("n_syn"), "value")).alias("rk_syn"),
