@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfid.functions.exprs import safe_corr
 from tabfid.operators.pair import SIDE, TablePair, on_side, side_agg
 
 # fixed constants of the reference
@@ -27,40 +26,66 @@ def _clean(c):
     return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
 
 
+def gram(pair: TablePair, cols: list[str]) -> dict:
+    """Two aggregate passes per pair: (1) count, mean, min, max per column and side;
+    (2) centered cross-product sums S_ij = sum (x_i - m_i)(x_j - m_j), i <= j, per side.
+
+    Only plain sums in pass 2 (the two-pass algorithm, numerically stable), so the
+    aggregate stays inside whole-stage codegen and never divides by zero.  Returns
+    numpy means, S (k x k), n, and a zero-variance flag (min = max) per side.
+    Rows are assumed complete (the pair is zero-filled by default)."""
+    k = len(cols)
+    st = side_agg(pair, cols, {"mean": F.avg, "lo": F.min, "hi": F.max, "n": F.count}).first()
+    out: dict = {}
+    for s in (0, 1):
+        out[f"mean_{s}"] = np.array([st[f"{c}__mean__{s}"] or 0.0 for c in cols], dtype=float)
+        out[f"n_{s}"] = int(st[f"{cols[0]}__n__{s}"] or 0)
+        out[f"const_{s}"] = np.array([st[f"{c}__lo__{s}"] is None or st[f"{c}__lo__{s}"] == st[f"{c}__hi__{s}"]
+                                      for c in cols])
+    t = pair.tagged(cols, as_double=True)
+    cen = {c: F.col(c) - F.when(F.col(SIDE) == 0, F.lit(float(out["mean_0"][i])))
+           .otherwise(F.lit(float(out["mean_1"][i]))) for i, c in enumerate(cols)}
+    aggs = [F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i in range(k) for j in range(i, k)]
+    row = t.groupBy().pivot(SIDE, [0, 1]).agg(*aggs).first()
+    for s in (0, 1):
+        m = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                name = f"{s}_s_{i}_{j}" if len(aggs) > 1 else f"{s}"
+                v = row[name]
+                m[i, j] = m[j, i] = 0.0 if v is None else float(v)
+        out[f"S_{s}"] = m
+    return out
+
+
+def _corr_from_gram(S: np.ndarray, const: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.clip(np.diag(S), 0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = S / np.outer(d, d)
+    c = np.nan_to_num(c, nan=0.0, posinf=0.0, neginf=0.0)
+    live = ~const
+    c[~live, :] = 0.0
+    c[:, ~live] = 0.0
+    np.fill_diagonal(c, live.astype(float))
+    return np.clip(c, -1.0, 1.0)
+
+
 def correlation_long(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
     """(col_i, col_j, real_corr, synthetic_corr, diff, valid_i, valid_j) for all k^2
     ordered pairs incl. the diagonal (1, or 0 for a constant column).  ``valid`` = the
-    column has non-zero variance on both sides."""
+    column has non-zero variance on both sides (and at least two rows)."""
     cols = cols or pair.numeric
     if len(cols) > WIDE_CORR:
         return _correlation_long_mllib(pair, cols)
-    t = pair.tagged(cols, as_double=True)
-    aggs = []
-    for c in cols:
-        for s in (0, 1):
-            aggs.append(F.var_samp(on_side(c, s)).alias(f"{c}__var__{s}"))
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            for s in (0, 1):
-                aggs.append(safe_corr(on_side(a, s), on_side(b, s)).alias(f"{a}__{b}__corr__{s}"))
-    row = t.agg(*aggs)
-    structs = []
-    for a in cols:
-        for b in cols:
-            va = (F.col(f"{a}__var__0") > 0) & (F.col(f"{a}__var__1") > 0)
-            vb = (F.col(f"{b}__var__0") > 0) & (F.col(f"{b}__var__1") > 0)
-            if a == b:
-                cr = F.when(F.col(f"{a}__var__0") > 0, 1.0).otherwise(0.0)
-                cs = F.when(F.col(f"{a}__var__1") > 0, 1.0).otherwise(0.0)
-            else:
-                x, y = (a, b) if cols.index(a) < cols.index(b) else (b, a)
-                cr = _clean(F.col(f"{x}__{y}__corr__0"))
-                cs = _clean(F.col(f"{x}__{y}__corr__1"))
-            structs.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"),
-                                    cr.alias("real_corr"), cs.alias("synthetic_corr"),
-                                    (cr - cs).alias("diff"), F.coalesce(va, F.lit(False)).alias("valid_i"),
-                                    F.coalesce(vb, F.lit(False)).alias("valid_j")))
-    return row.select(F.inline(F.array(*structs)))
+    g = gram(pair, cols)
+    const = [g["const_0"] | (g["n_0"] < 2), g["const_1"] | (g["n_1"] < 2)]
+    cr, cs = _corr_from_gram(g["S_0"], const[0]), _corr_from_gram(g["S_1"], const[1])
+    valid = ~const[0] & ~const[1]
+    rows = [(a, b, float(cr[i, j]), float(cs[i, j]), float(cr[i, j] - cs[i, j]), bool(valid[i]), bool(valid[j]))
+            for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return pair.real.sparkSession.createDataFrame(
+        rows, "col_i string, col_j string, real_corr double, synthetic_corr double, diff double, "
+              "valid_i boolean, valid_j boolean")
 
 
 def _correlation_long_mllib(pair: TablePair, cols: list[str]) -> DataFrame:
@@ -141,26 +166,22 @@ def duplicate_rows(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
 
 
 def moments(pair: TablePair, cols: list[str]) -> dict:
-    """Means, std (pop and n-1), counts and correlation matrices of both sides from one
-    aggregate; returns numpy arrays (k and k x k)."""
-    long = correlation_long(pair, cols).collect()
-    st = side_agg(pair, cols, {"mean": F.avg, "sdp": F.stddev_pop, "n": F.count}).first()
-    k = len(cols)
-    idx = {c: i for i, c in enumerate(cols)}
-    cr, cs = np.zeros((k, k)), np.zeros((k, k))
-    for r in long:
-        cr[idx[r["col_i"]], idx[r["col_j"]]] = r["real_corr"]
-        cs[idx[r["col_i"]], idx[r["col_j"]]] = r["synthetic_corr"]
-    out = {"corr_real": cr, "corr_syn": cs}
+    """Means, population std, counts and correlation matrices of both sides from the
+    two Gram passes; numpy arrays (k and k x k)."""
+    g = gram(pair, cols)
+    out = {}
     for s, name in ((0, "real"), (1, "syn")):
-        out[f"mean_{name}"] = np.array([st[f"{c}__mean__{s}"] or 0.0 for c in cols], dtype=float)
-        out[f"sdp_{name}"] = np.array([st[f"{c}__sdp__{s}"] or 0.0 for c in cols], dtype=float)
-        out[f"n_{name}"] = int(st[f"{cols[0]}__n__{s}"] or 0)
+        n = max(g[f"n_{s}"], 1)
+        const = g[f"const_{s}"] | (g[f"n_{s}"] < 2)
+        out[f"corr_{name}"] = _corr_from_gram(g[f"S_{s}"], const)
+        out[f"mean_{name}"] = g[f"mean_{s}"]
+        out[f"sdp_{name}"] = np.where(const, 0.0, np.sqrt(np.clip(np.diag(g[f"S_{s}"]), 0, None) / n))
+        out[f"n_{name}"] = g[f"n_{s}"]
     return out
 
 
 def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components: int = 5,
-                   mode: str = "reference", n_all_columns: int | None = None) -> DataFrame:
+                   mode: str = "reference", mo: dict | None = None) -> DataFrame:
     """PCA fitted on standardised real; compares component means of both sides.
 
     The mean of a projection is the projection of the means, so after one moments
@@ -174,7 +195,7 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     m = n_components
     if len(cols) < m or len(cols) == 0:
         return spark.createDataFrame([(0.0, mode)], "pca_similarity double, mode string")
-    mo = moments(pair, cols)
+    mo = mo if mo is not None else moments(pair, cols)
     sd = np.where(mo["sdp_real"] > 0, mo["sdp_real"], 1.0)
     # covariance of standardised real = correlation (constant columns -> 0 row/col)
     nr = max(mo["n_real"], 2)

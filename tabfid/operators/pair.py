@@ -73,18 +73,22 @@ def on_side(c: Column | str, side: int) -> Column:
 
 
 def side_agg(pair: TablePair, cols: list[str], stats: dict) -> DataFrame:
-    """One aggregate over both tables.
+    """One aggregate over both tables, computed once per side.
 
     ``stats`` maps a stat name to ``fn(column) -> aggregate Column``; the result is one
-    row with columns ``<col>__<stat>__<side>`` (side 0 = real, 1 = synthetic).
+    row with columns ``<col>__<stat>__<side>`` (side 0 = real, 1 = synthetic).  The
+    side is a pivot value, so each aggregate appears once in the plan (narrow buffers
+    stay inside whole-stage codegen) instead of once per side behind a CASE.
     """
     t = pair.tagged(cols)
-    aggs = []
-    for c in cols:
-        for name, fn in stats.items():
-            for side in (0, 1):
-                aggs.append(fn(on_side(c, side)).alias(f"{c}__{name}__{side}"))
-    return t.agg(*aggs)
+    aggs = [fn(F.col(c)).alias(f"{c}__{name}") for c in cols for name, fn in stats.items()]
+    wide = t.groupBy().pivot(SIDE, [0, 1]).agg(*aggs)
+    if len(aggs) == 1:   # pivot names a single aggregate by the pivot value only
+        a = aggs[0]
+        name = f"{cols[0]}__{list(stats)[0]}"
+        return wide.select(*[F.col(f"`{s}`").alias(f"{name}__{s}") for s in (0, 1)])
+    return wide.select(*[F.col(f"`{s}_{c}__{name}`").alias(f"{c}__{name}__{s}")
+                         for c in cols for name in stats for s in (0, 1)])
 
 
 def stats_long(row_df: DataFrame, cols: list[str], out: dict[str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfid.functions.exprs import INTEGRAL_TYPES, safe_corr
+from tabfid.functions.exprs import INTEGRAL_TYPES
 from tabfid.functions.random import norm_cdf, norm_ppf, normals
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
 
@@ -153,6 +153,11 @@ def _scores(pdf: pd.DataFrame, ms: dict, cols: list[str]) -> np.ndarray:
 
 
 def _fit_corr(df: DataFrame, model: CopulaModel, g) -> dict:
+    """Correlation of the rows' normal scores per stratum.
+
+    Each Arrow batch turns its rows into normal scores and emits only its partial
+    sums (n, sum z, sum z z^T) as (stratum, i, j, value) rows; a group-by adds them up.
+    Scores never leave the Python worker and the JVM aggregate is a plain sum."""
     cols = model.columns
     kinds = model.meta["kinds"]
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -161,32 +166,42 @@ def _fit_corr(df: DataFrame, model: CopulaModel, g) -> dict:
          else F.col(c).cast("string")).alias(c) for c in cols]
     src = df.select(*sel)
     bmarg = df.sparkSession.sparkContext.broadcast(model.marginals)
-    zcols = [f"z{j}" for j in range(len(cols))]
+    k = len(cols)
 
-    def zs(batches):
+    def partial(batches):
         ms_all = bmarg.value
         for pdf in batches:
             out = []
             for s, part in pdf.groupby("_g"):
                 z = _scores(part, ms_all[s], cols)
-                o = pd.DataFrame(z, columns=zcols)
-                o.insert(0, "_g", s)
-                out.append(o)
+                sums = np.zeros((k + 1, k + 1))
+                zz = np.hstack([np.ones((len(z), 1)), z])
+                sums += zz.T @ zz                       # [0,0]=n, [0,1:]=sum z, [1:,1:]=sum zz
+                ii, jj = np.triu_indices(k + 1)
+                out.append(pd.DataFrame({"_g": s, "i": ii.astype("int32"), "j": jj.astype("int32"),
+                                         "v": sums[ii, jj]}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    z = src.mapInPandas(zs, "_g string, " + ", ".join(f"{c} double" for c in zcols))
-    k = len(cols)
-    aggs = [safe_corr(F.col(zcols[i]), F.col(zcols[j])).alias(f"c_{i}_{j}") for i in range(k) for j in range(i + 1, k)]
+    parts = src.mapInPandas(partial, "_g string, i int, j int, v double")
+    tot = parts.groupBy("_g", "i", "j").agg(F.sum("v").alias("v")).collect()   # strata x k^2 rows
+    acc: dict = {}
+    for r in tot:
+        m = acc.setdefault(r["_g"], np.zeros((k + 1, k + 1)))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
     res = {s: np.eye(k) for s in model.marginals}
-    if aggs:
-        for r in z.groupBy("_g").agg(*aggs).collect():
-            m = np.eye(k)
-            for i in range(k):
-                for j in range(i + 1, k):
-                    v = r[f"c_{i}_{j}"]
-                    m[i, j] = m[j, i] = 0.0 if v is None or np.isnan(v) else v
-            res[r["_g"]] = m
+    for s, m in acc.items():
+        n = m[0, 0]
+        if n < 2:
+            continue
+        mean = m[0, 1:] / n
+        cov = m[1:, 1:] / n - np.outer(mean, mean)
+        d = np.sqrt(np.clip(np.diag(cov), 0, None))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = cov / np.outer(d, d)
+        c = np.nan_to_num(c, nan=0.0, posinf=0.0, neginf=0.0)
+        np.fill_diagonal(c, 1.0)
+        res[s] = np.clip(c, -1.0, 1.0)
     return res
 
 

@@ -22,8 +22,9 @@ def fidelity_metrics(pair: TablePair, cols: list[str] | None = None, pca_compone
     Each value is one aggregate job; only the scalars reach the driver."""
     cols = cols or pair.numeric
     out = {}
-    out.update(mv.correlation_similarity(pair, cols).first().asDict())
-    out.update(mv.correlation_distance(pair, cols).first().asDict())
+    long = mv.correlation_long(pair, cols)          # one Gram pass feeds J1 and J2
+    out.update(mv.correlation_similarity(pair, cols, long=long).first().asDict())
+    out.update(mv.correlation_distance(pair, cols, long=long).first().asDict())
     d = mv.duplicate_rows(pair).first()
     out["duplicate_rows_count"] = float(d["duplicate_rows_count"])
     out["duplicate_rows_percentage"] = d["duplicate_rows_percentage"]
