@@ -70,14 +70,14 @@ def _corr_from_gram(S: np.ndarray, const: np.ndarray) -> np.ndarray:
     return np.clip(c, -1.0, 1.0)
 
 
-def correlation_long(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
+def correlation_long(pair: TablePair, cols: list[str] | None = None, g: dict | None = None) -> DataFrame:
     """(col_i, col_j, real_corr, synthetic_corr, diff, valid_i, valid_j) for all k^2
     ordered pairs incl. the diagonal (1, or 0 for a constant column).  ``valid`` = the
     column has non-zero variance on both sides (and at least two rows)."""
     cols = cols or pair.numeric
-    if len(cols) > WIDE_CORR:
+    if len(cols) > WIDE_CORR and g is None:
         return _correlation_long_mllib(pair, cols)
-    g = gram(pair, cols)
+    g = g if g is not None else gram(pair, cols)
     const = [g["const_0"] | (g["n_0"] < 2), g["const_1"] | (g["n_1"] < 2)]
     cr, cs = _corr_from_gram(g["S_0"], const[0]), _corr_from_gram(g["S_1"], const[1])
     valid = ~const[0] & ~const[1]
@@ -165,10 +165,10 @@ def duplicate_rows(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
         F.coalesce(F.col("synthetic_rows"), F.lit(0)).cast("long").alias("synthetic_rows"))
 
 
-def moments(pair: TablePair, cols: list[str]) -> dict:
+def moments(pair: TablePair, cols: list[str], g: dict | None = None) -> dict:
     """Means, population std, counts and correlation matrices of both sides from the
     two Gram passes; numpy arrays (k and k x k)."""
-    g = gram(pair, cols)
+    g = g if g is not None else gram(pair, cols)
     out = {}
     for s, name in ((0, "real"), (1, "syn")):
         n = max(g[f"n_{s}"], 1)

@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,14 +117,28 @@ def _walk(x: np.ndarray, d2: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth:
     return p, node - ((1 << depth) - 1)
 
 
+RECHECK = 4   # candidates re-measured exactly after the fast pass
+
+
 def _min_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact min Euclidean distance from each row of ``a`` to the rows of ``b``.
+
+    Squared distances are first formed with one matrix product (|a|^2 + |b|^2 - 2ab);
+    the ``RECHECK`` closest candidates of each row are then measured directly, so
+    rounding in the fast form cannot change the result (copies still give exactly 0)."""
     out = np.full(len(a), np.inf)
     if len(b) == 0 or len(a) == 0:
         return out
-    chunk = max(1, 2_000_000 // max(1, len(b) * a.shape[1]))
+    bb = np.einsum("ij,ij->i", b, b)
+    top = min(RECHECK, len(b))
+    chunk = max(1, 4_000_000 // len(b))
     for i in range(0, len(a), chunk):
-        d = a[i:i + chunk, None, :] - b[None, :, :]
-        out[i:i + chunk] = np.einsum("ijk,ijk->ij", d, d).min(axis=1)
+        x = a[i:i + chunk]
+        d2 = np.einsum("ij,ij->i", x, x)[:, None] + bb[None, :] - 2.0 * (x @ b.T)
+        idx = np.argpartition(d2, top - 1, axis=1)[:, :top] if top < len(b) else \
+            np.broadcast_to(np.arange(len(b)), (len(x), len(b)))
+        diff = x[:, None, :] - b[idx]
+        out[i:i + chunk] = np.einsum("ijk,ijk->ij", diff, diff).min(axis=1)
     return np.sqrt(out)
 
 
@@ -151,7 +166,7 @@ def _blocks(left: DataFrame, right: DataFrame, cols: list[str], block: int) -> D
         "sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
     rcols = [f"r_{i}" for i in range(len(cols))]
     rh = rh.select("leaf", "sub", *[F.col(c).alias(r) for c, r in zip(cols, rcols)])
-    lcols = [c for c in left.columns if c not in ("leaf",)]
+    lcols = list(left.columns)
 
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         a = lp[cols].to_numpy(dtype="float64")
@@ -160,13 +175,17 @@ def _blocks(left: DataFrame, right: DataFrame, cols: list[str], block: int) -> D
         out["d"] = _min_dist(a, b)
         return out
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes if c != "leaf") + ", d double"
+    schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes) + ", d double"
     return lh.groupBy("leaf", "sub").cogroup(rh.groupBy("leaf", "sub")).applyInPandas(fn, schema)
 
 
 def nearest_neighbor_points(pair: TablePair, cols: list[str] | None = None, leaf_size: int = 2048,
-                            block: int = 2048, seed: int = 42) -> DataFrame:
-    """Distinct synthetic points (standardised) with weight ``w`` and exact NN distance ``d``."""
+                            block: int = 2048, seed: int = 42, _held: list | None = None) -> DataFrame:
+    """Distinct synthetic points (standardised) with weight ``w`` and exact NN distance ``d``.
+
+    Intermediate tables are persisted and appended to ``_held``; the caller unpersists
+    them after its action."""
+    _held = _held if _held is not None else []
     cols = cols or pair.numeric
     zr, zs = _standardised(pair, cols)
     real = zr.distinct()
@@ -184,16 +203,18 @@ def nearest_neighbor_points(pair: TablePair, cols: list[str] | None = None, leaf
         tree = sc.broadcast(build_kd_tree(sample[cols].to_numpy(dtype="float64"), depth))
     else:
         tree = sc.broadcast((np.zeros(1, dtype=np.int64), np.full(1, np.inf)))
-    real_l = _with_leaf(real, cols, tree, depth)
+    # each is read by several jobs below: keep them (memory, spilling to disk)
+    real_l = _with_leaf(real, cols, tree, depth).persist(StorageLevel.MEMORY_AND_DISK)
     syn_l = _with_leaf(syn, cols, tree, depth, extra="w long")
-    home = _blocks(syn_l, real_l, cols, block)                      # cols, w, d
+    home = _blocks(syn_l, real_l, cols, block).persist(StorageLevel.MEMORY_AND_DISK)  # cols, w, leaf, d
+    _held.extend([real_l, home])
     if depth == 0:
         return home.select(*cols, "w", "d")
     # true bounding boxes of the real points per leaf (one row per leaf), then per tree node
     leafbox = real_l.groupBy("leaf").agg(*[x for c in cols for x in (F.min(c).alias(f"{c}__lo"),
                                                                       F.max(c).alias(f"{c}__hi"))]).toPandas()
     boxes = sc.broadcast(_node_boxes(leafbox, cols, depth))
-    home_leaf = _with_leaf(home, cols, tree, depth, extra="w long, d double")
+    home_leaf = home
 
     def candidates(batches):
         lo, hi = boxes.value
@@ -235,13 +256,18 @@ def nearest_neighbor_distance(pair: TablePair, cols: list[str] | None = None, le
         pair = TablePair(sample_rows(pair.real, keys, max_rows, seed),
                          sample_rows(pair.synthetic, keys, max_rows, seed), columns=pair.columns,
                          zero_fill=False)
-    pts = nearest_neighbor_points(pair, cols, leaf_size, block, seed)
+    held: list = []
+    pts = nearest_neighbor_points(pair, cols, leaf_size, block, seed, held)
     agg = pts.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("d")).alias("s1"),
                   F.sum(F.col("w") * F.col("d") * F.col("d")).alias("s2"),
                   F.sum(F.when(F.col("d") == 0, F.col("w")).otherwise(0)).alias("z"))
     mean = F.col("s1") / F.col("n")
-    return agg.select(
+    res = agg.select(
         F.coalesce(mean, F.lit(0.0)).alias("nearest_neighbor_mean"),
         F.coalesce(F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(0.0))
         .alias("nearest_neighbor_std"),
-        F.coalesce(F.col("z") / F.col("n"), F.lit(0.0)).alias("exact_match_share"))
+        F.coalesce(F.col("z") / F.col("n"), F.lit(0.0)).alias("exact_match_share")).first()
+    for h in held:
+        h.unpersist()
+    return spark.createDataFrame([tuple(res)], "nearest_neighbor_mean double, nearest_neighbor_std double, "
+                                               "exact_match_share double")

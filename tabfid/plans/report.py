@@ -22,7 +22,8 @@ def fidelity_metrics(pair: TablePair, cols: list[str] | None = None, pca_compone
     Each value is one aggregate job; only the scalars reach the driver."""
     cols = cols or pair.numeric
     out = {}
-    long = mv.correlation_long(pair, cols)          # one Gram pass feeds J1 and J2
+    g = mv.gram(pair, cols)                         # one Gram pass feeds J1, J2 and J7
+    long = mv.correlation_long(pair, cols, g=g)
     out.update(mv.correlation_similarity(pair, cols, long=long).first().asDict())
     out.update(mv.correlation_distance(pair, cols, long=long).first().asDict())
     d = mv.duplicate_rows(pair).first()
@@ -31,7 +32,8 @@ def fidelity_metrics(pair: TablePair, cols: list[str] | None = None, pca_compone
     nn = nearest_neighbor_distance(pair, cols).first()
     out["nearest_neighbor_mean"], out["nearest_neighbor_std"] = nn["nearest_neighbor_mean"], nn["nearest_neighbor_std"]
     n_all = len(pair.columns)
-    out["pca_similarity"] = mv.pca_similarity(pair, cols, min(pca_components, n_all)).first()["pca_similarity"]
+    out["pca_similarity"] = mv.pca_similarity(pair, cols, min(pca_components, n_all),
+                                              mo=mv.moments(pair, cols, g=g)).first()["pca_similarity"]
     if ml_utility_score is not None:
         out["ml_utility_score"] = float(ml_utility_score)
     return out
