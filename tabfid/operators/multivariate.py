@@ -333,3 +333,22 @@ def range_preservation(pair: TablePair, cols: list[str] | None = None) -> DataFr
         xl = cc if xl is None else xl + cc
     return row.select((rl / k).alias("range_loss"), (ml / k).alias("min_loss"), (xl / k).alias("max_loss"),
                       (rl / k + 0.5 * (ml / k + xl / k)).alias("range_preservation_loss"))
+
+
+def encoded_correlation_distance(pair: TablePair, categorical: list[str] | None = None,
+                                 numeric: list[str] | None = None) -> DataFrame:
+    """Categories coded with one dictionary over both sides (E6), numbers coerced
+    (M6) and min-max scaled with real's range (X4), then J2 over all columns."""
+    from tabfid.operators import encode as enc
+    from tabfid.operators import missing as mis
+    from tabfid.operators import scale as sc
+    categorical = categorical if categorical is not None else pair.categorical
+    numeric = numeric if numeric is not None else pair.numeric
+    real, syn = pair.real, pair.synthetic
+    for c in categorical:
+        e = enc.fit_joint_encoder(real, syn, c)
+        real, syn = enc.apply_encoder(real, e), enc.apply_encoder(syn, e)
+    cols = numeric + categorical
+    real, syn = mis.coerce_numeric(real.select(*cols)), mis.coerce_numeric(syn.select(*cols))
+    real, syn = sc.minmax_on_real(real, syn, cols)
+    return correlation_distance(TablePair(real, syn, columns=cols, zero_fill=False), cols)

@@ -14,7 +14,7 @@ def _clean(x: str) -> str:
     return f"coalesce(CASE WHEN isnan({x}) THEN 0.0 ELSE {x} END, 0.0)"
 
 
-def _corr_long_sql(cols: list[str]) -> str:
+def _corr_long_sql(cols: list[str], cte: str | None = None) -> str:
     stats = []
     for c in cols:
         stats.append(f"var_samp({c}) AS {c}__v")
@@ -35,7 +35,7 @@ def _corr_long_sql(cols: list[str]) -> str:
                 rc, sc = _clean(f"r.{x}__{y}"), _clean(f"s.{x}__{y}")
             rows.append(f"SELECT '{a}' AS col_i, '{b}' AS col_j, {rc} AS real_corr, {sc} AS synthetic_corr, "
                         f"{rc} - {sc} AS diff, {va} AS valid_i, {vb} AS valid_j FROM rs AS r, ss AS s")
-    return (f"WITH {pair_cte()},\nrs AS (SELECT {st} FROM real),\nss AS (SELECT {st} FROM syn)\n"
+    return (f"WITH {cte or pair_cte()},\nrs AS (SELECT {st} FROM real),\nss AS (SELECT {st} FROM syn)\n"
             + union_rows(rows))
 
 
@@ -199,3 +199,74 @@ def q_j6(spark, sf_dir):
     k-d tree pruning instead of all pairs; oracle is brute force."""
     from tabfid.operators.neighbors import nearest_neighbor_distance
     return nearest_neighbor_distance(lineitem_pair(spark, sf_dir), NUM)
+
+
+CAT = ["l_returnflag", "l_linestatus"]
+
+
+def _j3_cte() -> str:
+    from tabfid.plans.fixtures import PAIR_CATEGORICAL
+    cols = NUM + PAIR_CATEGORICAL
+    dicts = ",\n".join(
+        f"d_{c} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM "
+        f"(SELECT {c} AS v FROM real0 UNION SELECT {c} FROM syn0) AS u)" for c in PAIR_CATEGORICAL)
+
+    def coded(src: str) -> str:
+        sel = ", ".join(NUM + [f"(SELECT code FROM d_{c} WHERE v = {src}.{c}) AS {c}" for c in PAIR_CATEGORICAL])
+        return f"SELECT {sel} FROM {src}"
+    rng = ", ".join(f"min({c}) AS {c}_lo, max({c}) - min({c}) AS {c}_rg" for c in cols)
+
+    def scaled(src: str) -> str:
+        sel = ", ".join(f"({c} - {c}_lo) / CASE WHEN {c}_rg > 0 THEN {c}_rg ELSE 1 END AS {c}" for c in cols)
+        return f"SELECT {sel} FROM {src}, rg"
+    base = pair_cte().replace("real AS (", "real0 AS (", 1).replace("syn AS (", "syn0 AS (", 1)
+    return (f"{base},\n{dicts},\nrc AS ({coded('real0')}),\nsc AS ({coded('syn0')}),\n"
+            f"rg AS (SELECT {rng} FROM rc),\nreal AS ({scaled('rc')}),\nsyn AS ({scaled('sc')})")
+
+
+def _j3_sql() -> str:
+    from tabfid.plans.fixtures import PAIR_CATEGORICAL
+    long = _corr_long_sql(NUM + PAIR_CATEGORICAL, cte=_j3_cte())
+    return (f"SELECT CASE WHEN k <= 1 THEN 0.0 ELSE sqrt(mse) END AS correlation_distance_rmse, "
+            f"CASE WHEN k <= 1 THEN 0.0 ELSE mae END AS correlation_distance_mae FROM ("
+            f"SELECT avg(diff * diff) AS mse, avg(abs(diff)) AS mae, count(*) FILTER (WHERE col_i = col_j) AS k "
+            f"FROM ({long}) AS l) AS a")
+
+
+@register("j3_encoded_correlation_distance", _j3_sql(),
+          doubles=["correlation_distance_rmse", "correlation_distance_mae"])
+def q_j3(spark, sf_dir):
+    """Correlation RMSE/MAE after joint label encoding and min-max scaling,
+    categorical columns included."""
+    from tabfid.plans.fixtures import PAIR_CATEGORICAL
+    return mv.encoded_correlation_distance(lineitem_pair(spark, sf_dir), PAIR_CATEGORICAL, NUM)
+
+
+def _j11_sql() -> str:
+    parts = []
+    for c in CAT:
+        parts.append(
+            f"SELECT '{c}' AS column_name, -sum(p * ln(p)) AS entropy FROM ("
+            f"SELECT (coalesce(n, 0) + 1e-10) / sum(coalesce(n, 0) + 1e-10) OVER () AS p FROM "
+            f"(SELECT code FROM d_{c}) AS g LEFT JOIN (SELECT code, count(*) AS n FROM syn JOIN d_{c} "
+            f"ON syn.{c} = d_{c}.v GROUP BY code) AS cnt USING (code)) AS x")
+    dicts = ",\n".join(
+        f"d_{c} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT {c} AS v FROM real) AS u)"
+        for c in CAT)
+    ent = "\nUNION ALL\n".join(parts)
+    return (f"WITH {pair_cte()},\n{dicts},\ne AS ({ent})\n"
+            "SELECT column_name, entropy FROM e UNION ALL SELECT '__loss__', -avg(entropy) FROM e")
+
+
+@register("j11_categorical_entropy", _j11_sql(), doubles=["entropy"])
+def q_j11(spark, sf_dir):
+    """Entropy of the synthetic side's category codes (dictionary of the real side)."""
+    from tabfid.operators import encode as enc
+    pair = lineitem_pair(spark, sf_dir)
+    syn = pair.synthetic
+    dims = {}
+    for c in CAT:
+        e = enc.fit_label_encoder(pair.real, c)
+        syn = enc.apply_encoder(syn, e)
+        dims[c] = e.size
+    return mv.categorical_entropy(syn, dims)
