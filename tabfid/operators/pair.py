@@ -131,6 +131,9 @@ def _bucketize(t: DataFrame, cols: list[str], n_buckets: int, accuracy: int) ->
     return bz.transform(t)
 
 
+PARALLEL_MIN_ROWS = 200_000   # below this, one bucket per column is cheaper than a quantile pass
+
+
 def cdf_table(pair: TablePair, cols: list[str] | None = None,
               rows_per_bucket: int = 2_000_000, max_buckets: int = 4096,
               n_rows: int | None = None) -> DataFrame:
@@ -149,10 +152,17 @@ def cdf_table(pair: TablePair, cols: list[str] | None = None,
     if n_rows is None:
         n_rows = t.count()
     n_buckets = max(1, min(max_buckets, math.ceil(n_rows / max(1, rows_per_bucket))))
+    if n_rows >= PARALLEL_MIN_ROWS:
+        # enough (column, bucket) window partitions to keep every core busy
+        par = t.sparkSession.sparkContext.defaultParallelism
+        n_buckets = max(n_buckets, min(max_buckets, math.ceil(2 * par / max(1, len(cols)))))
     tb = _bucketize(t, cols, n_buckets, accuracy=max(10_000, 20 * n_buckets))
     long = tb.select(SIDE, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"),
                  F.col(f"{c}__b").cast("int").alias("bucket")) for c in cols])))
+    # explicit (no-op) filter: the join below would infer it on one branch only, and the
+    # two uses of ``counts`` would then not share one exchange
+    long = long.where(F.col("bucket").isNotNull() & F.col("value").isNotNull())
     counts = long.groupBy("column_name", "bucket", "value").agg(
         F.sum(1 - F.col(SIDE)).alias("n_real"), F.sum(F.col(SIDE)).alias("n_syn"))
     # per-bucket table: k x buckets rows at most -> safe to broadcast
@@ -178,3 +188,37 @@ def cdf_table(pair: TablePair, cols: list[str] | None = None,
         (F.col("off_syn") + F.sum("n_syn").over(wrun)).alias("cum_syn"),
         "tot_real", "tot_syn",
         F.coalesce(F.lead("value").over(w), F.col("next_b_min")).alias("next_value"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], **cdf_kw) -> DataFrame:
+    """Linear-interpolated quantiles (numpy/pandas 'linear', SQL quantile_cont) of each
+    column, exact at any size: nulls and NaN are ignored; h = (n-1) p; the values at
+    ranks floor(h) and ceil(h) are read off the bucketed CDF table (each distinct value
+    emits only the requested ranks it covers).  Result: one row per column with
+    ``q0, q1, ...`` in the order of ``probs`` plus ``n``."""
+    base = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c)
+                       for c in cols])
+    pair = TablePair(base, base.limit(0), columns=list(cols), zero_fill=False)
+    cdf = cdf_table(pair, cols, **cdf_kw)
+    n = F.col("tot_real")
+    wanted = []
+    for i, p in enumerate(probs):
+        h = (n - 1).cast("double") * F.lit(float(p))
+        wanted += [F.struct(F.lit(i).alias("i"), F.lit(0).alias("hi"), F.floor(h).alias("r")),
+                   F.struct(F.lit(i).alias("i"), F.lit(1).alias("hi"), F.ceil(h).alias("r"))]
+    first, last = F.col("cum_real") - F.col("n_real"), F.col("cum_real") - 1
+    hits = cdf.where(F.col("n_real") > 0).select(
+        "column_name", "value", "tot_real",
+        F.explode(F.filter(F.array(*wanted), lambda s: (s["r"] >= first) & (s["r"] <= last))).alias("s"))
+    aggs = [F.first("tot_real").alias("n")]
+    for i, p in enumerate(probs):
+        lo = F.max(F.when((F.col("s.i") == i) & (F.col("s.hi") == 0), F.col("value")))
+        hi = F.max(F.when((F.col("s.i") == i) & (F.col("s.hi") == 1), F.col("value")))
+        aggs += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}")]
+    g = hits.groupBy("column_name").agg(*aggs)
+    out = [F.col("column_name"), F.col("n").cast("long").alias("n")]
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        frac = h - F.floor(h)
+        out.append((F.col(f"_lo{i}") + frac * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
+    return g.select(*out)

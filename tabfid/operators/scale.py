@@ -37,7 +37,8 @@ class ScalerState:
 
 
 def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
-               exact_quantiles: bool = True, accuracy: int = 100_000) -> dict[str, ScalerState]:
+               exact_quantiles: bool = True, accuracy: int = 100_000,
+               map_limit: int = 5_000_000) -> dict[str, ScalerState]:
     """X1-X4/X6 fit: mean imputation state, then the method's statistics, in one pass.
 
     standard: mean and *population* std (zero -> 1).  minmax: to (-1, 1), zero range ->
@@ -50,6 +51,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
     if not cols:
         return {}
     fields = {f.name: f.dataType for f in df.schema.fields}
+    by_cdf = method == "robust" and exact_quantiles and df.count() > map_limit
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         v = F.col(c).cast("double")
@@ -58,7 +60,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
                  F.min(v).alias(f"{c}__lo"), F.max(v).alias(f"{c}__hi")]
         if method == "standard":
             aggs.append(F.stddev_pop(v).alias(f"{c}__sd"))
-        if method == "robust":
+        if method == "robust" and not by_cdf:
             q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact_quantiles
                  else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
             aggs.append(q.alias(f"{c}__q"))
@@ -66,6 +68,9 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
     rows = row["__rows"]
     if rows == 0:
         raise ValueError("cannot fit a scaler on an empty table")
+    if by_cdf:   # exact quartiles without a per-column value map (large tables)
+        from tabfid.operators.pair import exact_quantiles as _eq
+        qs = {r["column_name"]: [r["q0"], r["q1"], r["q2"]] for r in _eq(df, cols, [0.25, 0.5, 0.75]).collect()}
     out = {}
     for c in cols:
         n, mean = row[f"{c}__n"], row[f"{c}__mean"]
@@ -85,7 +90,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
             rng = (hi - lo) if hi is not None else 0.0
             shift, scale = lo, (rng if rng > 0 else 1.0)
         else:
-            q = row[f"{c}__q"]
+            q = qs[c] if by_cdf else row[f"{c}__q"]
             if has_missing:
                 q = _robust_with_fill(df, c, mean, exact_quantiles, accuracy)
             iqr = q[2] - q[0]

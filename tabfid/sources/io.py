@@ -72,30 +72,43 @@ def table_info(df: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, approx: bool | None = None,
-             exact_row_limit: int = 50_000_000, accuracy: int = 10_000) -> DataFrame:
+MAP_PERCENTILE_ROWS = 5_000_000
+
+
+def describe(df: DataFrame, cols: list[str] | None = None, approx: bool = False,
+             accuracy: int = 10_000, map_limit: int = MAP_PERCENTILE_ROWS) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 % (linear interpolation), max.
 
-    Exact percentiles keep a value->count map per column; above ``exact_row_limit``
-    rows (or with ``approx=True``) ``percentile_approx`` is used instead.
+    Quartiles are exact at any size: up to ``map_limit`` rows Spark's ``percentile``
+    (a value -> count map per column in one buffer), beyond that read off the bucketed
+    CDF table (``exact_quantiles``), which never holds a column in one task.
+    ``approx=True`` uses ``percentile_approx`` instead (one pass).
     """
+    from tabfid.operators.pair import exact_quantiles
     cols = cols or [f.name for f in df.schema.fields
                     if is_numeric(f.dataType) and not isinstance(f.dataType, T.BooleanType)]
-    if approx is None:
-        approx = df.count() > exact_row_limit
+    in_map = not approx and df.count() <= map_limit
     aggs = []
     for c in cols:
         v = nan_to_null(F.col(c).cast("double"))
-        q = (F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if approx
-             else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
                  F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(v).alias(f"{c}__max")]
+                 F.max(v).alias(f"{c}__max")]
+        if approx:
+            aggs.append(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
+        elif in_map:
+            aggs.append(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"))
     row = df.agg(*aggs)
-    row = row.select(*[x for c in cols for x in (
-        F.col(f"{c}__count"), F.col(f"{c}__mean"), F.col(f"{c}__std"), F.col(f"{c}__min"),
-        F.col(f"{c}__q")[0].cast("double").alias(f"{c}__p25"),
-        F.col(f"{c}__q")[1].cast("double").alias(f"{c}__p50"),
-        F.col(f"{c}__q")[2].cast("double").alias(f"{c}__p75"), F.col(f"{c}__max"))])
-    names = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    return stats_long(row, cols, {n: n for n in names})
+    names = ["count", "mean", "std", "min", "max"]
+    with_q = approx or in_map
+    base = stats_long(row, cols, {n: n for n in names} | ({"q": "q"} if with_q else {}))
+    if with_q:
+        q = base.select("column_name", *[F.col("q")[i].cast("double").alias(n)
+                                         for i, n in enumerate(("p25", "p50", "p75"))])
+        base = base.drop("q")
+    else:
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
+            "column_name", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    # both sides have one row per column
+    j = base.join(q, "column_name", "left")
+    return j.select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

@@ -102,3 +102,29 @@ def test_partition_count_invariance(spark):
     r8 = uni.ks_wasserstein(p8, ["x"]).first()
     assert r1["ks_statistic"] == r8["ks_statistic"]
     assert r1["wasserstein"] == pytest.approx(r8["wasserstein"], rel=1e-12)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from tabfid.operators.pair import exact_quantiles
+    rng = np.random.default_rng(9)
+    a = np.round(rng.exponential(3, 777), 1)
+    df = spark.createDataFrame([(float(x), float(x) * 2 if i % 5 else None) for i, x in enumerate(a)],
+                               "x double, y double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["column_name"]: r for r in exact_quantiles(df, ["x", "y"], probs, rows_per_bucket=50).collect()}
+    y = np.array([x * 2 for i, x in enumerate(a) if i % 5])
+    for i, p in enumerate(probs):
+        assert got["x"][f"q{i}"] == pytest.approx(np.quantile(a, p), rel=1e-12)
+        assert got["y"][f"q{i}"] == pytest.approx(np.quantile(y, p), rel=1e-12)
+    assert got["y"]["n"] == len(y)
+
+
+def test_describe_paths_agree(spark):
+    from tabfid.sources.io import describe
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    a = {r["column_name"]: r.asDict() for r in describe(df, cols).collect()}
+    b = {r["column_name"]: r.asDict() for r in describe(df, cols, map_limit=0).collect()}
+    for c in cols:
+        for k in ("p25", "p50", "p75", "mean"):
+            assert a[c][k] == pytest.approx(b[c][k], rel=1e-12)
