@@ -55,14 +55,38 @@ def early_stopping(log: DataFrame, metric: str = "loss", patience: int = PATIENC
         F.count(F.lit(1)).alias("epochs"))
 
 
-def best_trial(scores: DataFrame, order: str = "run_id") -> DataFrame:
+SINGLE_WINDOW_TRIALS = 1_000_000
+
+
+def best_trial(scores: DataFrame, order: str = "run_id", buckets: int | None = None) -> DataFrame:
     """L4: history in trial order with the running best (first best wins; a null score
-    counts as -inf) and the best trial so far."""
-    s = F.coalesce(F.col("score"), F.lit(float("-inf")))
-    # trial table: one row per trial, so a single ordered window is bounded by the trials
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.struct(s.alias("s"), (-F.col(order)).alias("o"))).over(w)
-    h = scores.select(order, "score", best.alias("b"))
+    counts as -inf) and the best trial so far.
+
+    Up to a million trials one ordered window; beyond that (or with ``buckets``) a
+    bucketed prefix maximum: range buckets of ``order``, the best of each bucket, a
+    running best over the small bucket table (broadcast), and windows only inside a
+    bucket - the running maximum is associative, like the running sums of the CDF."""
+    key = F.struct(F.coalesce(F.col("score"), F.lit(float("-inf"))).alias("s"), (-F.col(order)).alias("o"))
+    n = scores.count() if buckets is None else None
+    if buckets is None and n <= SINGLE_WINDOW_TRIALS:
+        w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        h = scores.select(order, "score", F.max(key).over(w).alias("b"))
+    else:
+        from pyspark.ml.feature import Bucketizer
+        nb = buckets or max(2, n // SINGLE_WINDOW_TRIALS + 1)
+        qs = scores.approxQuantile(order, [i / nb for i in range(1, nb)], 0.001)
+        splits = [float("-inf")] + sorted(set(float(q) for q in qs)) + [float("inf")]
+        d = Bucketizer(splits=splits, inputCol="_o", outputCol="_b").transform(
+            scores.withColumn("_o", F.col(order).cast("double"))).withColumn("_b", F.col("_b").cast("int"))
+        d = d.withColumn("_k", key)
+        per = d.groupBy("_b").agg(F.max("_k").alias("_bk"))       # one row per bucket
+        wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.select("_b", F.max("_bk").over(wb).alias("_prev"))
+        w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        j = d.join(F.broadcast(per), "_b")
+        run = F.max("_k").over(w)
+        best = F.when(F.col("_prev").isNull(), run).otherwise(F.greatest(run, F.col("_prev")))
+        h = j.select(order, "score", best.alias("b"))
     return h.select(order, "score", F.col("b.s").alias("best_score"), (-F.col("b.o")).alias("best_trial"))
 
 

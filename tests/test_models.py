@@ -109,3 +109,12 @@ def test_copula_partition_invariant_and_conditional(spark):
     assert got == {"A": 10, "R": 30}
     cold = synth.sample_copula(spark, m, 200, temperature=0.3)
     assert cold.select("l_returnflag").distinct().count() == 1
+
+
+def test_best_trial_bucketed_equals_single_window(spark):
+    rows = [(i, None if i % 11 == 0 else float((i * 37) % 101)) for i in range(1, 400)]
+    sc_df = spark.createDataFrame(rows, "run_id long, score double")
+    a = sorted(tuple(r) for r in rl.best_trial(sc_df).collect())
+    b = sorted(tuple(r) for r in rl.best_trial(sc_df, buckets=7).collect())
+    assert a == b
+    assert a[-1][2] == 100.0
