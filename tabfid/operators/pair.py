@@ -222,3 +222,38 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], **cdf_kw
         frac = h - F.floor(h)
         out.append((F.col(f"_lo{i}") + frac * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
     return g.select(*out)
+
+
+SMALL_RUNNING = 1_000_000
+
+
+def running_sums(df: DataFrame, part: list[str], order: list[str], weights: list[str],
+                 small_limit: int = SMALL_RUNNING, n: int | None = None) -> DataFrame:
+    """Running sums of ``weights`` (``<w>_cum``) and totals (``<w>_tot``) per ``part``
+    in ``order``, for a table of *distinct* keys (e.g. category counts).
+
+    Up to ``small_limit`` rows: windows per ``part``.  Larger: ``repartitionByRange``
+    on (part, order), partition ids fixed by a reliable checkpoint (folder from
+    ``spark.checkpoint.dir``), per-(part, partition) totals -> offsets on that small
+    table (broadcast), windows only inside one range partition."""
+    from tabfid.session import ensure_checkpoint_dir
+    n = df.count() if n is None else n
+    wall = Window.partitionBy(*part)
+    if n <= small_limit:
+        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(w).alias(f"{c}_cum") for c in weights],
+                         *[F.sum(c).over(wall).alias(f"{c}_tot") for c in weights])
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = max(2, n // small_limit + 1)
+    ranged = df.repartitionByRange(parts, *part, *order).withColumn("_pid", F.spark_partition_id())
+    ranged = ranged.checkpoint(eager=True)
+    sizes = ranged.groupBy(*part, "_pid").agg(*[F.sum(c).alias(f"_s_{c}") for c in weights])
+    wp = Window.partitionBy(*part).orderBy("_pid")
+    sizes = sizes.select(*part, "_pid",
+                         *[F.coalesce(F.sum(f"_s_{c}").over(wp.rowsBetween(Window.unboundedPreceding, -1)),
+                                      F.lit(0)).alias(f"_o_{c}") for c in weights],
+                         *[F.sum(f"_s_{c}").over(Window.partitionBy(*part)).alias(f"{c}_tot") for c in weights])
+    j = ranged.join(F.broadcast(sizes), [*part, "_pid"])   # one row per (part, range partition)
+    w = Window.partitionBy(*part, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*df.columns, *[(F.col(f"_o_{c}") + F.sum(c).over(w)).alias(f"{c}_cum") for c in weights],
+                    *[F.col(f"{c}_tot") for c in weights])

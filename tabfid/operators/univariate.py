@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfid.functions.exprs import safe_div
-from tabfid.operators.pair import SIDE, TablePair, cdf_table, side_agg, stats_long
+from tabfid.operators.pair import SIDE, TablePair, cdf_table, running_sums, side_agg, stats_long
 
 # fixed constants of the reference's metrics
 MEAN_EPS = 1e-10          # denominator for a zero real mean (F5) and log terms (F7)
@@ -235,14 +235,15 @@ def category_counts(pair: TablePair, cols: list[str] | None = None) -> DataFrame
         F.sum(1 - F.col(SIDE)).alias("n_real"), F.sum(F.col(SIDE)).alias("n_syn"))
 
 
-def categorical_cdf(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
-    """cumulative share over sorted category values, per side."""
+def categorical_cdf(pair: TablePair, cols: list[str] | None = None,
+                    small_limit: int = 1_000_000) -> DataFrame:
+    """cumulative share over sorted category values, per side (running sums over
+    the category count table; range-partitioned when it is large)."""
     cc = category_counts(pair, cols)
-    w = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    wa = Window.partitionBy("column_name")
-    return cc.select("column_name", "value", "n_real", "n_syn",
-                     safe_div(F.sum("n_real").over(w), F.sum("n_real").over(wa)).alias("real_cdf"),
-                     safe_div(F.sum("n_syn").over(w), F.sum("n_syn").over(wa)).alias("synthetic_cdf"))
+    r = running_sums(cc, ["column_name"], ["value"], ["n_real", "n_syn"], small_limit=small_limit)
+    return r.select("column_name", "value", "n_real", "n_syn",
+                    safe_div(F.col("n_real_cum"), F.col("n_real_tot")).alias("real_cdf"),
+                    safe_div(F.col("n_syn_cum"), F.col("n_syn_tot")).alias("synthetic_cdf"))
 
 
 def category_frequencies(pair: TablePair, cols: list[str] | None = None,

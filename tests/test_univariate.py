@@ -128,3 +128,14 @@ def test_describe_paths_agree(spark):
     for c in cols:
         for k in ("p25", "p50", "p75", "mean"):
             assert a[c][k] == pytest.approx(b[c][k], rel=1e-12)
+
+
+def test_categorical_cdf_large_path_agrees(spark):
+    r = spark.createDataFrame([(f"c{i % 53:02d}",) for i in range(700)], "x string")
+    s = spark.createDataFrame([(f"c{(i * 7) % 61:02d}",) for i in range(500)], "x string")
+    pair = TablePair(r, s)
+    a = sorted(tuple(x) for x in uni.categorical_cdf(pair, ["x"]).collect())
+    b = sorted(tuple(x) for x in uni.categorical_cdf(pair, ["x"], small_limit=10).collect())
+    assert len(a) == len(b) == 61
+    for x, y in zip(a, b):
+        assert x[:4] == y[:4] and x[4] == pytest.approx(y[4]) and x[5] == pytest.approx(y[5])
