@@ -112,12 +112,18 @@ def ml_utility(real: DataFrame, synthetic: DataFrame, target: str, keys: list[st
     tr, te, sy = lab(tr), lab(te), lab(sy)
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     tr, te, sy = (va.transform(d).select("features", "label") for d in (tr, te, sy))
+    # forests re-read their input once per tree level: spread a small input (e.g. one
+    # parquet row group = one partition) over the cores; large inputs keep their partitions
+    par = real.sparkSession.sparkContext.defaultParallelism
+    tr, sy = (d.repartition(par) if d.rdd.getNumPartitions() < par else d for d in (tr, sy))
+    forest = dict(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins,
+                  cacheNodeIds=True, maxMemoryInMB=1024)
     if task == "classification":
-        est = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins)
+        est = RandomForestClassifier(**forest)
         metric = metric or "accuracy"
         score = accuracy if metric == "accuracy" else macro_f1
     elif task == "regression":
-        est = RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, seed=seed, maxBins=max_bins)
+        est = RandomForestRegressor(**forest)
         metric = metric or "r2"
         score = r2_score
     else:
