@@ -247,23 +247,28 @@ def categorical_cdf(pair: TablePair, cols: list[str] | None = None,
 
 
 def category_frequencies(pair: TablePair, cols: list[str] | None = None,
-                         max_categories: int = 50, top_per_side: int = 25) -> DataFrame:
+                         max_categories: int = 50, top_per_side: int = 25,
+                         small_limit: int = 1_000_000) -> DataFrame:
     """normalised counts on the union of categories; when a column has more than
     ``max_categories`` categories, keep the union of each side's top 25 (count desc,
-    value asc); cumulative shares over the sorted kept categories."""
+    value asc); cumulative shares over the sorted kept categories.
+
+    Ranks are running counts over the category table (range-partitioned when large),
+    so the only per-column window runs over at most ``max_categories`` kept rows."""
     cc = category_counts(pair, cols)
-    wa = Window.partitionBy("column_name")
-    cc = cc.select("column_name", "value",
-                   safe_div(F.col("n_real"), F.sum("n_real").over(wa)).alias("real_share"),
-                   safe_div(F.col("n_syn"), F.sum("n_syn").over(wa)).alias("synthetic_share"),
-                   F.count(F.lit(1)).over(wa).alias("n_cat"),
-                   F.row_number().over(wa.orderBy(F.desc("n_real"), "value")).alias("rk_real"),
-                   F.row_number().over(wa.orderBy(F.desc("n_syn"), "value")).alias("rk_syn"),
-                   "n_real", "n_syn")
+    n_cat = cc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_cat"),
+                                          F.sum("n_real").alias("t_real"), F.sum("n_syn").alias("t_syn"))
+    cc = cc.join(F.broadcast(n_cat), "column_name").withColumn("_one", F.lit(1))   # one row per column
+    for side in ("real", "syn"):
+        cc = cc.withColumn("_neg", -F.col(f"n_{side}"))
+        cc = running_sums(cc, ["column_name"], ["_neg", "value"], ["_one"], small_limit=small_limit) \
+            .withColumnRenamed("_one_cum", f"rk_{side}").drop("_one_tot", "_neg")
     keep = (F.col("n_cat") <= max_categories) | \
         ((F.col("rk_real") <= top_per_side) & (F.col("n_real") > 0)) | \
         ((F.col("rk_syn") <= top_per_side) & (F.col("n_syn") > 0))
-    kept = cc.where(keep)
+    kept = cc.where(keep).select("column_name", "value",
+                                 safe_div(F.col("n_real"), F.col("t_real")).alias("real_share"),
+                                 safe_div(F.col("n_syn"), F.col("t_syn")).alias("synthetic_share"))
     w = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     return kept.select("column_name", "value", "real_share", "synthetic_share",
                        F.sum("real_share").over(w).alias("real_cumsum"),

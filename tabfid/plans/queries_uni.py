@@ -246,3 +246,33 @@ F15_SQL = STATS_CTE + (
 def q_f15(spark, sf_dir):
     """columns ranked by variance ratio (top 20 is the feature)."""
     return uni.most_changed_columns(lineitem_pair(spark, sf_dir), NUM, top=20)
+
+
+F11T_SQL = """WITH pooled AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS value, 1 AS r, 0 AS s FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT CAST(o_custkey AS VARCHAR), 0, 1 FROM orders WHERE o_orderkey % 2 = 1),
+cc AS (SELECT 'o_custkey' AS column_name, value, sum(r) AS n_real, sum(s) AS n_syn FROM pooled GROUP BY value),
+x AS (SELECT column_name, value, n_real, n_syn,
+  n_real / sum(n_real) OVER (PARTITION BY column_name) AS real_share,
+  n_syn / sum(n_syn) OVER (PARTITION BY column_name) AS synthetic_share,
+  count(*) OVER (PARTITION BY column_name) AS n_cat,
+  row_number() OVER (PARTITION BY column_name ORDER BY n_real DESC, value) AS rk_real,
+  row_number() OVER (PARTITION BY column_name ORDER BY n_syn DESC, value) AS rk_syn FROM cc),
+k AS (SELECT * FROM x WHERE n_cat <= 50 OR (rk_real <= 25 AND n_real > 0) OR (rk_syn <= 25 AND n_syn > 0))
+SELECT column_name, value, real_share, synthetic_share,
+  sum(real_share) OVER w AS real_cumsum, sum(synthetic_share) OVER w AS synthetic_cumsum FROM k
+WINDOW w AS (PARTITION BY column_name ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+@register("f11_category_frequencies_top", F11T_SQL,
+          doubles=["real_share", "synthetic_share", "real_cumsum", "synthetic_cumsum"])
+def q_f11t(spark, sf_dir):
+    """F11 on a 1,500-category column (orders' customer, even vs odd orders): only the
+    union of each side's top 25 categories is kept."""
+    from pyspark.sql import functions as F
+    from tabfid.operators.pair import TablePair
+    from tabfid.plans.fixtures import table
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"))
+    pair = TablePair(o.where(F.col("o_orderkey") % 2 == 0), o.where(F.col("o_orderkey") % 2 == 1),
+                     columns=["o_custkey"])
+    return uni.category_frequencies(pair, ["o_custkey"])

@@ -139,3 +139,14 @@ def test_categorical_cdf_large_path_agrees(spark):
     assert len(a) == len(b) == 61
     for x, y in zip(a, b):
         assert x[:4] == y[:4] and x[4] == pytest.approx(y[4]) and x[5] == pytest.approx(y[5])
+
+
+def test_category_frequencies_top_k_paths_agree(spark):
+    r = spark.createDataFrame([(f"c{(i * i) % 97:02d}",) for i in range(900)], "x string")
+    s = spark.createDataFrame([(f"c{(i * 5) % 89:02d}",) for i in range(700)], "x string")
+    pair = TablePair(r, s)
+    a = sorted(tuple(x) for x in uni.category_frequencies(pair, ["x"]).collect())
+    b = sorted(tuple(x) for x in uni.category_frequencies(pair, ["x"], small_limit=7).collect())
+    assert 25 <= len(a) <= 50 and [x[:2] for x in a] == [x[:2] for x in b]
+    for x, y in zip(a, b):
+        assert x[2:] == pytest.approx(y[2:])
