@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tabfid.functions.hashing import MOD_OUT, portable_hash
 
-HASH_BUCKET_BITS = 15          # 2^31 hash values -> 65,536 buckets
+HASH_BITS = 31                 # the portable hash takes values in [0, 2^31)
+MIN_BUCKET_BITS, MAX_BUCKET_BITS = 10, 20
 _H, _B = "_h", "_hb"
 BROADCAST_ROWS = 2_000_000     # bucket-status table broadcast only below this size
 
@@ -44,8 +45,12 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
     unique per row.  Strata with fewer rows than their quota are taken whole.
     """
     strata = strata or []
+    # ~sqrt(n) hash buckets: the bucket-count table and the one bucket that is ranked
+    # both stay near or below a million rows even at 10^12 rows
+    n = df.count()
+    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(max(n, 2)) / 2)))
     h = portable_hash(*keys, seed=seed)
-    d = df.withColumns({_H: h, _B: F.shiftright(h, HASH_BUCKET_BITS).cast("int")})
+    d = df.withColumns({_H: h, _B: F.shiftright(h, HASH_BITS - bits).cast("int")})
     counts = d.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     if isinstance(quota, int):
         if strata:
