@@ -52,7 +52,7 @@ def index_sorted(df: DataFrame, order: list, small_limit: int = SMALL_DICT,
     """
     n = df.count() if n is None else n
     if n <= small_limit:
-        return df.withColumn(code, F.row_number().over(Window.orderBy(*order)) - 1)
+        return df.withColumn(code, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     ensure_checkpoint_dir(df.sparkSession)
     parts = max(2, n // small_limit + 1)
     ranged = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id())
@@ -62,7 +62,7 @@ def index_sorted(df: DataFrame, order: list, small_limit: int = SMALL_DICT,
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     j = ranged.join(F.broadcast(sizes.select("_pid", "_off")), "_pid")
     w = Window.partitionBy("_pid").orderBy(*order)
-    return j.withColumn(code, F.col("_off") + F.row_number().over(w) - 1).drop("_pid", "_off")
+    return j.withColumn(code, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_pid", "_off")
 
 
 def category_table(df: DataFrame, col: str) -> DataFrame:

@@ -151,7 +151,8 @@ CAT_CNT = (f"WITH {pair_cte()},\n"
            "pooled AS (" + " UNION ALL ".join(
                [f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, 1 AS r, 0 AS s FROM real "
                 f"UNION ALL SELECT '{c}', CAST({c} AS VARCHAR), 0, 1 FROM syn" for c in CAT]) + "),\n"
-           "cc AS (SELECT column_name, value, sum(r) AS n_real, sum(s) AS n_syn FROM pooled GROUP BY 1, 2)\n")
+           "cc AS (SELECT column_name, value, CAST(sum(r) AS BIGINT) AS n_real, CAST(sum(s) AS BIGINT) AS n_syn "
+           "FROM pooled GROUP BY 1, 2)\n")
 
 F10_SQL = CAT_CNT + (
     "SELECT column_name, value, n_real, n_syn, "
