@@ -31,7 +31,7 @@ from tabfid.functions.exprs import INTEGRAL_TYPES
 from tabfid.functions.random import norm_cdf, norm_ppf, normals
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
 
-MAX_CATEGORIES = 1_000_000
+MAX_CATEGORIES = 100_000     # per column; fold rarer values first (E2/E4) beyond this
 MAX_STRATA = 10_000
 DISCRETE_LIMIT = 64          # columns with at most this many distinct values sample by steps
 TEMPERATURE_ARGMAX = 0.5     # fixed: at or below this temperature categories take the mode
