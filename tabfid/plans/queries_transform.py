@@ -58,24 +58,29 @@ def q_h4(spark, sf_dir):
 
 
 H5C = portable_hash_sql(["c_custkey", "replica"])
+H5T = portable_hash_sql(["c_custkey"])
 
 
-@register("h5_resize_fill",
-          f"SELECT c_custkey, replica FROM (SELECT c_custkey, CAST(r AS INTEGER) AS replica FROM customer, "
-          f"range(0, CAST(ceil(4000 / (SELECT count(*) FROM customer)) AS BIGINT)) AS t(r)) AS x "
-          f"ORDER BY {H5C}, c_custkey, replica LIMIT 4000")
-def q_h5(spark, sf_dir):
-    """H5: customer filled to exactly 4,000 rows (repeat, then hash cut)."""
-    return smp.resize(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 4000)
+def _resize_sql(total: int) -> str:
+    """trim by hash of the key when the table is large enough, else repeat each row
+    ceil(total / n) times and cut by hash of (key, replica)"""
+    return (f"WITH n AS (SELECT count(*) AS n FROM customer), x AS (\n"
+            f"SELECT c_custkey, 0 AS replica, {H5T} AS h FROM customer WHERE (SELECT n FROM n) >= {total}\n"
+            f"UNION ALL SELECT c_custkey, replica, {H5C} AS h FROM (SELECT c_custkey, CAST(r AS INTEGER) AS replica "
+            f"FROM customer, range(0, CAST(ceil({total} / (SELECT n FROM n)) AS BIGINT)) AS t(r)) AS y "
+            f"WHERE (SELECT n FROM n) < {total})\n"
+            f"SELECT c_custkey, CAST(replica AS INTEGER) AS replica FROM x ORDER BY h, c_custkey, replica LIMIT {total}")
 
 
-H5T = portable_hash_sql(["c_custkey"])
+@register("h5_resize_fill", _resize_sql(4000))
+def q_h5(spark, sf_dir):
+    """H5: customer resized to exactly 4,000 rows (repeat + hash cut when smaller)."""
+    return smp.resize(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 4000)
 
 
-@register("h5_resize_trim",
-          f"SELECT c_custkey, 0 AS replica FROM customer ORDER BY {H5T}, c_custkey LIMIT 1000")
+@register("h5_resize_trim", _resize_sql(1000))
 def q_h5b(spark, sf_dir):
-    """H5: customer trimmed to exactly 1,000 rows."""
+    """H5: customer resized to exactly 1,000 rows (hash sample when larger)."""
     return smp.resize(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"], 1000)
 
 
@@ -205,7 +210,9 @@ def q_e1b(spark, sf_dir):
 
 
 E2_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1), "
-          "k AS (SELECT v FROM c WHERE n >= greatest(1, floor((SELECT count(*) FROM orders) * 0.0005))), "
+          "fold AS (SELECT (SELECT count(*) FROM orders) > 10000 AND (SELECT count(*) FROM c) > 1000 AS f), "
+          "k AS (SELECT v FROM c WHERE NOT (SELECT f FROM fold) "
+          "OR n >= greatest(1, floor((SELECT count(*) FROM orders) * 0.0005))), "
           "f AS (SELECT o_orderkey, CASE WHEN CAST(o_custkey AS VARCHAR) IN (SELECT v FROM k) "
           "THEN CAST(o_custkey AS VARCHAR) ELSE 'other' END AS v FROM orders)\n"
           "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS o_custkey FROM f")
@@ -236,7 +243,9 @@ def q_e3(spark, sf_dir):
 E4_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1), "
           "r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS rk, "
           "sum(n) OVER (ORDER BY n DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c), "
-          "k AS (SELECT v FROM r WHERE rk <= 50 AND coalesce(prev, 0) < 0.95 * (SELECT count(*) FROM orders)), "
+          "fold AS (SELECT (SELECT count(*) FROM orders) > 10000 AND (SELECT count(*) FROM c) > 50 AS f), "
+          "k AS (SELECT v FROM r WHERE NOT (SELECT f FROM fold) "
+          "OR (rk <= 50 AND coalesce(prev, 0) < 0.95 * (SELECT count(*) FROM orders))), "
           "f AS (SELECT o_orderkey, CASE WHEN CAST(o_custkey AS VARCHAR) IN (SELECT v FROM k) "
           "THEN CAST(o_custkey AS VARCHAR) ELSE 'other' END AS v FROM orders), "
           "d AS (SELECT v, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM f GROUP BY v)\n"
