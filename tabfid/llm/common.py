@@ -38,7 +38,7 @@ def window_hashes(items: Column, n: int) -> Column:
 
     Hashes of 1, 2, 4, ... items are paired up, so a window costs about log2(n) hashes.
     """
-    rest = F.lit(2**31 - 1)
+    rest = F.lit(2**30)
 
     def pair(xs: Column, ys: Column, by: int) -> Column:
         return F.zip_with(xs, F.slice(ys, by + 1, rest), lambda a, b: F.xxhash64(a, b))
