@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabfid.llm import quality_rules
+from tabfid.llm import chat_format, pieces, quality_rules, secrets, sharding, url_filter
 from tabfid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +28,100 @@ def query(sql: str | None = None):
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals, base rules and the verdict of the adaptive cutoffs for every document."""
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids="ids", back="decoded")
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts of the base kinds, their digest and all spans."""
+    d = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    def of(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return d.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+                    F.sha2(secrets.span_text(of(*secrets.KINDS[:3])), 256).alias("base_sha256"),
+                    secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of near equal bytes, tokens and rows; equal texts stay together."""
+    d = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+#: The contract's url rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("""
+WITH h AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h
+), r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (
+  SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC, length(h) DESC) AS n
+  FROM u LEFT JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1
+""")
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, winning rule and verdict of every page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def _sql_escape(c: str) -> str:
+    out = f"replace({c}, '\\', '\\\\')"
+    for s in chat_format.CONTROLS:
+        out = f"replace({out}, '{s}', '{s[0]}\\{s[1:]}')"
+    return out
+
+
+@query(f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, {len(chat_format.OPEN) + len(chat_format.CLOSE) + 2} + length(replace({_sql_escape("role")}, chr(10), '\\' || chr(10)))
+         + length({_sql_escape("text")}) AS n FROM c
+), e AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+         lead(1) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS is_last FROM t
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted examples."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                 "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    ex = chat_format.examples(turns.unionByName(more))
+    read = F.when(F.col("is_last"), chat_format.parsed_turns(F.col("text")))
+    back = ex.select("conv_id", "example", F.length("text").cast("long").alias("chars"), read.alias("turns"),
+                     chat_format.loss_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("reply"))
+    one = back.groupBy("conv_id").agg(
+        F.sum("chars").alias("formatted_chars"), F.max("turns").alias("turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda x: x["reply"]), "").alias("loss"))
+    said_turns = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    return one.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                      F.sha2(F.array_join(said_turns, ""), 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      "formatted_chars")
