@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabfid.llm import chat_format, decontaminate, pieces, quality_rules, secrets, sharding, url_filter
+from tabfid.llm import chat_format, decontaminate, minhash, pieces, quality_rules, secrets, sharding, url_filter
 from tabfid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document."""
+    d = minhash.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_shingles", "component_id", "kept")
