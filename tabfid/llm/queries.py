@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabfid.llm import chat_format, decontaminate, minhash, pieces, quality_rules, secrets, sharding, url_filter
+from tabfid.llm import chat_format, decontaminate, minhash, pieces, quality_rules, secrets, sharding, substring_dedup, url_filter
 from tabfid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,25 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and verdict of every document."""
     d = minhash.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 49], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)),
+f AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY t) < doc_id AS gone FROM g),
+x AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM f WHERE gone),
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+s AS (SELECT doc_id, count(x.p) AS n, string_agg(word, ' ' ORDER BY p) FILTER (x.p IS NULL) AS t
+      FROM o LEFT JOIN x USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 50 words of smaller documents cover."""
+    d = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
