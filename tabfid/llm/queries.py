@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabfid.llm import chat_format, decontaminate, minhash, pieces, quality_rules, secrets, sharding, substring_dedup, url_filter
+from tabfid.llm import chat_format, cotraining, decontaminate, minhash, pieces, quality_rules, secrets, sharding, substring_dedup, url_filter
 from tabfid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of 50 words of smaller documents cover."""
     d = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of good quality and of toxicity for every document; kept: good and not toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    models = cotraining.train(docs, table(spark, sf_dir, "labels"), {"quality": False, "toxic": True})
+    d = cotraining.score(docs, models)
+    return d.select("doc_id", "quality", "toxic", (F.col("toxic") >= 0.5).alias("is_toxic"),
+                    ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
