@@ -1,10 +1,17 @@
-"""Corpus pipeline: documents through the stages below, each on all that its predecessor kept."""
+"""Corpus pipeline: documents through the stages below, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``; the
+last adds ``ids`` and ``n_tokens``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabfid.llm.common import shared_table, table
+from tabfid.llm import decontaminate, minhash, pieces, secrets
+from tabfid.llm.common import fresh, shared_table, table
 from tabfid.llm.quality_rules import quality_filter
 
 
@@ -13,9 +20,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced and n_chars counted anew where one was."""
+    (was,) = fresh(docs, "was")
+    out = secrets.redacted(docs.withColumn(was, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(was))
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
+        *docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the ids of their whole texts."""
+    out = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids="ids")
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),
+          ("secret_scan", secret_scan), ("sentencepiece", sentencepiece)]
 
-#: The later stages have no SQL form; tests hold run() against a brute-force version.
+#: Near duplicates, secrets by lexing and SentencePiece have no SQL form; tests hold run() against a
+#: brute-force version.
 ORACLE_SQL = None
 
 
