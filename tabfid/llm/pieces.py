@@ -21,19 +21,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "\u2581"
 #: Encodings of text parts kept per Python worker (two generations of so many) and the longest part kept.
-MAX_PARTS, MAX_PART_CHARS, MAX_PAIRS = 200_000, 64, 1_000_000
+MAX_PARTS, MAX_PART_CHARS, MAX_PAIRS = 250_000, 64, 500_000
+#: Results go back to Spark in pieces of so many rows or characters, whichever comes first.
+ROWS_OUT, CHARS_OUT = 512, 4_000_000
 NEVER = float("-inf")
 
 
@@ -64,8 +68,10 @@ class Pieces:
                 self.auto.add_word(p, (i, len(p)))
         self.auto.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.special = np.zeros(n, bool)
+        self.special[[*self.of_byte, *self.silent]] = True
 
     def _cuts(self) -> re.Pattern | None:
         """Pattern of the parts: no piece reaches from one match into the next."""
@@ -123,7 +129,7 @@ class Pieces:
             else:
                 j += 1
 
-    def part(self, text: str) -> tuple[int, ...]:
+    def part(self, text: str) -> list[int]:
         """Ids of a text by the prefix table."""
         pairs, m = self.pairs, self.n + 0x110000
         last = [-1] * len(text)
@@ -154,7 +160,7 @@ class Pieces:
             else:
                 out.append(self.unknown)
             at -= 1
-        return tuple(out[::-1])
+        return out[::-1]
 
     def _ends(self, text: str) -> Iterator[tuple[int, tuple[int, int]]]:
         """(last place, (piece, size)) in order of place; a character outside the model stands for itself."""
@@ -164,31 +170,31 @@ class Pieces:
         found += [(k, (self.n + ord(c), 1)) for k, c in enumerate(text) if c not in self.letters]
         return iter(sorted(found))
 
-    def _part(self, text: str) -> tuple[int, ...]:
+    def _part(self, text: str) -> bytes:
         ids = self.old.get(text)
         if ids is None:
-            ids = self.part(text)
+            ids = np.array(self.part(text), np.int32).tobytes()
         if len(text) <= MAX_PART_CHARS:
             if len(self.young) >= MAX_PARTS:
                 self.old, self.young = self.young, {}
             self.young[text] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
         text = MARK + text.replace(" ", MARK)
+        known = self.young.get
         parts = self.cut.findall(text) if self.cut else [text]
-        return np.fromiter(chain.from_iterable([self.young.get(p) or self._part(p) for p in parts]), np.int32)
+        return np.frombuffer(b"".join([known(p) or self._part(p) for p in parts]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         names, of_byte = self.names, self.of_byte
-        ids = ids.tolist()
-        if not self.silent.isdisjoint(ids):
-            ids = [i for i in ids if i not in self.silent]
-        if of_byte.keys().isdisjoint(ids):
-            text = "".join([names[i] for i in ids])
+        if not self.special[ids].any():
+            ids = ids.tolist()
+            text = "".join(map(names.__getitem__, ids))
         else:
+            ids = [i for i in ids.tolist() if i not in self.silent]
             got: list[str] = []
             for raw, run in groupby(ids, of_byte.__contains__):
                 got.append(bytes(of_byte[i] for i in run).decode("utf-8", "replace") if raw
@@ -215,32 +221,53 @@ def read_model(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoded(text: Column, model: Broadcast) -> Column:
-    """array<int>: the ids of each whole text, without begin and end."""
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        p = _pieces(model)
-        for texts in batches:
-            yield pd.Series([p.encode(t or "") for t in texts], dtype=object)
-    return run(text)
-
-
 def decoded(ids: Column, model: Broadcast) -> Column:
     """string: the text of each id list; null and empty lists give the empty text."""
-    @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = _pieces(model)
         for lists in batches:
-            yield pd.Series(["" if x is None else p.decode(x) for x in lists], dtype=object)
-    return run(ids)
+            yield pd.Series(["" if x is None else p.decode(np.asarray(x, np.int32)) for x in lists], dtype=object)
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(ids)
+
+
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of at most ROWS_OUT rows and, but for single texts, about CHARS_OUT characters."""
+    first, got, size = 0, [], 0
+    for i, t in enumerate(texts):
+        got.append(t.as_py())
+        size += len(got[-1] or "")
+        if len(got) >= ROWS_OUT or size >= CHARS_OUT:
+            yield first, got
+            first, got, size = i + 1, [], 0
+    if got:
+        yield first, got
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
                      back: str | None = None) -> DataFrame:
-    """``docs`` with the ids of each whole text in ``ids`` and, if asked for, their decoded text in ``back``."""
-    for c in (ids, back):
-        if c and c.lower() in {x.lower() for x in docs.columns}:
-            raise ValueError(f"the input has a column named {c}")
+    """``docs`` with the ids of each whole text (array<int>, without begin and end) in ``ids`` and, if
+    asked for, the text decoded from them in ``back``."""
+    new = [ids, *([back] if back else [])]
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in new}:
+        raise ValueError(f"the input has columns named {sorted(clash)}")
     model = read_model(docs.sparkSession, path)
-    out = docs.withColumn(ids, encoded(F.col(text), model))
-    return out.withColumn(back, decoded(F.col(ids), model)) if back else out
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if back:
+        schema = schema.add(back, T.StringType())
+    at = docs.columns.index(text)
+    names = [*docs.columns, *new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = _pieces(model)
+        for b in batches:
+            for first, texts in _chunks(b.column(at)):
+                lists = [p.encode(t) for t in texts]
+                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+                cols = [*b.slice(first, len(texts)).columns,
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))]
+                if back:
+                    cols.append(pa.array([p.decode(x) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return docs.mapInArrow(run, schema)
