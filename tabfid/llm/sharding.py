@@ -4,8 +4,9 @@ Rows of equal text form a group.  Each group has a vector (bytes, tokens, rows)
 shard where the dot product with what that shard's capacity has left is highest, among the shards
 that can still take its bytes.  So that the driver packs a bounded number of items, small groups
 are first bundled by a hash of their text; a group of more than ``1 / HEAVY`` of a shard is packed on
-its own, in as many pieces as it has such shares or bundles' worths of rows (a hot group does not fit
-any one shard).  The number of bundles grows with the rows (``ROWS_PER_BUNDLE``) up to
+its own.  It stays whole in one shard unless it has more than a shard's part of anything; then it is
+packed in units of at most half of that.  For the slots a group's rows are dealt to pieces, so that
+none is large.  The number of bundles grows with the rows (``ROWS_PER_BUNDLE``) up to
 ``MOST_BUNDLES``; the driver holds one vector per bundle and piece, at most about twice as many.
 
 Law ``bytes``: sizes are near equal.  Items are placed by decreasing size, so the shards differ by
@@ -19,6 +20,7 @@ columns of the input pass through in ``shard_documents`` if no result column has
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,18 @@ def _even(vectors: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
+def _units(items: pd.DataFrame, shards: int) -> np.ndarray:
+    """Number of the unit that each item is packed with: a bundle is one; the pieces of a group are one
+    unit, or, if the group has more than a shard's part of anything, units of at most half of that."""
+    dims = items[list(DIMS)]
+    share = (dims / dims.sum().clip(lower=1)).groupby(items["g"]).transform("sum").max(axis=1) * shards
+    many = items.groupby("g")["p"].transform("size")
+    units = np.where(share > 1, np.ceil(2 * share), 1).astype(np.int64)
+    own = items.groupby("g").cumcount() * units // many
+    own = np.where(items["g"] == 0, items["p"], own)  # g is 0 for bundles
+    return pd.MultiIndex.from_arrays([items["g"], own]).factorize(sort=True)[0]
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text",
                     keep: list[str] | None = None, heavy: int = HEAVY,
                     rows_per_bundle: int = ROWS_PER_BUNDLE) -> DataFrame:
@@ -108,8 +122,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
                                              F.count(F.lit(1)).alias("rows"))
     got = items.select("shard_item.g", "shard_item.p", *DIMS).toPandas()  # one row per bundle or piece, bounded above
     got = got.sort_values(["g", "p"], ignore_index=True)
-    vectors = got[list(DIMS)].to_numpy(np.float64)
-    got["shard"] = _even(vectors, place(vectors, shards), shards).astype(np.int32)
+    unit = _units(got, shards)
+    vectors = got.groupby(unit)[list(DIMS)].sum().to_numpy(np.float64)
+    got["shard"] = _even(vectors, place(vectors, shards), shards).astype(np.int32)[unit]
     got["first"] = got.groupby("shard")["rows"].cumsum() - got["rows"]
     plan = docs.sparkSession.createDataFrame(got[["g", "p", "shard", "first"]]).select(
         F.struct(F.col("g").cast("long").alias("g"), F.col("p").cast("long").alias("p")).alias("shard_item"),
