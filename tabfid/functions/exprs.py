@@ -62,9 +62,3 @@ def rsig(c: Column, digits: int = 12) -> Column:
             .otherwise(F.round(c / e, digits - 1) * e + F.lit(0.0)))
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows where both are non-null; null (not an ANSI error)
-    when either side has zero variance."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(x, y), F.sqrt(F.var_samp(x) * F.var_samp(y)))

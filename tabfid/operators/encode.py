@@ -3,8 +3,8 @@
 A dictionary is a DataFrame ``(value string, code long)``.  Codes are numbered on the
 *distinct* table, never on raw rows.  Small dictionaries are numbered in one task;
 large ones (``index_sorted``) by range partitions plus per-partition offsets after a
-reliable checkpoint.  Lookups are joins: broadcast only when the dictionary size
-(counted) is under ``BROADCAST_ROWS``, otherwise a shuffle join left to AQE.
+reliable checkpoint.  Lookups are joins; Spark broadcasts a dictionary whose measured bytes
+are under its own limit and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -16,19 +16,14 @@ from pyspark.sql import functions as F
 
 from tabfid.session import ensure_checkpoint_dir
 
-# fixed thresholds of the reference
-RARE_MIN_ROWS = 100_000
-RARE_MIN_CATEGORIES = 1_000
+# usual values for folding on request
 RARE_SHARE = 0.0001
-HEAD_MIN_ROWS = 50_000
-HEAD_MIN_CATEGORIES = 50
 HEAD_SHARE = 0.95
 HEAD_MAX = 50
 OTHER = "other"          # rare/tail bucket of E2/E4
 UNSEEN = "Other"         # unseen bucket of E7
 
 SMALL_DICT = 1_000_000   # number in one task below this size
-BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
@@ -76,12 +71,10 @@ def _mode(counts: DataFrame) -> str | None:
     return r[0]["value"] if r else None
 
 
-def fit_label_encoder(df: DataFrame, col: str, rare_min_rows: int = RARE_MIN_ROWS,
-                      rare_min_categories: int = RARE_MIN_CATEGORIES,
-                      rare_share: float = RARE_SHARE) -> Encoder:
+def fit_label_encoder(df: DataFrame, col: str, min_share: float | None = None) -> Encoder:
     """E1 + E2: most-frequent fill for missing values, then codes = rank in the sorted
-    distinct values.  With more than ``rare_min_rows`` rows and ``rare_min_categories``
-    categories, values seen fewer than max(1, int(rows * 0.0001)) times fold to 'other'."""
+    distinct values.  With ``min_share`` (``RARE_SHARE``, say), values seen fewer than
+    max(1, int(rows * min_share)) times fold to 'other', at any table size."""
     counts = category_table(df, col)
     stats = counts.agg(F.sum("count").alias("nn"), F.count(F.lit(1)).alias("k")).first()
     rows = df.count()
@@ -91,10 +84,10 @@ def fit_label_encoder(df: DataFrame, col: str, rare_min_rows: int = RARE_MIN_ROW
         counts = counts.unionByName(
             counts.sparkSession.createDataFrame([(fill, rows - nn)], "value string, count long")
         ).groupBy("value").agg(F.sum("count").alias("count"))
-    folded = rows > rare_min_rows and k > rare_min_categories
+    folded = min_share is not None
     kept = None
     if folded:
-        min_count = max(1, int(rows * rare_share))
+        min_count = max(1, int(rows * min_share))
         kept_df = counts.where(F.col("count") >= min_count).select("value")
         n_kept = kept_df.count()
         if n_kept < k:
@@ -112,7 +105,6 @@ def fit_label_encoder(df: DataFrame, col: str, rare_min_rows: int = RARE_MIN_ROW
 
 def _lookup(df: DataFrame, col: str, dictionary: DataFrame, size: int, on: str, out: str) -> DataFrame:
     d = dictionary.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-    d = F.broadcast(d) if size <= BROADCAST_ROWS else d
     j = df.join(d, F.col(on) == F.col("_v"), "left")
     return j.withColumn(out, F.col("_code")).drop("_v", "_code")
 
@@ -124,8 +116,6 @@ def _prepared(df: DataFrame, enc: Encoder) -> DataFrame:
     d = df.withColumn("_val", v)
     if enc.folded and enc.kept is not None:
         k = enc.kept.select(F.col("value").alias("_kv"), F.lit(True).alias("_keep"))
-        n_kept = enc.size
-        k = F.broadcast(k) if n_kept <= BROADCAST_ROWS else k
         d = d.join(k, F.col("_val") == F.col("_kv"), "left").withColumn(
             "_val", F.when(F.col("_keep"), F.col("_val")).otherwise(F.lit(OTHER))).drop("_kv", "_keep")
     return d
@@ -138,13 +128,12 @@ def apply_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
     return d.withColumn(enc.column, F.col("_code_out")).drop("_val", "_code_out")
 
 
-def fit_factorize_encoder(df: DataFrame, col: str, order_key: list[str],
-                          head_min_rows: int = HEAD_MIN_ROWS, head_min_categories: int = HEAD_MIN_CATEGORIES,
-                          head_share: float = HEAD_SHARE, head_max: int = HEAD_MAX) -> Encoder:
+def fit_factorize_encoder(df: DataFrame, col: str, order_key: list[str], coverage: float | None = None,
+                          max_kept: int = HEAD_MAX) -> Encoder:
     """E3 + E4: the reference's "onehot" = one integer code per category in order of
-    first appearance (by ``order_key``).  With more than 50,000 rows and 50 categories
-    only the most frequent categories are kept (count desc, value asc) until their
-    cumulative share reaches 0.95 or 50 are kept; the rest fold to 'other'."""
+    first appearance (by ``order_key``).  With ``coverage`` (``HEAD_SHARE``, say) only the most
+    frequent categories are kept (count desc, value asc) until their cumulative share
+    reaches it or ``max_kept`` are kept; the rest fold to 'other', at any table size."""
     v = F.col(col).cast("string")
     counts = category_table(df, col)
     st = counts.agg(F.sum("count").alias("nn"), F.count(F.lit(1)).alias("k")).first()
@@ -155,13 +144,13 @@ def fit_factorize_encoder(df: DataFrame, col: str, order_key: list[str],
         v = F.coalesce(v, F.lit(fill))
     kept = None
     folded = False
-    if rows > head_min_rows and k > head_min_categories:
-        top = counts.orderBy(F.desc("count"), "value").limit(head_max).collect()
+    if coverage is not None:
+        top = counts.orderBy(F.desc("count"), "value").limit(max_kept).collect()
         keep, cum = [], 0
         for r in top:
             cum += r["count"]
             keep.append(r["value"])
-            if cum / nn >= head_share or len(keep) >= head_max:
+            if cum / nn >= coverage or len(keep) >= max_kept:
                 break
         if len(keep) < k:
             folded = True
@@ -187,7 +176,6 @@ def invert_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
                    F.lit(float(max(enc.size - 1, 0)))).cast("long")
     d = df.withColumn("_c", code)
     dd = enc.dictionary.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-    dd = F.broadcast(dd) if enc.size <= BROADCAST_ROWS else dd
     return d.join(dd, "_c", "left").withColumn(c, F.col("_v")).drop("_c", "_v")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfid.functions.exprs import is_numeric, zero_fill_col
+from tabfid.functions.exprs import zero_fill_col
 
 
 def _nanless(df: DataFrame) -> DataFrame:
@@ -37,8 +37,11 @@ def fit_mean_imputer(df: DataFrame, cols: list[str]) -> dict[str, float]:
 
 def fit_mode_imputer(df: DataFrame, cols: list[str]) -> dict:
     """M3 fit: most frequent non-null value; ties -> smallest value."""
-    row = df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    out = {}
+    for c in cols:  # counts by value, combined before the shuffle; one row comes back
+        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
+        out[c] = top[0][c] if top else None
+    return out
 
 
 def impute(df: DataFrame, fills: dict, flags: bool = True) -> DataFrame:
@@ -52,12 +55,6 @@ def impute(df: DataFrame, fills: dict, flags: bool = True) -> DataFrame:
     return d.withColumns(ex)
 
 
-def missing_flags(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """M4: 0/1 flag per column."""
-    cols = cols or df.columns
-    return _nanless(df).withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols})
-
-
 def zero_fill(df: DataFrame) -> DataFrame:
     """M5: null/NaN -> 0.0 in numeric columns (cast to double), '0' in strings."""
     return df.select(*[zero_fill_col(f.name, f.dataType) for f in df.schema.fields])
@@ -69,7 +66,3 @@ def coerce_numeric(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     out = df.withColumns({c: F.col(c).try_cast("double") for c in cols})
     return out.select(*[zero_fill_col(f.name, f.dataType) if f.name in cols else F.col(f.name)
                         for f in out.schema.fields])
-
-
-def numeric_like(dt: T.DataType) -> bool:
-    return is_numeric(dt)

@@ -18,7 +18,7 @@ RANGE_EPS = 1e-8         # J12 denominators
 ENTROPY_EPS = 1e-10      # J11 count offset
 CODE_TOL = 0.25          # J11: a value counts for code c when within +-0.25
 PCA_EPS = 1e-10          # J7 MAPE denominator
-WIDE_CORR = 40           # above this many columns use MLlib's Correlation
+SUMS_AT_ONCE = 400       # cross-product sums of one pass; more columns take more passes
 
 
 def _clean(c):
@@ -45,16 +45,15 @@ def gram(pair: TablePair, cols: list[str]) -> dict:
     t = pair.tagged(cols, as_double=True)
     cen = {c: F.col(c) - F.when(F.col(SIDE) == 0, F.lit(float(out["mean_0"][i])))
            .otherwise(F.lit(float(out["mean_1"][i]))) for i, c in enumerate(cols)}
-    aggs = [F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = t.groupBy().pivot(SIDE, [0, 1]).agg(*aggs).first()
-    for s in (0, 1):
-        m = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                name = f"{s}_s_{i}_{j}" if len(aggs) > 1 else f"{s}"
-                v = row[name]
-                m[i, j] = m[j, i] = 0.0 if v is None else float(v)
-        out[f"S_{s}"] = m
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    out["S_0"], out["S_1"] = np.zeros((k, k)), np.zeros((k, k))
+    for at in range(0, len(pairs), SUMS_AT_ONCE):
+        part = pairs[at:at + SUMS_AT_ONCE]
+        row = t.groupBy().pivot(SIDE, [0, 1]).agg(*[F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i, j in part]).first()
+        for s in (0, 1):
+            for i, j in part:
+                v = row[f"{s}_s_{i}_{j}" if len(part) > 1 else f"{s}"]
+                out[f"S_{s}"][i, j] = out[f"S_{s}"][j, i] = 0.0 if v is None else float(v)
     return out
 
 
@@ -75,8 +74,6 @@ def correlation_long(pair: TablePair, cols: list[str] | None = None, g: dict | N
     ordered pairs incl. the diagonal (1, or 0 for a constant column).  ``valid`` = the
     column has non-zero variance on both sides (and at least two rows)."""
     cols = cols or pair.numeric
-    if len(cols) > WIDE_CORR and g is None:
-        return _correlation_long_mllib(pair, cols)
     g = g if g is not None else gram(pair, cols)
     const = [g["const_0"] | (g["n_0"] < 2), g["const_1"] | (g["n_1"] < 2)]
     cr, cs = _corr_from_gram(g["S_0"], const[0]), _corr_from_gram(g["S_1"], const[1])
@@ -88,30 +85,6 @@ def correlation_long(pair: TablePair, cols: list[str] | None = None, g: dict | N
               "valid_i boolean, valid_j boolean")
 
 
-def _correlation_long_mllib(pair: TablePair, cols: list[str]) -> DataFrame:
-    """Wide tables: Pearson matrices by MLlib (tree aggregation of the Gram matrix)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = pair.real.sparkSession
-    mats, vars_ = [], []
-    for df in (pair.real, pair.synthetic):
-        d = df.select(*[F.col(c).cast("double") for c in cols])
-        vec = VectorAssembler(inputCols=cols, outputCol="v").transform(d).select("v")
-        m = np.array(Correlation.corr(vec, "v").first()[0].toArray())
-        mats.append(np.nan_to_num(m, nan=0.0))
-        vr = d.agg(*[F.var_samp(c).alias(c) for c in cols]).first()
-        vars_.append({c: (vr[c] or 0.0) for c in cols})
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            cr = (1.0 if vars_[0][a] > 0 else 0.0) if i == j else float(mats[0][i, j])
-            cs = (1.0 if vars_[1][a] > 0 else 0.0) if i == j else float(mats[1][i, j])
-            rows.append((a, b, cr, cs, cr - cs, vars_[0][a] > 0 and vars_[1][a] > 0,
-                         vars_[0][b] > 0 and vars_[1][b] > 0))
-    return spark.createDataFrame(rows, "col_i string, col_j string, real_corr double, "
-                                       "synthetic_corr double, diff double, valid_i boolean, valid_j boolean")
-
-
 def correlation_similarity(pair: TablePair, cols: list[str] | None = None,
                            long: DataFrame | None = None) -> DataFrame:
     """1 - ||Cr - Cs||_F / sqrt(2 k) over columns with variance > 0 on both sides,
@@ -302,15 +275,18 @@ def categorical_entropy(df: DataFrame, dims: dict[str, int]) -> DataFrame:
     code = F.rint("v")
     counts = long.where(F.abs(F.col("v") - code) <= CODE_TOL).groupBy(
         "column_name", code.cast("long").alias("code")).agg(F.count(F.lit(1)).alias("cnt"))
-    grid = spark.createDataFrame([(c, k) for c in cols for k in range(dims[c])],
-                                 "column_name string, code long")
-    g = grid.join(counts, ["column_name", "code"], "left").select(
-        "column_name", (F.coalesce(F.col("cnt"), F.lit(0)) + F.lit(ENTROPY_EPS)).alias("c"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("column_name")
-    p = F.col("c") / F.sum("c").over(w)
-    ent = g.select("column_name", (-p * F.log(p)).alias("t")).groupBy("column_name").agg(
-        F.sum("t").alias("entropy"))
+    # codes outside 0..K-1 do not count; codes that do not occur all have the same small share,
+    # so their terms are added by number and no grid of codes is made
+    size = spark.createDataFrame(list(dims.items()), "column_name string, k long")  # one row per column
+    g = counts.join(F.broadcast(size), "column_name").where(F.col("code").between(0, F.col("k") - 1))
+    tot = size.join(g.groupBy("column_name").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("met")), "column_name", "left")
+    tot = tot.select("column_name", "k", F.coalesce("met", F.lit(0)).alias("met"),
+                     (F.coalesce("n", F.lit(0)) + F.col("k") * F.lit(ENTROPY_EPS)).alias("total"))
+    p = (F.col("cnt") + F.lit(ENTROPY_EPS)) / F.col("total")
+    own = g.drop("k").join(F.broadcast(tot), "column_name").groupBy("column_name").agg(F.sum(-p * F.log(p)).alias("t"))
+    q = F.lit(ENTROPY_EPS) / F.col("total")
+    ent = tot.join(own, "column_name", "left").select(
+        "column_name", (F.coalesce("t", F.lit(0.0)) - (F.col("k") - F.col("met")) * q * F.log(q)).alias("entropy"))
     loss = ent.agg(F.lit("__loss__").alias("column_name"), (-F.avg("entropy")).alias("entropy"))
     return ent.unionByName(loss)
 

@@ -13,10 +13,9 @@ Exact and without all pairs:
 6. candidate pass: the point meets only those leaves; the minimum over both passes is
    the exact nearest-neighbour distance.
 
-Both passes are ``cogroup`` blocks keyed by (leaf, sub-block).  A leaf met by many
-synthetic points is split into sub-blocks of at most ``block`` points, and its real
-points are repeated once per sub-block, so no task ever holds more than ``block``
-synthetic and about ``leaf_size`` real points, however skewed the data is.
+Both passes are ``cogroup`` blocks keyed by (leaf, synthetic part, real part): a leaf with
+many points on either side is cut on that side, so no task holds more than about ``block``
+points of each, however skewed the data is.
 """
 
 from __future__ import annotations
@@ -34,6 +33,7 @@ from tabfid.operators.pair import TablePair
 SAMPLE_PER_LEAF = 64
 MAX_SAMPLE = 2_000_000          # bound on the driver-side tree sample (points)
 MAX_LEAVES = 1 << 20
+ANCHORS = 512                   # real points that bound the search of points in empty leaves
 _HASH_RANGE = 1 << 30
 
 
@@ -117,28 +117,37 @@ def _walk(x: np.ndarray, d2: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth:
     return p, node - ((1 << depth) - 1)
 
 
-RECHECK = 4   # candidates re-measured exactly after the fast pass
+PAIRS_AT_ONCE = 1_000_000
 
 
 def _min_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact min Euclidean distance from each row of ``a`` to the rows of ``b``.
 
-    Squared distances are first formed with one matrix product (|a|^2 + |b|^2 - 2ab);
-    the ``RECHECK`` closest candidates of each row are then measured directly, so
-    rounding in the fast form cannot change the result (copies still give exactly 0)."""
+    Both are moved by the mean of ``b``; squared distances are then formed with one matrix
+    product (|a|^2 + |b|^2 - 2ab), whose rounding error is below ``err``.  Every pair within
+    twice that error of its row's smallest value is measured directly, so rounding in the
+    fast form cannot change the result (copies still give exactly 0)."""
     out = np.full(len(a), np.inf)
     if len(b) == 0 or len(a) == 0:
         return out
-    bb = np.einsum("ij,ij->i", b, b)
-    top = min(RECHECK, len(b))
+    mean = b.mean(axis=0)
+    ac, bc = a - mean, b - mean
+    bb = np.einsum("ij,ij->i", bc, bc)
+    eps = 4 * (a.shape[1] + 4) * np.finfo(float).eps
     chunk = max(1, 4_000_000 // len(b))
     for i in range(0, len(a), chunk):
-        x = a[i:i + chunk]
-        d2 = np.einsum("ij,ij->i", x, x)[:, None] + bb[None, :] - 2.0 * (x @ b.T)
-        idx = np.argpartition(d2, top - 1, axis=1)[:, :top] if top < len(b) else \
-            np.broadcast_to(np.arange(len(b)), (len(x), len(b)))
-        diff = x[:, None, :] - b[idx]
-        out[i:i + chunk] = np.einsum("ijk,ijk->ij", diff, diff).min(axis=1)
+        x = ac[i:i + chunk]
+        xx = np.einsum("ij,ij->i", x, x)
+        d2 = xx[:, None] + bb[None, :] - 2.0 * (x @ bc.T)
+        err = eps * (xx[:, None] + bb[None, :])
+        near = d2 - err <= (d2 + err).min(axis=1)[:, None]
+        rows, cols = np.nonzero(near)
+        best = np.full(len(x), np.inf)
+        for j in range(0, len(rows), PAIRS_AT_ONCE):
+            r, c = rows[j:j + PAIRS_AT_ONCE], cols[j:j + PAIRS_AT_ONCE]
+            diff = a[i + r] - b[c]
+            np.minimum.at(best, r, np.einsum("ij,ij->i", diff, diff))
+        out[i:i + chunk] = best
     return np.sqrt(out)
 
 
@@ -154,18 +163,21 @@ def _with_leaf(df: DataFrame, cols: list[str], tree, depth, extra: str = "") ->
 
 
 def _blocks(left: DataFrame, right: DataFrame, cols: list[str], block: int) -> DataFrame:
-    """min distance of each left point to the right points of the same leaf; leaves with
-    many left points are split in sub-blocks, right points repeated per sub-block."""
-    subs = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).select(
-        "leaf", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block))).cast("int").alias("_subs"))
+    """min distance of each left point to the right points of the same leaf.  A leaf with many
+    points on either side is cut into parts of about ``block`` on that side; every left part
+    meets every right part in a task of its own, and the smallest distance per point holds."""
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("leaf").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block))).cast("int").alias(name))
+
     # one row per leaf: bounded by the leaf count
-    subs = F.broadcast(subs)
-    lh = left.join(subs, "leaf").withColumn(
-        "sub", F.pmod(F.xxhash64(*cols), F.col("_subs")).cast("int")).drop("_subs")
-    rh = right.join(subs, "leaf").withColumn(
-        "sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
+    subs = F.broadcast(parts(left, "_ls").join(parts(right, "_rs"), "leaf", "full").fillna(1))
+    own = F.xxhash64(*cols)
+    lh = left.join(subs, "leaf").withColumns({
+        "sub": F.pmod(own, F.col("_ls")).cast("int"), "rsub": F.explode(F.sequence(F.lit(0), F.col("_rs") - 1))}).drop("_ls", "_rs")
+    rh = right.join(subs, "leaf").withColumns({
+        "rsub": F.pmod(own, F.col("_rs")).cast("int"), "sub": F.explode(F.sequence(F.lit(0), F.col("_ls") - 1))}).drop("_ls", "_rs")
     rcols = [f"r_{i}" for i in range(len(cols))]
-    rh = rh.select("leaf", "sub", *[F.col(c).alias(r) for c, r in zip(cols, rcols)])
+    rh = rh.select("leaf", "sub", "rsub", *[F.col(c).alias(r) for c, r in zip(cols, rcols)])
     lcols = list(left.columns)
 
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +188,8 @@ def _blocks(left: DataFrame, right: DataFrame, cols: list[str], block: int) -> D
         return out
 
     schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes) + ", d double"
-    return lh.groupBy("leaf", "sub").cogroup(rh.groupBy("leaf", "sub")).applyInPandas(fn, schema)
+    met = lh.groupBy("leaf", "sub", "rsub").cogroup(rh.groupBy("leaf", "sub", "rsub")).applyInPandas(fn, schema)
+    return met.groupBy(*lcols).agg(F.min("d").alias("d"))
 
 
 def nearest_neighbor_points(pair: TablePair, cols: list[str] | None = None, leaf_size: int = 2048,
@@ -206,10 +219,26 @@ def nearest_neighbor_points(pair: TablePair, cols: list[str] | None = None, leaf
     # each is read by several jobs below: keep them (memory, spilling to disk)
     real_l = _with_leaf(real, cols, tree, depth).persist(StorageLevel.MEMORY_AND_DISK)
     syn_l = _with_leaf(syn, cols, tree, depth, extra="w long")
-    home = _blocks(syn_l, real_l, cols, block).persist(StorageLevel.MEMORY_AND_DISK)  # cols, w, leaf, d
-    _held.extend([real_l, home])
+    home = _blocks(syn_l, real_l, cols, block)
     if depth == 0:
+        _held.append(real_l)
         return home.select(*cols, "w", "d")
+    # a point whose leaf holds no real point takes its distance to the nearest of a few real
+    # points as a first bound, so that it need not visit every leaf
+    anchors = sc.broadcast(sample[cols].to_numpy(dtype="float64")[:ANCHORS])
+
+    def bounded(batches):
+        for pdf in batches:
+            far = ~np.isfinite(pdf["d"].to_numpy())
+            if far.any():
+                d = pdf["d"].to_numpy().copy()
+                d[far] = _min_dist(pdf[cols].to_numpy(dtype="float64")[far], anchors.value)
+                pdf["d"] = d
+            yield pdf
+
+    home = home.mapInPandas(bounded, ", ".join(f"`{c}` {t}" for c, t in home.dtypes)).persist(
+        StorageLevel.MEMORY_AND_DISK)  # cols, w, leaf, d
+    _held.extend([real_l, home])
     # true bounding boxes of the real points per leaf (one row per leaf), then per tree node
     leafbox = real_l.groupBy("leaf").agg(*[x for c in cols for x in (F.min(c).alias(f"{c}__lo"),
                                                                       F.max(c).alias(f"{c}__hi"))]).toPandas()
@@ -230,7 +259,9 @@ def nearest_neighbor_points(pair: TablePair, cols: list[str] | None = None, leaf
                 sel["leaf"] = leaf.astype("int32")
                 yield sel
 
-    cand = home_leaf.mapInPandas(candidates, ", ".join(f"`{c}` double" for c in cols) + ", w long, leaf int")
+    cand = home_leaf.mapInPandas(candidates, ", ".join(f"`{c}` double" for c in cols) + ", w long, leaf int").persist(
+        StorageLevel.MEMORY_AND_DISK)  # the part counts and the join below both read it
+    _held.append(cand)
     far = _blocks(cand, real_l, cols, block)
     both = home.select(*cols, "w", "d").unionByName(far.select(*cols, "w", "d"))
     return both.groupBy(*cols, "w").agg(F.min("d").alias("d"))

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from tabfid.functions.hashing import MOD_OUT, portable_hash
 
 HASH_BITS = 31                 # the portable hash takes values in [0, 2^31)
-MIN_BUCKET_BITS, MAX_BUCKET_BITS = 10, 20
+BUCKET_BITS = 20
 _H, _B = "_h", "_hb"
-BROADCAST_ROWS = 2_000_000     # bucket-status table broadcast only below this size
 
 
 def train_test_split(df: DataFrame, keys: list[str], test_size: float = 0.2,
@@ -45,12 +44,10 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
     unique per row.  Strata with fewer rows than their quota are taken whole.
     """
     strata = strata or []
-    # ~sqrt(n) hash buckets: the bucket-count table and the one bucket that is ranked
-    # both stay near or below a million rows even at 10^12 rows
-    n = df.count()
-    bits = min(MAX_BUCKET_BITS, max(MIN_BUCKET_BITS, math.ceil(math.log2(max(n, 2)) / 2)))
+    # 2^20 hash buckets: the bucket-count table has at most a million rows per stratum, and the
+    # one bucket that is ranked has about a million of 10^12 rows
     h = portable_hash(*keys, seed=seed)
-    d = df.withColumns({_H: h, _B: F.shiftright(h, HASH_BITS - bits).cast("int")})
+    d = df.withColumns({_H: h, _B: F.shiftright(h, HASH_BITS - BUCKET_BITS).cast("int")})
     counts = d.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     if isinstance(quota, int):
         if strata:
@@ -58,7 +55,7 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
         counts = counts.withColumn("_quota", F.lit(int(quota)).cast("long"))
     else:
         qdf = quota.select(*strata, F.col("quota").cast("long").alias("_quota"))
-        counts = counts.join(F.broadcast(qdf), strata)
+        counts = counts.join(qdf, strata)
     w = Window.partitionBy(*strata).orderBy(_B) if strata else Window.orderBy(_B)
     run = counts.select(*strata, _B, "_quota", F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))
                         .alias("_cum"), "_cnt")
@@ -66,15 +63,15 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
     status = status.where(F.col("_prev") < F.col("_quota")).select(
         *strata, _B, F.when(F.col("_cum") <= F.col("_quota"), F.lit(None).cast("long"))
         .otherwise(F.col("_quota") - F.col("_prev")).alias("_need"))
-    n_status = status.count()
-    st = F.broadcast(status) if n_status <= BROADCAST_ROWS else status
-    j = d.join(st, [*strata, _B])
-    full = j.where(F.col("_need").isNull())
-    part = j.where(F.col("_need").isNotNull())
+    # per stratum one cut: buckets below it are taken whole, the bucket at it is ranked
+    cut = status.groupBy(*strata).agg(F.max(_B).alias("_last"), F.max(F.struct(_B, "_need"))["_need"].alias("_need"))
+    j = d.join(cut, strata) if strata else d.join(F.broadcast(cut), F.lit(True))  # without strata one row
+    full = j.where((F.col(_B) < F.col("_last")) | ((F.col(_B) == F.col("_last")) & F.col("_need").isNull()))
+    part = j.where((F.col(_B) == F.col("_last")) & F.col("_need").isNotNull())
     wr = Window.partitionBy(*strata, _B).orderBy(_H, *keys)
     part = part.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= F.col("_need")).drop("_rn")
     out = full.unionByName(part)
-    return out.drop(_H, _B, "_need")
+    return out.drop(_H, _B, "_need", "_last")
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
@@ -98,7 +95,7 @@ def rows_to_generate(n_rows: int, mode: str = "default", value: float | None = N
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def head_rows(df: DataFrame, order_by: list[str], max_rows: int | None = 20_000) -> DataFrame:
+def head_rows(df: DataFrame, order_by: list[str], max_rows: int | None = None) -> DataFrame:
     """H4: first ``max_rows`` rows by an explicit key (None = no cap)."""
     if max_rows is None:
         return df
@@ -126,6 +123,18 @@ def quotas(counts: dict, total: int) -> dict:
     return {k: max(1, int(v / s * total)) for k, v in counts.items()}
 
 
+def exact_quotas(counts: dict, total: int) -> dict:
+    """H6 + H5: quotas whose sum is ``total`` - what rounding leaves over or takes too much goes to
+    or comes from the largest ones (each keeps at least 1 while total allows it)."""
+    q = quotas(counts, total)
+    order = sorted(q, key=lambda k: (-q[k], str(k)))
+    short = total - sum(q.values())
+    for i in range(abs(short)):
+        k = order[i % len(order)] if short > 0 else max(order, key=lambda x: q[x])
+        q[k] += 1 if short > 0 else -1
+    return q
+
+
 def stratified_sample(df: DataFrame, keys: list[str], column: str, ratios: dict, total: int,
                       seed: int = 42) -> DataFrame:
     """H6: per value of ``column`` exactly its quota of rows (by hash)."""

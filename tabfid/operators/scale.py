@@ -37,8 +37,7 @@ class ScalerState:
 
 
 def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
-               exact_quantiles: bool = True, accuracy: int = 100_000,
-               map_limit: int = 5_000_000) -> dict[str, ScalerState]:
+               exact_quantiles: bool = True, accuracy: int = 100_000) -> dict[str, ScalerState]:
     """X1-X4/X6 fit: mean imputation state, then the method's statistics, in one pass.
 
     standard: mean and *population* std (zero -> 1).  minmax: to (-1, 1), zero range ->
@@ -51,7 +50,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
     if not cols:
         return {}
     fields = {f.name: f.dataType for f in df.schema.fields}
-    by_cdf = method == "robust" and exact_quantiles and df.count() > map_limit
+    by_cdf = method == "robust" and exact_quantiles  # no value map in one buffer
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         v = F.col(c).cast("double")
@@ -61,9 +60,7 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
         if method == "standard":
             aggs.append(F.stddev_pop(v).alias(f"{c}__sd"))
         if method == "robust" and not by_cdf:
-            q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact_quantiles
-                 else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-            aggs.append(q.alias(f"{c}__q"))
+            aggs.append(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias(f"{c}__q"))
     row = df.agg(*aggs).first()
     rows = row["__rows"]
     if rows == 0:
@@ -103,9 +100,11 @@ def fit_scaler(df: DataFrame, cols: list[str], method: str = "standard",
 
 def _robust_with_fill(df, c, fill, exact, accuracy):
     v = F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(fill))
-    q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-         else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-    return df.agg(q.alias("q")).first()["q"]
+    if exact:
+        from tabfid.operators.pair import exact_quantiles as _eq
+        r = _eq(df.select(v.alias("v")), ["v"], [0.25, 0.5, 0.75]).first()
+        return [r["q0"], r["q1"], r["q2"]]
+    return df.agg(F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy).alias("q")).first()["q"]
 
 
 def _filled(c: str, st: ScalerState) -> Column:

@@ -27,7 +27,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
 
 
 def types_frame(spark: SparkSession, types: dict[str, str]) -> DataFrame:
-    """B1 as a DataFrame (column_name, semantic_type)."""
+    """B1/B2 as a DataFrame (column_name, semantic_type)."""
     return spark.createDataFrame(list(types.items()), "column_name string, semantic_type string")
 
 
@@ -43,9 +43,11 @@ def apply_overrides(types: dict[str, str], overrides: dict[str, str] | None) ->
     return out
 
 
-# fixed narrowing thresholds: unsigned widths map to the next wider signed Spark type
-_UNSIGNED = [(2 ** 8, "smallint", "uint8"), (2 ** 16, "int", "uint16"), (2 ** 32, "bigint", "uint32")]
-_SIGNED = [(2 ** 7, "tinyint", "int8"), (2 ** 15, "smallint", "int16"), (2 ** 31, "int", "int32")]
+# Spark's integer types with the bound of each
+_SIGNED = [(2 ** 7, "tinyint"), (2 ** 15, "smallint"), (2 ** 31, "int")]
+# fixed names: the unsigned types of the reference and the bound of each
+_UNSIGNED = [(2 ** 8, "uint8"), (2 ** 16, "uint16"), (2 ** 32, "uint32")]
+_NAMES = {"tinyint": "int8", "smallint": "int16", "int": "int32"}
 _WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8}
 
 
@@ -53,9 +55,9 @@ def narrow_plan(df: DataFrame, narrow_floats: bool = True) -> DataFrame:
     """B3/B4 report: one aggregate (min, max, rows, string bytes) -> chosen type per column.
 
     Columns: column_name, min, max, from_type, to_type, ref_type, bytes_before, bytes_after.
-    Integers: non-negative -> smallest unsigned width (<2^8, <2^16, <2^32; Spark has no
-    unsigned types, so the next wider signed one); negative -> signed with a strict lower
-    bound (min > -2^7 ...).  Doubles -> float when ``narrow_floats``.
+    Integers take the smallest of Spark's types that holds all values, never a wider one than
+    they have; ``ref_type`` names the reference's choice, which is unsigned for columns without
+    negative values.  Doubles -> float when ``narrow_floats``.
     """
     fields = [f for f in df.schema.fields]
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -73,12 +75,12 @@ def narrow_plan(df: DataFrame, narrow_floats: bool = True) -> DataFrame:
         if isinstance(dt, INTEGRAL_TYPES):
             lo, hi = F.col(f"{name}__min"), F.col(f"{name}__max")
             to_t, ref_t = F.lit(src), F.lit(src)
-            for bound, spark_t, ref in reversed(_SIGNED):
-                hit = (lo < 0) & (lo > -bound) & (hi < bound)
-                to_t, ref_t = F.when(hit, spark_t).otherwise(to_t), F.when(hit, ref).otherwise(ref_t)
-            for bound, spark_t, ref in reversed(_UNSIGNED):
-                hit = (lo >= 0) & (hi < bound)
-                to_t, ref_t = F.when(hit, spark_t).otherwise(to_t), F.when(hit, ref).otherwise(ref_t)
+            for bound, spark_t in reversed(_SIGNED):
+                if _WIDTH[spark_t] < _WIDTH[src]:
+                    to_t = F.when((lo >= -bound) & (hi < bound), spark_t).otherwise(to_t)
+                ref_t = F.when((lo < 0) & (lo > -bound) & (hi < bound), _NAMES[spark_t]).otherwise(ref_t)
+            for bound, ref in reversed(_UNSIGNED):
+                ref_t = F.when((lo >= 0) & (hi < bound), ref).otherwise(ref_t)
             before = F.col("__rows") * _WIDTH.get(src, 8)
             after = F.col("__rows") * F.when(to_t == "tinyint", 1).when(to_t == "smallint", 2)\
                 .when(to_t == "int", 4).otherwise(8)

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabfid.functions.exprs import INTEGRAL_TYPES
-from tabfid.functions.random import norm_cdf, norm_ppf, normals
+from tabfid.functions.random import norm_cdf, norm_ppf, normals, uniforms
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
 
 MAX_CATEGORIES = 100_000     # per column; fold rarer values first (E2/E4) beyond this
 MAX_STRATA = 10_000
-DISCRETE_LIMIT = 64          # columns with at most this many distinct values sample by steps
 TEMPERATURE_ARGMAX = 0.5     # fixed: at or below this temperature categories take the mode
 ALL = "__all__"
+NULL_SEED = 1_000_003        # the choice of missing cells has a stream of its own
 
 
 @dataclass
@@ -47,6 +47,7 @@ class Marginal:
     discrete: bool = False
     categories: list | None = None
     probs: np.ndarray | None = None
+    nulls: float = 0.0             # share of missing values
 
 
 @dataclass
@@ -94,21 +95,29 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     g = F.col(condition).cast("string") if condition else F.lit(ALL)
     probs = [i / n_quantiles for i in range(n_quantiles + 1)]
     acc = accuracy or max(10_000, 10 * n_quantiles)
+    if condition is not None:
+        n_strata = df.select(g.alias("_g")).distinct().limit(MAX_STRATA + 1).count()  # before anything is collected
+        if n_strata > MAX_STRATA:
+            raise ValueError(f"more than {MAX_STRATA} strata")
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in num:
         v = _numeric_value(c, kinds[c], fields[c])
-        aggs += [F.percentile_approx(v, probs, acc).alias(f"{c}__q"),
-                 F.approx_count_distinct(v).alias(f"{c}__nd")]
+        aggs += [F.percentile_approx(v, probs, acc).alias(f"{c}__q"), F.count(v).alias(f"{c}__m")]
+    aggs += [F.count(c).alias(f"{c}__m") for c in cat]
     rows = df.groupBy(g.alias("_g")).agg(*aggs).collect()      # one row per stratum
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"{len(rows)} strata > {MAX_STRATA}")
     marg: dict = {r["_g"]: {} for r in rows}
     counts = {r["_g"]: int(r["__n"]) for r in rows}
+    # by semantic type: integer and ordinal columns only ever take values that were seen
+    t = {**infer_types(df), **(types or {})}
     for r in rows:
         for c in num:
             q = np.array([x for x in (r[f"{c}__q"] or []) if x is not None], dtype=float)
             marg[r["_g"]][c] = Marginal(c, kinds[c], fields[c].simpleString(), q,
-                                        discrete=(r[f"{c}__nd"] or 0) <= DISCRETE_LIMIT)
+                                        discrete=t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES))
+        for c in cat:  # a column without any value keeps an empty list
+            marg[r["_g"]][c] = Marginal(c, "categorical", fields[c].simpleString(), categories=[], probs=np.zeros(0))
+        for c in cols:
+            marg[r["_g"]][c].nulls = 1 - r[f"{c}__m"] / max(r["__n"], 1)
     if cat:
         long = df.select(g.alias("_g"), F.inline(F.array(*[
             F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cat])))
@@ -122,8 +131,7 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
         for (s, c), vals in acc_c.items():
             vals.sort()
             p = np.array([n for _, n in vals], dtype=float)
-            marg[s][c] = Marginal(c, "categorical", fields[c].simpleString(),
-                                  categories=[v for v, _ in vals], probs=p / p.sum())
+            marg[s][c].categories, marg[s][c].probs = [v for v, _ in vals], p / p.sum()
     model = CopulaModel(cols, marg, {}, counts, condition, n_quantiles,
                         {"kinds": kinds, "types": {c: fields[c].simpleString() for c in cols}})
     model.corr = _fit_corr(df, model, g)
@@ -137,6 +145,8 @@ def _scores(pdf: pd.DataFrame, ms: dict, cols: list[str]) -> np.ndarray:
         m = ms.get(c)
         if m is None:
             continue
+        if not len(m.categories if m.kind == "categorical" else m.quantiles):
+            continue  # no value seen: no dependence
         if m.kind == "categorical":
             cum = np.cumsum(m.probs)
             mid = dict(zip(m.categories, cum - m.probs / 2))
@@ -172,7 +182,8 @@ def _fit_corr(df: DataFrame, model: CopulaModel, g) -> dict:
         ms_all = bmarg.value
         for pdf in batches:
             out = []
-            for s, part in pdf.groupby("_g"):
+            for s, part in pdf.groupby("_g", dropna=False):
+                s = None if pd.isna(s) else s
                 z = _scores(part, ms_all[s], cols)
                 sums = np.zeros((k + 1, k + 1))
                 zz = np.hstack([np.ones((len(z), 1)), z])
@@ -226,6 +237,8 @@ def _tempered(p: np.ndarray, temperature: float | None) -> np.ndarray:
 
 
 def _values(m: Marginal, u: np.ndarray, temperature: float | None):
+    if not len(m.categories if m.kind == "categorical" else m.quantiles):
+        return np.full(len(u), None if m.kind == "categorical" else np.nan, dtype=object)
     if m.kind == "categorical":
         cum = np.cumsum(_tempered(m.probs, temperature))
         idx = np.minimum(np.searchsorted(cum, u, side="right"), len(cum) - 1)
@@ -284,12 +297,15 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed:
             which = np.searchsorted(bnd, ids, side="right") - 1
             out = {c: np.empty(len(ids), dtype=object) for c in cols}
             z_all = normals(ids, k, seed)
+            holes = uniforms(ids, k, seed + NULL_SEED)
             for si in np.unique(which):
                 s = sts[si]
                 rows = which == si
                 u = norm_cdf(z_all[rows] @ ch[s].T)
                 for j, c in enumerate(cols):
-                    out[c][rows] = _values(marg[s][c], u[:, j], temperature)
+                    v = np.asarray(_values(marg[s][c], u[:, j], temperature), dtype=object)
+                    v[holes[rows, j] < marg[s][c].nulls] = None  # missing at the fitted share
+                    out[c][rows] = v
             res = pd.DataFrame()
             if cond:
                 res[cond] = np.asarray(sts, dtype=object)[which]
@@ -299,7 +315,9 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed:
                 elif kinds[c] == "datetime":
                     res[c] = out[c].astype(float)          # epoch seconds, converted in the JVM
                 elif c in integral:
-                    res[c] = np.rint(out[c].astype(float)).astype("int64")
+                    x = np.rint(out[c].astype(float))
+                    res[c] = pd.array(np.where(np.isnan(x), 0, x).astype("int64"), dtype="Int64")
+                    res.loc[np.isnan(x), c] = pd.NA
                 else:
                     res[c] = out[c].astype(float)
             yield res
@@ -321,13 +339,14 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed:
 def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, version: str) -> str:
     """Fitted state as parquet tables under ``<path>/<name>/<version>``."""
     base = f"{path.rstrip('/')}/{name}/{version}"
-    q_rows, c_rows, r_rows = [], [], []
+    q_rows, c_rows, r_rows, n_rows = [], [], [], []
     for s, ms in model.marginals.items():
         for c, m in ms.items():
             if m.kind == "categorical":
                 c_rows += [(s, c, str(v), float(p), i) for i, (v, p) in enumerate(zip(m.categories, m.probs))]
             else:
                 q_rows += [(s, c, i, float(x), m.discrete) for i, x in enumerate(m.quantiles)]
+            n_rows.append((s, c, m.discrete, float(m.nulls)))
         cm = model.corr[s]
         r_rows += [(s, i, j, float(cm[i, j])) for i in range(len(cm)) for j in range(len(cm))]
     spark.createDataFrame(q_rows, "stratum string, column_name string, i int, q double, discrete boolean") \
@@ -336,8 +355,10 @@ def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, ve
         .write.mode("overwrite").parquet(f"{base}/categories")
     spark.createDataFrame(r_rows, "stratum string, i int, j int, corr double") \
         .write.mode("overwrite").parquet(f"{base}/correlation")
+    spark.createDataFrame(n_rows, "stratum string, column_name string, discrete boolean, nulls double") \
+        .write.mode("overwrite").parquet(f"{base}/columns")
     meta = {"columns": model.columns, "condition": model.condition, "n_quantiles": model.n_quantiles,
-            "counts": model.counts, **model.meta}
+            "counts": list(model.counts.items()), **model.meta}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{base}/meta")
     return base
 
@@ -347,24 +368,28 @@ def load_model(spark: SparkSession, path: str, name: str, version: str) -> Copul
     base = f"{path.rstrip('/')}/{name}/{version}"
     meta = json.loads(spark.read.parquet(f"{base}/meta").first()["meta"])
     kinds, types = meta["kinds"], meta["types"]
-    marg: dict = {s: {} for s in meta["counts"]}
+    counts = {s: int(n) for s, n in meta["counts"]}
+    marg: dict = {s: {} for s in counts}
+    for r in spark.read.parquet(f"{base}/columns").collect():
+        s, c = r["stratum"], r["column_name"]
+        empty = {"categories": [], "probs": np.zeros(0)} if kinds[c] == "categorical" else {"quantiles": np.zeros(0)}
+        marg[s][c] = Marginal(c, kinds[c], types[c], discrete=r["discrete"], nulls=r["nulls"], **empty)
     q = spark.read.parquet(f"{base}/quantiles").orderBy("stratum", "column_name", "i").collect()
     tmp: dict = {}
     for r in q:
         tmp.setdefault((r["stratum"], r["column_name"]), ([], r["discrete"]))[0].append(r["q"])
     for (s, c), (vals, disc) in tmp.items():
-        marg[s][c] = Marginal(c, kinds[c], types[c], np.array(vals), discrete=disc)
+        marg[s][c].quantiles = np.array(vals)
     cats: dict = {}
     for r in spark.read.parquet(f"{base}/categories").orderBy("stratum", "column_name", "code").collect():
         cats.setdefault((r["stratum"], r["column_name"]), []).append((r["value"], r["p"]))
     for (s, c), vals in cats.items():
-        marg[s][c] = Marginal(c, "categorical", types[c], categories=[v for v, _ in vals],
-                              probs=np.array([p for _, p in vals]))
+        marg[s][c].categories, marg[s][c].probs = [v for v, _ in vals], np.array([p for _, p in vals])
     k = len(meta["columns"])
     corr = {s: np.eye(k) for s in marg}
     for r in spark.read.parquet(f"{base}/correlation").collect():
         corr[r["stratum"]][r["i"], r["j"]] = r["corr"]
-    return CopulaModel(meta["columns"], marg, corr, {s: int(v) for s, v in meta["counts"].items()},
+    return CopulaModel(meta["columns"], marg, corr, counts,
                        meta["condition"], meta["n_quantiles"], {"kinds": kinds, "types": types})
 
 

@@ -175,10 +175,9 @@ def ecdf(pair: TablePair, cols: list[str] | None = None, cdf: DataFrame | None =
             safe_div(F.col(cum), F.col(tot)).alias("p"))
         outs.append(s)
     pts = outs[0].unionByName(outs[1])
-    w = Window.partitionBy("column_name", "side")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return pts.select("column_name", "side", "value",
-                      (2 * safe_div(F.col("value") - lo, hi - lo) - 1).alias("x_norm"), "p")
+    # two rows per column; the points themselves are not gathered by column
+    return pts.join(F.broadcast(_side_ranges(cdf)), ["column_name", "side"]).select(
+        "column_name", "side", "value", (2 * safe_div(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")) - 1).alias("x_norm"), "p")
 
 
 def _side_ranges(cdf: DataFrame) -> DataFrame:

@@ -104,6 +104,3 @@ def validation_report(df: DataFrame, types: dict[str, str] | None = None) -> Dat
         out = out.unionByName(check_column_types(df, types))
     return out
 
-
-def empty_issues(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], ISSUE_SCHEMA)

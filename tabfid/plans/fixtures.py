@@ -23,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lineitem_halves(spark: SparkSession, sf_dir: str, changed: bool = True,
-                    columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+                    columns: list[str] | None = None, far: bool = False) -> tuple[DataFrame, DataFrame]:
     """Real = even ``l_orderkey``; synthetic = odd half, optionally perturbed
-    (``l_quantity + l_partkey % 3``, ``l_extendedprice * 1.05``)."""
+    (``l_quantity + l_partkey % 3``, ``l_extendedprice * 1.05``).  ``far``: every 29th part
+    has a sentinel price far below all others, and small discounts are 0."""
     li = table(spark, sf_dir, "lineitem")
+    if far:
+        li = li.withColumns({
+            "l_extendedprice": F.when(F.col("l_partkey") % 29 == 0, F.lit(-999999999.0)).otherwise(F.col("l_extendedprice")),
+            "l_discount": F.when(F.col("l_discount") > 0.08, F.col("l_discount")).otherwise(F.lit(0.0))})
     real = li.filter(F.col("l_orderkey") % 2 == 0)
     syn = li.filter(F.col("l_orderkey") % 2 == 1)
     if changed:
@@ -40,9 +45,9 @@ def lineitem_halves(spark: SparkSession, sf_dir: str, changed: bool = True,
 
 
 def lineitem_pair(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
-                  changed: bool = True) -> TablePair:
+                  changed: bool = True, far: bool = False) -> TablePair:
     cols = columns or (PAIR_NUMERIC + PAIR_CATEGORICAL)
-    real, syn = lineitem_halves(spark, sf_dir, changed=changed, columns=cols)
+    real, syn = lineitem_halves(spark, sf_dir, changed=changed, columns=cols, far=far)
     return TablePair(real, syn, columns=cols)
 
 

@@ -30,6 +30,17 @@ def q_a1(spark, sf_dir):
     return io.load_table(spark, path, schema=src.schema)
 
 
+@register("a1_csv_inferred", "SELECT c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment, "
+          "'int,string,int,double,string' AS types FROM (SELECT CAST(c_custkey AS INTEGER) AS c_custkey, "
+          "* EXCLUDE (c_custkey) FROM customer) AS c")
+def q_a1i(spark, sf_dir):
+    """A1: customer as CSV, read back with inferred types."""
+    path = f"{ensure_checkpoint_dir(spark)}/a1i-{uuid.uuid4().hex}.csv"
+    io.write_table(table(spark, sf_dir, "customer"), path, fmt="csv")
+    d = io.load_table(spark, path)
+    return d.withColumn("types", F.lit(",".join(t for _, t in d.dtypes)))
+
+
 @register("a2_read_parquet", "SELECT * FROM orders")
 def q_a2(spark, sf_dir):
     """A2/A3: Parquet reader chosen by suffix."""
@@ -69,13 +80,10 @@ def _narrow_sql_row(c: str, t: str) -> str:
     if t in ("bigint", "int"):
         lo, hi = f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)"
         width = 8 if t == "bigint" else 4
-        to = (f"CASE WHEN min({c}) >= 0 AND max({c}) < 256 THEN 'smallint' "
-              f"WHEN min({c}) >= 0 AND max({c}) < 65536 THEN 'int' "
-              f"WHEN min({c}) >= 0 AND max({c}) < 4294967296 THEN 'bigint' "
-              f"WHEN min({c}) < 0 AND min({c}) > -128 AND max({c}) < 128 THEN 'tinyint' "
-              f"WHEN min({c}) < 0 AND min({c}) > -32768 AND max({c}) < 32768 THEN 'smallint' "
-              f"WHEN min({c}) < 0 AND min({c}) > -2147483648 AND max({c}) < 2147483648 THEN 'int' "
-              f"ELSE '{t}' END")
+        # the narrowest signed type that holds both ends, unless the column is that narrow already
+        fits = " ".join(f"WHEN min({c}) >= {-2 ** (8 * w - 1)} AND max({c}) < {2 ** (8 * w - 1)} THEN '{n}'"
+                        for n, w in (("tinyint", 1), ("smallint", 2), ("int", 4)) if w < width)
+        to = f"CASE {fits} ELSE '{t}' END"
         ref = (f"CASE WHEN min({c}) >= 0 AND max({c}) < 256 THEN 'uint8' "
                f"WHEN min({c}) >= 0 AND max({c}) < 65536 THEN 'uint16' "
                f"WHEN min({c}) >= 0 AND max({c}) < 4294967296 THEN 'uint32' "
@@ -113,6 +121,46 @@ def q_b3(spark, sf_dir):
     return sch.narrow_plan(table(spark, sf_dir, "lineitem"))
 
 
+B3C_SQL = ("SELECT CAST(l_orderkey AS DOUBLE) AS l_orderkey, CAST(l_linenumber AS DOUBLE) AS l_linenumber, "
+           "round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 3) AS l_extendedprice, l_returnflag, "
+           "(SELECT max(l_linenumber) < 128 FROM lineitem) AS narrowed FROM lineitem")
+
+
+@register("b3_narrowed_table", B3C_SQL)
+def q_b3c(spark, sf_dir):
+    """The cast itself - values survive, and the line number's type is the narrowest that holds it."""
+    d = sch.narrow_types(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag"))
+    return d.select(F.col("l_orderkey").cast("double"), F.col("l_linenumber").cast("double"),
+                    F.round(F.col("l_extendedprice").cast("double"), 3).alias("l_extendedprice"), "l_returnflag",
+                    F.lit(d.schema["l_linenumber"].dataType.simpleString() == "tinyint").alias("narrowed"))
+
+
+B1_SQL = ("SELECT column_name, CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'Continuous' "
+          "WHEN data_type LIKE 'TIMESTAMP%' THEN 'Datetime' ELSE 'Categorical' END AS semantic_type "
+          "FROM information_schema.columns WHERE table_name = 'lineitem'")
+
+
+@register("b1_infer_types", B1_SQL)
+def q_b1(spark, sf_dir):
+    """B1: semantic type of each lineitem column."""
+    return sch.types_frame(spark, sch.infer_types(table(spark, sf_dir, "lineitem")))
+
+
+@register("b2_override_types", f"SELECT column_name, CASE column_name WHEN 'l_linenumber' THEN 'Ordinal' "
+          f"WHEN 'l_suppkey' THEN 'Categorical' ELSE semantic_type END AS semantic_type FROM ({B1_SQL}) AS t")
+def q_b2(spark, sf_dir):
+    """B2: inferred types with two user choices on top."""
+    types = sch.infer_types(table(spark, sf_dir, "lineitem"))
+    return sch.types_frame(spark, sch.apply_overrides(types, {"l_linenumber": "Ordinal", "l_suppkey": "Categorical"}))
+
+
+@register("b7_prefix_groups", "SELECT split_part(column_name, '_', 1) AS prefix, column_name "
+          "FROM information_schema.columns WHERE table_name = 'orders'")
+def q_b7(spark, sf_dir):
+    """Columns of orders under the text before their first underscore."""
+    return spark.createDataFrame(sch.group_by_prefix(table(spark, sf_dir, "orders").columns), "prefix string, column_name string")
+
+
 B4_SQL = (f"SELECT CAST(sum(bytes_before) AS BIGINT) AS bytes_before, CAST(sum(bytes_after) AS BIGINT) "
           f"AS bytes_after, (1 - sum(bytes_after) / sum(bytes_before)) * 100 AS reduction_pct "
           f"FROM ({B3_SQL}) AS p")
@@ -197,15 +245,24 @@ def q_c5(spark, sf_dir):
     return val.verdict(val.validation_report(df, C4_TYPES))
 
 
-M1_SQL = (f"WITH {NULLS_CTE}\nSELECT count(*) AS rows_before, "
-          f"count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL) AS rows_after, "
-          f"count(*) - count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL) "
-          f"AS rows_dropped FROM li_nulls")
+M1_SQL = f"WITH {NULLS_CTE}\nSELECT * FROM li_nulls WHERE COLUMNS(*) IS NOT NULL"
 
 
 @register("m1_drop_missing", M1_SQL)
 def q_m1(spark, sf_dir):
-    """M1: rows before/after dropping rows with any null."""
+    """M1: the rows without any null."""
+    return mis.drop_missing(lineitem_with_nulls(spark, sf_dir))[0]
+
+
+M1R_SQL = (f"WITH {NULLS_CTE}\nSELECT count(*) AS rows_before, "
+           f"count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL) AS rows_after, "
+           f"count(*) - count(*) FILTER (WHERE l_quantity IS NOT NULL AND l_returnflag IS NOT NULL) "
+           f"AS rows_dropped FROM li_nulls")
+
+
+@register("m1_drop_report", M1R_SQL)
+def q_m1r(spark, sf_dir):
+    """M1: rows before and after dropping rows with any null."""
     return mis.drop_missing(lineitem_with_nulls(spark, sf_dir))[1]
 
 

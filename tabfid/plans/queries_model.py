@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabfid.functions.hashing import portable_hash_sql
 from tabfid.operators import runlog as rl
 from tabfid.operators import score as sc
 from tabfid.operators import utility as ut
+from tabfid.operators.sampling import train_test_split
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import (PAIR_CATEGORICAL, PAIR_NUMERIC, ROW_KEYS, lineitem_halves, lineitem_pair,
                                    table, training_log)
 from tabfid.plans.queries_multi import J1_SQL, J2_SQL, _nn_sql
-from tabfid.plans.report import evaluate, evaluate_all, fidelity_metrics, metrics_frame
+from tabfid.plans.report import evaluate, evaluate_all, fidelity_metrics, metrics_frame, short_evaluation_table
 from tabfid.plans.sqltext import pair_cte
 
 NUM = PAIR_NUMERIC
@@ -41,12 +43,41 @@ def q_u2(spark, sf_dir):
 
 @register("u4_utility_macro_f1", None)
 def q_u4(spark, sf_dir):
-    """U4: macro-F1 utility with 50 trees (target has < 10 values)."""
+    """U4: macro-F1 utility with 50 trees."""
     cols = [*ROW_KEYS, *FEATURES, "l_returnflag"]
     real, syn = lineitem_halves(spark, sf_dir, columns=cols)
     return ut.f1_utility(real, syn, "l_returnflag", ROW_KEYS)
 
 
+_TEST_ROWS = (f"SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 0 AND {portable_hash_sql(ROW_KEYS)} < {int(0.2 * 2147483648)}")
+
+
+@register("u1_utility_bounds", f"SELECT 'accuracy' AS metric, true AS beats_nothing, true AS in_range, ({_TEST_ROWS}) AS n_test")
+def q_u1b(spark, sf_dir):
+    """On the real test split both forests are at least as good as half of the commonest class."""
+    r = q_u1(spark, sf_dir)
+    ok = F.col("real_score").between(0, 1) & F.col("synthetic_score").between(0, 1)
+    return r.select("metric", (F.col("real_score") >= 0.25).alias("beats_nothing"), ok.alias("in_range"), "n_test")
+
+
+U3_SQL = (f"WITH r AS (SELECT *, {portable_hash_sql(['o_orderkey'])} < {int(0.2 * 2147483648)} AS is_test FROM orders), "
+          f"s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM r WHERE NOT is_test), "
+          f"d AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM "
+          f"(SELECT o_orderpriority AS v FROM r WHERE NOT is_test UNION SELECT 'Other') AS x)\n"
+          f"SELECT o_orderkey, (o_totalprice - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS o_totalprice, "
+          f"CAST(coalesce(d.code, (SELECT code FROM d WHERE v = 'Other')) AS BIGINT) AS o_orderpriority "
+          f"FROM r CROSS JOIN s LEFT JOIN d ON d.v = r.o_orderpriority WHERE is_test")
+
+
+@register("u3_prepare_features", U3_SQL, doubles=["o_totalprice"])
+def q_u3(spark, sf_dir):
+    """The test split of orders, scaled and coded with the training split's state."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    train, test = train_test_split(o, ["o_orderkey"], 0.2, 42)
+    (_, out), _ = ut.prepare_features(train, [test], ["o_totalprice", "o_orderpriority"])
+    return out
+
+
 U5C_SQL = """WITH cm AS (SELECT CAST(quality AS VARCHAR) AS y, CAST(toxic AS VARCHAR) AS p, count(*) AS n
   FROM labels GROUP BY 1, 2),
 by_y AS (SELECT y AS c, sum(n) AS ny, sum(CASE WHEN y = p THEN n END) AS tp FROM cm GROUP BY 1),
@@ -66,9 +97,9 @@ def q_u5c(spark, sf_dir):
 
 U5R_SQL = """WITH p AS (SELECT l_extendedprice AS y, l_quantity * p_retailprice AS yhat
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-a AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS syy, sum((y - yhat) * (y - yhat)) AS ssr FROM p)
-SELECT CASE WHEN syy - sy * sy / n > 0 THEN 1 - ssr / (syy - sy * sy / n)
-  WHEN ssr = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM a"""
+m AS (SELECT avg(y) AS mean FROM p),
+a AS (SELECT sum((y - mean) * (y - mean)) AS sst, sum((y - yhat) * (y - yhat)) AS ssr FROM p, m)
+SELECT CASE WHEN sst > 0 THEN 1 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM a"""
 
 
 @register("u5_r2", U5R_SQL, doubles=["r2"])
@@ -168,8 +199,8 @@ def q_q6(spark, sf_dir):
 
 @register("q7_short_evaluation", None)
 def q_q7(spark, sf_dir):
-    """Q7: short evaluation - KS statistics (the other parts are separate frames)."""
-    return evaluate(lineitem_pair(spark, sf_dir, ALL), NUM)["statistics"]
+    """Q7: all five parts of the short evaluation in one table (part, column_name, measure, value)."""
+    return short_evaluation_table(evaluate(lineitem_pair(spark, sf_dir, ALL), NUM))
 
 
 # ---------------------------------------------------------------- L: training-log analytics

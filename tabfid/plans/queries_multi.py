@@ -174,8 +174,15 @@ def q_j12(spark, sf_dir):
     return mv.range_preservation(lineitem_pair(spark, sf_dir), NUM)
 
 
-def _nn_sql() -> str:
-    from tabfid.plans.sqltext import pair_cte as _pc
+FAR_CTE = ("far AS (SELECT * REPLACE (CASE WHEN l_partkey % 29 = 0 THEN -999999999.0 ELSE l_extendedprice END "
+           "AS l_extendedprice, CASE WHEN l_discount > 0.08 THEN l_discount ELSE 0.0 END AS l_discount) FROM lineitem), ")
+
+
+def _nn_sql(far: bool = False) -> str:
+    from tabfid.plans.sqltext import pair_cte
+
+    def _pc():
+        return FAR_CTE + pair_cte().replace("FROM lineitem", "FROM far") if far else pair_cte()
     st = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}"
                    for c in NUM)
     z = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NUM)
@@ -201,6 +208,14 @@ def q_j6(spark, sf_dir):
     return nearest_neighbor_distance(lineitem_pair(spark, sf_dir), NUM)
 
 
+@register("j6_nearest_far_clusters", _nn_sql(far=True),
+          doubles=["nearest_neighbor_mean", "nearest_neighbor_std", "exact_match_share"])
+def q_j6_far(spark, sf_dir):
+    """J6 on a pair with a far-off cluster (a sentinel price) and a column that is mostly zero."""
+    from tabfid.operators.neighbors import nearest_neighbor_distance
+    return nearest_neighbor_distance(lineitem_pair(spark, sf_dir, far=True), NUM)
+
+
 CAT = ["l_returnflag", "l_linestatus"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tabfid.operators import synth
 from tabfid.operators.sampling import quotas, rows_to_generate
 from tabfid.plans.catalog import register
-from tabfid.plans.fixtures import table
+from tabfid.plans.fixtures import lineitem_with_nulls, table
 from tabfid.plans.synthesize import synthesize
 from tabfid.session import ensure_checkpoint_dir
 
@@ -47,6 +47,42 @@ def q_g2(spark, sf_dir):
     return synth.sample_copula(spark, synth.fit_copula(li), n, seed=42)
 
 
+G2N_SQL = ("SELECT CAST(greatest(1, floor(0.25 * count(*))) AS BIGINT) AS n_rows, true AS codes_seen, true AS flags_seen, "
+           "true AS in_range, true AS null_share_close, true AS mean_close FROM lineitem")
+
+
+@register("g2_sample_checks", G2N_SQL)
+def q_g2c(spark, sf_dir):
+    """G2 on a table with nulls and an integer-coded category: every code and flag was seen in the
+    table, prices stay in its range, and the null share and the mean are within 2 % of the table's."""
+    li = lineitem_with_nulls(spark, sf_dir).select("l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber")
+    n = rows_to_generate(li.count())
+    out = synth.sample_copula(spark, synth.fit_copula(li), n, seed=11)
+
+    def facts(d):
+        return d.agg(F.count(F.lit(1)).alias("n"), F.collect_set("l_linenumber").alias("codes"),
+                     F.collect_set("l_returnflag").alias("flags"), F.min("l_extendedprice").alias("lo"),
+                     F.max("l_extendedprice").alias("hi"), F.avg("l_extendedprice").alias("mean"),
+                     F.avg(F.col("l_quantity").isNull().cast("double")).alias("nulls"))  # some codes and flags
+
+    a, b = facts(li).alias("a"), facts(out).alias("b")
+    return b.join(F.broadcast(a), F.lit(True)).select(
+        F.col("b.n").alias("n_rows"), (F.size(F.array_except("b.codes", "a.codes")) == 0).alias("codes_seen"),
+        (F.size(F.array_except("b.flags", "a.flags")) == 0).alias("flags_seen"),
+        ((F.col("b.lo") >= F.col("a.lo")) & (F.col("b.hi") <= F.col("a.hi"))).alias("in_range"),
+        (F.abs(F.col("b.nulls") - F.col("a.nulls")) < 0.02).alias("null_share_close"),
+        (F.abs(F.col("b.mean") / F.col("a.mean") - 1) < 0.02).alias("mean_close"))
+
+
+@register("g6_conditional_total",
+          "SELECT CAST(greatest(1, floor(0.25 * count(*))) AS BIGINT) AS n_rows, true AS restored FROM lineitem")
+def q_g6c(spark, sf_dir):
+    """G6 with a condition: exactly the wanted number of rows, excluded column back as nulls."""
+    li = table(spark, sf_dir, "lineitem").select(*GEN_COLS, "l_orderkey")
+    out, _ = synthesize(li, exclude=["l_orderkey"], condition="l_returnflag", ratios={"A": 5, "N": 3, "R": 2}, seed=7)
+    return out.agg(F.count(F.lit(1)).alias("n_rows"), (F.count("l_orderkey") == 0).alias("restored"))
+
+
 G3_SQL = "\nUNION ALL\n".join(
     f"SELECT '__all__' AS stratum, '{c}' AS column_name, value, pow(p, 1 / 0.8) / sum(pow(p, 1 / 0.8)) OVER () AS p "
     f"FROM (SELECT {c} AS value, count(*) / sum(count(*)) OVER () AS p FROM lineitem GROUP BY {c}) AS x"

@@ -43,12 +43,38 @@ def q_h2(spark, sf_dir):
           "CAST(least(1000, count(*)) AS BIGINT) AS exact_rows FROM lineitem")
 def q_h3(spark, sf_dir):
     """H3: rows to generate for the default, 10 % and exact-1000 choices."""
-    n = F.count(F.lit(1))
-    return table(spark, sf_dir, "lineitem").agg(n.alias("n_rows")).select(
-        "n_rows",
-        F.greatest(F.lit(1), F.floor(F.col("n_rows") * 0.25)).cast("long").alias("default_rows"),
-        F.greatest(F.lit(1), F.floor(F.col("n_rows") * 0.1)).cast("long").alias("percent_rows"),
-        F.least(F.lit(1000), F.col("n_rows")).cast("long").alias("exact_rows"))
+    n = table(spark, sf_dir, "lineitem").count()
+    return spark.createDataFrame(
+        [(n, smp.rows_to_generate(n), smp.rows_to_generate(n, "percent", 0.1), smp.rows_to_generate(n, "exact", 1000))],
+        "n_rows long, default_rows long, percent_rows long, exact_rows long")
+
+
+def _keys_of(spark, sf_dir):
+    """customers under a text key and a key that is negative for all but a few"""
+    return table(spark, sf_dir, "customer").select("c_name", (F.col("c_custkey") - 1_000_000_000).alias("low_key"))
+
+
+@register("h1_split_text_key", f"SELECT c_name, CASE WHEN {portable_hash_sql(['c_name'])} < {TEST_CUT} "
+          f"THEN 'test' ELSE 'train' END AS split FROM customer")
+def q_h1_text(spark, sf_dir):
+    """H1 on a text key."""
+    return smp.split_label(_keys_of(spark, sf_dir).select("c_name"), ["c_name"], 0.2, 42)
+
+
+@register("h1_split_negative_key",
+          f"SELECT low_key, CASE WHEN {portable_hash_sql(['low_key'])} < {TEST_CUT} THEN 'test' ELSE 'train' END AS split "
+          f"FROM (SELECT c_custkey - 1000000000 AS low_key FROM customer) AS c")
+def q_h1_negative(spark, sf_dir):
+    """H1 on negative keys."""
+    return smp.split_label(_keys_of(spark, sf_dir).select("low_key"), ["low_key"], 0.2, 42)
+
+
+@register("h2_sample_negative_key",
+          f"SELECT low_key FROM (SELECT c_custkey - 1000000000 AS low_key FROM customer) AS c "
+          f"QUALIFY row_number() OVER (ORDER BY {portable_hash_sql(['low_key'])}, low_key) <= 500")
+def q_h2_negative(spark, sf_dir):
+    """H2 on negative keys: exactly 500 rows."""
+    return smp.sample_rows(_keys_of(spark, sf_dir).select("low_key"), ["low_key"], 500)
 
 
 @register("h4_head_cap", f"SELECT * FROM lineitem ORDER BY {KEYS} LIMIT 20000")
@@ -210,9 +236,7 @@ def q_e1b(spark, sf_dir):
 
 
 E2_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1), "
-          "fold AS (SELECT (SELECT count(*) FROM orders) > 10000 AND (SELECT count(*) FROM c) > 1000 AS f), "
-          "k AS (SELECT v FROM c WHERE NOT (SELECT f FROM fold) "
-          "OR n >= greatest(1, floor((SELECT count(*) FROM orders) * 0.0005))), "
+          "k AS (SELECT v FROM c WHERE n >= greatest(1, floor((SELECT count(*) FROM orders) * 0.0005))), "
           "f AS (SELECT o_orderkey, CASE WHEN CAST(o_custkey AS VARCHAR) IN (SELECT v FROM k) "
           "THEN CAST(o_custkey AS VARCHAR) ELSE 'other' END AS v FROM orders)\n"
           "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY v) - 1 AS BIGINT) AS o_custkey FROM f")
@@ -220,11 +244,9 @@ E2_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM
 
 @register("e2_rare_to_other", E2_SQL)
 def q_e2(spark, sf_dir):
-    """Customers with fewer than 0.05 % of orders fold to 'other' before label
-    encoding (row/category thresholds 10,000 / 1,000)."""
+    """Customers with fewer than 0.05 % of orders fold to 'other' before label encoding."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    e = enc.fit_label_encoder(df, "o_custkey", rare_min_rows=10_000, rare_min_categories=1_000,
-                              rare_share=0.0005)
+    e = enc.fit_label_encoder(df, "o_custkey", min_share=0.0005)
     return enc.apply_encoder(df, e)
 
 
@@ -243,9 +265,7 @@ def q_e3(spark, sf_dir):
 E4_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 1), "
           "r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS rk, "
           "sum(n) OVER (ORDER BY n DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM c), "
-          "fold AS (SELECT (SELECT count(*) FROM orders) > 10000 AND (SELECT count(*) FROM c) > 50 AS f), "
-          "k AS (SELECT v FROM r WHERE NOT (SELECT f FROM fold) "
-          "OR (rk <= 50 AND coalesce(prev, 0) < 0.95 * (SELECT count(*) FROM orders))), "
+          "k AS (SELECT v FROM r WHERE rk <= 50 AND coalesce(prev, 0) < 0.95 * (SELECT count(*) FROM orders)), "
           "f AS (SELECT o_orderkey, CASE WHEN CAST(o_custkey AS VARCHAR) IN (SELECT v FROM k) "
           "THEN CAST(o_custkey AS VARCHAR) ELSE 'other' END AS v FROM orders), "
           "d AS (SELECT v, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM f GROUP BY v)\n"
@@ -255,12 +275,20 @@ E4_SQL = ("WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS v, count(*) AS n FROM
 @register("e4_head_coverage", E4_SQL)
 def q_e4(spark, sf_dir):
     """Keep the most frequent customers until 95 % coverage or 50 kept; rest 'other';
-    then codes by first appearance (row threshold 10,000)."""
+    then codes by first appearance."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    e = enc.fit_factorize_encoder(df, "o_custkey", ["o_orderkey"], head_min_rows=10_000)
+    e = enc.fit_factorize_encoder(df, "o_custkey", ["o_orderkey"], coverage=enc.HEAD_SHARE)
     return enc.apply_encoder(df, e)
 
 
+@register("e3_one_hot", f"SELECT {KEYS}, " + ", ".join(
+    f"CAST(l_returnflag = '{v}' AS INTEGER) AS flag_{v}" for v in "ANR") + " FROM lineitem")
+def q_e3h(spark, sf_dir):
+    """True one-hot columns."""
+    d = enc.one_hot(table(spark, sf_dir, "lineitem").select(*ROW_KEYS, "l_returnflag"), "l_returnflag", ["A", "N", "R"], "flag")
+    return d.drop("l_returnflag")
+
+
 E5_SQL = (f"WITH d AS (SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code FROM "
           f"(SELECT DISTINCT l_returnflag AS v FROM lineitem) AS x), "
           f"c AS (SELECT {KEYS}, (SELECT code FROM d WHERE v = l_returnflag) + (l_linenumber - 4) * 0.4 AS x "

@@ -127,3 +127,18 @@ def evaluate(pair: TablePair, cols: list[str] | None = None, curve_points: int =
         "log_summary": uni.log_summary(pair, cols),
         "cdf_curve": uni.cdf_curve(pair, cols, points=curve_points, cdf=cdf),
     }
+
+
+def short_evaluation_table(parts: dict) -> DataFrame:
+    """Q7 as one long table: (part, column_name, point, measure, value); ``point`` is the place on a
+    curve as "side:rank", null elsewhere."""
+    out = None
+    for part, d in parts.items():
+        name = F.col("column_name") if "column_name" in d.columns else F.lit(None).cast("string")
+        marks = [c for c in ("side", "i", "rank") if c in d.columns]
+        point = F.concat_ws(":", *[F.col(c).cast("string") for c in marks]) if marks else F.lit(None).cast("string")
+        values = [c for c, t in d.dtypes if c not in ("column_name", *marks) and t in ("double", "float", "bigint", "int")]
+        long = d.select(F.lit(part).alias("part"), name.alias("column_name"), point.alias("point"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in values])))
+        out = long if out is None else out.unionByName(long)
+    return out

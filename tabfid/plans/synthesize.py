@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabfid.operators import schema as sch
 from tabfid.operators import synth
 from tabfid.operators.pair import TablePair
-from tabfid.operators.sampling import match_size, quotas, rows_to_generate
+from tabfid.operators.sampling import exact_quotas, match_size, rows_to_generate
 from tabfid.plans.report import evaluate_all
 
 
@@ -31,7 +31,7 @@ def synthesize(df: DataFrame, types: dict | None = None, rows_mode: str = "defau
     model = synth.fit_copula(work, kinds, condition=condition)
     if condition is not None:
         share = ratios or {s: c for s, c in model.counts.items()}
-        size = quotas(share, n)
+        size = exact_quotas(share, n)
     else:
         size = n
     out = synth.sample_copula(df.sparkSession, model, size, seed=seed, temperature=temperature)
@@ -44,6 +44,6 @@ def synthesize(df: DataFrame, types: dict | None = None, rows_mode: str = "defau
         if not keys:
             raise ValueError("evaluate=True needs unique row keys to sample the real side")
         cols = [c for c in work.columns if c not in keys]
-        real = match_size(work, n, keys, seed)
+        real = match_size(df.select(*dict.fromkeys([*keys, *cols])), n, keys, seed)
         report = evaluate_all(TablePair(real.select(*cols), out.select(*cols)))
     return out, report

@@ -18,35 +18,40 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app: str = "tabfid", driver_memory: str = "16g",
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
+              app: str = "tabfid", driver_memory: str | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings every operator assumes."""
+    """Build (or reuse) a session with the settings every operator assumes.  Shuffle partitions and
+    memory are left to the cluster unless given."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = driver_memory
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if driver_memory is not None:
+        conf["spark.driver.memory"] = driver_memory
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) a fresh scratch folder is made.
+    Where it is unset, a session in local mode (tests) makes a scratch folder; on a cluster that is
+    an error, since executors cannot see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabfid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

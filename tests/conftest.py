@@ -12,5 +12,5 @@ SF01 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tabfid.session import get_spark
-    s = get_spark("local[4]", shuffle_partitions=8)
+    s = get_spark("local[4]", shuffle_partitions=8, driver_memory="8g")
     yield s

@@ -13,7 +13,7 @@ from tests.conftest import SF001
 def test_rare_and_head_folding(spark):
     vals = [f"v{i}" for i in range(30) for _ in range(i + 1)]        # v29 most frequent
     df = spark.createDataFrame([(x,) for x in vals], "c string")
-    e = enc.fit_label_encoder(df, "c", rare_min_rows=10, rare_min_categories=5, rare_share=0.05)
+    e = enc.fit_label_encoder(df, "c", min_share=0.05)
     kept = {r["value"] for r in e.dictionary.collect()}
     min_count = int(len(vals) * 0.05)
     assert "other" in kept and all(f"v{i}" in kept for i in range(30) if i + 1 >= min_count)
