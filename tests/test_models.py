@@ -118,3 +118,29 @@ def test_best_trial_bucketed_equals_single_window(spark):
     b = sorted(tuple(r) for r in rl.best_trial(sc_df, buckets=7).collect())
     assert a == b
     assert a[-1][2] == 100.0
+
+
+def test_generator_with_nulls_codes_and_null_stratum(spark):
+    from tabfid.operators import synth
+    rows = [(None if i % 4 == 0 else float(i), (i * 7) % 131, None, "x" if i % 3 else None, None, ["a", None, "b"][i % 3])
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "num double, code int, gone double, cat string, gone_cat string, grp string")
+    m = synth.fit_copula(df)
+    out = synth.sample_copula(spark, m, 2000).cache()
+    assert out.dtypes == df.dtypes and out.count() == 2000
+    assert out.filter("gone is not null or gone_cat is not null").count() == 0
+    assert abs(out.filter("num is null").count() / 2000 - 0.25) < 0.04
+    assert out.select("code").distinct().exceptAll(df.select("code").distinct()).count() == 0
+    by = synth.fit_copula(df, condition="grp")
+    cond = synth.sample_copula(spark, by, {"a": 10, None: 7})
+    assert sorted(str(r["grp"]) for r in cond.collect()) == ["None"] * 7 + ["a"] * 10
+
+
+def test_r2_of_large_close_labels(spark):
+    from tabfid.operators.utility import r2_score
+    rng = np.random.default_rng(1)
+    y = 1e9 + rng.normal(0, 0.1, 2000)
+    p = y + rng.normal(0, 0.01, 2000)
+    df = spark.createDataFrame(list(zip(y.tolist(), p.tolist(), strict=True)), "label double, prediction double")
+    want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    assert r2_score(df).first()["r2"] == pytest.approx(want, abs=1e-6)

@@ -20,10 +20,16 @@ def test_rare_and_head_folding(spark):
     coded = enc.apply_encoder(df, e)
     assert coded.where(F.col("c").isNull()).count() == 0
     f = enc.fit_factorize_encoder(df.withColumn("pos", F.monotonically_increasing_id()), "c", ["pos"],
-                                  head_min_rows=10, head_min_categories=5, head_max=3)
+                                  coverage=0.95, max_kept=3)
     assert f.size == 4 and f.folded
 
 
+def test_nothing_folds_unasked_at_any_size(spark):
+    df = spark.range(60_000).select(F.concat(F.lit("v"), F.col("id") % 1500).alias("c"), "id")
+    assert enc.fit_label_encoder(df, "c").size == 1500
+    assert enc.fit_factorize_encoder(df, "c", ["id"]).size == 1500
+
+
 def test_unseen_and_one_hot(spark):
     train = spark.createDataFrame([("a",), ("b",)], "c string")
     test = spark.createDataFrame([("a",), ("z",), (None,)], "c string")
@@ -38,7 +44,7 @@ def test_unseen_and_one_hot(spark):
 def test_narrow_types_casts(spark):
     df = spark.createDataFrame([(1, 300, -5, 1.5)], "a long, b long, c long, d double")
     out = sch.narrow_types(df)
-    assert [f.dataType.simpleString() for f in out.schema.fields] == ["smallint", "int", "tinyint", "float"]
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["tinyint", "smallint", "tinyint", "float"]
 
 
 def test_report_records_failures(spark):

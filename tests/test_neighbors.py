@@ -51,3 +51,30 @@ def test_kd_tree_leaves_balanced():
     leaves = leaf_of(x, dims, splits, 4)
     counts = np.bincount(leaves, minlength=16)
     assert counts.min() >= 200 and counts.max() <= 300
+
+
+@pytest.mark.parametrize("offset", [1.0, 1e3, 1e4])
+def test_nn_exact_with_far_off_clusters(spark, offset):
+    """Standardised coordinates far from the origin: rounding of the fast form must not show."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(0, 1, (400, 3))
+    a[:4, 0] += offset * 400
+    b = rng.normal(0, 1, (300, 3))
+    b[:100, 0] += offset * 400
+    pair, cols = _pair(spark, a, b)
+    d = _brute(a, b)
+    r = nearest_neighbor_distance(pair, cols, leaf_size=50, block=20).first()
+    assert r["nearest_neighbor_mean"] == pytest.approx(d.mean(), rel=1e-9)
+    assert r["nearest_neighbor_std"] == pytest.approx(d.std(), rel=1e-6)
+
+
+def test_nn_empty_leaves_and_zero_inflated_columns(spark):
+    rng = np.random.default_rng(4)
+    a = np.zeros((600, 3))
+    a[:200] = rng.normal(0, 1, (200, 3))
+    a[200:400, 0] = rng.normal(0, 1, 200)
+    b = rng.normal(0, 6, (200, 3))
+    pair, cols = _pair(spark, a, b)
+    d = _brute(a, b)
+    r = nearest_neighbor_distance(pair, cols, leaf_size=8, block=5).first()
+    assert r["nearest_neighbor_mean"] == pytest.approx(d.mean(), rel=1e-9)

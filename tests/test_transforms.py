@@ -128,3 +128,22 @@ def test_drop_missing_report(spark):
     clean, rep = mis.drop_missing(df)
     r = rep.first()
     assert r["rows_after"] == clean.count() and r["rows_dropped"] > 0
+
+
+@pytest.mark.parametrize("expr", ["concat('k', id)", "id - 5000", "cast(uuid() as string)", "id"])
+def test_split_by_any_key_type(spark, expr):
+    """Text, negative and random keys: a fifth of the rows, and not by sign or order."""
+    from tabfid.operators.sampling import sample_rows, split_label
+    df = spark.range(10_000).select(F.expr(expr).alias("k"), "id").cache()
+    d = split_label(df, ["k"], 0.2).cache()
+    test = d.filter("split = 'test'")
+    assert abs(test.count() / 10_000 - 0.2) < 0.015
+    assert abs(test.filter("id < 5000").count() / test.count() - 0.5) < 0.05
+    assert sample_rows(df, ["k"], 777).count() == 777
+
+
+def test_exact_quotas():
+    from tabfid.operators.sampling import exact_quotas
+    for counts, total in (({"a": 5, "b": 3, "c": 2}, 101), ({"a": 1, "b": 1, "c": 1}, 100), ({"a": 999, "b": 1}, 10)):
+        q = exact_quotas(counts, total)
+        assert sum(q.values()) == total and min(q.values()) >= 1
