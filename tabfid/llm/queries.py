@@ -24,7 +24,48 @@ def query(sql: str | None = None):
     return deco
 
 
-@query()
+_RATES = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_rate": "1000 * n_dup_lines // greatest(n_lines, 1)",
+          "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
+
+
+def _fence_sql(keys: str) -> str:
+    """Fences of one level: nearest-rank quartiles of the values' bucket edges, and what the rules add."""
+    by = f"PARTITION BY {keys}{', ' if keys else ''}rate"
+    wide = "greatest(3 * (q3 - q1), CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in quality_rules.RATES.items()) + " END)"
+    two = ", ".join(f"'{k}'" for k, (t, _) in quality_rules.RATES.items() if t)
+    return (f"SELECT {keys}{', ' if keys else ''}rate, total, q3 + {wide} AS high, CASE WHEN rate IN ({two}) THEN q1 - {wide} ELSE 0 END AS low "
+            f"FROM (SELECT {keys}{', ' if keys else ''}rate, max(total) AS total, min(CASE WHEN 4 * i >= total THEN b END) AS q1, "
+            f"min(CASE WHEN 4 * i >= 3 * total THEN b END) AS q3 FROM (SELECT {keys}{', ' if keys else ''}rate, b, "
+            f"row_number() OVER ({by} ORDER BY b) AS i, count(*) OVER ({by}) AS total FROM v) GROUP BY ALL)")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS l, coalesce('=' || source, 'null') AS s, coalesce(text, '') AS text,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, t) AS c FROM (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d))),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, l, s, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(c.n, 0) AS n_repeat_words,
+             list_filter(string_split(text, chr(10)), lambda y: regexp_matches(y, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM d LEFT JOIN c USING (doc_id)),
+q AS (SELECT * EXCLUDE (lines), len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM x),
+r AS (UNPIVOT (SELECT doc_id, l, s, {", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _RATES.items())} FROM q)
+      ON {", ".join(_RATES)} INTO NAME rate VALUE val),
+v AS (SELECT *, (val >> greatest(length(bin(val)) - 6, 0)) << greatest(length(bin(val)) - 6, 0) AS b FROM r),
+f1 AS ({_fence_sql("l, s")}), f2 AS ({_fence_sql("l")}), f3 AS ({_fence_sql("")}),
+j AS (SELECT r.*, CASE WHEN f1.total >= 200 THEN 'source' WHEN f2.total >= 200 THEN 'lang' ELSE 'all' END AS level,
+             CASE WHEN f1.total >= 200 THEN f1.low WHEN f2.total >= 200 THEN f2.low ELSE f3.low END AS low,
+             CASE WHEN f1.total >= 200 THEN f1.high WHEN f2.total >= 200 THEN f2.high ELSE f3.high END AS high,
+             CASE r.rate {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(quality_rules.RATES))} END AS place
+      FROM r JOIN f1 USING (l, s, rate) JOIN f2 USING (l, rate) JOIN f3 USING (rate)),
+o AS (SELECT doc_id, any_value(level) AS level, arg_min(rate, place) FILTER (val < low OR val > high) AS failed_rule FROM j GROUP BY doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_rule, level,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed_rule IS NULL AS kept
+FROM q JOIN o USING (doc_id)
+""")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals, base rules and the verdict of the adaptive cutoffs for every document."""
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
@@ -154,7 +195,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM m LEFT JOIN n USING (doc_id)
+""")
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, component and verdict of every document."""
     d = minhash.linked_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
