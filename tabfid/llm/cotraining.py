@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELLED, MAX_POOL = 12_000, 12_000
+MAX_LABELLED, MAX_POOL = 8_000, 8_000
 ROUNDS, PER_ROUND, SURE, PSEUDO_WEIGHT = 3, 0.1, 0.9, 0.5
 LEAST = 8
 TEXT_DIM, META_DIM = 2**16, 2**10
