@@ -158,8 +158,11 @@ def judge(rows: DataFrame, cuts: DataFrame, lang: str, source: str, sig: str, ou
     base = (s["n_words"] < 20) | (s["n_repeat_words"] * 100 > s["n_words"] * 30)
     rule = F.coalesce(*[F.when(~v.between(F.col(fen)[k]["low"], F.col(fen)[k]["high"]), F.lit(k))
                         for k, v in _rates(s).items()])
+    # one test of both: "not base and no rule" would be split, and its first part moved below the
+    # signals, which would be computed once more for it
+    kept = F.size(F.filter(F.array(base, rule.isNotNull()), lambda failed: failed)) == 0
     j = j.withColumn(out, F.struct(base.alias("base_failed"), rule.alias("failed_rule"), F.col(lev).alias("level"),
-                                   (~base & rule.isNull()).alias("kept")))
+                                   kept.alias("kept")))
     return j.select(*rows.columns, out)
 
 
