@@ -58,7 +58,7 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
             (x["role"] == REPLY) | (i == F.size("turns") - 1),
             F.struct(i.alias("at"), F.when(x["role"] == REPLY, F.length(escaped(x["text"]))).alias("n")))),
             lambda x: x.isNotNull()).alias("targets"))
-    one = conv.select("conv_id", "parts", F.size("targets").alias("of"), F.posexplode("targets").alias("example", "target"))
+    one = conv.select("conv_id", "parts", F.size("targets").alias("of"), F.posexplode_outer("targets").alias("example", "target"))
     body = F.array_join(F.slice("parts", F.lit(1), F.col("target.at") + 1), "")
     one = one.select("conv_id", "example", body.alias("text"), "target.n", (F.col("example") == F.col("of") - 1).alias("is_last"))
     end = F.length("text") - len(CLOSE) - 1

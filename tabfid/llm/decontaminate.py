@@ -66,7 +66,12 @@ def hits(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str =
     out = []
     for r in have:
         own = grams.filter(F.col("size") == r["size"]).select("hash", "gram", "items")
-        near = rows.select("k1", "k2", "w", F.posexplode(window_hashes(F.col("w"), r["size"])).alias("at", "hash"))
+        # the hashes are a column of their own: so the generator, the probe and the comparison are one
+        # compiled stage, which carries the words of a text by reference and copies them for no window.
+        # "outer" keeps Spark from adding a filter on the hashes' number, which would hash all twice;
+        # the null that a text without windows gets meets nothing
+        near = rows.withColumn("hashes", window_hashes(F.col("w"), r["size"])).select(
+            "k1", "k2", "w", F.posexplode_outer("hashes").alias("at", "hash"))
         said = F.array_join(F.slice("w", F.col("at") + 1, r["size"]), " ")
         if not small:  # words would be shuffled with every window: their text is made before
             near = near.select("k1", "k2", "at", "hash", said.alias("said"))
