@@ -26,6 +26,7 @@ and share its component; other columns pass through ``drop_near_duplicates`` unt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ from tabfid.llm.common import fresh, shared_table
 SHINGLE, PERMUTATIONS, BAND = 5, 64, 4
 LEAST = 75  # hundredths of similarity
 SMALL = 16
+LANES = 8
 #: A class is compared with so many others per task row group; more are dealt to further tasks.
 PER_SALT = 1_000
 BLOCK = 4_096
@@ -205,28 +207,44 @@ def _crossing(members: DataFrame, roots: DataFrame, seen: DataFrame, sets: DataF
     return shared_table(pairs, "pairs")
 
 
-def _longs(b: pd.Series) -> pd.Series:
-    return pd.Series([np.frombuffer(x, np.int64) for x in b], dtype=object)
+def _longs(b: pd.Series) -> pd.DataFrame:
+    """Shingles, and a bitmap of ``64 * LANES`` bits where every shingle flips one."""
+    sets = [np.frombuffer(x, np.uint64) for x in b]
+    odd = [np.bincount((s >> np.uint64(17)) % np.uint64(64 * LANES), minlength=64 * LANES) & 1 for s in sets]
+    return pd.DataFrame({"s": [s.view(np.int64) for s in sets],
+                         "bits": [np.packbits(o.astype(np.uint8)).view(np.int64) for o in odd]})
 
 
 def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components that share one of the rarest shingles of either: no link is missed."""
-    each = classes.join(sets, ["f1", "f2"]).select("f1", "f2", "root", F.pandas_udf(_longs, "array<bigint>")("shingles").alias("s"))
-    long = each.select("f1", "f2", F.struct("root").alias("r"), F.size("s").alias("n"), F.explode("s").alias("h"))
-    count = long.groupBy("h").agg(F.count(F.lit(1)).alias("of"))
-    ranked = long.join(count.filter("of > 1"), "h").groupBy("f1", "f2", "r", "n").agg(
+    """Pairs across components that share one of the rarest shingles of either: no link is missed.
+
+    In the order from rare to frequent, linked sets have their first common shingle so early in both
+    that what follows can still hold 75/175 of their sizes' sum.  And they differ in at most 25/175 of
+    that sum, which bounds from above the number of places where their bitmaps differ.  Only meetings
+    that both allow make a pair.
+    """
+    udf = F.pandas_udf(_longs, "s array<bigint>, bits array<bigint>")
+    each = classes.join(sets, ["f1", "f2"]).select("f1", "f2", "root", udf("shingles").alias("u")).select("f1", "f2", "root", "u.*")
+    long = each.select("f1", "f2", F.struct("root", "bits").alias("r"), F.size("s").alias("n"), F.explode("s").alias("h"))
+    count = long.groupBy("h").agg(F.count(F.lit(1)).alias("of"), F.min("r.root").alias("lo"), F.max("r.root").alias("hi"))
+    ranked = long.join(count.filter("lo != hi").select("h", "of"), "h").groupBy("f1", "f2", "r", "n").agg(
         F.sort_array(F.collect_list(F.struct("of", "h"))).alias("s"))
-    # shingles of one class only come first in the order and meet nothing: they use up the prefix
-    alone = F.col("n") - F.size("s")
-    upto = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - alone
-    pre = shared_table(ranked.filter(upto > 0).select("f1", "f2", F.col("r.root").alias("root"), F.explode(
-        F.slice("s", F.lit(1), upto.cast("int"))).alias("p")).select("f1", "f2", "root", F.col("p.h").alias("h")), "prefix")
-    multi = pre.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("h")
-    pre = pre.join(multi, "h")
-    x = pre.select("h", F.col("f1").alias("a1"), F.col("f2").alias("a2"), F.col("root").alias("ra"))
-    y = pre.select("h", F.col("f1").alias("b1"), F.col("f2").alias("b2"), F.col("root").alias("rb"))
-    return x.join(y, "h").filter((F.struct("a1", "a2") < F.struct("b1", "b2")) & (F.col("ra") != F.col("rb"))).select(
-        "a1", "a2", "b1", "b2").distinct()
+    # shingles that no second component has come first in the order and meet nothing; ``rest`` counts
+    # the others from a place on
+    shared = F.size("s")
+    upto = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - (F.col("n") - shared)
+    pre = shared_table(ranked.filter(upto > 0).select(
+        "f1", "f2", F.col("r.root").alias("root"), F.col("r.bits").alias("bits"), "n", shared.alias("shared"),
+        F.posexplode(F.slice("s", F.lit(1), upto.cast("int"))).alias("at", "p")).select(
+        "f1", "f2", "root", "bits", "n", (F.col("shared") - F.col("at")).alias("rest"), F.col("p.h").alias("h")), "prefix")
+    x = pre.select("h", *[F.col(c).alias(n) for c, n in zip(pre.columns[:-1], ("a1", "a2", "ra", "bitsa", "na", "resta"), strict=True)])
+    y = pre.select("h", *[F.col(c).alias(n) for c, n in zip(pre.columns[:-1], ("b1", "b2", "rb", "bitsb", "nb", "restb"), strict=True)])
+    room = F.least("resta", "restb") * (100 + LEAST) >= (F.col("na") + F.col("nb")) * LEAST
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LEAST
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.get("bitsa", F.lit(k)).bitwiseXOR(F.get("bitsb", F.lit(k)))) for k in range(LANES)])
+    close = differ * (100 + LEAST) <= (F.col("na") + F.col("nb")) * (100 - LEAST)
+    return x.join(y, "h").filter((F.struct("a1", "a2") < F.struct("b1", "b2")) & (F.col("ra") != F.col("rb")) & sizes & room
+                                 & close).select("a1", "a2", "b1", "b2")
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
