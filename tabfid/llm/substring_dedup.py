@@ -10,8 +10,8 @@ than its own document, and a word goes if a covered window holds it.
 What travels is kept small: of equal texts only the smallest document's takes part (the others are
 covered as a whole), and only super-k-mers whose minimiser occurs in two different texts.  A
 minimiser of more than ``HOT`` super-k-mers (a passage that many documents share) is not gathered:
-its windows are hashed to 128 bits, and the smallest document per hash is aggregated before the
-shuffle.
+equal strings are counted as one, their windows are hashed to 128 bits, and the smallest document per
+hash is aggregated before the shuffle.
 
 doc_ids are integers.  Edge cases: null texts have no words; a null doc_id counts as larger than all
 others; documents of one doc_id do not cover each other; repeated rows are treated alike; texts of
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,17 +156,45 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """128-bit hash of each window of the packed strings."""
+    names = ["p1", "p2", "least", "most", "start", "w1", "w2"]
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("t1", "t2", "owner", "start", "packed")]
+        cols = [b.column(c).to_pylist() for c in ("p1", "p2", "least", "most", "packed")]
         rows: list[tuple] = []
-        for t1, t2, owner, start, packed in zip(*cols, strict=True):
+        for p1, p2, least, most, packed in zip(*cols, strict=True):
             for i, w in enumerate(_windows(packed)):
-                rows.append((t1, t2, owner, start + i, *np.frombuffer(xxhash.xxh128_digest(w), np.int64).tolist()))
+                rows.append((p1, p2, least, most, i, *np.frombuffer(xxhash.xxh128_digest(w), np.int64).tolist()))
             if len(rows) >= 16 * ROWS_OUT:
-                yield _batch(rows, ["t1", "t2", "owner", "start", "w1", "w2"])
+                yield _batch(rows, names)
                 rows = []
         if rows:
-            yield _batch(rows, ["t1", "t2", "owner", "start", "w1", "w2"])
+            yield _batch(rows, names)
+
+
+def _hot_ranges(hot: DataFrame) -> DataFrame:
+    """The covered ranges of super-k-mers whose minimiser is too frequent to gather.
+
+    Equal packed strings are one; their windows' hashes are aggregated to the smallest document, and
+    what a string's windows met goes back to its rows.
+    """
+    hot = hot.withColumns({"p1": F.xxhash64("packed"), "p2": F.xxhash64(F.lit(7), "packed")})
+    one = hot.groupBy("p1", "p2").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.min("packed").alias("packed"))
+    w = shared_table(one.mapInArrow(
+        _hashed, "p1 bigint, p2 bigint, least bigint, most bigint, start int, w1 bigint, w2 bigint"), "hot")
+    first = w.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").drop("last")
+    met = w.join(first, ["w1", "w2"]).filter("first < most").groupBy("p1", "p2").agg(
+        F.sort_array(F.collect_list(F.struct("start", "first"))).alias("met"))
+    own = F.filter("met", lambda m: m["first"] < F.col("owner"))
+    rows = hot.drop("packed", "mini").join(met, ["p1", "p2"]).select("t1", "t2", "start", own.alias("met")).filter(F.size("met") > 0)
+    return rows.select("t1", "t2", F.explode(_word_runs("met", "start")).alias("r")).select("t1", "t2", "r.*")
+
+
+def _word_runs(met: str, start: str) -> Column:
+    """Word ranges of sorted covered windows; windows that touch or overlap make one range."""
+    at = F.transform(met, lambda m: m["start"])
+    firsts = F.filter(F.transform(at, lambda x, i: F.when((i == 0) | (x > F.get(at, i - 1) + WINDOW), x)), lambda x: x.isNotNull())
+    lasts = F.filter(F.transform(at, lambda x, i: F.when((i == F.size(met) - 1) | (F.get(at, i + 1) > x + WINDOW), x)),
+                     lambda x: x.isNotNull())
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct((F.col(start) + a).alias("start"), (F.col(start) + b + WINDOW).alias("upto")))
 
 
 def covered_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -192,11 +220,7 @@ def covered_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cold = packed.join(many.filter(F.col("count") <= hot).select("mini"), "mini")
     ranges = "t1 bigint, t2 bigint, start int, upto int"
     found = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(_counted, ranges)
-    w = shared_table(packed.join(many.filter(F.col("count") > hot).select("mini"), "mini").mapInArrow(
-        _hashed, "t1 bigint, t2 bigint, owner bigint, start int, w1 bigint, w2 bigint"), "hot")
-    least = w.groupBy("w1", "w2").agg(F.min("owner").alias("least"), F.max("owner").alias("most")).filter("least < most")
-    more = w.join(least, ["w1", "w2"]).filter(F.col("owner") > F.col("least")).select(
-        "t1", "t2", "start", (F.col("start") + WINDOW).alias("upto"))
+    more = _hot_ranges(packed.join(many.filter(F.col("count") > hot).select("mini"), "mini"))
     per = found.unionByName(more).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "upto"))).alias("ranges"))
     return shared_table(owners.join(per, ["t1", "t2"], "left"), "ranges")
 
