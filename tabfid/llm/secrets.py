@@ -4,8 +4,11 @@ Base kinds, leftmost and non-overlapping within a kind: ``assign`` (a sensitive
 value of 8 or more characters), ``access`` (access key ids), ``hex`` (32 or more hex digits).
 
 The lexer walks the assignment signs (``=``, ``:``, ``:=``, ``=>``) of a text and parses each into a
-name and a value: quoted literals with escapes, or bare words.  A bare word that names a constant
-assigned elsewhere in the text stands for that constant's literal, over any chain of names.  A
+name and a value: quoted literals with escapes, or bare words.  ``name: type = value`` assigns to the
+name; where the type is a single word that is not a usual type's, it counts as a name too.  A bare
+word that names a constant assigned elsewhere in the text stands for the literals that constant may
+hold, over any chain of names: the nearest one before, those before it as long as the later ones are
+indented deeper than the use, and all later ones if none is before.  A
 literal is a finding if its score and that of the name it reaches are high enough together:
 kind ``literal`` for a direct assignment, ``constant`` for one by way of other names.  Its span is
 the literal without quotes.  Findings inside a base span are not repeated.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,6 +51,13 @@ SIGN = re.compile(r"[:=]")
 QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
 BARE = re.compile(r"[^\s\"'`,;(){}<>\[\]]+")
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
+#: A type and the ``=`` of a value after it; group 1 is set where the type is a single plain word.
+_INSIDE = r"(?:[^\n=;{}:]|::){0,200}"
+_ONE_TYPE = (rf"(?:&[ ]?(?:'[a-z_]+[ ]+)?(?:mut[ ]+)?)?(?:[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z_][A-Za-z0-9_]*+)*+"
+             rf"(?:<{_INSIDE}>)?|(?=\[))(?:\[{_INSIDE}\])?[?!]?")
+TYPED = re.compile(rf"(?:([A-Za-z_][A-Za-z0-9_.\-]*+)|{_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE}){{0,9}})[ \t]*=(?![=>])[ \t]*")
+TYPE_WORDS = frozenset("str string String bytes Bytes ByteString Text AnyStr Any any object Object unknown Final auto char "
+                       "CharSequence SecretStr int float bool boolean number var".split())
 NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 WORD_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -121,39 +132,92 @@ def assignments(text: str) -> Iterator[tuple[str, bool, int, int]]:
         v = end
         while v < len(text) and text[v] in " \t":
             v += 1
+        typed = TYPED.match(text, v) if c == ":" and end == i + 1 else None
+        if typed:
+            v = typed.end()
+            if typed[1] is None or typed[1] in TYPE_WORDS:
+                done = v
         q = QUOTED.get(text[v:v + 1])
         value = q.match(text, v) if q else BARE.match(text, v)
         if value:
             yield name[0], bool(q), value.start(1 if q else 0), value.end(1 if q else 0)
-            if q:
+            if q and (not typed or done == v):
                 done = value.end()
 
 
+class Constants:
+    """What each name of a text is assigned, in order: literals, and names that lead to literals."""
+
+    def __init__(self, text: str, found: list[tuple[str, bool, int, int]]):
+        self.indents, line, last = {}, 0, 0
+        depth = 0
+        for _, _, a, _ in sorted(found, key=lambda x: x[2]):
+            at = text.rfind("\n", last, a) + 1
+            last = a
+            if at > line or not self.indents:
+                line, depth = max(at, line), 0
+                while text[line + depth:line + depth + 1] in (" ", "\t"):
+                    depth += 1
+            self.indents[a] = depth
+        users: dict[str, list[str]] = {}
+        links = [(name, text[a:b], a, b) for name, quoted, a, b in found if not quoted and NAME.fullmatch(text, a, b)]
+        for name, word, _, _ in links:
+            users.setdefault(word, []).append(name)
+        reach = {name for name, quoted, _, _ in found if quoted}
+        todo = list(reach)
+        while todo:
+            for name in users.get(todo.pop(), []):
+                if name not in reach:
+                    reach.add(name)
+                    todo.append(name)
+        self.of: dict[str, list[tuple[int, int, str | None]]] = {}
+        for name, a, b, word in sorted([(name, a, b, None) for name, quoted, a, b in found if quoted]
+                                       + [(name, a, b, word) for name, word, a, b in links if word in reach],
+                                       key=lambda x: x[1]):
+            self.of.setdefault(name, []).append((a, b, word))
+        self.walked: dict[tuple[int, str, int], int] = {}
+
+    def held(self, word: str, at: int, n: int) -> Iterator[tuple[int, int]]:
+        """Literals that ``word`` may hold at a place, without those already given for the same ``n``."""
+        todo = [(word, at, self.indents[at])]
+        while todo:
+            word, at, indent = todo.pop()
+            values = self.of.get(word, [])
+            before = bisect_left(values, at, key=lambda x: x[0])
+            for k in range(before - 1, -1, -1) if before else range(len(values)):
+                limit = indent if before else -1
+                if self.walked.get((n, word, k), math.inf) <= limit:
+                    break
+                self.walked[n, word, k] = limit
+                a, b, link = values[k]
+                if link is None:
+                    yield a, b
+                else:
+                    todo.append((link, a, self.indents[a]))
+                if before and self.indents[a] <= indent:
+                    break
+
+
 def lexed_spans(text: str) -> list[Span]:
     found = list(assignments(text))
-    literals: dict[str, tuple[int, int]] = {}
-    links: dict[str, str] = {}
-    for name, quoted, a, b in found:
-        if quoted:
-            literals[name] = (a, b)
-        elif NAME.fullmatch(text, a, b):
-            links[name] = text[a:b]
+    constants = None
     out: set[Span] = set()
+
+    def judge(kind: str, n: int, a: int, value: str) -> None:
+        if n + literal_score(value) >= LEAST_SCORE:
+            out.add((kind, a, a + len(value)))
+
     for name, quoted, a, b in found:
         n = name_score(name)
         if not n:
             continue
-        kind = "literal"
         if not quoted:
-            word, seen = text[a:b], {name}
-            while word in links and word not in literals and word not in seen:
-                seen.add(word)
-                word = links[word]
-            if word in literals:
-                kind, (a, b) = "constant", literals[word]
-        value = text[a:b].rstrip(".") if kind == "literal" and not quoted else text[a:b]
-        if n + literal_score(value) >= LEAST_SCORE:
-            out.add((kind, a, a + len(value)))
+            constants = constants or Constants(text, found)
+            if text[a:b] in constants.of:
+                for x, y in constants.held(text[a:b], a, n):
+                    judge("constant", n, x, text[x:y])
+                continue
+        judge("literal", n, a, text[a:b] if quoted else text[a:b].rstrip("."))
     return sorted(out)
 
 

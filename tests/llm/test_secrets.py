@@ -49,6 +49,29 @@ def test_constants_are_propagated():
     assert found(loop) == []
 
 
+def test_typed_assignments():
+    one = "zX9#kq77!pL0"
+    for t in (f'db_pwd: str = "{one}"\nname: str = "hello"', f'db_pwd: str = "{one}"\nhost_id: str = "Qw3#rt5Yu7!i"',
+              f"const dbPwd: string | null = '{one}';\nlet b: string = 'x'", f'val dbPwd: String? = "{one}"',
+              f"const DB_PWD: &'static str = \"{one}\";\nconst B: &str = \"b\";", f'db_pwd: dict[str, List[str]] = "{one}"',
+              f'def f(a: list[int], db_pwd: std::string = "{one}", b: str = "Qw3#rt5Yu7!i")', f'Example: db_pwd = "{one}"'):
+        assert found(t) == [("literal", one)], t
+    assert found(f'Example: K = "{one}"\nauth_token = K') == [("constant", one)]
+    assert found('host_id: str = "Qw3#rt5Yu7!i"\ndef f(db_pwd: str): pass') == []
+
+
+def test_reassigned_constants():
+    one, two = "zX9#kq77!pL0", "Qw3#rt5Yu7!i"
+    assert found(f'K = "{one}"\ndb_pwd = K\nK = "x"') == [("constant", one)]
+    assert found(f'K = "{one}"\ndb_pwd = K\nK = "{two}"') == [("constant", one)]
+    assert found(f'K = "{one}"\nK = "{two}"\ndb_pwd = K') == [("constant", two)]
+    assert found(f'K = "{one}"\nif x:\n    K = "{two}"\ndb_pwd = K') == [("constant", one), ("constant", two)]
+    assert found(f'K = "{one}"\nK = K.strip()\nA = K\nK = "x"\ndb_pwd = A') == [("constant", one)]
+    assert found(f'def f():\n    db_pwd = K\nK = "{one}"') == [("constant", one)]
+    many = f'K = "{one}"\n' + "db_pwd = K\n  K = K\n" * 20_000
+    assert found(many) == [("constant", one)]
+
+
 def test_plain_text_and_placeholders_are_left_alone():
     for t in ("The token: a word in prose. Password: please ask.", 'password = "changeme"', 'api_key = "<your key>"', "auth = None",
               "if pwd == 'Abc12345!x': pass", "see http://example.com/a:b", 'name = "q9Z#fk2L!mm8"', 'pwd = "${VAULT_PATH_1}"', ""):
