@@ -5,7 +5,9 @@ is kept (fit a table -> model; sample n rows, optionally conditioned, with a
 temperature for categories), not the output.
 
 * fit: marginals in one aggregate (quantile table per continuous / datetime column,
-  ``percentile_approx``) and one count job for categories; dependence = correlation of
+  ``percentile_approx``) and count jobs for categories and for the values of integer and ordinal
+  columns (a column of more than ``MAX_CATEGORIES`` of these samples from its quantile table, so
+  not every value can occur there); dependence = correlation of
   the rows' normal scores (computed in Arrow batches, then one ``corr`` aggregate).
   With a condition column every statistic is grouped by its value in the same jobs.
 * sample: ``spark.range(n)`` -> ``mapInPandas``: per-row counter-based normals ->
@@ -47,6 +49,7 @@ class Marginal:
     discrete: bool = False
     categories: list | None = None
     probs: np.ndarray | None = None
+    values: np.ndarray | None = None   # of a discrete column, all with their shares in probs, sorted
     nulls: float = 0.0             # share of missing values
 
 
@@ -118,6 +121,20 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
             marg[r["_g"]][c] = Marginal(c, "categorical", fields[c].simpleString(), categories=[], probs=np.zeros(0))
         for c in cols:
             marg[r["_g"]][c].nulls = 1 - r[f"{c}__m"] / max(r["__n"], 1)
+    disc = [c for c in num if t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES)]
+    if disc:
+        long = df.select(g.alias("_g"), F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), _numeric_value(c, kinds[c], fields[c]).alias("value")) for c in disc])))
+        vc = long.where(F.col("value").isNotNull()).groupBy("_g", "column_name", "value").count()
+        sizes = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()
+        few = [r["column_name"] for r in sizes if r["n"] <= MAX_CATEGORIES]
+        seen: dict = {}
+        for r in vc.where(F.col("column_name").isin(few)).collect() if few else []:   # bounded by ``few``
+            seen.setdefault((r["_g"], r["column_name"]), []).append((r["value"], r["count"]))
+        for (s, c), vals in seen.items():
+            vals.sort()
+            p = np.array([n for _, n in vals], dtype=float)
+            marg[s][c].values, marg[s][c].probs = np.array([v for v, _ in vals], dtype=float), p / p.sum()
     if cat:
         long = df.select(g.alias("_g"), F.inline(F.array(*[
             F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cat])))
@@ -151,6 +168,10 @@ def _scores(pdf: pd.DataFrame, ms: dict, cols: list[str]) -> np.ndarray:
             cum = np.cumsum(m.probs)
             mid = dict(zip(m.categories, cum - m.probs / 2))
             u = pdf[c].map(mid).astype(float).fillna(0.5).to_numpy()
+        elif m.values is not None:
+            x = pdf[c].astype(float).to_numpy()
+            mid = np.append(np.cumsum(m.probs) - m.probs / 2, 0.5)
+            u = mid[np.where(np.isnan(x), len(m.values), np.searchsorted(m.values, x))]
         else:
             q = m.quantiles
             x = pdf[c].astype(float).to_numpy()
@@ -243,6 +264,8 @@ def _values(m: Marginal, u: np.ndarray, temperature: float | None):
         cum = np.cumsum(_tempered(m.probs, temperature))
         idx = np.minimum(np.searchsorted(cum, u, side="right"), len(cum) - 1)
         return np.asarray(m.categories, dtype=object)[idx]
+    if m.values is not None:
+        return m.values[np.minimum(np.searchsorted(np.cumsum(m.probs), u, side="right"), len(m.values) - 1)]
     q = m.quantiles
     n = len(q)
     if m.discrete:
@@ -339,13 +362,15 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed:
 def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, version: str) -> str:
     """Fitted state as parquet tables under ``<path>/<name>/<version>``."""
     base = f"{path.rstrip('/')}/{name}/{version}"
-    q_rows, c_rows, r_rows, n_rows = [], [], [], []
+    q_rows, c_rows, r_rows, n_rows, v_rows = [], [], [], [], []
     for s, ms in model.marginals.items():
         for c, m in ms.items():
             if m.kind == "categorical":
                 c_rows += [(s, c, str(v), float(p), i) for i, (v, p) in enumerate(zip(m.categories, m.probs))]
             else:
                 q_rows += [(s, c, i, float(x), m.discrete) for i, x in enumerate(m.quantiles)]
+            if m.values is not None:
+                v_rows += [(s, c, float(v), float(p)) for v, p in zip(m.values, m.probs)]
             n_rows.append((s, c, m.discrete, float(m.nulls)))
         cm = model.corr[s]
         r_rows += [(s, i, j, float(cm[i, j])) for i in range(len(cm)) for j in range(len(cm))]
@@ -355,6 +380,8 @@ def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, ve
         .write.mode("overwrite").parquet(f"{base}/categories")
     spark.createDataFrame(r_rows, "stratum string, i int, j int, corr double") \
         .write.mode("overwrite").parquet(f"{base}/correlation")
+    spark.createDataFrame(v_rows, "stratum string, column_name string, value double, p double") \
+        .write.mode("overwrite").parquet(f"{base}/values")
     spark.createDataFrame(n_rows, "stratum string, column_name string, discrete boolean, nulls double") \
         .write.mode("overwrite").parquet(f"{base}/columns")
     meta = {"columns": model.columns, "condition": model.condition, "n_quantiles": model.n_quantiles,
@@ -385,6 +412,11 @@ def load_model(spark: SparkSession, path: str, name: str, version: str) -> Copul
         cats.setdefault((r["stratum"], r["column_name"]), []).append((r["value"], r["p"]))
     for (s, c), vals in cats.items():
         marg[s][c].categories, marg[s][c].probs = [v for v, _ in vals], np.array([p for _, p in vals])
+    seen: dict = {}
+    for r in spark.read.parquet(f"{base}/values").orderBy("stratum", "column_name", "value").collect():
+        seen.setdefault((r["stratum"], r["column_name"]), []).append((r["value"], r["p"]))
+    for (s, c), vals in seen.items():
+        marg[s][c].values, marg[s][c].probs = np.array([v for v, _ in vals]), np.array([p for _, p in vals])
     k = len(meta["columns"])
     corr = {s: np.eye(k) for s in marg}
     for r in spark.read.parquet(f"{base}/correlation").collect():

@@ -121,7 +121,6 @@ def test_best_trial_bucketed_equals_single_window(spark):
 
 
 def test_generator_with_nulls_codes_and_null_stratum(spark):
-    from tabfid.operators import synth
     rows = [(None if i % 4 == 0 else float(i), (i * 7) % 131, None, "x" if i % 3 else None, None, ["a", None, "b"][i % 3])
             for i in range(3000)]
     df = spark.createDataFrame(rows, "num double, code int, gone double, cat string, gone_cat string, grp string")
@@ -144,3 +143,16 @@ def test_r2_of_large_close_labels(spark):
     df = spark.createDataFrame(list(zip(y.tolist(), p.tolist(), strict=True)), "label double, prediction double")
     want = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert r2_score(df).first()["r2"] == pytest.approx(want, abs=1e-6)
+
+
+def test_every_code_can_be_generated(spark, tmp_path):
+    """An integer column of 3,000 codes, one of them rare: all common codes and the rare one are generated."""
+    df = spark.range(0, 300_000).select(
+        F.when(F.col("id") % 10_000 == 0, F.lit(-5)).otherwise((F.col("id") % 3_000).cast("int")).alias("code"),
+        (F.col("id") % 97).cast("double").alias("x"))
+    model = synth.fit_copula(df, types={"code": "Ordinal"})
+    synth.save_model(spark, model, str(tmp_path), "m", "1")
+    for m in (model, synth.load_model(spark, str(tmp_path), "m", "1")):
+        got = {r["code"]: r["count"] for r in synth.sample_copula(spark, m, 120_000, seed=3).groupBy("code").count().collect()}
+        assert set(got) <= {-5, *range(3_000)} and len(got) > 2_990
+        assert 2 <= got[-5] <= 40  # 30 of 300,000 rows: 12 expected
