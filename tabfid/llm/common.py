@@ -72,3 +72,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(c.lower())
         out.append(c)
     return out
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], limit: int = 50_000, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (one row per key, keys without nulls, no other common names).
+
+    Up to ``limit`` groups (counted first) they are broadcast; beyond, each group's rows are dealt to
+    ``salts`` tasks, so that a hot group is no single task.
+    """
+    if groups.count() <= limit:
+        return rows.join(F.broadcast(groups), keys)
+    (salt,) = fresh(rows.join(groups.limit(0), keys), "salt")
+    left = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    right = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, salt]).drop(salt)

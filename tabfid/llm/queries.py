@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabfid.llm import chat_format, cotraining, decontaminate, minhash, pieces, quality_rules, secrets, sharding, substring_dedup, url_filter
+from tabfid.llm import chat_format, cotraining, decontaminate, hard_negatives, minhash, mixing, pieces, quality_rules, secrets, sharding, spelling, substring_dedup, url_filter
 from tabfid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,68 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cotraining.score(docs, models)
     return d.select("doc_id", "quality", "toxic", (F.col("toxic") >= 0.5).alias("is_toxic"),
                     ((F.col("quality") >= 0.5) & (F.col("toxic") < 0.5)).alias("kept"))
+
+
+def weight_schedule(docs: DataFrame) -> DataFrame:
+    """Schedules of the sources of ``docs`` by code point, null last; their integrals are 3, 1, 2, repeating.
+
+    Sources of weight 3 are heavy early on, those of weight 1 late, those of weight 2 all along.
+    """
+    kinds = [(0, 0.0, 4.0), (0, 0.5, 3.0), (0, 1.0, 2.0), (1, 0.0, 0.0), (1, 0.5, 1.0), (1, 1.0, 2.0), (2, 0.0, 2.0), (2, 1.0, 2.0)]
+    knots = docs.sparkSession.createDataFrame(kinds, "kind int, at double, weight double")
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    return docs.select("source").distinct().withColumn("kind", rank % 3).join(F.broadcast(knots), "kind").select("source", "at", "weight")
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+r AS (SELECT *, CAST(sum(2 * source_size) OVER o - 2 * source_size AS BIGINT) AS before,
+             CAST(sum(weight) OVER () - sum(weight) OVER o + weight AS BIGINT) AS open_weight, CAST(sum(source_size) OVER () AS BIGINT) AS total
+      FROM w WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, 2 * (2 * source_size * open_weight + before * weight) <= 3 * total * weight AS full_ FROM r),
+l AS (SELECT 1.5::DOUBLE * max(total) - coalesce(sum(2 * source_size) FILTER (full_), 0) AS rest, coalesce(sum(weight) FILTER (NOT full_), 0) AS open_w FROM f),
+t AS (SELECT source, source_size, weight, CASE WHEN full_ THEN CAST(2 * source_size AS DOUBLE) ELSE CAST(weight * rest AS DOUBLE) / CAST(open_w AS DOUBLE) END AS target FROM f, l),
+q AS (SELECT d.*, source_size, target, weight, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, source_size, target, weight, CASE WHEN size = 0 THEN 0 WHEN (start + source_size) * 2 + size <= target * 2 THEN 2
+             WHEN start * 2 + size <= target * 2 THEN 1 ELSE 0 END AS copies,
+             (start + CAST(size AS DOUBLE) / 2) / target * weight AS y FROM q)
+SELECT doc_id, size, source_size, target, copies * size AS taken,
+       CASE WHEN copies > 0 THEN round(CASE weight WHEN 3 THEN 2 * y / (4 + sqrt(16 - 4 * y)) WHEN 1 THEN 2 * y / sqrt(4 * y) ELSE y / 2 END, 6) END AS first_position
+FROM c
+""")
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document, with the place of its first copy in the curriculum."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = mixing.assign(docs, weight_schedule(docs))
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("first_position"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND (b.vec_id IS NULL OR a.vec_id <> b.vec_id)),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to ten hard negatives for each of the five positives of every anchor; part of the labels is shifted first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and number of near words of every word that is frequent enough."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(words)
