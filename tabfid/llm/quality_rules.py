@@ -8,8 +8,13 @@ the result does not depend on the order of the rows.  A bucket is 1/32 of its va
 The cutoffs are fences around the quartiles that the sketch gives; the documents are then
 joined with the cutoffs of their group and judged.
 
-Groups of under ``min_rows`` documents take the cutoffs of their language, languages of
-under ``min_rows`` those of the whole table.  Everything is DataFrame functions.
+A fence lies ``FENCE`` quartile distances beyond the quartile.  Rates that are 0 in most texts have no such
+distance; there the fence lies at least as far as a quantile of the positive values (its place is a
+parameter of the rate, its value comes from the sketch), less if only some ``FEW`` texts are positive.
+Where the rate has two fences, they lie at least a quarter of the median out.  Numbers of small groups are
+blended with those of their language by the counts behind them, those of languages with the whole
+table's (``BLEND`` counts weigh as much as the wider level), so no size switches the rule.  Everything is
+DataFrame functions.
 
 Edge cases: a null text counts as empty (no words, so it fails the base rules); a null
 language or source is a value of its own; repeated rows are judged alike; columns of the
@@ -28,16 +33,19 @@ SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
-#: rate -> (lower fence too, least distance of the fence from the quartile).
+#: rate -> (lower fence too, per cent of the positive values that the least distance of the fence is above).
 RATES = {
-    "symbol_rate": (False, 100),     # symbols per 1,000 words
-    "dup_line_rate": (False, 400),   # repeated lines per 1,000 lines
-    "repeat_rate": (False, 300),     # words in repeated windows per 1,000 words
-    "word_length": (True, 200),      # hundredths of a character per word
+    "symbol_rate": (False, 10),      # symbols per 1,000 words
+    "dup_line_rate": (False, 75),    # repeated lines per 1,000 lines
+    "repeat_rate": (False, 30),      # words in repeated windows per 1,000 words
+    "word_length": (True, 0),        # hundredths of a character per word
 }
 #: Fences lie so many quartile distances beyond the quartiles.
 FENCE = 3
-MIN_ROWS = 200
+#: Counts at which a group's own numbers weigh as much as those of the wider level.
+BLEND = 200
+#: Positive texts of the whole table at which the least distance is half of their quantile.
+FEW = 20
 #: Cutoff tables of up to so many groups (about 100 bytes each) are broadcast.
 BROADCAST_GROUPS = 50_000
 #: Beyond that, a group's documents are dealt to so many tasks.
@@ -102,51 +110,54 @@ def sketches(rows: DataFrame, lang: str, source: str, sig: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sk: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, total, rate, low, high) from merged sketches; a window partition holds one sketch."""
+def _level(sk: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, n, pos, q1, q2, q3, w) from merged sketches: rows, rows with a positive rate, quartiles, quantile of
+    the positive ones.  A window partition holds one sketch."""
     merged = sk.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "rate")
-    run = merged.select("*", F.sum("n").over(by.orderBy("bucket")).alias("upto"), F.sum("n").over(by).alias("total"))
-    q = run.groupBy(*keys, "rate").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
-    spread = (F.col("q3") - F.col("q1")) * FENCE
-    least = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[1])])[F.col("rate")]
+    zero = F.coalesce(F.sum(F.when(F.col("bucket") == 0, F.col("n"))).over(by), F.lit(0))
+    run = merged.select("*", F.sum("n").over(by.orderBy("bucket")).alias("upto"), F.sum("n").over(by).alias("total"), zero.alias("zero"))
+    share = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[1])])[F.col("rate")]
+    pos, above = F.col("total") - F.col("zero"), F.col("upto") - F.col("zero")
+    return run.groupBy(*keys, "rate").agg(
+        F.max("total").alias("n"), F.max(pos).alias("pos"),
+        *[F.min(F.when(F.col("upto") * 4 >= F.col("total") * i, F.col("bucket"))).alias(f"q{i}") for i in (1, 2, 3)],
+        F.coalesce(F.min(F.when((F.col("bucket") > 0) & (above * 100 >= pos * share), F.col("bucket"))), F.lit(0)).alias("w"))
+
+
+def thresholds(sk: DataFrame, blend: int = BLEND) -> DataFrame:
+    """One row for each language and source: the fences of each rate as structs."""
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*[c if c in ("lang_key", "source_key", "rate") else F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
+
+    def mixed(prefix: str, c: str, wide: Column) -> Column:
+        n = F.col(f"{prefix}_pos" if c == "w" else f"{prefix}_n")
+        return F.floor((n * F.col(f"{prefix}_{c}") + wide * blend) / (n + blend))
+
+    j = named(_level(sk, ["lang_key", "source_key"]), "g").join(named(_level(sk, ["lang_key"]), "l"), ["lang_key", "rate"])
+    j = j.join(F.broadcast(named(_level(sk, []), "a")), "rate")  # one row per rate
+    whole = {c: F.col(f"a_{c}") for c in ("q1", "q2", "q3")} | {"w": F.floor(F.col("a_pos") * F.col("a_w") / (F.col("a_pos") + FEW))}
+    j = j.withColumns({c: mixed("l", c, v) for c, v in whole.items()})
+    j = j.withColumns({c: mixed("g", c, F.col(c)) for c in whole})
     two = F.create_map(*[F.lit(x) for k, v in RATES.items() for x in (k, v[0])])[F.col("rate")]
-    wide = F.greatest(spread, least)
-    return q.select(*keys, "total", "rate", (F.col("q3") + wide).alias("high"),
-                    F.when(two, F.col("q1") - wide).otherwise(F.lit(0)).alias("low"))
-
-
-def thresholds(sk: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row for each language and source: ``level`` and the fences of each rate as structs."""
-    def wide(keys: list[str], name: str) -> DataFrame:
-        f = _fences(sk, keys)
-        return f.groupBy(*keys).agg(F.max("total").alias(f"{name}_n"), F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct("rate", F.struct("low", "high").alias("f"))))).alias(name))
-
-    one = wide(["lang_key", "source_key"], "g")
-    lang = wide(["lang_key"], "l")
-    whole = wide([], "a")
-    j = one.join(lang, "lang_key").join(F.broadcast(whole), F.lit(True))  # ``whole`` is one row
-    level = F.when(F.col("g_n") >= min_rows, "source").when(F.col("l_n") >= min_rows, "lang").otherwise("all")
-    pick = F.when(F.col("g_n") >= min_rows, F.col("g")).when(F.col("l_n") >= min_rows, F.col("l")).otherwise(F.col("a"))
-    return j.select("lang_key", "source_key", level.alias("level"), pick.alias("fences"))
+    wide = F.greatest((F.col("q3") - F.col("q1")) * FENCE, F.when(two, F.floor(F.col("q2") / 4)).otherwise(F.col("w")))
+    fence = F.struct(F.when(two, F.col("q1") - wide).otherwise(F.lit(0)).alias("low"), (F.col("q3") + wide).alias("high"))
+    return j.groupBy("lang_key", "source_key").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("rate", fence.alias("f"))))).alias("fences"))
 
 
 def judge(rows: DataFrame, cuts: DataFrame, lang: str, source: str, sig: str, out: str = "verdict",
           broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """``rows`` joined with the cutoffs of their group: adds struct ``out`` with ``base_failed``, ``failed_rule``
-    (the first rate beyond its fence, or null), ``level`` and ``kept``.
+    (the first rate beyond its fence, or null) and ``kept``.
 
     Up to ``broadcast_groups`` groups (counted first) the cutoffs are broadcast; beyond, each
     group's rows are dealt to ``SALTS`` tasks, so that a hot source is no single task.
     """
-    lk, gk, salt, lev, fen = fresh(rows, "lang_key", "source_key", "salt", "level", "fences")
+    lk, gk, salt, fen = fresh(rows, "lang_key", "source_key", "salt", "fences")
     cuts = shared_table(cuts, "cutoffs")
     left = rows.withColumns({lk: _key(lang), gk: _key(source)})
-    right = cuts.toDF(lk, gk, lev, fen)
+    right = cuts.toDF(lk, gk, fen)
     if cuts.count() <= broadcast_groups:
         j = left.join(F.broadcast(right), [lk, gk])
     else:
@@ -161,15 +172,13 @@ def judge(rows: DataFrame, cuts: DataFrame, lang: str, source: str, sig: str, ou
     # one test of both: "not base and no rule" would be split, and its first part moved below the
     # signals, which would be computed once more for it
     kept = F.size(F.filter(F.array(base, rule.isNotNull()), lambda failed: failed)) == 0
-    j = j.withColumn(out, F.struct(base.alias("base_failed"), rule.alias("failed_rule"), F.col(lev).alias("level"),
-                                   kept.alias("kept")))
+    j = j.withColumn(out, F.struct(base.alias("base_failed"), rule.alias("failed_rule"), kept.alias("kept")))
     return j.select(*rows.columns, out)
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-                   source: str = "source", min_rows: int = MIN_ROWS,
-                   broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """One row per document: ``doc_id``, the signals, ``base_failed``, ``failed_rule``, ``level``, ``kept``.
+                   source: str = "source", blend: int = BLEND, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """One row per document: ``doc_id``, the signals, ``base_failed``, ``failed_rule``, ``kept``.
 
     The texts are read once; their signals go to a narrow table that both the sketches and the
     join read.
@@ -177,20 +186,18 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"),
                        F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     slim = shared_table(signals(slim, "text", "s").drop("text"), "signals")
-    cuts = thresholds(sketches(slim, "lang", "source", "s"), min_rows)
+    cuts = thresholds(sketches(slim, "lang", "source", "s"), blend)
     j = judge(slim, cuts, "lang", "source", "s", "v", broadcast_groups)
-    return j.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in SIGNALS], "v.base_failed", "v.failed_rule",
-                    "v.level", "v.kept")
+    return j.select("doc_id", *[F.col(f"s.{c}").alias(c) for c in SIGNALS], "v.base_failed", "v.failed_rule", "v.kept")
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
-                   min_rows: int = MIN_ROWS, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+                   blend: int = BLEND, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The signals are computed in both passes (for the sketches and for the verdict): texts are
-    neither shuffled nor written.
+    The signals are computed once and written beside the rows; the sketches and the verdict read them back.
     """
     s, v = fresh(docs, "signals", "verdict")
-    marked = signals(docs, text, s)
-    cuts = thresholds(sketches(marked, lang, source, s), min_rows)
+    marked = shared_table(signals(docs, text, s), "marked")
+    cuts = thresholds(sketches(marked, lang, source, s), blend)
     return judge(marked, cuts, lang, source, s, v, broadcast_groups).filter(F.col(v)["kept"]).select(*docs.columns)

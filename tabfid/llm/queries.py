@@ -28,15 +28,25 @@ _RATES = {"symbol_rate": "1000 * n_symbols // greatest(n_words, 1)", "dup_line_r
           "repeat_rate": "1000 * n_repeat_words // greatest(n_words, 1)", "word_length": "100 * word_chars // greatest(n_words, 1)"}
 
 
-def _fence_sql(keys: str) -> str:
-    """Fences of one level: nearest-rank quartiles of the values' bucket edges, and what the rules add."""
-    by = f"PARTITION BY {keys}{', ' if keys else ''}rate"
-    wide = "greatest(3 * (q3 - q1), CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in quality_rules.RATES.items()) + " END)"
-    two = ", ".join(f"'{k}'" for k, (t, _) in quality_rules.RATES.items() if t)
-    return (f"SELECT {keys}{', ' if keys else ''}rate, total, q3 + {wide} AS high, CASE WHEN rate IN ({two}) THEN q1 - {wide} ELSE 0 END AS low "
-            f"FROM (SELECT {keys}{', ' if keys else ''}rate, max(total) AS total, min(CASE WHEN 4 * i >= total THEN b END) AS q1, "
-            f"min(CASE WHEN 4 * i >= 3 * total THEN b END) AS q3 FROM (SELECT {keys}{', ' if keys else ''}rate, b, "
-            f"row_number() OVER ({by} ORDER BY b) AS i, count(*) OVER ({by}) AS total FROM v) GROUP BY ALL)")
+_TWO = ", ".join(f"'{k}'" for k, (t, _) in quality_rules.RATES.items() if t)
+
+
+def _level_sql(keys: str) -> str:
+    """Rows, rows with a positive rate, quartiles and quantile of the positive rates of one level, from bucket edges."""
+    lead = f"{keys}, " if keys else ""
+    share = "CASE rate " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, v) in quality_rules.RATES.items()) + " END"
+    return (f"SELECT {lead}rate, max(total) AS n, max(total - zero) AS pos, " + ", ".join(
+        f"min(CASE WHEN 4 * i >= {q} * total THEN b END) AS q{q}" for q in (1, 2, 3))
+        + f", coalesce(min(CASE WHEN b > 0 AND 100 * (i - zero) >= {share} * (total - zero) THEN b END), 0) AS w "
+        f"FROM (SELECT {lead}rate, b, count(*) OVER (PARTITION BY {lead}rate ORDER BY b) AS i, count(*) OVER (PARTITION BY {lead}rate) AS total, "
+        f"count(*) FILTER (b = 0) OVER (PARTITION BY {lead}rate) AS zero FROM v) GROUP BY ALL")
+
+
+def _mix_sql(t: str, wide: str) -> str:
+    """Numbers of level ``t`` blended with those of the wider one."""
+    k = quality_rules.BLEND
+    return ", ".join(f"({t}.{n} * {t}.{c} + {wide}.{c} * {k}) // ({t}.{n} + {k}) AS {c}"
+                     for c, n in (("q1", "n"), ("q2", "n"), ("q3", "n"), ("w", "pos")))
 
 
 @query(f"""
@@ -53,16 +63,18 @@ q AS (SELECT * EXCLUDE (lines), len(lines) AS n_lines, len(lines) - len(list_dis
 r AS (UNPIVOT (SELECT doc_id, l, s, {", ".join(f"CAST({v} AS BIGINT) AS {k}" for k, v in _RATES.items())} FROM q)
       ON {", ".join(_RATES)} INTO NAME rate VALUE val),
 v AS (SELECT *, (val >> greatest(length(bin(val)) - 6, 0)) << greatest(length(bin(val)) - 6, 0) AS b FROM r),
-f1 AS ({_fence_sql("l, s")}), f2 AS ({_fence_sql("l")}), f3 AS ({_fence_sql("")}),
-j AS (SELECT r.*, CASE WHEN f1.total >= 200 THEN 'source' WHEN f2.total >= 200 THEN 'lang' ELSE 'all' END AS level,
-             CASE WHEN f1.total >= 200 THEN f1.low WHEN f2.total >= 200 THEN f2.low ELSE f3.low END AS low,
-             CASE WHEN f1.total >= 200 THEN f1.high WHEN f2.total >= 200 THEN f2.high ELSE f3.high END AS high,
-             CASE r.rate {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(quality_rules.RATES))} END AS place
-      FROM r JOIN f1 USING (l, s, rate) JOIN f2 USING (l, rate) JOIN f3 USING (rate)),
-o AS (SELECT doc_id, any_value(level) AS level, arg_min(rate, place) FILTER (val < low OR val > high) AS failed_rule FROM j GROUP BY doc_id)
+g1 AS ({_level_sql("l, s")}), g2 AS ({_level_sql("l")}),
+g3 AS (SELECT rate, q1, q2, q3, pos * w // (pos + {quality_rules.FEW}) AS w FROM ({_level_sql("")})),
+m2 AS (SELECT l, rate, {_mix_sql("g2", "g3")} FROM g2 JOIN g3 USING (rate)),
+m1 AS (SELECT g1.l, s, rate, {_mix_sql("g1", "m2")} FROM g1 JOIN m2 USING (l, rate)),
+f AS (SELECT l, s, rate, q1, q3, greatest({quality_rules.FENCE} * (q3 - q1), CASE WHEN rate IN ({_TWO}) THEN q2 // 4 ELSE w END) AS wide FROM m1),
+j AS (SELECT r.*, CASE WHEN rate IN ({_TWO}) THEN q1 - wide ELSE 0 END AS low, q3 + wide AS high,
+             CASE rate {" ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(quality_rules.RATES))} END AS place
+      FROM r JOIN f USING (l, s, rate)),
+o AS (SELECT doc_id, arg_min(rate, place) FILTER (val < low OR val > high) AS failed_rule FROM j GROUP BY doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_rule, level,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_rule,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed_rule IS NULL AS kept
 FROM q JOIN o USING (doc_id)
 """)

@@ -19,27 +19,8 @@ from . import cases, test_decontaminate, test_minhash, test_quality_rules  # noq
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def fences(values, two_sided, least):
-    """Quartile fences from bucketed values (1/32 wide)."""
-    edges = sorted(v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0) for v in values)
-    n = len(edges)
-    q1, q3 = edges[-(-n // 4) - 1], edges[-(-3 * n // 4) - 1]
-    wide = max(3 * (q3 - q1), least)
-    return (q1 - wide if two_sided else 0), q3 + wide
-
-
-def rates(text):
-    n, chars, symbols, dup, repeat, _ = test_quality_rules.expected(text)
-    lines = max(1, sum(bool(cases.SPACE_WORDS.search(x)) for x in (text or "").split("\n")))
-    m = max(n, 1)
-    return symbols * 1000 // m, dup * 1000 // lines, repeat * 1000 // m, chars * 100 // m
-
-
 def plain(rows, bench):
-    limits = [fences(v, two, least) for v, two, least in
-              zip(zip(*(rates(r[1]) for r in rows)), (False, False, False, True), (100, 400, 300, 200))]
-    rows = [r for r in rows if not test_quality_rules.expected(r[1])[-1]
-            and all(lo <= v <= hi for v, (lo, hi) in zip(rates(r[1]), limits))]
+    rows = [r for r, ok in zip(rows, test_quality_rules.verdicts(rows)) if ok]
     component = {(d, s): c for (d, s, c) in test_minhash.brute([r[:2] for r in rows])}
     rows = [r for r in rows if component[(r[0], len(test_minhash.shingle_set(r[1])))] == r[0]]
     rows = [r for r in rows if not test_decontaminate.brute(r[1], bench)[1]]
