@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -46,6 +46,8 @@ NAME_SCORES = {
 KEY_OWNERS = {"api", "access", "private", "secret", "auth", "signing", "encryption", "master", "account"}
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "****", "none", "null", "true", "false")
 LEAST_LITERAL, LEAST_SCORE = 8, 4
+#: Bits per character of a random-looking literal (3, less what rounding may take).
+LEAST_ENTROPY = 3 - 1e-9
 
 SIGN = re.compile(r"[:=]")
 QUOTED = {q: re.compile(rf"{q}((?:[^{q}\\\n]|\\.)*+){q}") for q in "\"'`"}
@@ -94,13 +96,50 @@ def literal_score(value: str) -> int:
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     spaces = sum(c.isspace() for c in value)
-    score = (kinds >= 2) + (kinds >= 3 or any(c.isdigit() for c in value)) + (entropy >= 3)
+    score = (kinds >= 2) + (kinds >= 3 or any(c.isdigit() for c in value)) + (entropy >= LEAST_ENTROPY)
     return score - 2 * (kinds < 2) - 2 * (spaces > 1)
 
 
+def suffix_scores(text: str, starts: list[int], end: int) -> dict[int, int]:
+    """``literal_score`` of ``text[a:end]`` for every ``a``, in one walk from the end with running counts.
+
+    ``text[min(starts):end]`` has no white space."""
+    first = min(starts)
+    low, at = [c.lower() for c in text[first:end]], 0
+    # the last place where a placeholder starts: later suffixes do not hold it
+    joined = "".join(low)
+    last = max(joined.rfind(p) for p in PLACEHOLDERS)
+    for i, c in enumerate(low):
+        if at > last:
+            break
+        held_from = first + i
+        at += len(c)
+    out, counts, kinds, bits = {}, {}, [False] * 4, 0.0
+    have = lambda c: (c.islower(), c.isupper(), c.isdigit(), not c.isalnum())
+    wanted = set(starts)
+    for a in range(end - 1, first - 1, -1):
+        c = text[a]
+        k = counts.get(c, 0)
+        if not k:
+            for i, yes in enumerate(have(c)):
+                kinds[i] |= yes
+        counts[c] = k + 1
+        bits += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
+        if a in wanted:
+            n, many = end - a, sum(kinds)
+            if n < LEAST_LITERAL or c in "$<{%" or (last >= 0 and a <= held_from):
+                out[a] = -3
+            else:
+                entropy = math.log2(n) - bits / n
+                out[a] = (many >= 2) + (many >= 3 or kinds[2]) + (entropy >= LEAST_ENTROPY) - 2 * (many < 2)
+    return out | {a: -3 for a in starts if a >= end}
+
+
 def assignments(text: str) -> Iterator[tuple[str, bool, int, int]]:
-    """(name, whether the value is quoted, start and end of the value) in order."""
-    done = 0
+    """(name, whether the value is quoted, start and end of the value) in order.
+
+    Signs inside a bare value are signs too; they share its end, which is looked for once."""
+    done = run_end = 0
     for m in SIGN.finditer(text):
         i = m.start()
         if i < done:
@@ -138,11 +177,19 @@ def assignments(text: str) -> Iterator[tuple[str, bool, int, int]]:
             if typed[1] is None or typed[1] in TYPE_WORDS:
                 done = v
         q = QUOTED.get(text[v:v + 1])
-        value = q.match(text, v) if q else BARE.match(text, v)
-        if value:
-            yield name[0], bool(q), value.start(1 if q else 0), value.end(1 if q else 0)
-            if q and (not typed or done == v):
-                done = value.end()
+        if q:
+            value = q.match(text, v)
+            if value:
+                yield name[0], True, value.start(1), value.end(1)
+                if not typed or done == v:
+                    done = value.end()
+            continue
+        if v >= run_end:
+            value = BARE.match(text, v)
+            if not value:
+                continue
+            run_end = value.end()
+        yield name[0], False, v, run_end
 
 
 class Constants:
@@ -161,6 +208,7 @@ class Constants:
             self.indents[a] = depth
         users: dict[str, list[str]] = {}
         links = [(name, text[a:b], a, b) for name, quoted, a, b in found if not quoted and NAME.fullmatch(text, a, b)]
+        self.words = {a: word for _, word, a, _ in links}
         for name, word, _, _ in links:
             users.setdefault(word, []).append(name)
         reach = {name for name, quoted, _, _ in found if quoted}
@@ -202,22 +250,31 @@ def lexed_spans(text: str) -> list[Span]:
     found = list(assignments(text))
     constants = None
     out: set[Span] = set()
-
-    def judge(kind: str, n: int, a: int, value: str) -> None:
-        if n + literal_score(value) >= LEAST_SCORE:
-            out.add((kind, a, a + len(value)))
+    scores: dict[str, int] = {}
+    bare: dict[int, list[tuple[int, int]]] = {}
 
     for name, quoted, a, b in found:
-        n = name_score(name)
+        n = scores[name] if name in scores else scores.setdefault(name, name_score(name))
         if not n:
             continue
-        if not quoted:
-            constants = constants or Constants(text, found)
-            if text[a:b] in constants.of:
-                for x, y in constants.held(text[a:b], a, n):
-                    judge("constant", n, x, text[x:y])
-                continue
-        judge("literal", n, a, text[a:b] if quoted else text[a:b].rstrip("."))
+        if quoted:
+            if n + literal_score(text[a:b]) >= LEAST_SCORE:
+                out.add(("literal", a, b))
+            continue
+        constants = constants or Constants(text, found)
+        word = constants.words.get(a)
+        if word in constants.of:
+            for x, y in constants.held(word, a, n):
+                if n + literal_score(text[x:y]) >= LEAST_SCORE:
+                    out.add(("constant", x, y))
+        else:
+            bare.setdefault(b, []).append((a, n))
+    for b, values in bare.items():  # values of one run have the same end, without closing dots
+        end = b
+        while end > values[0][0] and text[end - 1] == ".":
+            end -= 1
+        held = suffix_scores(text, [a for a, _ in values], end)
+        out.update(("literal", a, end) for a, n in values if n + held[a] >= LEAST_SCORE)
     return sorted(out)
 
 
@@ -227,8 +284,14 @@ def find_spans(text: str | None) -> list[Span]:
         return []
     spans = base_spans(text)
     if ":" in text or "=" in text:
-        base = list(spans)
-        spans += [s for s in lexed_spans(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+        starts, ends = [], []  # base spans by start, with the furthest end so far
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            starts.append(a)
+            ends.append(max(b, ends[-1] if ends else b))
+        for s in lexed_spans(text):
+            k = bisect_right(starts, s[1])
+            if not k or ends[k - 1] < s[2]:
+                spans.append(s)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tabfid.llm import secrets
 
@@ -100,3 +102,24 @@ def test_table(spark):
 def test_long_text_takes_linear_time():
     t = "=".join(["a" * 2000] * 200) + ' password = "' + "b1" * 100_000
     assert "assign" in {s[0] for s in secrets.find_spans(t)}
+
+    def seconds(text):
+        best = []
+        for _ in range(3):
+            at = time.perf_counter()
+            secrets.find_spans(text)
+            best.append(time.perf_counter() - at)
+        return min(best)
+
+    for unit in ("token=1&", "a=1&", "token:x=", "token=abcdefgh1 ", "api_key=K ", "token=..", "K=token;token=K\n"):
+        one, two = (seconds(unit * (k // len(unit))) for k in (100_000, 200_000))
+        assert two < 3.2 * one + 0.02, (unit, one, two)
+
+
+def test_values_of_one_run_are_scored_alike():
+    rng = random.Random(4)
+    chars = ["a", "B", "7", "=", "&", "-", "é", "ß", "İ", "\u212a", "none", "xxxx", "$", ".", "token=", "Your"]
+    for _ in range(300):
+        t = "".join(rng.choice(chars) for _ in range(rng.randrange(1, 60)))
+        starts = [a for a in range(len(t)) if rng.random() < 0.5] or [0]
+        assert secrets.suffix_scores(t, starts, len(t)) == {a: secrets.literal_score(t[a:]) for a in starts}, t
