@@ -20,7 +20,8 @@ So no bucket is expanded into all its pairs, and no link but those that no band
 
 Edge cases: null, empty and blank texts have no shingles and are linked with nothing; a null doc_id
 is never the smallest of a component that has another id; repeated rows are members of one class
-and share its component; other columns pass through ``drop_near_duplicates`` untouched.
+and share its component.  ``drop_near_duplicates`` leaves one row of each component, also where rows are
+repeated, share an id or have none; rows without shingles all stay; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -249,6 +250,11 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, tkey, n_shingles, component_id, kept), one row for each row of ``docs``."""
+    return _labelled(docs, doc_id, text).drop("root")
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``linked_components`` with ``root``, the first class of the component (null without shingles)."""
     rows = signed(docs, doc_id, text)
     some = rows.filter("n > 0")
     classes = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "tkey")).alias("rep"))
@@ -272,17 +278,28 @@ def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         roots = components(seen.unionByName(again).filter("linked"))
     of = _with_root(classes.select("f1", "f2", "first"), roots)
     whole = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = of.join(whole, "root").select("f1", "f2", "component_id")
+    ids = of.join(whole, "root").select("f1", "f2", "root", "component_id")
     out = rows.join(ids, ["f1", "f2"], "left").withColumn(
         "component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id",
-                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each component, with all their columns."""
+    """One row of ``docs`` for each component, with the smallest doc_id, with all its columns.
+
+    Where several rows have that id (repeated rows, or no id at all), those of one text are found and one of
+    them is taken; only such rows are shuffled with their texts.
+    """
     i, k = fresh(docs, "id", "tkey")
-    gone = linked_components(docs, doc_id, text).filter(~F.col("kept")).select(
-        F.struct(F.col("doc_id")).alias(i), F.col("tkey").alias(k)).distinct()
+    rows = shared_table(_labelled(docs, doc_id, text).select(F.struct("doc_id").alias(i), F.col("tkey").alias(k), "root", "kept"), "labels")
+    stay = rows.filter(F.col("kept") & F.col("root").isNotNull())
+    several = stay.groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.min(k).alias("one")).filter("many > 1").select("root", "one")
+    more = shared_table(stay.join(several, "root").select(i, k, (F.col(k) == F.col("one")).alias("first")).distinct(), "several")
+    gone = rows.filter(~F.col("kept")).select(i, k).unionByName(more.filter(~F.col("first")).select(i, k)).distinct()
     keyed = docs.withColumns({i: F.struct(F.col(doc_id).alias("doc_id")), k: F.xxhash64(F.col(text))})
-    return keyed.join(gone, [i, k], "left_anti").select(*docs.columns)
+    left = keyed.join(gone, [i, k], "left_anti")
+    once = more.filter("first").select(i, k)
+    if not once.isEmpty():
+        left = left.join(once, [i, k], "left_anti").unionByName(left.join(once, [i, k], "left_semi").dropDuplicates([i, k]))
+    return left.select(*docs.columns)

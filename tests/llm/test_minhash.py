@@ -84,11 +84,19 @@ def test_one_of_each_group_stays(spark):
     docs = cases.table(spark)
     kept = minhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    want = Counter()
-    for (d, n, c), k in brute([r[:2] for r in cases.documents()]).items():
-        if d == c:
-            want[d] += k
-    assert Counter(r["doc_id"] for r in kept.collect()) == want
+    groups = brute([r[:2] for r in cases.documents()])
+    want = Counter({(d, n): k if n == 0 else 1 for (d, n, c), k in groups.items() if d == c})
+    assert Counter((r["doc_id"], len(shingle_set(r["text"]))) for r in kept.collect()) == want
+
+
+def test_repeated_rows_and_rows_without_ids_leave_one(spark):
+    rng = random.Random(8)
+    a, b, c = (cases.sentence(rng, 80, 5000) for _ in range(3))
+    rows = [(5, a)] * 3 + [(9, a + " tail")] * 2 + [(None, b)] * 3 + [(7, c), (7, c + " end"), (7, c), (8, None), (8, None)]
+    docs = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(rows)], "doc_id bigint, text string, extra string").repartition(4)
+    kept = minhash.drop_near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]) for r in kept)) == ["5", "7", "8", "8", "None"]
+    assert {r["text"] for r in kept if r["doc_id"] in (5, None)} == {a, b}
 
 
 def test_chain_of_links(spark):

@@ -28,7 +28,8 @@ def plain(rows, bench):
     out = []
     for d, t, lang, source, n in rows:
         new = secrets.redact(t)
-        out.append((d, new, lang, source, n if new == t else len(new), tuple(sp.encode(new))))
+        ids = sp.encode(new)
+        out.append((d, new, lang, source, n if new == t else len(new), tuple(ids), sp.decode(ids)))
     return out
 
 
@@ -54,10 +55,10 @@ def test_run(spark, corpus, tmp_path):
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "n_tokens", "decoded"]
     got = got.collect()
     want = plain(rows, bench)
-    assert Counter((*r[:5], tuple(r["ids"])) for r in got) == Counter(want)
+    assert Counter((*r[:5], tuple(r["ids"]), r["decoded"]) for r in got) == Counter(want)
     assert all(r["n_tokens"] == len(r["ids"]) for r in got)
     assert 60 < len(want) < 150 and 7 not in {r[0] for r in want} and 170 not in {r[0] for r in want}
 
@@ -73,9 +74,10 @@ def test_stages_of_an_empty_table(spark, corpus, tmp_path):
 
 def test_stages_keep_clashing_columns(spark, corpus, tmp_path):
     spark.createDataFrame(corpus[1], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    rows = [(*r, "a", "b", 3) for r in corpus[0]]
-    docs = spark.createDataFrame(rows, SCHEMA + ", __was string, __K1 string, kept int").repartition(2).cache()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    rows = [(*r, "a", "b", 3, "i", "n", "d") for r in corpus[0]]
+    docs = spark.createDataFrame(rows, SCHEMA + ", __was string, __K1 string, kept int, IDS string, n_tokens string, decoded string")
+    docs = docs.repartition(2).cache()
+    for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, str(tmp_path))
-        assert got.columns == docs.columns
-        assert {tuple(r[5:]) for r in got.collect()} == {("a", "b", 3)}, name
+        assert got.columns == docs.columns + (["__ids", "__n_tokens", "__decoded"] if name == "sentencepiece" else [])
+        assert {tuple(r[5:11]) for r in got.collect()} == {("a", "b", 3, "i", "n", "d")}, name
