@@ -1,7 +1,7 @@
 """Corpus pipeline: documents through the stages below, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns of ``documents``; the
-last adds ``ids`` and ``n_tokens``.
+last adds ``ids``, ``n_tokens`` and ``decoded``, with underscores before a name that the table has already.
 """
 
 from __future__ import annotations
@@ -40,9 +40,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the ids of their whole texts."""
-    out = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids="ids")
-    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+    """All documents, with the ids of their whole texts, their number, and the text decoded from them."""
+    names = [n if n not in {c.lower() for c in docs.columns} else fresh(docs, n)[0] for n in ("ids", "n_tokens", "decoded")]
+    ids, n_tokens, decoded = names
+    out = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=ids, back=decoded)
+    return out.select(*docs.columns, ids, F.size(ids).cast("long").alias(n_tokens), decoded)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination),
