@@ -1,12 +1,16 @@
 """Multi-column fidelity and privacy of a (real, synthetic) pair (ops J1-J5, J7-J12).
 
-Correlation matrices come from one aggregate (``corr`` per column pair and side); only
-k x k numbers ever reach the driver.  Exact-copy detection is one shuffle on the row.
+Correlation matrices come from one pass of centred cross-product sums: one aggregate for few columns, a
+blocked product (tiles summed in the Arrow batches, ``_blocked_gram``) for many; only k x k numbers
+reach the driver.  Past ``WIDE_PCA`` columns PCA does without them (``principal_axes``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +22,11 @@ RANGE_EPS = 1e-8         # J12 denominators
 ENTROPY_EPS = 1e-10      # J11 count offset
 CODE_TOL = 0.25          # J11: a value counts for code c when within +-0.25
 PCA_EPS = 1e-10          # J7 MAPE denominator
-SUMS_AT_ONCE = 400       # cross-product sums of one pass; more columns take more passes
+SUMS_AT_ONCE = 400       # cross-product sums of one aggregate; more columns take the blocked product
+TILE = 128               # columns of a tile of the blocked product
+STRIP_MB = 256           # sums that one task holds; more columns than fit take several scans
+WIDE_PCA = 1000          # columns from which PCA uses the randomised range finder
+PCA_OVERSAMPLE, PCA_ROUNDS, PCA_TOL = 10, 30, 1e-9
 
 
 def _clean(c):
@@ -35,6 +43,10 @@ def gram(pair: TablePair, cols: list[str]) -> dict:
     numpy means, S (k x k), n, and a zero-variance flag (min = max) per side.
     Rows are assumed complete (the pair is zero-filled by default)."""
     k = len(cols)
+    if k * (k + 1) // 2 > SUMS_AT_ONCE:
+        out = _wide_stats(pair, cols)
+        out["S_0"], out["S_1"] = _blocked_gram(pair, cols, out)
+        return out
     st = side_agg(pair, cols, {"mean": F.avg, "lo": F.min, "hi": F.max, "n": F.count}).first()
     out: dict = {}
     for s in (0, 1):
@@ -47,13 +59,148 @@ def gram(pair: TablePair, cols: list[str]) -> dict:
            .otherwise(F.lit(float(out["mean_1"][i]))) for i, c in enumerate(cols)}
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     out["S_0"], out["S_1"] = np.zeros((k, k)), np.zeros((k, k))
-    for at in range(0, len(pairs), SUMS_AT_ONCE):
-        part = pairs[at:at + SUMS_AT_ONCE]
-        row = t.groupBy().pivot(SIDE, [0, 1]).agg(*[F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i, j in part]).first()
-        for s in (0, 1):
-            for i, j in part:
-                v = row[f"{s}_s_{i}_{j}" if len(part) > 1 else f"{s}"]
-                out[f"S_{s}"][i, j] = out[f"S_{s}"][j, i] = 0.0 if v is None else float(v)
+    row = t.groupBy().pivot(SIDE, [0, 1]).agg(*[F.sum(cen[cols[i]] * cen[cols[j]]).alias(f"s_{i}_{j}") for i, j in pairs]).first()
+    for s in (0, 1):
+        for i, j in pairs:
+            v = row[f"{s}_s_{i}_{j}" if len(pairs) > 1 else f"{s}"]
+            out[f"S_{s}"][i, j] = out[f"S_{s}"][j, i] = 0.0 if v is None else float(v)
+    return out
+
+
+def _batches(pair: TablePair, cols: list[str], each, schema: str) -> DataFrame:
+    """``each(blocks)`` over every partition of both sides; a block is (side, rows x columns)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks():
+            for b in batches:
+                side = b.column(0).to_numpy(zero_copy_only=False)
+                x = np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(cols))])
+                for s in (0, 1):
+                    here = x if (side == s).all() else x[side == s]
+                    if len(here):
+                        yield s, here
+        yield from each(blocks())
+
+    return pair.tagged(cols, as_double=True).select(SIDE, *cols).mapInArrow(run, schema)
+
+
+def _wide_stats(pair: TablePair, cols: list[str]) -> dict:
+    """Counts, means and constant columns of both sides in one scan, a row of sums per task and column."""
+    def each(blocks):
+        held: dict = {}
+        for s, x in blocks:
+            n, total, lo, hi = held.get(s, (0, 0.0, np.inf, -np.inf))
+            held[s] = n + len(x), total + x.sum(axis=0), np.minimum(lo, x.min(axis=0)), np.maximum(hi, x.max(axis=0))
+        for s, (n, total, lo, hi) in held.items():
+            yield pa.RecordBatch.from_pydict({"side": [s] * len(cols), "i": list(range(len(cols))), "n": [n] * len(cols),
+                                              "total": total, "lo": lo, "hi": hi},
+                                             pa.schema([("side", pa.int32()), ("i", pa.int32()), ("n", pa.int64()),
+                                                        ("total", pa.float64()), ("lo", pa.float64()), ("hi", pa.float64())]))
+
+    long = _batches(pair, cols, each, "side int, i int, n bigint, total double, lo double, hi double")
+    rows = long.groupBy("side", "i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("lo").alias("lo"),
+                                         F.max("hi").alias("hi")).collect()   # 2 k rows
+    out: dict = {}
+    for s in (0, 1):
+        mine = {r["i"]: r for r in rows if r["side"] == s}
+        out[f"n_{s}"] = int(mine[0]["n"]) if mine else 0
+        out[f"mean_{s}"] = np.array([mine[i]["total"] / mine[i]["n"] if mine else 0.0 for i in range(len(cols))])
+        out[f"const_{s}"] = np.array([not mine or mine[i]["lo"] == mine[i]["hi"] for i in range(len(cols))])
+    return out
+
+
+def _blocked_gram(pair: TablePair, cols: list[str], stats: dict) -> list[np.ndarray]:
+    """Centred cross-product sums of both sides in one scan, for any number of columns that ``STRIP_MB`` holds
+    (else one scan per strip of rows of the matrix).
+
+    A task multiplies whole Arrow batches and keeps one sum; at its end it hands over tiles.  Equal tiles are
+    dealt together and added one after the other, so no task holds more than one of them.
+    """
+    k = len(cols)
+    means = [stats["mean_0"], stats["mean_1"]]
+    out = [np.zeros((k, k)), np.zeros((k, k))]
+    strip = max(TILE, int(STRIP_MB * 2**20 / 16 / k) // TILE * TILE)
+    tile_schema = "side int, i int, j int, sums array<double>"
+    arrow = pa.schema([("side", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("sums", pa.list_(pa.float64()))])
+
+    def tile_rows(tiles):
+        for (s, i, j), v in tiles:
+            yield pa.RecordBatch.from_pydict({"side": [s], "i": [i], "j": [j], "sums": [v.ravel()]}, arrow)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for b in batches:
+            for r, (s, i, j) in enumerate(zip(*[b.column(c).to_pylist() for c in range(3)])):
+                v = b.column(3)[r].values.to_numpy()
+                if at != (s, i, j):
+                    if at is not None:
+                        yield from tile_rows([(at, total)])
+                    at, total = (s, i, j), np.zeros(len(v))
+                total = total + v
+        if at is not None:
+            yield from tile_rows([(at, total)])
+
+    for top in range(0, k, strip):
+        end = min(top + strip, k)
+
+        def each(blocks, top=top, end=end):
+            held: dict = {}
+            for s, x in blocks:
+                z = x - means[s]
+                part = z[:, top:end].T @ z[:, top:]
+                held[s] = held[s] + part if s in held else part
+            for s, total in held.items():
+                yield from tile_rows(((s, i, j), total[i - top:min(i + TILE, end) - top, j - top:j + TILE - top])
+                                     for i in range(top, end, TILE) for j in range(i, k, TILE))
+
+        tiles = _batches(pair, cols, each, tile_schema)
+        whole = tiles.repartition("side", "i", "j").sortWithinPartitions("side", "i", "j").mapInArrow(add, tile_schema)
+        for r in whole.toLocalIterator():   # k x k numbers in all, one partition's tiles at a time
+            i, j = r["i"], r["j"]
+            v = np.array(r["sums"]).reshape(min(TILE, end - i), min(TILE, k - j))
+            out[r["side"]][i:i + v.shape[0], j:j + v.shape[1]] = v
+            out[r["side"]][j:j + v.shape[1], i:i + v.shape[0]] = v.T
+    return out
+
+
+def principal_axes(pair: TablePair, cols: list[str], stats: dict, m: int, sd: np.ndarray, seed: int = 0) -> np.ndarray:
+    """First ``m`` principal axes (k x m) of the standardised real side by a randomised range finder.
+
+    Every round is one scan that sums Z^T (Z Q) for a basis Q of ``m`` + ``PCA_OVERSAMPLE`` columns, k x l numbers
+    instead of k x k; rounds end when the variances along the axes are settled.
+    """
+    k, mean = len(cols), stats["mean_0"]
+    width = min(k, m + PCA_OVERSAMPLE)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((k, width)))[0]
+    before = None
+    for _ in range(PCA_ROUNDS):
+        y = _projected(pair, cols, mean, sd, q, 0)
+        small = q.T @ y
+        w, v = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(w)[::-1][:m]
+        axes, now = q @ v[:, top], w[top]
+        if before is not None and np.abs(now - before).max() <= PCA_TOL * max(np.abs(now).max(), PCA_EPS):
+            break
+        before, q = now, np.linalg.qr(y)[0]
+    return axes
+
+
+def _projected(pair: TablePair, cols: list[str], mean: np.ndarray, sd: np.ndarray, q: np.ndarray, side: int) -> np.ndarray:
+    """Z^T (Z q) of one side, Z its rows less ``mean`` over ``sd``: k x l sums, one row of l per task and column."""
+    def each(blocks):
+        total = None
+        for s, x in blocks:
+            if s == side:
+                z = (x - mean) / sd
+                part = z.T @ (z @ q)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"i": np.arange(len(cols), dtype="int32"), "sums": list(total)},
+                                             pa.schema([("i", pa.int32()), ("sums", pa.list_(pa.float64()))]))
+
+    long = _batches(pair, cols, each, "i int, sums array<double>").select("i", F.posexplode("sums").alias("j", "v"))
+    out = np.zeros((len(cols), q.shape[1]))
+    for r in long.groupBy("i", "j").agg(F.sum("v").alias("v")).toLocalIterator():
+        out[r["i"], r["j"]] = r["v"]
     return out
 
 
@@ -168,6 +315,8 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     m = n_components
     if len(cols) < m or len(cols) == 0:
         return spark.createDataFrame([(0.0, mode)], "pca_similarity double, mode string")
+    if mo is None and len(cols) > WIDE_PCA:
+        return _wide_pca(pair, cols, m, mode)
     mo = mo if mo is not None else moments(pair, cols)
     sd = np.where(mo["sdp_real"] > 0, mo["sdp_real"], 1.0)
     # covariance of standardised real = correlation (constant columns -> 0 row/col)
@@ -178,15 +327,19 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     comps, ev_r = v[:, order], w[order]
     shift = (mo["mean_syn"] - mo["mean_real"]) / sd
     syn_means = shift @ comps
-    real_means = np.zeros(m)
+    ss = mo["sdp_syn"] / sd
+    ns = max(mo["n_syn"], 2)
+    cov_s = mo["corr_syn"] * np.outer(ss, ss) * ns / (ns - 1)
+    ev_s = np.einsum("ij,ik,kj->j", comps, cov_s, comps)
+    return _pca_row(spark, syn_means, ev_r, ev_s, mode)
+
+
+def _pca_row(spark, syn_means: np.ndarray, ev_r: np.ndarray, ev_s: np.ndarray, mode: str) -> DataFrame:
+    real_means = np.zeros(len(syn_means))
     if mode == "reference":
         mape = np.mean(np.abs((real_means - syn_means) / (np.abs(real_means) + PCA_EPS))) * 100
         sim = max(0.0, 1 - mape / 100)
     elif mode == "explained_variance":
-        ss = mo["sdp_syn"] / sd
-        ns = max(mo["n_syn"], 2)
-        cov_s = mo["corr_syn"] * np.outer(ss, ss) * ns / (ns - 1)
-        ev_s = np.einsum("ij,ik,kj->j", comps, cov_s, comps)
         rel = np.abs(ev_r - ev_s) / np.maximum(np.abs(ev_r), PCA_EPS)
         sim = max(0.0, 1 - float(np.mean(rel)))
     else:
@@ -194,6 +347,32 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     return spark.createDataFrame([(float(sim), mode)], "pca_similarity double, mode string")
 
 
+def _wide_pca(pair: TablePair, cols: list[str], m: int, mode: str) -> DataFrame:
+    """J7 without the k x k matrix: axes by the range finder, variances along them from one more scan a side."""
+    st = _wide_stats(pair, cols)
+    var = []
+    for s in (0, 1):
+        def each(blocks, s=s):
+            total = None
+            for side, x in blocks:
+                if side == s:
+                    part = ((x - st[f"mean_{s}"]) ** 2).sum(axis=0)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"i": np.arange(len(cols), dtype="int32"), "v": total},
+                                                 pa.schema([("i", pa.int32()), ("v", pa.float64())]))
+        sums = {r["i"]: r["v"] for r in _batches(pair, cols, each, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+        dead = st[f"const_{s}"] | (st[f"n_{s}"] < 2)
+        var.append(np.where(dead, 0.0, [sums.get(i, 0.0) / max(st[f"n_{s}"], 1) for i in range(len(cols))]))
+    sd = np.sqrt(np.where(var[0] > 0, var[0], 1.0))
+    axes = principal_axes(pair, cols, st, m, sd)
+    along = []
+    for s in (0, 1):
+        y = _projected(pair, cols, st[f"mean_{s}"], sd, axes, s)
+        along.append(np.einsum("ij,ij->j", axes, y) / max(st[f"n_{s}"] - 1, 1))
+    return _pca_row(pair.real.sparkSession, ((st["mean_1"] - st["mean_0"]) / sd) @ axes, along[0], along[1], mode)
+
+
 def adjacent_ratios(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
     """Mean and std (n-1) of b/a for adjacent columns; zero denominators -> null."""
     cols = cols or pair.numeric

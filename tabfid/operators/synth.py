@@ -6,16 +6,15 @@ temperature for categories), not the output.
 
 * fit: marginals in one aggregate (quantile table per continuous / datetime column,
   ``percentile_approx``) and count jobs for categories and for the values of integer and ordinal
-  columns (a column of more than ``MAX_CATEGORIES`` of these samples from its quantile table, so
-  not every value can occur there); dependence = correlation of
-  the rows' normal scores (computed in Arrow batches, then one ``corr`` aggregate).
+  columns; dependence = correlation of the rows' normal scores (partial sums in Arrow batches).
   With a condition column every statistic is grouped by its value in the same jobs.
 * sample: ``spark.range(n)`` -> ``mapInPandas``: per-row counter-based normals ->
   Cholesky factor -> normal CDF -> inverse marginal.  Randomness depends only on
   (seed, row id), never on partitioning.
 
-Only per-column statistics (quantile tables, category lists up to
-``MAX_CATEGORIES``) and k x k matrices reach the driver.
+Only per-column statistics (up to ``MAX_POINTS`` quantile points, ``MAX_CATEGORIES`` values per
+column) and k x k matrices reach the driver.  Past these bounds the model is kept as tables
+(``synth_tables``); every function here takes both kinds of models.
 """
 
 from __future__ import annotations
@@ -32,9 +31,10 @@ from pyspark.sql import types as T
 from tabfid.functions.exprs import INTEGRAL_TYPES
 from tabfid.functions.random import norm_cdf, norm_ppf, normals, uniforms
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
+from tabfid.operators.synth_tables import TableModel, category_rows, fit_tables, quantile_rows, sample_tables
 
-MAX_CATEGORIES = 100_000     # per column; fold rarer values first (E2/E4) beyond this
-MAX_STRATA = 10_000
+MAX_CATEGORIES = 100_000     # values per column, all strata together
+MAX_POINTS = 2_000_000       # quantile points and entries of correlations, all strata and columns together
 TEMPERATURE_ARGMAX = 0.5     # fixed: at or below this temperature categories take the mode
 ALL = "__all__"
 NULL_SEED = 1_000_003        # the choice of missing cells has a stream of its own
@@ -86,8 +86,10 @@ def _numeric_value(c: str, kind: str, dt: T.DataType):
 
 
 def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None = None,
-               n_quantiles: int = 1000, accuracy: int | None = None) -> CopulaModel:
-    """G1 (and G4 with ``condition``): fit marginals and the normal-score correlation."""
+               n_quantiles: int = 1000, accuracy: int | None = None) -> CopulaModel | TableModel:
+    """G1 (and G4 with ``condition``): fit marginals and the normal-score correlation.
+
+    A model beyond the driver's bounds, which are checked before anything is collected, is a ``TableModel``."""
     kinds = _kinds(df, types)
     if condition is not None:
         kinds.pop(condition, None)
@@ -98,10 +100,20 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     g = F.col(condition).cast("string") if condition else F.lit(ALL)
     probs = [i / n_quantiles for i in range(n_quantiles + 1)]
     acc = accuracy or max(10_000, 10 * n_quantiles)
+    # by semantic type: integer and ordinal columns only ever take values that were seen
+    t = {**infer_types(df), **(types or {})}
+    disc = [c for c in num if t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES)]
+
+    def as_tables() -> TableModel:
+        base = df.select(g.alias("_g"), *[(F.col(c).cast("string") if kinds[c] == "categorical" else _numeric_value(
+            c, kinds[c], fields[c])).alias(f"c{i}") for i, c in enumerate(cols)])
+        return fit_tables(base, cols, kinds, {c: c in disc for c in cols}, {c: fields[c].simpleString() for c in cols},
+                          condition, n_quantiles, acc)
+
     if condition is not None:
-        n_strata = df.select(g.alias("_g")).distinct().limit(MAX_STRATA + 1).count()  # before anything is collected
-        if n_strata > MAX_STRATA:
-            raise ValueError(f"more than {MAX_STRATA} strata")
+        most = MAX_POINTS // max(1, len(num) * (n_quantiles + 1) + len(cols) ** 2)
+        if df.select(g.alias("_g")).distinct().limit(most + 1).count() > most:
+            return as_tables()
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in num:
         v = _numeric_value(c, kinds[c], fields[c])
@@ -110,45 +122,39 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     rows = df.groupBy(g.alias("_g")).agg(*aggs).collect()      # one row per stratum
     marg: dict = {r["_g"]: {} for r in rows}
     counts = {r["_g"]: int(r["__n"]) for r in rows}
-    # by semantic type: integer and ordinal columns only ever take values that were seen
-    t = {**infer_types(df), **(types or {})}
     for r in rows:
         for c in num:
             q = np.array([x for x in (r[f"{c}__q"] or []) if x is not None], dtype=float)
             marg[r["_g"]][c] = Marginal(c, kinds[c], fields[c].simpleString(), q,
-                                        discrete=t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES))
+                                        discrete=c in disc)
         for c in cat:  # a column without any value keeps an empty list
             marg[r["_g"]][c] = Marginal(c, "categorical", fields[c].simpleString(), categories=[], probs=np.zeros(0))
         for c in cols:
             marg[r["_g"]][c].nulls = 1 - r[f"{c}__m"] / max(r["__n"], 1)
-    disc = [c for c in num if t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES)]
-    if disc:
+    counted = [*disc, *cat]
+    if counted:
         long = df.select(g.alias("_g"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), _numeric_value(c, kinds[c], fields[c]).alias("value")) for c in disc])))
-        vc = long.where(F.col("value").isNotNull()).groupBy("_g", "column_name", "value").count()
-        sizes = vc.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()
-        few = [r["column_name"] for r in sizes if r["n"] <= MAX_CATEGORIES]
-        seen: dict = {}
-        for r in vc.where(F.col("column_name").isin(few)).collect() if few else []:   # bounded by ``few``
-            seen.setdefault((r["_g"], r["column_name"]), []).append((r["value"], r["count"]))
+            F.struct(F.lit(c).alias("column_name"),
+                     (_numeric_value(c, kinds[c], fields[c]) if c in disc else F.lit(None).cast("double")).alias("x"),
+                     (F.col(c).cast("string") if c in cat else F.lit(None).cast("string")).alias("s")) for c in counted])))
+        vc = long.where("x IS NOT NULL OR s IS NOT NULL").groupBy("_g", "column_name", "x", "s").count().persist()
+        try:
+            if (vc.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0) > MAX_CATEGORIES:
+                return as_tables()
+            seen: dict = {}
+            for r in vc.collect():   # at most MAX_CATEGORIES per column
+                seen.setdefault((r["_g"], r["column_name"]), []).append((r["s"] if r["x"] is None else r["x"], r["count"]))
+        finally:
+            vc.unpersist()
         for (s, c), vals in seen.items():
             vals.sort()
             p = np.array([n for _, n in vals], dtype=float)
-            marg[s][c].values, marg[s][c].probs = np.array([v for v, _ in vals], dtype=float), p / p.sum()
-    if cat:
-        long = df.select(g.alias("_g"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cat])))
-        cc = long.where(F.col("value").isNotNull()).groupBy("_g", "column_name", "value").count()
-        n_cc = cc.count()
-        if n_cc > MAX_CATEGORIES * max(1, len(cat)):
-            raise ValueError(f"too many categories ({n_cc}) to sample from; encode or fold them first")
-        acc_c: dict = {}
-        for r in cc.collect():                                   # bounded by the check above
-            acc_c.setdefault((r["_g"], r["column_name"]), []).append((r["value"], r["count"]))
-        for (s, c), vals in acc_c.items():
-            vals.sort()
-            p = np.array([n for _, n in vals], dtype=float)
-            marg[s][c].categories, marg[s][c].probs = [v for v, _ in vals], p / p.sum()
+            m = marg[s][c]
+            m.probs = p / p.sum()
+            if c in cat:
+                m.categories = [v for v, _ in vals]
+            else:
+                m.values = np.array([v for v, _ in vals], dtype=float)
     model = CopulaModel(cols, marg, {}, counts, condition, n_quantiles,
                         {"kinds": kinds, "types": {c: fields[c].simpleString() for c in cols}})
     model.corr = _fit_corr(df, model, g)
@@ -266,13 +272,7 @@ def _values(m: Marginal, u: np.ndarray, temperature: float | None):
         return np.asarray(m.categories, dtype=object)[idx]
     if m.values is not None:
         return m.values[np.minimum(np.searchsorted(np.cumsum(m.probs), u, side="right"), len(m.values) - 1)]
-    q = m.quantiles
-    n = len(q)
-    if m.discrete:
-        x = q[np.minimum((u * n).astype(np.int64), n - 1)]
-    else:
-        x = np.interp(u, np.linspace(0.0, 1.0, n), q)
-    return x
+    return np.interp(u, np.linspace(0.0, 1.0, len(m.quantiles)), m.quantiles)
 
 
 def _schema(model: CopulaModel) -> str:
@@ -292,9 +292,12 @@ def _schema(model: CopulaModel) -> str:
     return ", ".join(parts)
 
 
-def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed: int = 42,
+def sample_copula(spark: SparkSession, model: CopulaModel | TableModel, n: int | dict | DataFrame, seed: int = 42,
                   temperature: float | None = None, num_partitions: int | None = None) -> DataFrame:
-    """N rows (or {stratum: rows}); row i uses the stream of id i only."""
+    """N rows (or {stratum: rows}; a ``TableModel`` also takes a table (stratum, rows)); row i uses the
+    stream of id i only."""
+    if isinstance(model, TableModel):
+        return _typed(sample_tables(spark, model, n, seed, temperature), model)
     quota = n if isinstance(n, dict) else {model.strata()[0]: int(n)}
     strata = [s for s in quota if quota[s] > 0]
     missing = [s for s in strata if s not in model.marginals]
@@ -347,13 +350,19 @@ def sample_copula(spark: SparkSession, model: CopulaModel, n: int | dict, seed:
 
     rng = spark.range(0, total, numPartitions=num_partitions) if num_partitions else spark.range(0, total)
     out = rng.mapInPandas(gen, _schema(model))
+    return _typed(out, model)
+
+
+def _typed(out: DataFrame, model: CopulaModel | TableModel) -> DataFrame:
+    """Generated columns in the types of the fitted table; integers are rounded half to even, times are seconds."""
     casts = {}
-    for c in cols:
-        t = types[c]
-        if kinds[c] != "categorical" and kinds[c] != "datetime":
-            casts[c] = F.col(c).cast(t)
-        elif kinds[c] == "datetime":
+    for c in model.columns:
+        t, kind = model.meta["types"][c], model.meta["kinds"][c]
+        if kind == "datetime":
             casts[c] = F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")).cast(t)
+        elif kind != "categorical":
+            whole = isinstance(T._parse_datatype_string(t), INTEGRAL_TYPES) and dict(out.dtypes)[c] == "double"
+            casts[c] = (F.rint(c) if whole else F.col(c)).cast(t)
     return out.withColumns(casts) if casts else out
 
 
@@ -425,15 +434,19 @@ def load_model(spark: SparkSession, path: str, name: str, version: str) -> Copul
                        meta["condition"], meta["n_quantiles"], {"kinds": kinds, "types": types})
 
 
-def quantile_table(spark: SparkSession, model: CopulaModel) -> DataFrame:
+def quantile_table(spark: SparkSession, model: CopulaModel | TableModel) -> DataFrame:
     """G1 output as a table: (stratum, column_name, i, q)."""
+    if isinstance(model, TableModel):
+        return quantile_rows(model)
     rows = [(s, c, i, float(x)) for s, ms in model.marginals.items() for c, m in ms.items()
             if m.kind != "categorical" for i, x in enumerate(m.quantiles)]
     return spark.createDataFrame(rows, "stratum string, column_name string, i int, q double")
 
 
-def category_table(spark: SparkSession, model: CopulaModel, temperature: float | None = None) -> DataFrame:
+def category_table(spark: SparkSession, model: CopulaModel | TableModel, temperature: float | None = None) -> DataFrame:
     """G1/G3 output: (stratum, column_name, value, p) with optional temperature."""
+    if isinstance(model, TableModel):
+        return category_rows(model, temperature)
     rows = [(s, c, str(v), float(p)) for s, ms in model.marginals.items() for c, m in ms.items()
             if m.kind == "categorical" for v, p in zip(m.categories, _tempered(m.probs, temperature))]
     return spark.createDataFrame(rows, "stratum string, column_name string, value string, p double")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +50,48 @@ def ks_pvalue(d: "F.Column", n_real: "F.Column", n_syn: "F.Column") -> "F.Column
     return F.when(lam < KS_MIN_LAMBDA, F.lit(1.0)).otherwise(p)
 
 
+KS_EXACT_ROWS = 10_000    # up to so many rows on either side the p-value is exact
+
+
+def exact_ks_pvalue(d: float, n_real: int, n_syn: int) -> float:
+    """P(D >= d) for two samples of these sizes from one continuous distribution.
+
+    The pooled order of the rows is a lattice path from (0, 0) to (n_real, n_syn), all paths alike.  Diagonal by
+    diagonal, ``inside[i]`` is the probability that the path is at (i, s - i) and has stayed below
+    d; what steps out is added up, so that small values keep their digits.
+    """
+    g = math.gcd(n_real, n_syn)
+    a, b = n_real // g, n_syn // g
+    h = int(round(d * a * n_syn))  # D in units of 1 / lcm
+    if h <= 0:
+        return 1.0
+    i = np.arange(n_real + 1, dtype=np.int64)
+    inside, out = np.zeros(n_real + 1), 0.0
+    inside[0] = 1.0
+    for s in range(1, n_real + n_syn + 1):
+        rest = n_real + n_syn - s + 1
+        lo, hi = max(0, s - n_syn), min(n_real, s)
+        nxt = np.zeros(hi - lo + 1)
+        at = i[lo:hi + 1]
+        up = at[at > 0]
+        nxt[len(at) - len(up):] += inside[up - 1] * ((n_real - up + 1) / rest)
+        nxt += inside[lo:hi + 1] * ((n_syn - (s - 1 - at)) / rest)
+        far = np.abs(at * b - (s - at) * a) >= h
+        out += float(nxt[far].sum())
+        nxt[far] = 0.0
+        inside[lo:hi + 1] = nxt
+        if lo:
+            inside[lo - 1] = 0.0
+    return min(out, 1.0)
+
+
 def ks_wasserstein(pair: TablePair, cols: list[str] | None = None, cdf: DataFrame | None = None,
                    **cdf_kw) -> DataFrame:
     """F1, F2, F4 from one joint CDF table.
 
     ks_statistic = max |F_real - F_syn| over pooled values; wasserstein = sum over
-    consecutive pooled values of |F_real - F_syn| * gap.
+    consecutive pooled values of |F_real - F_syn| * gap.  The p-value is exact up to ``KS_EXACT_ROWS`` rows on
+    the larger side (``exact_ks_pvalue``, one small computation per column), beyond the asymptotic form.
     """
     cols = cols or pair.numeric
     cdf = cdf if cdf is not None else cdf_table(pair, cols, **cdf_kw)
@@ -61,10 +101,17 @@ def ks_wasserstein(pair: TablePair, cols: list[str] | None = None, cdf: DataFram
         F.sum(F.when(F.col("next_value").isNotNull(),
                      diff * (F.col("next_value") - F.col("value")))).alias("wasserstein"),
         F.first("tot_real").alias("n_real"), F.first("tot_syn").alias("n_syn"))
+    limit = KS_EXACT_ROWS
+
+    def exact(d: pd.Series, n_real: pd.Series, n_syn: pd.Series) -> pd.Series:
+        return pd.Series([exact_ks_pvalue(x, int(a), int(b)) if a and b and max(a, b) <= limit and x == x else None
+                          for x, a, b in zip(d, n_real, n_syn)], dtype="float64")
+
+    per = per.withColumn("_exact", F.pandas_udf(exact, "double")("ks_statistic", "n_real", "n_syn"))
     return per.select(
         "column_name", "ks_statistic",
-        ks_pvalue(F.col("ks_statistic"), F.col("n_real").cast("double"),
-                  F.col("n_syn").cast("double")).alias("ks_pvalue"),
+        F.coalesce(F.nanvl("_exact", F.lit(None).cast("double")), ks_pvalue(
+            F.col("ks_statistic"), F.col("n_real").cast("double"), F.col("n_syn").cast("double"))).alias("ks_pvalue"),
         F.coalesce(F.col("wasserstein"), F.lit(0.0)).alias("wasserstein"),
         F.col("n_real").cast("long").alias("n_real"), F.col("n_syn").cast("long").alias("n_syn"))
 

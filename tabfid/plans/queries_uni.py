@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabfid.operators import univariate as uni
+from tabfid.operators.pair import TablePair
 from tabfid.plans.catalog import register
-from tabfid.plans.fixtures import PAIR_CATEGORICAL, PAIR_NUMERIC, lineitem_pair
+from tabfid.plans.fixtures import PAIR_CATEGORICAL, PAIR_NUMERIC, lineitem_pair, table
 from tabfid.plans.sqltext import melted_cte, pair_cte
 
 NUM = PAIR_NUMERIC
@@ -44,6 +47,32 @@ def q_ks(spark, sf_dir):
     return uni.ks_wasserstein(lineitem_pair(spark, sf_dir), NUM)
 
 
+EXACT_SQL = """WITH RECURSIVE mr AS (SELECT s_acctbal AS v FROM supplier WHERE s_suppkey % 3 = 0),
+ms AS (SELECT s_acctbal + s_nationkey * 20 AS v FROM supplier WHERE s_suppkey % 3 > 0),
+pooled AS (SELECT v, 1 AS r, 0 AS s FROM mr UNION ALL SELECT v, 0, 1 FROM ms),
+cnt AS (SELECT v, sum(r) AS r, sum(s) AS s FROM pooled GROUP BY v),
+cum AS (SELECT sum(r) OVER (ORDER BY v) AS cr, sum(s) OVER (ORDER BY v) AS cs, sum(r) OVER () AS n, sum(s) OVER () AS m FROM cnt),
+h AS (SELECT CAST(max(n) AS BIGINT) AS n, CAST(max(m) AS BIGINT) AS m, max(abs(cr * m - cs * n)) AS h FROM cum),
+p AS (SELECT 0 AS s, CAST(0 AS BIGINT) AS i, CAST(1.0 AS DOUBLE) AS w, false AS far
+  UNION ALL
+  SELECT s + 1, j, sum(w * q), bool_or(abs(j * m - (s + 1 - j) * n) >= h) FROM (
+    SELECT s, i + 1 AS j, w, (n - i) / CAST(n + m - s AS DOUBLE) AS q, n, m, h FROM p, h WHERE NOT far AND i < n
+    UNION ALL
+    SELECT s, i AS j, w, (m - (s - i)) / CAST(n + m - s AS DOUBLE) AS q, n, m, h FROM p, h WHERE NOT far AND s - i < m
+  ) AS steps GROUP BY s, j)
+SELECT 's_acctbal' AS column_name, CAST(h AS DOUBLE) / (n * m) AS ks_statistic, (SELECT sum(w) FROM p WHERE far) AS ks_pvalue,
+       n AS n_real, m AS n_syn FROM h"""
+
+
+@register("f2_exact_pvalue", EXACT_SQL, doubles=["ks_statistic", "ks_pvalue"])
+def q_exact(spark, sf_dir):
+    """F2 on a small pair (suppliers whose key 3 divides, and the others with a shifted balance): the exact p-value."""
+    s = table(spark, sf_dir, "supplier")
+    real = s.filter("s_suppkey % 3 = 0").select("s_acctbal")
+    syn = s.filter("s_suppkey % 3 > 0").select((F.col("s_acctbal") + F.col("s_nationkey") * 20).alias("s_acctbal"))
+    return uni.ks_wasserstein(TablePair(real, syn)).drop("wasserstein")
+
+
 def _jsd_sql(bins: int = 50) -> str:
     return (f"WITH {pair_cte()},\n{melted_cte('mr', 'real', NUM)},\n{melted_cte('ms', 'syn', NUM)},\n"
             "rng0 AS (SELECT column_name, min(value) AS lo, max(value) AS hi FROM mr GROUP BY 1),\n"

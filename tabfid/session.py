@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -57,3 +58,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Cuts the lineage: later jobs read files that survive the loss of any executor.  The tables of a
+    session lie in one folder, which its file system removes when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabfid-{sc.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_ROOTS: set[str] = set()
