@@ -147,7 +147,7 @@ def _read(points) -> dict:
 
 
 def _score(dist, v: np.ndarray, smooth: bool, categorical: bool, n: int) -> np.ndarray:
-    """Normal scores of a column's values: by the middle of the ranks a value takes; missing values score 0."""
+    """Middle of the ranks that each of a column's values takes, from 0 to 1; missing values lie at 0.5."""
     large, x, s, upto = dist
     missing = pd.isna(v)
     at = s if categorical else x
@@ -160,7 +160,7 @@ def _score(dist, v: np.ndarray, smooth: bool, categorical: bool, n: int) -> np.n
     else:
         i = np.minimum(np.searchsorted(at, ask), len(at) - 1)
         u = (upto[i] + np.where(i > 0, upto[i - 1], 0)) / 2 / upto[-1]
-    return norm_ppf(np.where(missing, 0.5, u))
+    return np.where(missing, 0.5, u)
 
 
 def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: dict, n_quantiles: int) -> DataFrame:
@@ -182,24 +182,24 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dists, smooth = {}, {}
         for batch in batches:
-            out = []
             data = [batch[f"c{i}"].to_numpy() for i in range(k)]
             tags, keys, points = batch["_tag"].to_numpy(), batch["_key"].to_numpy(), batch["points"].to_numpy()
             heads_at = np.flatnonzero(tags == 0)
-            bounds = [*([] if len(heads_at) and heads_at[0] == 0 else [-1]), *heads_at.tolist()]
-            for b, head in enumerate(bounds):
+            bounds = [*([] if len(heads_at) and heads_at[0] == 0 else [-1]), *heads_at.tolist(), len(tags)]
+            u, groups = np.full((len(tags), k), 0.5), []
+            for head, hi in zip(bounds, bounds[1:]):
                 if head >= 0:
                     dists = _read(points[head])
                     smooth = {i: not categorical[i] and d[3][0] == 0 and not d[0] for i, d in dists.items()}
-                lo, hi = head + 1, bounds[b + 1] if b + 1 < len(bounds) else len(tags)
-                if lo >= hi:
-                    continue
-                z = np.ones((hi - lo, k + 1))
-                for i in range(k):
-                    z[:, i + 1] = _score(dists[i], data[i][lo:hi], smooth[i], categorical[i], n_quantiles) if i in dists else 0.0
-                out.append((keys[lo], (z.T @ z)[upper]))
-            if out:
-                yield pd.DataFrame({"_key": [x[0] for x in out], "sums": [x[1] for x in out]})
+                lo = head + 1
+                if lo < hi:
+                    groups.append((lo, hi))
+                    for i, d in dists.items():
+                        u[lo:hi, i] = _score(d, data[i][lo:hi], smooth[i], categorical[i], n_quantiles)
+            if groups:
+                z = np.hstack([np.ones((len(u), 1)), norm_ppf(u)])
+                yield pd.DataFrame({"_key": [keys[lo] for lo, _ in groups],
+                                    "sums": [(z[lo:hi].T @ z[lo:hi])[upper] for lo, hi in groups]})
 
     sums = merged.mapInPandas(add, "_key string, sums array<double>")
     return sums.select("_key", F.posexplode("sums").alias("i", "v")).groupBy("_key", "i").agg(F.sum("v").alias("v"))
@@ -341,35 +341,47 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
         at = np.minimum(np.searchsorted(np.cumsum(share), u, side="right"), len(upto) - 1)
         return (s.astype(object) if cat else x)[at], None, None
 
+    def made(pieces: list[tuple[dict, np.ndarray]]) -> pd.DataFrame:
+        """Rows of several (stratum, row ids): random numbers at once, values stratum by stratum."""
+        ids = np.concatenate([i for _, i in pieces])
+        z, ends = normals(ids, k, seed), np.cumsum([0, *(len(i) for _, i in pieces)])
+        spans = list(zip(pieces, ends, ends[1:]))
+        for (row, _), lo, hi in spans:
+            z[lo:hi] = z[lo:hi] @ row["chol"].reshape(k, k).T
+        u = norm_cdf(z)
+        holes = uniforms(ids, k, seed + 1_000_003) < np.repeat([r["nulls"] for r, _ in pieces], np.diff(ends), axis=0)
+        names = np.array([[r["_key"], r["stratum"]] for r, _ in pieces], dtype=object).repeat(np.diff(ends), axis=0)
+        out = {"_key": names[:, 0], "_stratum": names[:, 1]}
+        for i in range(k):
+            v = np.full(len(ids), None, dtype=object) if categorical[i] else np.full(len(ids), np.nan)
+            places, numbers = np.full(len(ids), np.nan), -1 - ids  # without a place: a bucket that matches nothing
+            for (row, _), lo, hi in spans:
+                got, r, b = column(row["dists"].get(i), u[lo:hi, i], categorical[i], row["sizes"].get(i))
+                v[lo:hi] = got
+                if r is not None:
+                    places[lo:hi], numbers[lo:hi] = r, b
+            v[holes[:, i]] = None if categorical[i] else np.nan
+            out[f"c{i}"] = v
+            if i in large:
+                out[f"r{i}"] = np.where(holes[:, i], np.nan, places)
+                out[f"b{i}"] = np.where(holes[:, i], -1 - ids, numbers)
+        return pd.DataFrame(out)
+
     def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        many = 0
+        held, many = [], 0
         for batch in batches:
             for row in batch.to_dict("records"):
-                dists, heads = _read(row["points"]), {h["column"]: h for h in row["heads"]}
-                chol = np.asarray(row["chol"]).reshape(k, k)
-                nulls = np.asarray(row["nulls"])
+                row |= {"dists": _read(row["points"]), "sizes": {h["column"]: h for h in row["heads"]},
+                        "chol": np.asarray(row["chol"]), "nulls": np.asarray(row["nulls"])}
                 for lo in range(0, row["len"], BATCH):
                     ids = row["start"] + np.arange(lo, min(lo + BATCH, row["len"]), dtype=np.int64)
-                    u = norm_cdf(normals(ids, k, seed) @ chol.T)
-                    holes = uniforms(ids, k, seed + 1_000_003) < nulls
-                    out = {"_key": np.full(len(ids), row["_key"], dtype=object), "_stratum": np.full(len(ids), row["stratum"], dtype=object)}
-                    for i in range(k):
-                        v, r, b = column(dists.get(i), u[:, i], categorical[i], heads.get(i))
-                        v[holes[:, i]] = None if categorical[i] else np.nan
-                        out[f"c{i}"] = v
-                        if i in large:
-                            gone = holes[:, i] | (r is None)
-                            out[f"r{i}"] = np.where(gone, np.nan, 0.0 if r is None else r)
-                            # rows without a place get buckets of their own that match nothing
-                            out[f"b{i}"] = np.where(gone, -1 - ids, 0 if b is None else b)
-                    held.append(pd.DataFrame(out))
+                    held.append((row, ids))
                     many += len(ids)
                     if many >= BATCH:
-                        yield pd.concat(held, ignore_index=True)
+                        yield made(held)
                         held, many = [], 0
         if held:
-            yield pd.concat(held, ignore_index=True)
+            yield made(held)
 
     out = blocks.mapInPandas(generate, schema)
     for i in large:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
-from tabfid.operators import synth
+from tabfid.operators import synth, synth_tables
 from tabfid.operators.sampling import quotas, rows_to_generate
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import lineitem_with_nulls, table
@@ -132,3 +133,69 @@ def q_g7(spark, sf_dir):
     model = synth.fit_copula(_li(spark, sf_dir))
     synth.save_model(spark, model, base, "lineitem", "v1")
     return synth.category_table(spark, synth.load_model(spark, base, "lineitem", "v1"))
+
+
+def _many_values(spark, sf_dir):
+    """Four rows for each line: an integer code that a third of the rows share and no other two have in common, and
+    a name that is ``hot`` on about half of the lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    li = li.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    own = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 4 + F.col("copy")
+    return li.select(F.when(own % 3 == 0, F.lit(7)).otherwise(own).cast("long").alias("code"),
+                     F.when(F.col("l_returnflag") == "N", F.lit("hot")).otherwise(F.concat(F.lit("n"), own)).alias("name"), "l_quantity")
+
+
+G2V_SQL = """SELECT CAST(4 * count(*) AS BIGINT) AS n_rows, true AS values_seen, true AS hot_code_share, true AS hot_name_share,
+true AS rare_code_share, true AS rare_name_share, true AS no_nulls FROM lineitem"""
+
+
+@register("g2_many_values", G2V_SQL)
+def q_g2v(spark, sf_dir):
+    """G1-G3 with more values than the driver's model takes: as many rows as there were.  Every code and name was seen;
+    the frequent ones have their share; of values seen once 1 - 1/e are drawn, within 2 % of the rows."""
+    df = _many_values(spark, sf_dir)
+    n = df.count()
+    out = synth.sample_copula(spark, synth.fit_copula(df), n, seed=5)
+
+    def facts(d):
+        seen = {c: d.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")) for c in ("code", "name")}
+        return seen, d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == 7).alias("hot_code"),
+                           F.count_if(F.col("name") == "hot").alias("hot_name"),
+                           F.count_if(F.col("code").isNull() | F.col("name").isNull()).alias("nulls"))
+
+    (was, a), (now, b) = facts(df), facts(out)
+    rare = []
+    for c in ("code", "name"):
+        j = was[c].select("v", F.col("n").alias("n0")).join(now[c].select("v", F.col("n").alias("n1")), "v", "full")
+        rare.append(j.agg(F.count_if(F.col("n0").isNull()).alias(f"{c}_new"), F.count_if(F.col("n0") == 1).alias(f"{c}_once"),
+                          F.count_if((F.col("n0") == 1) & F.col("n1").isNotNull()).alias(f"{c}_drawn")))
+    one = F.broadcast  # each table has one row
+    j = a.select(*[F.col(c).alias(f"was_{c}") for c in a.columns]).join(one(b), F.lit(True)).join(one(rare[0]), F.lit(True)).join(one(rare[1]), F.lit(True))
+
+    def share(c):
+        return F.abs(F.col(f"{c}_drawn") / F.col(f"{c}_once") - (1 - math.exp(-1))) < 0.02
+
+    return j.select(
+        F.col("n").alias("n_rows"), (F.col("code_new") + F.col("name_new") == 0).alias("values_seen"),
+        (F.abs(F.col("hot_code") - F.col("was_hot_code")) < 0.02 * F.col("n")).alias("hot_code_share"),
+        (F.abs(F.col("hot_name") - F.col("was_hot_name")) < 0.02 * F.col("n")).alias("hot_name_share"),
+        share("code").alias("rare_code_share"), share("name").alias("rare_name_share"), (F.col("nulls") == 0).alias("no_nulls"))
+
+
+G4M_SQL = """WITH d AS (SELECT CAST((l_orderkey * 10 + l_linenumber) * 8 + l_partkey % 8 AS VARCHAR) AS cell, l_quantity FROM lineitem)
+SELECT cell, CAST(4 * count(*) AS BIGINT) AS n_rows, min(l_quantity) AS least, max(l_quantity + 3) AS most, true AS in_range FROM d GROUP BY cell"""
+
+
+@register("g4_many_conditions", G4M_SQL)
+def q_g4m(spark, sf_dir):
+    """G4 with about one condition for each line of an order (nearly as many as lineitem has rows): the fitted
+    number of rows for each value, generated from the model's own table of strata, within the value's range."""
+    li = table(spark, sf_dir, "lineitem")
+    df = li.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 8 + F.col("l_partkey") % 8).cast("string").alias("cell"), F.explode(F.array(
+        *[(F.col("l_quantity") + i).cast("double") for i in range(4)])).alias("quantity"), "l_extendedprice", "l_discount", "l_returnflag")
+    model = synth.fit_copula(df, condition="cell")
+    out = synth.sample_copula(spark, model, synth_tables.proportional_quota(model, df.count()), seed=5)
+    got = out.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"), F.min("quantity").alias("lo"), F.max("quantity").alias("hi"))
+    was = df.groupBy("cell").agg(F.min("quantity").alias("least"), F.max("quantity").alias("most"))
+    return got.join(was, "cell").select("cell", "n_rows", "least", "most", (
+        (F.col("lo") >= F.col("least") - 1e-9) & (F.col("hi") <= F.col("most") + 1e-9)).alias("in_range"))
