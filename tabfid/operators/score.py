@@ -121,7 +121,8 @@ def dimension_table(details: DataFrame) -> DataFrame:
 
 def summary(metrics: DataFrame, utility: DataFrame | None = None) -> DataFrame:
     """Q8: nested summary (classifier, privacy, correlation, similarity) as a long table
-    (section, key, value) filled with the measured values (no placeholders)."""
+    (section, key, value) filled with the measured values (no placeholders).  ``utility`` is U4's row
+    (``f1_utility``): macro-F1 of both models and their ratio."""
     m = metrics.withColumn("similarity_score", _similarity(metrics))
     items = [("privacy", "duplicate_rows_percentage"), ("privacy", "nearest_neighbor_mean"),
              ("privacy", "nearest_neighbor_std"), ("correlation", "correlation_distance_rmse"),
@@ -132,7 +133,7 @@ def summary(metrics: DataFrame, utility: DataFrame | None = None) -> DataFrame:
         F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.col(k).cast("double").alias("value"))
         for s, k in items])))
     if utility is not None:
-        out = out.unionByName(utility.select(
-            F.lit("classifier").alias("section"), F.col("metric").alias("key"),
-            F.col("synthetic_score").alias("value")))
+        out = out.unionByName(utility.select(F.lit("classifier").alias("section"), F.inline(F.array(*[
+            F.struct(F.lit(k).alias("key"), F.col(c).alias("value"))
+            for k, c in (("real_f1", "real_score"), ("synthetic_f1", "synthetic_score"), ("utility_score", "utility"))]))))
     return out

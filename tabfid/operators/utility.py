@@ -147,11 +147,12 @@ def ml_utility(real: DataFrame, synthetic: DataFrame, target: str, keys: list[st
 
 
 def f1_utility(real: DataFrame, synthetic: DataFrame, target: str, keys: list[str],
-               test_size: float = 0.2, seed: int = 42, max_depth: int = 10) -> DataFrame:
+               test_size: float = 0.2, seed: int = 42, max_depth: int = 10, num_trees: int = 50,
+               features: list[str] | None = None) -> DataFrame:
     """U4: macro-F1 with 50 trees, for any number of classes; utility = f1_syn / max(f1_real, 0.001)."""
     spark = real.sparkSession
-    r = ml_utility(real, synthetic, target, keys, "classification", test_size, 50, max_depth, seed,
-                   metric="macro_f1").first()
+    r = ml_utility(real, synthetic, target, keys, "classification", test_size, num_trees, max_depth, seed,
+                   features, metric="macro_f1").first()
     return spark.createDataFrame(
         [("macro_f1", r["real_score"], r["synthetic_score"],
           float(r["synthetic_score"] / max(r["real_score"], F1_FLOOR)))],

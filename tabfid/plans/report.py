@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabfid.functions.exprs import zero_fill_col
 from tabfid.operators import multivariate as mv
 from tabfid.operators import score as sc
 from tabfid.operators import univariate as uni
@@ -47,11 +48,14 @@ def metrics_frame(spark, metrics: dict) -> DataFrame:
 
 def evaluate_all(pair: TablePair, cols: list[str] | None = None, target: str | None = None,
                  task: str = "classification", keys: list[str] | None = None, persist: bool = True,
-                 utility_in_score: bool = False) -> DataFrame:
+                 utility_in_score: bool = False, keyed_real: DataFrame | None = None, num_trees: int = 100,
+                 max_depth: int = 10) -> DataFrame:
     """Q6: every metric, one failing metric never stops the rest.
 
     Result: long table (metric, column_name, value, error).  Both sides are persisted
-    once (memory and disk) and shared by all jobs, then released."""
+    once (memory and disk) and shared by all jobs, then released.  With ``target`` the ML utility is a section
+    of the report: forests of ``num_trees`` trees, trained on the pair's columns; the real split needs the unique
+    row ``keys``, from ``keyed_real`` (the real table with its keys) where the pair lacks them."""
     spark = pair.real.sparkSession
     cols = cols or pair.numeric
     if persist:
@@ -92,7 +96,14 @@ def evaluate_all(pair: TablePair, cols: list[str] | None = None, target: str | N
         from tabfid.operators.utility import ml_utility
 
         def util():
-            u = ml_utility(pair.real, pair.synthetic, target, keys, task).first()
+            real = pair.real
+            if keyed_real is not None:
+                types = {f.name: f.dataType for f in keyed_real.schema.fields}
+                real = keyed_real.select(*[k for k in keys if k not in pair.columns],
+                                         *[zero_fill_col(c, types[c]) for c in pair.columns])
+            features = [c for c in pair.columns if c != target and c not in keys]
+            u = ml_utility(real, pair.synthetic, target, keys, task, num_trees=num_trees, max_depth=max_depth,
+                           features=features).first()
             rows.append((f"real_model_{u['metric']}", None, u["real_score"], None))
             rows.append((f"synthetic_model_{u['metric']}", None, u["synthetic_score"], None))
             rows.append(("relative_performance_percentage", None, u["relative_performance_pct"], None))
