@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from tabfid.functions.exprs import INTEGRAL_TYPES
 from tabfid.functions.random import norm_cdf, norm_ppf, normals, uniforms
+from tabfid.operators.model_store import find_version, publish
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
 from tabfid.operators.synth_tables import TableModel, category_rows, fit_tables, quantile_rows, sample_tables
 
@@ -368,9 +369,12 @@ def _typed(out: DataFrame, model: CopulaModel | TableModel) -> DataFrame:
 
 # ------------------------------------------------------------------ G7 save / load
 
-def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, version: str) -> str:
-    """Fitted state as parquet tables under ``<path>/<name>/<version>``."""
-    base = f"{path.rstrip('/')}/{name}/{version}"
+def save_model(spark: SparkSession, model: CopulaModel | TableModel, path: str, name: str, version: str) -> str:
+    """The fitted state as parquet tables, published as a version of ``name`` (``model_store``); returns their folder."""
+    meta = {"columns": model.columns, "condition": model.condition, "n_quantiles": model.n_quantiles, **model.meta}
+    if isinstance(model, TableModel):
+        tables = {"strata": model.strata, "values": model.values, "meta": spark.createDataFrame([(json.dumps(meta),)], "meta string")}
+        return publish(spark, path, name, version, "tables", tables)
     q_rows, c_rows, r_rows, n_rows, v_rows = [], [], [], [], []
     for s, ms in model.marginals.items():
         for c, m in ms.items():
@@ -383,25 +387,24 @@ def save_model(spark: SparkSession, model: CopulaModel, path: str, name: str, ve
             n_rows.append((s, c, m.discrete, float(m.nulls)))
         cm = model.corr[s]
         r_rows += [(s, i, j, float(cm[i, j])) for i in range(len(cm)) for j in range(len(cm))]
-    spark.createDataFrame(q_rows, "stratum string, column_name string, i int, q double, discrete boolean") \
-        .write.mode("overwrite").parquet(f"{base}/quantiles")
-    spark.createDataFrame(c_rows, "stratum string, column_name string, value string, p double, code int") \
-        .write.mode("overwrite").parquet(f"{base}/categories")
-    spark.createDataFrame(r_rows, "stratum string, i int, j int, corr double") \
-        .write.mode("overwrite").parquet(f"{base}/correlation")
-    spark.createDataFrame(v_rows, "stratum string, column_name string, value double, p double") \
-        .write.mode("overwrite").parquet(f"{base}/values")
-    spark.createDataFrame(n_rows, "stratum string, column_name string, discrete boolean, nulls double") \
-        .write.mode("overwrite").parquet(f"{base}/columns")
-    meta = {"columns": model.columns, "condition": model.condition, "n_quantiles": model.n_quantiles,
-            "counts": list(model.counts.items()), **model.meta}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(f"{base}/meta")
-    return base
-
-
-def load_model(spark: SparkSession, path: str, name: str, version: str) -> CopulaModel:
-    """Read a saved model back (bounded tables)."""
-    base = f"{path.rstrip('/')}/{name}/{version}"
+    meta["counts"] = list(model.counts.items())
+    return publish(spark, path, name, version, "rows", {
+        "quantiles": spark.createDataFrame(q_rows, "stratum string, column_name string, i int, q double, discrete boolean"),
+        "categories": spark.createDataFrame(c_rows, "stratum string, column_name string, value string, p double, code int"),
+        "correlation": spark.createDataFrame(r_rows, "stratum string, i int, j int, corr double"),
+        "values": spark.createDataFrame(v_rows, "stratum string, column_name string, value double, p double"),
+        "columns": spark.createDataFrame(n_rows, "stratum string, column_name string, discrete boolean, nulls double"),
+        "meta": spark.createDataFrame([(json.dumps(meta),)], "meta string")})
+
+
+def load_model(spark: SparkSession, path: str, name: str, version: str | None = None) -> CopulaModel | TableModel:
+    """A saved model, the last saved one without ``version``."""
+    base, kind = find_version(spark, path, name, version)
+    if kind == "tables":
+        meta = json.loads(spark.read.parquet(f"{base}/meta").first()["meta"])
+        rest = {k: v for k, v in meta.items() if k not in ("columns", "condition", "n_quantiles")}
+        return TableModel(meta["columns"], spark.read.parquet(f"{base}/strata"), spark.read.parquet(f"{base}/values"),
+                          meta["condition"], meta["n_quantiles"], rest)
     meta = json.loads(spark.read.parquet(f"{base}/meta").first()["meta"])
     kinds, types = meta["kinds"], meta["types"]
     counts = {s: int(n) for s, n in meta["counts"]}

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tabfid.operators import synth, synth_tables
+from tabfid.operators import model_store, synth, synth_tables
 from tabfid.operators.sampling import quotas, rows_to_generate
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import lineitem_with_nulls, table
@@ -135,6 +135,28 @@ def q_g7(spark, sf_dir):
     return synth.category_table(spark, synth.load_model(spark, base, "lineitem", "v1"))
 
 
+G7V_SQL = """SELECT version, CAST(count(*) AS BIGINT) AS categories FROM (
+  SELECT DISTINCT 'all' AS version, l_returnflag AS v FROM lineitem
+  UNION ALL SELECT DISTINCT 'returned', l_returnflag FROM lineitem WHERE l_returnflag = 'R') GROUP BY version"""
+
+
+@register("g7_versions", G7V_SQL)
+def q_g7v(spark, sf_dir):
+    """Three versions saved, one of them overwritten and one deleted; the categories of each version that is left."""
+    base = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    flags = table(spark, sf_dir, "lineitem").select("l_returnflag")
+    every, some = (synth.fit_copula(d) for d in (flags, flags.filter("l_returnflag = 'R'")))
+    for version, model in (("all", some), ("returned", some), ("gone", every), ("all", every)):
+        synth.save_model(spark, model, base, "flags", version)
+    model_store.delete_version(spark, base, "flags", "gone")
+    out = None
+    for r in model_store.list_versions(spark, base, "flags").orderBy("version").collect():
+        loaded = synth.category_table(spark, synth.load_model(spark, base, "flags", r["version"]))
+        one = loaded.agg(F.count(F.lit(1)).alias("categories")).select(F.lit(r["version"]).alias("version"), "categories")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _many_values(spark, sf_dir):
     """Four rows for each line: an integer code that a third of the rows share and no other two have in common, and
     a name that is ``hot`` on about half of the lines."""

@@ -105,3 +105,34 @@ def test_many_strata(spark):
     assert bad.count() == 0
     with pytest.raises(ValueError, match="no fitted stratum"):
         synth.sample_copula(spark, model, {"none": 3})
+
+
+def test_versions(spark, monkeypatch, tmp_path):
+    """Save, list, overwrite, delete; a reader that started before a save keeps the old version."""
+    from tabfid.operators import model_store as ms
+
+    small, tables = both(spark, monkeypatch, "g")
+    base = str(tmp_path)
+    assert ms.list_versions(spark, base, "m").collect() == []
+    first = synth.save_model(spark, small, base, "m", "v1")
+    reader = synth.load_model(spark, base, "m", "v1")
+    synth.save_model(spark, tables, base, "m", "v2")
+    loaded = synth.load_model(spark, base, "m")
+    assert isinstance(loaded, synth_tables.TableModel)
+    n = {"g0": 50, None: 30}
+    assert rows(synth.sample_copula(spark, loaded, n, 2)) == rows(synth.sample_copula(spark, tables, n, 2))
+    assert rows(synth.sample_copula(spark, reader, n, 2)) == rows(synth.sample_copula(spark, small, n, 2))
+    # a save that is not published yet does not count
+    spark.range(3).write.parquet(f"{base}/m/v1/half/quantiles")
+    assert ms.find_version(spark, base, "m", "v1") == (first, "rows")
+    second = synth.save_model(spark, tables, base, "m", "v1")
+    assert ms.find_version(spark, base, "m", "v1") == (second, "tables")
+    assert spark.read.parquet(f"{first}/quantiles").count() > 0  # readers of the old save go on
+    assert ms.remove_overwritten(spark, base, "m") == 1 and not (tmp_path / first.split("/")[-1]).exists()
+    ms.delete_version(spark, base, "m", "v1")
+    assert [r["version"] for r in ms.list_versions(spark, base, "m").collect()] == ["v2"]
+    assert not (tmp_path / "m" / "v1").exists()
+    with pytest.raises(ValueError, match="no saved version"):
+        synth.load_model(spark, base, "m", "v1")
+    synth.save_model(spark, small, base, "m", "v1")
+    assert ms.find_version(spark, base, "m")[1] == "rows"
