@@ -258,18 +258,32 @@ def correlation_distance(pair: TablePair, cols: list[str] | None = None,
         F.when(F.col("k") <= 1, 0.0).otherwise(F.col("mae")).alias("correlation_distance_mae"))
 
 
+def _row_digest(df: DataFrame, cols: list[str]):
+    """SHA-256 of the cells, each with its length before it and nulls marked, so that different rows are different
+    strings; -0.0 counts as 0.0, as in a grouping."""
+    types = dict(df.dtypes)
+
+    def cell(c):
+        v = F.col(c) + 0.0 if types[c] in ("double", "float") else F.col(c)
+        v = F.to_json(F.struct(v.alias("v"))) if types[c].startswith(("array", "struct", "map")) else v.cast("string")
+        return F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+
+    return F.unhex(F.sha2(F.concat(*[cell(c) for c in cols]), 256))
+
+
 def duplicate_rows(pair: TablePair, cols: list[str] | None = None) -> DataFrame:
-    """Exact copies in one shuffle on the whole row.
+    """Exact copies, found by a 256-bit digest of each row.
 
     duplicate_rows_count = distinct rows present on both sides; duplicate_rows_percentage
     = that count / synthetic rows * 100 (the reference's definition); copied_rows_pct =
     synthetic rows (repeats included) that equal some real row.  Equal rows combine
-    map-side before the shuffle, so a row repeated a billion times costs one record.
+    map-side before the shuffle, so a row repeated a billion times costs one record, and a record is a digest
+    and two numbers however wide the row is.
     """
     cols = cols or pair.columns
     t = pair.tagged(cols)
-    g = t.groupBy(*cols).agg(F.max(1 - F.col(SIDE)).alias("in_real"),
-                             F.sum(F.col(SIDE)).alias("n_syn"))
+    g = t.select(SIDE, _row_digest(t, cols).alias("_digest")).groupBy("_digest").agg(
+        F.max(1 - F.col(SIDE)).alias("in_real"), F.sum(F.col(SIDE)).alias("n_syn"))
     both = (F.col("in_real") == 1) & (F.col("n_syn") > 0)
     agg = g.agg(F.count_if(both).alias("duplicate_rows_count"),
                 F.sum("n_syn").alias("synthetic_rows"),

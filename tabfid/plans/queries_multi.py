@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabfid.operators import multivariate as mv
+from tabfid.operators.pair import TablePair
 from tabfid.plans.catalog import register
-from tabfid.plans.fixtures import COPY_COLUMNS, PAIR_NUMERIC, lineitem_pair
+from tabfid.plans.fixtures import COPY_COLUMNS, PAIR_NUMERIC, lineitem_halves, lineitem_pair
 from tabfid.plans.sqltext import pair_cte, union_rows
 
 NUM = PAIR_NUMERIC
@@ -178,7 +181,7 @@ FAR_CTE = ("far AS (SELECT * REPLACE (CASE WHEN l_partkey % 29 = 0 THEN -9999999
            "AS l_extendedprice, CASE WHEN l_discount > 0.08 THEN l_discount ELSE 0.0 END AS l_discount) FROM lineitem), ")
 
 
-def _nn_sql(far: bool = False) -> str:
+def _nn_sql(far: bool = False, epsilon: float | None = None) -> str:
     from tabfid.plans.sqltext import pair_cte
 
     def _pc():
@@ -194,9 +197,9 @@ def _nn_sql(far: bool = False) -> str:
             f"zs AS (SELECT {cols}, count(*) AS w FROM (SELECT {z} FROM syn, st) AS q GROUP BY {cols}),\n"
             f"d AS (SELECT s.w, sqrt(min({dist})) AS d FROM zs AS s, zr AS r GROUP BY {grp}, s.w),\n"
             "a AS (SELECT sum(w) AS n, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(CASE WHEN d = 0 THEN w ELSE 0 END) "
-            "AS z FROM d)\n"
+            f"AS z, sum(CASE WHEN d < {epsilon or 0.0} THEN w ELSE 0 END) AS near FROM d)\n"
             "SELECT s1 / n AS nearest_neighbor_mean, sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0.0)) "
-            "AS nearest_neighbor_std, z / n AS exact_match_share FROM a")
+            "AS nearest_neighbor_std, z / n AS exact_match_share" + (", near / n AS near_share" if epsilon is not None else "") + " FROM a")
 
 
 @register("j6_nearest_neighbor", _nn_sql(),
@@ -216,6 +219,33 @@ def q_j6_far(spark, sf_dir):
     return nearest_neighbor_distance(lineitem_pair(spark, sf_dir, far=True), NUM)
 
 
+J6A_SQL = """WITH q AS (SELECT DISTINCT l_linenumber, l_quantity + l_partkey % 3, l_extendedprice * 1.05, l_discount, l_tax
+  FROM lineitem WHERE l_orderkey % 50 = 25) SELECT count(*) AS n_points, true AS recall_reached, true AS never_nearer FROM q"""
+
+
+@register("j6_approximate_recall", J6A_SQL)
+def q_j6_approx(spark, sf_dir):
+    """J6 approximate against exact, for all synthetic rows whose order 25 divides (distinct points): at least 0.9 of
+    them get their nearest row, and none a distance below it."""
+    from tabfid.operators.neighbors import approximate_points, nearest_neighbor_points
+    real, syn = lineitem_halves(spark, sf_dir, columns=["l_orderkey", *NUM])
+    pair = TablePair(real.select(*NUM), syn.filter(F.col("l_orderkey") % 50 == 25).select(*NUM))
+    exact = nearest_neighbor_points(pair, NUM, leaf_size=512).select(*NUM, F.col("d").alias("exact"))
+    j = approximate_points(pair, NUM, leaf_size=512).join(exact, NUM)
+    return j.agg(F.count(F.lit(1)).alias("n_points"), (F.avg((F.col("d") <= F.col("exact") + 1e-9).cast("double")) >= 0.9).alias("recall_reached"),
+                 F.min(F.col("d") >= F.col("exact") - 1e-9).alias("never_nearer"))
+
+
+J6E_SQL = _nn_sql(epsilon=0.1)
+
+
+@register("j6_near_share", J6E_SQL, doubles=["nearest_neighbor_mean", "nearest_neighbor_std", "exact_match_share", "near_share"])
+def q_j6_near(spark, sf_dir):
+    """J6 with the share of synthetic rows nearer than 0.1 to a real row."""
+    from tabfid.operators.neighbors import nearest_neighbor_distance
+    return nearest_neighbor_distance(lineitem_pair(spark, sf_dir), NUM, epsilon=0.1)
+
+
 CAT = ["l_returnflag", "l_linestatus"]
 
 

@@ -79,3 +79,45 @@ def test_ks_pvalue_is_exact_for_small_sides_only(spark, monkeypatch):
     asymptotic = uni.ks_wasserstein(pair).first()["ks_pvalue"]
     assert asymptotic != exact["ks_pvalue"] and asymptotic == pytest.approx(exact["ks_pvalue"], rel=0.5)
     assert uni.exact_ks_pvalue(0.0, 7, 9) == 1.0 and 0 < uni.exact_ks_pvalue(1.0, 500, 400) < 1e-200
+
+
+def test_kde_by_moments_equals_a_kernel_per_value(spark):
+    rng = np.random.default_rng(3)
+    values = [np.concatenate([rng.normal(0, 1, 400), rng.normal(50, 0.01, 100), [1e4]]), np.repeat([1.0, 2.0, 7.5], [300, 5, 60])]
+    pair = TablePair(*[spark.createDataFrame([(float(v), 3.0) for v in x], "x double, flat double").repartition(3) for x in values])
+    got = {(r["column_name"], r["side"], r["i"]): r for r in uni.kde_curves(pair).collect()}
+    want = uni.kde_curves(pair, every_value=True).collect()
+    assert len(got) == len(want) == 400
+    peak = {s: max(r["density"] for r in want if r["side"] == s) for s in ("real", "synthetic")}
+    for r in want:
+        g = got[r["column_name"], r["side"], r["i"]]
+        assert g["x"] == r["x"] and abs(g["density"] - r["density"]) <= 1e-12 * peak[r["side"]]
+
+
+def test_copies_by_digest(spark):
+    schema = "a string, b string, c double, d array<int>"
+    real = [("x", "yz", 0.0, [1]), ("xy", "z", 1.0, None), (None, "q", None, []), ("w", None, float("nan"), [1, None]), ("r", "r", 2.0, [2])]
+    syn = [("x", "yz", -0.0, [1])] * 3 + [("xyz", "", 1.0, None), (None, "q", None, []), ("w", None, float("nan"), [1, None]), ("w", "-", 1.0, [])]
+    pair = TablePair(spark.createDataFrame(real, schema), spark.createDataFrame(syn, schema), zero_fill=False)
+    got = mv.duplicate_rows(pair).first()
+    assert (got["duplicate_rows_count"], got["synthetic_rows"]) == (3, 7)
+    assert got["copied_rows_pct"] == pytest.approx(500 / 7) and got["duplicate_rows_percentage"] == pytest.approx(300 / 7)
+
+
+def test_approximate_neighbours(spark):
+    from tabfid.operators.neighbors import approximate_points, nearest_neighbor_distance, nearest_neighbor_points
+    rng = np.random.default_rng(5)
+    cols = [f"c{i}" for i in range(12)]
+    make = lambda n: spark.createDataFrame([tuple(map(float, r)) for r in rng.standard_normal((n, 12)) @ mix], ", ".join(f"{c} double" for c in cols))
+    mix = rng.standard_normal((12, 12)) * np.exp(-np.arange(12) / 2)[:, None]
+    pair = TablePair(make(3000), make(300))
+    exact = {tuple(r)[:12]: r["d"] for r in nearest_neighbor_points(pair, cols, leaf_size=100).collect()}
+    near = {tuple(r)[:12]: r["d"] for r in approximate_points(pair, cols, leaf_size=100).collect()}
+    assert near.keys() == exact.keys() and all(near[p] >= exact[p] - 1e-12 for p in exact)
+    assert np.mean([near[p] <= exact[p] + 1e-9 for p in exact]) >= 0.9
+    e = nearest_neighbor_distance(pair, cols, leaf_size=100, epsilon=0.5).first()
+    a = nearest_neighbor_distance(pair, cols, leaf_size=100, epsilon=0.5, approx=True).first()
+    assert a["nearest_neighbor_mean"] == pytest.approx(e["nearest_neighbor_mean"], rel=0.02)
+    assert e["near_share"] == pytest.approx(np.mean([d < 0.5 for d in exact.values()]))
+    empty = TablePair(pair.real.limit(0), pair.synthetic)
+    assert approximate_points(empty, cols).count() in (0, 300)
