@@ -7,10 +7,13 @@ temperature for categories), not the output.
 * fit: marginals in one aggregate (quantile table per continuous / datetime column,
   ``percentile_approx``) and count jobs for categories and for the values of integer and ordinal
   columns; dependence = correlation of the rows' normal scores (partial sums in Arrow batches).
+  Categories have no order, so columns of up to ``TREE_VALUES`` of them are joined by a tree of the largest
+  mutual information (one job counts all their pairs).
   With a condition column every statistic is grouped by its value in the same jobs.
 * sample: ``spark.range(n)`` -> ``mapInPandas``: per-row counter-based normals ->
-  Cholesky factor -> normal CDF -> inverse marginal.  Randomness depends only on
-  (seed, row id), never on partitioning.
+  Cholesky factor -> normal CDF -> inverse marginal.  A category with a parent in the tree is drawn from its
+  share given the parent's value, by the part of its normal that its ancestors' normals do not tell.
+  Randomness depends only on (seed, row id), never on partitioning.
 
 Only per-column statistics (up to ``MAX_POINTS`` quantile points, ``MAX_CATEGORIES`` values per
 column) and k x k matrices reach the driver.  Past these bounds the model is kept as tables
@@ -36,9 +39,12 @@ from tabfid.operators.synth_tables import TableModel, category_rows, fit_tables,
 
 MAX_CATEGORIES = 100_000     # values per column, all strata together
 MAX_POINTS = 2_000_000       # quantile points and entries of correlations, all strata and columns together
+TREE_VALUES = 64             # categories of a column that takes part in the tree of dependences
+TREE_SIGMA = 5.0             # how far the G statistic of an edge lies above its mean under independence
 TEMPERATURE_ARGMAX = 0.5     # fixed: at or below this temperature categories take the mode
 ALL = "__all__"
 NULL_SEED = 1_000_003        # the choice of missing cells has a stream of its own
+TREE_SEED = 2_000_003        # and so have categories that their parents' normals determine
 
 
 @dataclass
@@ -63,6 +69,7 @@ class CopulaModel:
     condition: str | None = None
     n_quantiles: int = 1000
     meta: dict = field(default_factory=dict)
+    tree: dict = field(default_factory=dict)   # stratum -> [(child, parent, shares of the child by parent value)]
 
     def strata(self) -> list:
         return list(self.marginals)
@@ -159,9 +166,92 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     model = CopulaModel(cols, marg, {}, counts, condition, n_quantiles,
                         {"kinds": kinds, "types": {c: fields[c].simpleString() for c in cols}})
     model.corr = _fit_corr(df, model, g)
+    model.tree = _fit_tree(df, model, g)
     return model
 
 
+def _fit_tree(df: DataFrame, model: CopulaModel, g) -> dict:
+    """Per stratum the forest of largest mutual information among its categorical columns, parents first.
+
+    One job counts the pairs of values of all pairs of columns (at most ``TREE_VALUES`` squared each).  An edge
+    is only taken if the pair's G statistic is out of reach of independent columns."""
+    cats = [c for c in model.columns if model.meta["kinds"][c] == "categorical"
+            and 2 <= max((len(m[c].categories) for m in model.marginals.values()), default=0) <= TREE_VALUES]
+    pairs = [(a, b) for i, a in enumerate(cats) for b in cats[i + 1:]]
+    if not pairs:
+        return {}
+    long = df.select(g.alias("_g"), F.inline(F.array(*[F.struct(
+        F.lit(i).alias("pair"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")) for i, (a, b) in enumerate(pairs)])))
+    cells = long.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("_g", "pair", "a", "b").count()
+    tables: dict = {}
+    for r in cells.toLocalIterator():   # strata x pairs x TREE_VALUES^2 at most
+        ms = model.marginals[r["_g"]]
+        a, b = pairs[r["pair"]]
+        key = (r["_g"], r["pair"])
+        if key not in tables:
+            tables[key] = ({v: i for i, v in enumerate(ms[a].categories)}, {v: i for i, v in enumerate(ms[b].categories)},
+                           np.zeros((len(ms[a].categories), len(ms[b].categories))))
+        ia, ib, t = tables[key]
+        t[ia[r["a"]], ib[r["b"]]] = r["count"]
+    out: dict = {}
+    for s in model.marginals:
+        edges = []
+        for i, (a, b) in enumerate(pairs):
+            if (s, i) in tables:
+                t = tables[s, i][2]
+                n, free = t.sum(), (t.shape[0] - 1) * (t.shape[1] - 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mi = float(np.nansum(t / n * np.log(t * n / np.outer(t.sum(1), t.sum(0)))))
+                if free and 2 * n * mi > free + TREE_SIGMA * np.sqrt(2 * free):
+                    edges.append((-mi, a, b, t))
+        edges.sort(key=lambda e: e[:3])
+        root = {c: c for c in cats}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        near: dict = {c: [] for c in cats}
+        for _, a, b, t in edges:
+            if find(a) != find(b):
+                root[find(b)] = find(a)
+                near[a].append((b, t))
+                near[b].append((a, t.T))
+        seen, todo, found = set(), list(cats), []
+        while todo:
+            c = todo.pop(0)
+            if c in seen:
+                continue
+            seen.add(c)
+            stack = [c]
+            while stack:
+                p = stack.pop()
+                for child, t in near[p]:
+                    if child not in seen:
+                        seen.add(child)
+                        stack.append(child)
+                        rest = t.sum(1, keepdims=True)   # a parent value never seen with a child: its marginal shares
+                        found.append((child, p, np.where(rest > 0, t / np.maximum(rest, 1), model.marginals[s][child].probs)))
+        if found:
+            out[s] = found
+    return out
+
+
+def _residuals(chol: np.ndarray, columns: list[str], tree: list) -> dict:
+    """For each child of a tree: (its ancestors' indices, their weights, the spread that is left)."""
+    corr, parent, out = chol @ chol.T, {c: p for c, p, _ in tree}, {}
+    for c in parent:
+        up, at = [], c
+        while at in parent:
+            at = parent[at]
+            up.append(columns.index(at))
+        i = columns.index(c)
+        w = np.linalg.lstsq(corr[np.ix_(up, up)], corr[up, i], rcond=None)[0]
+        out[c] = (up, w, float(np.sqrt(max(1.0 - corr[i, up] @ w, 0.0))))
+    return out
+
+
 def _scores(pdf: pd.DataFrame, ms: dict, cols: list[str]) -> np.ndarray:
     """normal scores of each value under its marginal (mid-rank on the quantile grid)."""
     out = np.zeros((len(pdf), len(cols)))
@@ -310,7 +400,9 @@ def sample_copula(spark: SparkSession, model: CopulaModel | TableModel, n: int |
         total += int(quota[s])
     bounds = np.array([offsets[s] for s in strata] + [total], dtype=np.int64)
     chol = {s: _cholesky(model.corr[s]) for s in strata}
-    payload = spark.sparkContext.broadcast((model.marginals, chol, bounds, strata))
+    tree = {} if temperature is not None and temperature <= TEMPERATURE_ARGMAX else {s: model.tree[s] for s in strata if s in model.tree}
+    rest = {s: _residuals(chol[s], model.columns, t) for s, t in tree.items()}
+    payload = spark.sparkContext.broadcast((model.marginals, chol, bounds, strata, tree, rest))
     cols, kinds, cond = model.columns, model.meta["kinds"], model.condition
     types = model.meta["types"]
     integral = {c for c in cols if kinds[c] == "continuous"
@@ -318,7 +410,7 @@ def sample_copula(spark: SparkSession, model: CopulaModel | TableModel, n: int |
     k = len(cols)
 
     def gen(batches):
-        marg, ch, bnd, sts = payload.value
+        marg, ch, bnd, sts, trees, residuals = payload.value
         for pdf in batches:
             ids = pdf["id"].to_numpy()
             which = np.searchsorted(bnd, ids, side="right") - 1
@@ -328,10 +420,28 @@ def sample_copula(spark: SparkSession, model: CopulaModel | TableModel, n: int |
             for si in np.unique(which):
                 s = sts[si]
                 rows = which == si
-                u = norm_cdf(z_all[rows] @ ch[s].T)
-                for j, c in enumerate(cols):
-                    v = np.asarray(_values(marg[s][c], u[:, j], temperature), dtype=object)
-                    v[holes[rows, j] < marg[s][c].nulls] = None  # missing at the fitted share
+                z = z_all[rows] @ ch[s].T
+                u = norm_cdf(z)
+                at: dict = {}   # number of the category drawn, for columns of the tree
+                edges = {c: (p, t) for c, p, t in trees.get(s, [])}
+                parents = {p for p, _ in edges.values()}
+                for c in [*[c for c in cols if c not in edges], *edges]:
+                    j, m = cols.index(c), marg[s][c]
+                    if c in edges:
+                        p, shares = edges[c]
+                        up, w, left = residuals[s][c]
+                        own = norm_cdf((z[:, j] - z[:, up] @ w) / left) if left > 1e-3 else uniforms(ids[rows], k, seed + TREE_SEED)[:, j]
+                        if temperature is not None:
+                            shares = np.stack([_tempered(x, temperature) for x in shares])
+                        upto = np.cumsum(shares, axis=1)[at[p]]
+                        at[c] = np.minimum((own[:, None] >= upto).sum(axis=1), shares.shape[1] - 1)
+                        v = np.asarray(m.categories, dtype=object)[at[c]]
+                    else:
+                        v = np.asarray(_values(m, u[:, j], temperature), dtype=object)
+                        if c in parents:
+                            upto = np.cumsum(_tempered(m.probs, temperature))
+                            at[c] = np.minimum(np.searchsorted(upto, u[:, j], side="right"), len(upto) - 1)
+                    v[holes[rows, j] < m.nulls] = None  # missing at the fitted share
                     out[c][rows] = v
             res = pd.DataFrame()
             if cond:
@@ -394,6 +504,9 @@ def save_model(spark: SparkSession, model: CopulaModel | TableModel, path: str,
         "correlation": spark.createDataFrame(r_rows, "stratum string, i int, j int, corr double"),
         "values": spark.createDataFrame(v_rows, "stratum string, column_name string, value double, p double"),
         "columns": spark.createDataFrame(n_rows, "stratum string, column_name string, discrete boolean, nulls double"),
+        "tree": spark.createDataFrame([(s, at, c, p, i, t[i].tolist()) for s, edges in model.tree.items() for at, (c, p, t) in enumerate(edges)
+                                       for i in range(len(t))],
+                                      "stratum string, at int, child string, parent string, code int, shares array<double>"),
         "meta": spark.createDataFrame([(json.dumps(meta),)], "meta string")})
 
 
@@ -433,8 +546,12 @@ def load_model(spark: SparkSession, path: str, name: str, version: str | None =
     corr = {s: np.eye(k) for s in marg}
     for r in spark.read.parquet(f"{base}/correlation").collect():
         corr[r["stratum"]][r["i"], r["j"]] = r["corr"]
+    edges: dict = {}
+    for r in spark.read.parquet(f"{base}/tree").orderBy("stratum", "at", "code").collect():
+        edges.setdefault(r["stratum"], {}).setdefault(r["at"], (r["child"], r["parent"], []))[2].append(r["shares"])
+    tree = {s: [(c, p, np.array(t)) for _, (c, p, t) in sorted(e.items())] for s, e in edges.items()}
     return CopulaModel(meta["columns"], marg, corr, counts,
-                       meta["condition"], meta["n_quantiles"], {"kinds": kinds, "types": types})
+                       meta["condition"], meta["n_quantiles"], {"kinds": kinds, "types": types}, tree)
 
 
 def quantile_table(spark: SparkSession, model: CopulaModel | TableModel) -> DataFrame:

@@ -221,3 +221,30 @@ def q_g4m(spark, sf_dir):
     was = df.groupBy("cell").agg(F.min("quantity").alias("least"), F.max("quantity").alias("most"))
     return got.join(was, "cell").select("cell", "n_rows", "least", "most", (
         (F.col("lo") >= F.col("least") - 1e-9) & (F.col("hi") <= F.col("most") + 1e-9)).alias("in_range"))
+
+
+G1J_SQL = """SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS joint_kept, true AS unordered, true AS joint_of_third_kept FROM lineitem"""
+
+
+@register("g2_joint_categories", G1J_SQL)
+def q_g2j(spark, sf_dir):
+    """G1/G2 on unordered categories: a kind that is a permutation of another one in nine of ten rows, and a third that
+    follows the second.  The joint tables of neighbours are kept within 2 %, where equal names in order tell little."""
+    li = table(spark, sf_dir, "lineitem")
+    a = F.pmod(F.col("l_partkey"), F.lit(4)).cast("int")
+    b = F.when(F.pmod("l_suppkey", F.lit(10)) > 0, F.get(F.array(*[F.lit(x) for x in "mknl"]), a)).otherwise(
+        F.get(F.array(*[F.lit(x) for x in "klmn"]), F.pmod("l_orderkey", F.lit(4)).cast("int")))
+    df = li.select(F.concat(F.lit("a"), a).alias("a"), b.alias("b"), F.when(b.isin("k", "n"), F.lit("z")).otherwise(F.lit("y")).alias("c"),
+                   "l_quantity")
+    n = df.count()
+    out = synth.sample_copula(spark, synth.fit_copula(df), n, seed=9)
+
+    def apart(x, y):
+        """Half of the sum of the differences between the shares of both joint tables."""
+        was, now = (d.groupBy(x, y).agg(F.count(F.lit(1)).alias(f"n{i}")) for i, d in enumerate((df, out)))
+        return was.join(now, [x, y], "full").agg((F.sum(F.abs(F.coalesce("n0", F.lit(0)) - F.coalesce("n1", F.lit(0)))) / (2.0 * n)).alias("d")).first()["d"]
+
+    return out.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(apart("a", "b") < 0.02).alias("joint_kept"),
+        F.lit(abs(df.groupBy().agg(F.corr(F.ascii(F.substring("a", 2, 1)).cast("double"), F.ascii("b").cast("double"))).first()[0] or 0.0) < 0.5).alias("unordered"),
+        F.lit(apart("b", "c") < 0.02).alias("joint_of_third_kept"))

@@ -136,3 +136,30 @@ def test_versions(spark, monkeypatch, tmp_path):
         synth.load_model(spark, base, "m", "v1")
     synth.save_model(spark, small, base, "m", "v1")
     assert ms.find_version(spark, base, "m")[1] == "rows"
+
+
+def test_unordered_categories_keep_their_joint_table(spark, tmp_path):
+    n = 20_000
+    a = F.pmod(F.hash("id"), F.lit(4))
+    noise = F.pmod(F.hash("id", F.lit(5)), F.lit(10))
+    b = F.get(F.array(*[F.lit(x) for x in "mknl"]), F.when(noise > 0, a).otherwise(F.pmod(F.hash("id", F.lit(8)), F.lit(4))))
+    df = spark.range(n).select(F.when(F.col("id") % 50 > 0, F.concat(F.lit("a"), a)).alias("a"), b.alias("b"),
+                               F.concat(F.lit("f"), F.pmod(F.hash("id", F.lit(6)), F.lit(3))).alias("free"),
+                               (F.pmod(F.hash("id", F.lit(7)), F.lit(1000)) + F.when(b == "m", 800).otherwise(0)).cast("double").alias("x"))
+    model = synth.fit_copula(df)
+    assert [(c, p) for c, p, _ in model.tree[synth.ALL]] == [("b", "a")]
+    base = str(tmp_path)
+    synth.save_model(spark, model, base, "m", "v")
+    for m in (model, synth.load_model(spark, base, "m", "v")):
+        out = synth.sample_copula(spark, m, n, 4).cache()
+        was, now = ({(r[0], r[1]): r[2] for r in d.groupBy("a", "b").count().collect()} for d in (df, out))
+        assert sum(abs(was.get(k, 0) - now.get(k, 0)) for k in was.keys() | now.keys()) / (2 * n) < 0.02
+        shares = {r[0]: r[1] / n for r in out.groupBy("free").count().collect()}
+        assert all(abs(v - 1 / 3) < 0.02 for v in shares.values())
+    assert synth.sample_copula(spark, model, 50, 4, temperature=0.3).select("b").distinct().count() == 1
+    by = df.withColumn("s", F.pmod(F.hash("x", "a"), F.lit(2)).cast("string"))
+    cond = synth.fit_copula(by, condition="s")
+    assert set(cond.tree) == {"0", "1"}
+    out = synth.sample_copula(spark, cond, {"0": 9000, "1": 9000}, 4)
+    now = {(r[0], r[1]): r[2] for r in out.groupBy("a", "b").count().collect()}
+    assert sum(abs(was.get(k, 0) / n - now.get(k, 0) / 18_000) for k in was.keys() | now.keys()) / 2 < 0.02
