@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabfid.session import ensure_checkpoint_dir
+from tabfid.session import shared_table  # noqa: F401  (for the operators)
 
 #: ASCII white space besides the space: \t \n \v \f \r.  It separates words, as the space does.
 OTHER_SPACE = r"[\x09-\x0D]"
@@ -17,17 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    Cuts the lineage: later jobs read files that survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabfid-llm/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Words between ASCII white space; null text has none."""
     return F.array_remove(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), OTHER_SPACE, " "), " "), "")
@@ -86,3 +73,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], limit: int
     left = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     right = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, salt]).drop(salt)
+
+
+def join_heavy(rows: DataFrame, per_key: DataFrame, keys: list[str], many: str, heavy: int = 1_000, limit: int = 50_000) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, one row per key, whose column ``many`` counts the rows of the key.
+
+    Keys of more than ``heavy`` rows (at most one in ``heavy`` rows) do not travel by key: they are joined as
+    ``join_groups`` does, and only the others are shuffled, so a hot key is no single task.
+    """
+    per_key = shared_table(per_key, "per-key")
+    hot = per_key.filter(F.col(many) > heavy)
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
+    few = hot.count() <= limit
+    cold = rows.join(F.broadcast(hot.select(*keys)) if few else hot.select(*keys), keys, "left_anti")
+    return cold.join(per_key.filter(F.col(many) <= heavy), keys).unionByName(join_groups(rows, hot, keys, limit))
+
+
+def numbered(rows: DataFrame, key: str, out: str, parts: int = 64) -> DataFrame:
+    """``rows`` with ``out``: numbers from 0 on among the rows of equal ``key`` (a struct, so that nulls are equal).
+
+    They are numbered in ``parts`` parts, so that many equal rows are no single task."""
+    part, before = fresh(rows, "part", "before")
+    rows = shared_table(rows.withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(parts))), "numbered")
+    sums = rows.groupBy(key, part).agg(F.count(F.lit(1)).alias(before))
+    sums = sums.withColumn(before, F.sum(before).over(Window.partitionBy(key).orderBy(part)) - F.col(before))
+    own = F.row_number().over(Window.partitionBy(key, part).orderBy(part)) - 1
+    return rows.join(sums, [key, part]).withColumn(out, F.col(before) + own).drop(part, before)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfid.llm.common import fresh, shared_table
+from tabfid.llm.common import fresh, join_heavy, shared_table
 
 SHINGLE, PERMUTATIONS, BAND = 5, 64, 4
 LEAST = 75  # hundredths of similarity
@@ -183,7 +183,7 @@ def _crossing(members: DataFrame, roots: DataFrame, seen: DataFrame, sets: DataF
     m = _with_root(members, roots)
     open_ = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                  F.count(F.lit(1)).alias("many")).filter("lo != hi").select("key", "many")
-    m = shared_table(m.join(open_, "key"), "open")
+    m = shared_table(join_heavy(m, open_, ["key"], "many"), "open")
     if m.isEmpty():
         return None
     small = m.filter(F.col("many") <= SMALL)
@@ -193,13 +193,14 @@ def _crossing(members: DataFrame, roots: DataFrame, seen: DataFrame, sets: DataF
     pairs = left.join(right, "key").filter(before & (F.col("ra") != F.col("rb"))).select("a1", "a2", "b1", "b2")
     # larger buckets: distances to the first class tell which members can have a link to another component
     big = m.filter(F.col("many") > SMALL)
-    lead = big.groupBy("key").agg(F.min(F.struct("f1", "f2", "root")).alias("lead"))
-    d = big.join(lead, "key").select("key", "f1", "f2", "root", F.col("lead.f1").alias("a1"), F.col("lead.f2").alias("a2"),
+    lead = big.groupBy("key").agg(F.min(F.struct("f1", "f2", "root")).alias("lead"), F.count(F.lit(1)).alias("of"))
+    d = join_heavy(big, lead, ["key"], "of").select("key", "f1", "f2", "root", F.col("lead.f1").alias("a1"), F.col("lead.f2").alias("a2"),
                                      F.col("lead.root").alias("ra"))
     d = d.join(seen.select("a1", "a2", F.col("b1").alias("f1"), F.col("b2").alias("f2"), "distance"),
                ["a1", "a2", "f1", "f2"], "left").fillna({"distance": 0.0})
     other = F.min(F.when(F.col("root") != F.col("ra"), F.col("distance"))).alias("nearest")
-    d = d.join(d.groupBy("key").agg(other), "key").filter(
+    d = shared_table(d, "distances")
+    d = join_heavy(d, d.groupBy("key").agg(other, F.count(F.lit(1)).alias("of")), ["key"], "of").filter(
         (F.col("root") != F.col("ra")) | (F.col("distance") >= F.col("nearest") - 0.25 - 1e-9))
     crowded = shared_table(d.select("f1", "f2", "root").distinct(), "crowded")
     if not crowded.isEmpty():
@@ -261,8 +262,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     buckets = some.select("f1", "f2", "bands").dropDuplicates(["f1", "f2"]).select("f1", "f2", F.explode("bands").alias("key"))
     multi = buckets.groupBy("key").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).filter("lo != hi").select("key")
     members = shared_table(buckets.join(multi, "key"), "members")
-    lead = members.groupBy("key").agg(F.min(F.struct("f1", "f2")).alias("a"))
-    pairs = shared_table(members.join(lead, "key").filter(F.col("a") != F.struct("f1", "f2")).select(
+    lead = members.groupBy("key").agg(F.min(F.struct("f1", "f2")).alias("a"), F.count(F.lit(1)).alias("many"))
+    pairs = shared_table(join_heavy(members, lead, ["key"], "many").filter(F.col("a") != F.struct("f1", "f2")).select(
         F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("f1").alias("b1"), F.col("f2").alias("b2")).distinct(), "pairs")
     need = members.select("f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tkey"))
