@@ -31,9 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabfid.llm.common import fresh, shared_table
+from tabfid.llm.common import fresh, join_heavy, shared_table
 
 WINDOW, MER, HOT = 50, 4, 1_000
+#: Windows of a packed string at most: a longer super-k-mer (few words repeated) travels in several.
+PIECE = 256
 ROWS_OUT, BYTES_OUT = 1_024, 8_000_000
 LAST = 2**63 - 1
 
@@ -122,7 +124,7 @@ def _runs(covered: list[int], start: int) -> Iterator[tuple[int, int]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by minimiser: the covered word ranges of each text.  One minimiser's rows (at most
-    ``HOT``) are held at a time."""
+    ``HOT``, of at most ``PIECE`` windows each) are held at a time."""
     names = ["t1", "t2", "start", "upto"]
 
     def flush(group: list[tuple]) -> list[tuple]:
@@ -180,8 +182,8 @@ def _hot_ranges(hot: DataFrame) -> DataFrame:
     one = hot.groupBy("p1", "p2").agg(F.min("owner").alias("least"), F.max("owner").alias("most"), F.min("packed").alias("packed"))
     w = shared_table(one.mapInArrow(
         _hashed, "p1 bigint, p2 bigint, least bigint, most bigint, start int, w1 bigint, w2 bigint"), "hot")
-    first = w.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("last")).filter("first < last").drop("last")
-    met = w.join(first, ["w1", "w2"]).filter("first < most").groupBy("p1", "p2").agg(
+    first = w.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("last"), F.count(F.lit(1)).alias("many"))
+    met = join_heavy(w, first.filter("first < last").drop("last"), ["w1", "w2"], "many").filter("first < most").groupBy("p1", "p2").agg(
         F.sort_array(F.collect_list(F.struct("start", "first"))).alias("met"))
     own = F.filter("met", lambda m: m["first"] < F.col("owner"))
     rows = hot.drop("packed", "mini").join(met, ["p1", "p2"]).select("t1", "t2", "start", own.alias("met")).filter(F.size("met") > 0)
@@ -212,6 +214,9 @@ def covered_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (F.coalesce(F.get("starts", i + 1), (F.col("n_words") - (WINDOW - 1)).cast("int")) - F.get("starts", i)).alias("n"))))
     own = each.join(owners, ["t1", "t2", "owner"], "left_semi").dropDuplicates(["t1", "t2"])
     flagged = own.select("t1", "t2", "owner", runs.alias("r")).select("t1", "t2", "owner", "r.*").join(shared, "mini")
+    flagged = flagged.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int")))).select(
+        "t1", "t2", "owner", "mini", (F.col("start") + F.col("piece") * PIECE).alias("start"),
+        F.least(F.col("n") - F.col("piece") * PIECE, F.lit(PIECE)).alias("n"))
     wanted = flagged.groupBy("t1", "t2", "owner").agg(F.collect_list(F.struct("mini", "start", "n")).alias("runs"))
     texts = key.join(wanted, ["t1", "t2", "owner"]).select("t1", "t2", "owner", "text", "runs")
     packed = shared_table(texts.mapInArrow(

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tabfid.llm import common
 from tabfid.llm import substring_dedup as s
 
 from . import cases
@@ -63,3 +64,21 @@ def test_empty(spark):
     assert s.remove_repeats(cases.table(spark, []).drop("n_words")).collect() == []
     with pytest.raises(ValueError):
         s.remove_repeats(cases.table(spark))
+
+
+def test_hot_windows_and_long_super_kmers(spark, monkeypatch):
+    """One window in very many texts, and texts of a repeated word, by every path of the join and in pieces."""
+    rng = random.Random(12)
+    passage = cases.sentence(rng, 70, 5000)
+    rows = [(i, f"{cases.sentence(rng, 20, 5000)} {passage} {cases.sentence(rng, 20, 5000)}") for i in range(60)]
+    rows += [(100 + i, "same " * (700 + i) + cases.sentence(rng, 5)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plain = sorted(map(tuple, s.remove_repeats(docs).drop("text").collect()))
+    monkeypatch.setattr(s, "PIECE", 16)
+    monkeypatch.setattr(s, "join_heavy", lambda *a: common.join_heavy(*a, heavy=5))
+    frame = s.covered_ranges
+    monkeypatch.setattr(s, "covered_ranges", lambda *a: frame(*a, hot=3))
+    assert sorted(map(tuple, s.remove_repeats(docs).drop("text").collect())) == plain
+    monkeypatch.setattr(s, "join_heavy", lambda *a: common.join_heavy(*a, heavy=5, limit=0))
+    assert sorted(map(tuple, s.remove_repeats(docs).drop("text").collect())) == plain
+    assert all(r[2] >= 70 for r in plain if 0 < r[0] < 60)
