@@ -57,15 +57,16 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 
 
 def hits(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, at, size, items): windows of ``grams`` in the documents; ``at`` counts words from 0."""
-    grams = shared_table(grams, "grams")
-    have = grams.groupBy("size").agg(F.sum(F.length("gram")).alias("chars")).collect()  # at most 10 rows
-    small = sum(r["chars"] for r in have) * 4 <= MAX_SET_BYTES
+    """(k1, k2, at, size, gid): windows of ``grams`` (from ``numbered_windows``) in the documents; ``at`` counts words from 0.
+
+    Only the windows travel to the documents; the items of a window are joined to its hits."""
+    have = grams.groupBy("size").agg(F.sum(F.length("gram")).alias("chars"), F.count(F.lit(1)).alias("n")).collect()  # at most 10 rows
+    small = sum(r["chars"] * 4 + r["n"] * 64 for r in have) <= MAX_SET_BYTES
     k1, k2 = _row_key(doc_id, text)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), plain_words(F.col(text)).alias("w"))
     out = []
     for r in have:
-        own = grams.filter(F.col("size") == r["size"]).select("hash", "gram", "items")
+        own = grams.filter(F.col("size") == r["size"]).select("hash", "gram", "gid")
         # the hashes are a column of their own: so the generator, the probe and the comparison are one
         # compiled stage, which carries the words of a text by reference and copies them for no window.
         # "outer" keeps Spark from adding a filter on the hashes' number, which would hash all twice;
@@ -79,17 +80,28 @@ def hits(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str =
         met = near.join(F.broadcast(own) if small else own, "hash")
         # equality, written so that it is tested after the hash and does not become a join key
         met = met.filter(said.startswith(F.col("gram")) & F.col("gram").startswith(said))
-        out.append(met.select("k1", "k2", "at", F.lit(r["size"]).alias("size"), "items"))
+        out.append(met.select("k1", "k2", "at", F.lit(r["size"]).alias("size"), "gid"))
     if not out:
-        return docs.sparkSession.createDataFrame([], "k1 bigint, k2 bigint, at int, size int, items array<string>")
+        return docs.sparkSession.createDataFrame([], "k1 bigint, k2 bigint, at int, size int, gid bigint")
     return reduce(DataFrame.unionByName, out)
 
 
-def _per_row(found: DataFrame) -> DataFrame:
+def numbered_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
+    """``item_windows`` with a number ``gid`` of each window, as a written table."""
+    return shared_table(item_windows(items, item_id, text, n).withColumn("gid", F.monotonically_increasing_id()), "grams")
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(k1, k2, spans): per document the sorted distinct spans."""
+    return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
+
+
+def _per_row(found: DataFrame, grams: DataFrame) -> DataFrame:
     """(k1, k2, spans, items): per document the sorted distinct spans and items."""
-    return found.groupBy("k1", "k2").agg(
-        F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found = shared_table(found, "hits")
+    said = found.select("k1", "k2", "gid").distinct().join(grams.select("gid", F.explode("items").alias("item")), "gid")
+    items = said.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return _spans(found).join(items, ["k1", "k2"])
 
 
 def covered(spans: Column) -> Column:
@@ -102,7 +114,8 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_hit``, ``spans`` (of words), ``items``, ``contaminated``."""
-    per = _per_row(hits(docs, item_windows(benchmark), doc_id, text))
+    grams = numbered_windows(benchmark)
+    per = _per_row(hits(docs, grams, doc_id, text), grams)
     k1, k2 = _row_key(doc_id, text)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.size(plain_words(F.col(text))).cast("long").alias("n_words"),
                        k1.alias("k1"), k2.alias("k2"))
@@ -116,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without any hit, with all their columns."""
     a, b = fresh(docs, "k1", "k2")
-    bad = hits(docs, item_windows(benchmark), doc_id, text).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    bad = hits(docs, numbered_windows(benchmark), doc_id, text).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
     k1, k2 = _row_key(doc_id, text)
     return docs.withColumns({a: k1, b: k2}).join(bad, [a, b], "left_anti").select(*docs.columns)
 
@@ -124,7 +137,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
 def remove_spans(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All documents; in those with hits, the hit words and what separates them from the next word are taken out of ``text``."""
     a, b, sp, pre, parts, kept = fresh(docs, "k1", "k2", "spans", "head", "parts", "kept")
-    per = _per_row(hits(docs, item_windows(benchmark), doc_id, text)).select(
+    per = _spans(hits(docs, numbered_windows(benchmark), doc_id, text)).select(
         F.col("k1").alias(a), F.col("k2").alias(b), F.col("spans").alias(sp))
     k1, k2 = _row_key(doc_id, text)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

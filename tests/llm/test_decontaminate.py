@@ -68,3 +68,15 @@ def test_empty_tables(spark):
     got = d.contamination(cases.table(spark), none).collect()
     assert len(got) == len(cases.documents()) and not any(r["contaminated"] for r in got)
     assert d.drop_contaminated(cases.table(spark), none).count() == len(cases.documents())
+
+
+def test_items_with_one_common_prompt(spark, monkeypatch):
+    """The list of a window's items does not travel to the documents, and the result has them all."""
+    prompt = " ".join(f"prompt{i}" for i in range(10))
+    bench = spark.createDataFrame([(i, f"{prompt} own{i} tail{i}") for i in range(3000)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"x {prompt} y"), (2, "nothing here"), (3, f"{prompt} own7")], "doc_id bigint, text string")
+    grams = d.numbered_windows(bench)
+    assert "items" not in d.hits(docs, grams).columns
+    got = {r["doc_id"]: r for r in d.contamination(docs, bench).collect()}
+    assert len(got[1]["items"]) == 3000 and got[2]["items"] == [] and len(got[3]["items"]) == 3000
+    assert got[3]["n_hit"] == 11
