@@ -3,7 +3,7 @@
 A rule is a host, a path and a verdict.  It fits its host and all subdomains, for urls whose path
 starts with the rule's path; of several the one with the longest host and path wins (then the
 longest host).  The rules are hashed on Spark (``xxhash64`` of host and path), sorted and written
-to one flat file: digests, ends of strings, strings.  Executors get the file once each and map it
+to one flat file in the shared folder: digests, ends of strings, strings.  Executors fetch it once each and map it
 into memory, so all Python workers of an executor share its pages.  A batch of urls is probed
 as a whole: every suffix of the host at a label border, with every length that rule paths have,
 gives one key; ``searchsorted`` finds its place, and the stored full string confirms it, so a
@@ -20,8 +20,6 @@ judged alike; result columns must have new names, other columns pass through.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +31,12 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_FILE_RULES = 5_000_000
+from tabfid.llm.common import fresh
+from tabfid.session import ensure_checkpoint_dir
+
+#: Rules that the driver sorts (some 200 bytes each).
+MAX_FILE_RULES = 500_000
+CHUNK = 4 * 2**20
 SEP = "\x00"
 
 
@@ -63,15 +66,13 @@ class Digests:
         self.text = np.memmap(path, np.uint8, "r", offset=at) if n else np.empty(0, np.uint8)
 
     @staticmethod
-    def write(path: str, rules: pd.DataFrame) -> None:
+    def pack(rules: pd.DataFrame) -> bytes:
         """``rules``: host, path, verdict, sorted by the digest column ``key``."""
         lengths = sorted({len(p) for p in rules["path"]})
         strings = [SEP.join(r).encode() for r in zip(rules["host"], rules["path"], rules["verdict"], strict=True)]
-        with open(path, "wb") as f:
-            f.write(np.array([len(rules), len(lengths), *lengths], np.int64).tobytes())
-            f.write(rules["key"].to_numpy(np.uint64).tobytes())
-            f.write(np.cumsum([0, *map(len, strings)]).astype(np.int64).tobytes())
-            f.write(b"".join(strings))
+        return b"".join([np.array([len(rules), len(lengths), *lengths], np.int64).tobytes(),
+                         rules["key"].to_numpy(np.uint64).tobytes(),
+                         np.cumsum([0, *map(len, strings)]).astype(np.int64).tobytes(), *strings])
 
     def probe(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str | None]]:
         """(rule, verdict) for each url."""
@@ -128,9 +129,16 @@ def build_file(rules: DataFrame) -> str:
     got = rules.withColumn("key", F.pandas_udf(_digests, "long")("host", "path")).toPandas()  # at most MAX_FILE_RULES rows
     got["key"] = got["key"].to_numpy(np.int64).view(np.uint64)
     name = f"digests-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)
-    Digests.write(path, got.sort_values(["key", "host", "path"]))
-    spark.sparkContext.addFile(path)
+    packed = Digests.pack(got.sort_values(["key", "host", "path"]))
+    sc = spark.sparkContext
+    file = sc._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    fs = file.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(file)
+    for at in range(0, len(packed), CHUNK):
+        out.write(bytearray(packed[at:at + CHUNK]))
+    out.close()
+    fs.deleteOnExit(file)
+    sc.addFile(str(fs.makeQualified(file)))   # every executor fetches it from the shared folder
     return name
 
 
@@ -153,9 +161,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         for h, p in batches:
             yield pd.DataFrame(_mapped(name).probe(h.tolist(), p.tolist()), columns=["rule", "verdict"], dtype=object)
 
-    out = rows.withColumn("__p", probed("host", "path"))
-    return out.select(*pages.columns, "host", "path", F.col("__p.rule").alias("rule"),
-                      F.coalesce("__p.verdict", F.lit(default)).alias("verdict"))
+    (won,) = fresh(rows, "p")
+    out = rows.withColumn(won, probed("host", "path"))
+    return out.select(*pages.columns, "host", "path", F.col(won)["rule"].alias("rule"),
+                      F.coalesce(F.col(won)["verdict"], F.lit(default)).alias("verdict"))
 
 
 def _joined(rows: DataFrame, rules: DataFrame, columns: list[str], default: str) -> DataFrame:
@@ -171,6 +180,7 @@ def _joined(rows: DataFrame, rules: DataFrame, columns: list[str], default: str)
     best = hits.groupBy("host", "path").agg(F.max(F.struct(
         (F.length("h") + F.length("p")).alias("n"), F.length("h").alias("m"), F.concat("h", "p").alias("rule"),
         F.col("v").alias("verdict"))).alias("b"))
-    out = rows.join(best, ["host", "path"], "left")
-    return out.select(*columns, "host", "path", F.col("b.rule").alias("rule"),
-                      F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    (won,) = fresh(rows, "b")
+    out = rows.join(best.withColumnRenamed("b", won), ["host", "path"], "left")
+    return out.select(*columns, "host", "path", F.col(won)["rule"].alias("rule"),
+                      F.coalesce(F.col(won)["verdict"], F.lit(default)).alias("verdict"))

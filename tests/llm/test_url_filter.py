@@ -64,6 +64,14 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     import pandas as pd
     monkeypatch.setattr(u, "digest", lambda h, p: 7)
     rules = pd.DataFrame([("a", "/", "block", 7), ("b", "/", "allow", 7), ("c", "/x", "block", 7)], columns=["host", "path", "verdict", "key"])
-    u.Digests.write(str(tmp_path / "f"), rules.astype({"key": np.uint64}))
+    (tmp_path / "f").write_bytes(u.Digests.pack(rules.astype({"key": np.uint64})))
     m = u.Digests(str(tmp_path / "f"))
     assert m.probe(["a", "q.b", "c", "d"], ["/1", "/", "/", "/"]) == [("a/", "block"), ("b/", "allow"), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_columns_of_the_inner_names_stay(spark, most):
+    rules = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([("http://a.net/x", 7, "b"), (None, 8, "c")], "url string, __p int, b string")
+    got = u.judge_urls(pages, rules, max_file_rules=most).orderBy("__p").collect()
+    assert [(r["__p"], r["b"], r["rule"], r["verdict"]) for r in got] == [(7, "b", "net/", "block"), (8, "c", None, "allow")]
