@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfid.llm.common import shared_table, words
+from tabfid.llm.common import fresh, numbered, shared_table, words
 
 HEAVY = 64
 ROWS_PER_BUNDLE, LEAST_BUNDLES, MOST_BUNDLES = 2_000, 1_024, 250_000
@@ -85,11 +85,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     """``docs`` without ``text`` (or only the columns ``keep``) with ``size`` (UTF-8 bytes plus 1),
     ``text_crc32``, ``tokens`` (words), ``shard`` and ``slot``."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    taken = {"size", "text_crc32", "tokens", "shard", "slot", "shard_item", "text_key"}
+    taken = {"size", "text_crc32", "tokens", "shard", "slot", "shard_item", "text_key", "pieces", "shard_key", "shard_number", "n", "first"}
     keep = [c for c in keep if c.lower() not in taken]
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    (own,) = fresh(docs.select(*keep), "id")
     rows = docs.select(
-        *keep, F.col(doc_id).alias("__id"),
+        *keep, F.col(doc_id).alias(own),
         (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"),
         F.size(words(F.col(text))).cast("long").alias("tokens"),
         F.struct(F.xxhash64(F.col(text)).alias("a"), F.crc32(F.concat(F.lit(b"\x01"), body)).alias("b"),
@@ -113,11 +114,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     if pieces.count() <= BROADCAST_GROUPS:
         pieces = F.broadcast(pieces)
     key = F.xxhash64("text_key.a", "text_key.b")
-    part = F.pmod(F.xxhash64("__id", F.lit(7)), F.col("pieces"))
+    part = F.pmod(F.xxhash64(own, F.lit(7)) + F.coalesce(F.col("shard_number"), F.lit(0)), F.col("pieces"))
     item = F.when(F.col("pieces").isNull(), F.struct(F.lit(0).cast("long").alias("g"), F.pmod(key, F.lit(bundles)).alias("p"))
                   ).otherwise(F.struct(key.alias("g"), part.cast("long").alias("p")))
-    marked = shared_table(rows.join(pieces, "text_key", "left").withColumn("shard_item", item)
-                          .drop("pieces", "text_key"), "items")
+    rows = rows.join(pieces, "text_key", "left").withColumn("shard_key", F.struct("text_key", F.col(own).alias("id")))
+    # rows that also share their id are dealt by their number among these
+    again = rows.filter("pieces IS NOT NULL").groupBy("shard_key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    again = shared_table(again, "repeated")
+    if again.isEmpty():
+        rows = rows.withColumn("shard_number", F.lit(0))
+    else:
+        keys = again.select("shard_key")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_GROUPS else keys
+        rows = rows.join(keys, "shard_key", "left_anti").withColumn("shard_number", F.lit(0).cast("long")).unionByName(
+            numbered(rows.join(keys, "shard_key", "left_semi"), "shard_key", "shard_number"))
+    marked = shared_table(rows.withColumn("shard_item", item).drop("pieces", "text_key", "shard_key", "shard_number"), "items")
     items = marked.groupBy("shard_item").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"),
                                              F.count(F.lit(1)).alias("rows"))
     got = items.select("shard_item.g", "shard_item.p", *DIMS).toPandas()  # one row per bundle or piece, bounded above
@@ -129,6 +140,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", te
     plan = docs.sparkSession.createDataFrame(got[["g", "p", "shard", "first"]]).select(
         F.struct(F.col("g").cast("long").alias("g"), F.col("p").cast("long").alias("p")).alias("shard_item"),
         F.col("shard").cast("int").alias("shard"), F.col("first").cast("long").alias("first"))
-    by = Window.partitionBy("shard_item").orderBy("__id", "text_crc32", "size")
+    by = Window.partitionBy("shard_item").orderBy(own, "text_crc32", "size")
     out = marked.withColumn("n", F.row_number().over(by)).join(plan, "shard_item")
     return out.select(*keep, "size", "text_crc32", "tokens", "shard", (F.col("first") + F.col("n") - 1).alias("slot"))

@@ -72,3 +72,14 @@ def test_placing_follows_the_residual_capacity():
     s = sharding.place(v, 2)
     assert s[3] not in {s[0]} or len(set(s.tolist())) == 2
     assert sharding.place(np.zeros((0, 3)), 4).tolist() == []
+
+
+def test_rows_of_one_id_and_text_are_dealt_evenly(spark):
+    rng = random.Random(5)
+    hot = cases.sentence(rng, 200)
+    for same in (None, 7):
+        rows = [(same, hot)] * 400 + [(1000 + i, cases.sentence(rng, 200)) for i in range(400)]
+        docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id bigint, text string, __id string, first int").repartition(5)
+        got = sharding.shard_documents(docs, 4, keep=["doc_id", "__id"]).collect()
+        check(rows, got, 4, 0.02)
+        assert {r["__id"] for r in got} == {"a"}
