@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfid.llm.common import shared_table
+from tabfid.llm.common import fresh, shared_table
 
 MAX_LABELLED = 12_000
 ROUNDS, PER_ROUND, SURE, PSEUDO_WEIGHT = 3, 0.1, 0.9, 0.5
@@ -374,5 +374,6 @@ def score(docs: DataFrame, models: dict[str, Model], text: str = "text", lang: s
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     s = F.pandas_udf(run, ", ".join(f"`{c}` double" for c in models))(
         F.col(text), F.col(lang).cast("string"), F.col(source).cast("string"))
-    d = docs.withColumn("__s", s)
-    return d.select(*docs.columns, *[F.col("__s")[c].alias(c) for c in models])
+    (scores,) = fresh(docs, "s")
+    d = docs.withColumn(scores, s)
+    return d.select(*docs.columns, *[F.col(scores)[c].alias(c) for c in models])

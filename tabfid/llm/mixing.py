@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfid.llm.common import fresh, join_groups, shared_table
+from tabfid.llm.common import fresh, join_groups, numbered, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a source's queue in one bucket, about.
@@ -148,7 +148,7 @@ def training_rows(docs: DataFrame, schedule: DataFrame, share: float = 1.5, most
     """The mix itself: the columns of ``docs`` once for each taken copy, with ``position`` (or, where ``docs`` has that
     name, ``__position``), range-sorted by it: written as files, their order is the training order."""
     q = _queue(docs, schedule, share, most, doc_id, text, source).drop("source", "doc_id")
-    (key, sk, part, at) = fresh(docs, "key", "source_key", "part", "at")
+    key, sk, number, at = fresh(docs, "key", "source_key", "number", "at")
     pos = "position" if "position" not in {c.lower() for c in docs.columns} else fresh(docs, "position")[0]
     entry = q.select(F.col("source_key").alias(sk), F.col("key").alias(key), F.struct(
         "n", "size", "start", "source_size", "target", "weight", "segs").alias(at))
@@ -160,13 +160,7 @@ def training_rows(docs: DataFrame, schedule: DataFrame, share: float = 1.5, most
         out = whole.withColumn(pos, F.explode(_positions(F.col("start") + F.col("i") * F.col("size"), most)))
         return out.select("row.*", pos, F.col("key").alias(key))
 
-    # equal rows are numbered in parts, so that many of them are no single task
-    same = j.filter(F.col(at)["n"] > 1).withColumn(part, F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
-    same = shared_table(same, "equal-rows")
-    (before,) = fresh(same, "before")
-    offsets = same.groupBy(sk, key, part).agg(F.count(F.lit(1)).alias(before))
-    offsets = offsets.withColumn(before, F.sum(before).over(Window.partitionBy(sk, key).orderBy(part)) - F.col(before))
-    number = F.row_number().over(Window.partitionBy(sk, key, part).orderBy(part)) - 1
-    dups = same.join(offsets, [sk, key, part])
-    out = copies(j.filter(F.col(at)["n"] == 1), F.lit(0).cast("long")).unionByName(copies(dups, F.col(before) + number))
+    (both,) = fresh(j, "both")
+    same = numbered(j.filter(F.col(at)["n"] > 1).withColumn(both, F.struct(sk, key)), both, number, PARTS)
+    out = copies(j.filter(F.col(at)["n"] == 1), F.lit(0).cast("long")).unionByName(copies(same, F.col(number)))
     return out.repartitionByRange(pos, key).sortWithinPartitions(pos, key).drop(key)
