@@ -12,6 +12,18 @@ INTEGRAL_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that ``df`` does not have (in any case): each name or one with underscores
+    before it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def is_numeric(dt: T.DataType) -> bool:
     return isinstance(dt, NUMERIC_TYPES)
 

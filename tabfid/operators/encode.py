@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfid.session import ensure_checkpoint_dir
+from tabfid.functions.exprs import free_names
+from tabfid.session import ensure_checkpoint_dir, shared_table
 
 # usual values for folding on request
 RARE_SHARE = 0.0001
@@ -66,6 +67,14 @@ def category_table(df: DataFrame, col: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
+def _counted(df: DataFrame, col: str) -> tuple[DataFrame, int, int, int]:
+    """(E8 table, rows, rows with a value, categories): the rows are counted by value once, into a small written table."""
+    every = shared_table(df.groupBy(F.col(col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count")), "categories")
+    st = every.agg(F.sum("count").alias("rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("count"))).alias("nn"),
+                   F.count("value").alias("k")).first()
+    return every.where(F.col("value").isNotNull()), st["rows"] or 0, st["nn"] or 0, st["k"]
+
+
 def _mode(counts: DataFrame) -> str | None:
     r = counts.orderBy(F.desc("count"), "value").limit(1).collect()
     return r[0]["value"] if r else None
@@ -75,10 +84,7 @@ def fit_label_encoder(df: DataFrame, col: str, min_share: float | None = None) -
     """E1 + E2: most-frequent fill for missing values, then codes = rank in the sorted
     distinct values.  With ``min_share`` (``RARE_SHARE``, say), values seen fewer than
     max(1, int(rows * min_share)) times fold to 'other', at any table size."""
-    counts = category_table(df, col)
-    stats = counts.agg(F.sum("count").alias("nn"), F.count(F.lit(1)).alias("k")).first()
-    rows = df.count()
-    nn, k = stats["nn"] or 0, stats["k"]
+    counts, rows, nn, k = _counted(df, col)
     fill = _mode(counts) if nn < rows else None
     if fill is not None:
         counts = counts.unionByName(
@@ -103,29 +109,30 @@ def fit_label_encoder(df: DataFrame, col: str, min_share: float | None = None) -
     return Encoder(col, "label", dictionary, size, fill, folded, kept)
 
 
-def _lookup(df: DataFrame, col: str, dictionary: DataFrame, size: int, on: str, out: str) -> DataFrame:
-    d = dictionary.select(F.col("value").alias("_v"), F.col("code").alias("_code"))
-    j = df.join(d, F.col(on) == F.col("_v"), "left")
-    return j.withColumn(out, F.col("_code")).drop("_v", "_code")
+def _lookup(df: DataFrame, dictionary: DataFrame, on: str, out: str) -> DataFrame:
+    (v,) = free_names(df, "_v")
+    d = dictionary.select(F.col("value").alias(v), F.col("code").alias(out))
+    return df.join(d, F.col(on) == F.col(v), "left").drop(v)
 
 
-def _prepared(df: DataFrame, enc: Encoder) -> DataFrame:
+def _prepared(df: DataFrame, enc: Encoder, val: str) -> DataFrame:
     v = F.col(enc.column).cast("string")
     if enc.fill is not None:
         v = F.coalesce(v, F.lit(enc.fill))
-    d = df.withColumn("_val", v)
+    d = df.withColumn(val, v)
     if enc.folded and enc.kept is not None:
-        k = enc.kept.select(F.col("value").alias("_kv"), F.lit(True).alias("_keep"))
-        d = d.join(k, F.col("_val") == F.col("_kv"), "left").withColumn(
-            "_val", F.when(F.col("_keep"), F.col("_val")).otherwise(F.lit(OTHER))).drop("_kv", "_keep")
+        kv, keep = free_names(d, "_kv", "_keep")
+        k = enc.kept.select(F.col("value").alias(kv), F.lit(True).alias(keep))
+        d = d.join(k, F.col(val) == F.col(kv), "left").withColumn(
+            val, F.when(F.col(keep), F.col(val)).otherwise(F.lit(OTHER))).drop(kv, keep)
     return d
 
 
 def apply_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
     """Replace the column by its code (long)."""
-    d = _prepared(df, enc)
-    d = _lookup(d, enc.column, enc.dictionary, enc.size, "_val", "_code_out")
-    return d.withColumn(enc.column, F.col("_code_out")).drop("_val", "_code_out")
+    val, out = free_names(df, "_val", "_code_out")
+    d = _lookup(_prepared(df, enc, val), enc.dictionary, val, out)
+    return d.withColumn(enc.column, F.col(out)).drop(val, out)
 
 
 def fit_factorize_encoder(df: DataFrame, col: str, order_key: list[str], coverage: float | None = None,
@@ -135,10 +142,7 @@ def fit_factorize_encoder(df: DataFrame, col: str, order_key: list[str], coverag
     frequent categories are kept (count desc, value asc) until their cumulative share
     reaches it or ``max_kept`` are kept; the rest fold to 'other', at any table size."""
     v = F.col(col).cast("string")
-    counts = category_table(df, col)
-    st = counts.agg(F.sum("count").alias("nn"), F.count(F.lit(1)).alias("k")).first()
-    rows = df.count()
-    nn, k = st["nn"] or 0, st["k"]
+    counts, rows, nn, k = _counted(df, col)
     fill = _mode(counts) if nn < rows else None
     if fill is not None:
         v = F.coalesce(v, F.lit(fill))
@@ -174,9 +178,9 @@ def invert_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
     c = enc.column
     code = F.least(F.greatest(F.rint(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), F.lit(0.0)),
                    F.lit(float(max(enc.size - 1, 0)))).cast("long")
-    d = df.withColumn("_c", code)
-    dd = enc.dictionary.select(F.col("value").alias("_v"), F.col("code").alias("_c"))
-    return d.join(dd, "_c", "left").withColumn(c, F.col("_v")).drop("_c", "_v")
+    at, v = free_names(df, "_c", "_v")
+    dd = enc.dictionary.select(F.col("value").alias(v), F.col("code").alias(at))
+    return df.withColumn(at, code).join(dd, at, "left").withColumn(c, F.col(v)).drop(at, v)
 
 
 def fit_joint_encoder(real: DataFrame, synthetic: DataFrame, col: str) -> Encoder:
@@ -198,8 +202,7 @@ def fit_with_unseen(train: DataFrame, col: str) -> Encoder:
 
 def apply_with_unseen(df: DataFrame, enc: Encoder) -> DataFrame:
     """E7 apply: unknown (or null) values take the code of 'Other'."""
-    d = df.withColumn("_val", F.col(enc.column).cast("string"))
-    d = _lookup(d, enc.column, enc.dictionary, enc.size, "_val", "_code_out")
+    val, out = free_names(df, "_val", "_code_out")
+    d = _lookup(df.withColumn(val, F.col(enc.column).cast("string")), enc.dictionary, val, out)
     other = enc.dictionary.where(F.col("value") == UNSEEN).first()["code"]
-    return d.withColumn(enc.column, F.coalesce(F.col("_code_out"), F.lit(other).cast("long"))).drop(
-        "_val", "_code_out")
+    return d.withColumn(enc.column, F.coalesce(F.col(out), F.lit(other).cast("long"))).drop(val, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,11 +39,21 @@ def fit_mean_imputer(df: DataFrame, cols: list[str]) -> dict[str, float]:
 
 def fit_mode_imputer(df: DataFrame, cols: list[str]) -> dict:
     """M3 fit: most frequent non-null value; ties -> smallest value."""
-    out = {}
-    for c in cols:  # counts by value, combined before the shuffle; one row comes back
-        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
-        out[c] = top[0][c] if top else None
-    return out
+    # one job: values of all columns are counted together (combined before the shuffle), each in a field of its own
+    # type, and one row per column comes back
+    at = {c: i for i, c in enumerate(cols)}
+    if not at:
+        return {}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("column"), *[
+        (F.col(c) if c == own else F.lit(None).cast(df.schema[c].dataType)).alias(f"v{j}") for c, j in at.items()])
+        for own, i in at.items()])).alias("e")).select("e.*")
+    values = [f"v{i}" for i in at.values()]
+    seen = reduce(lambda a, b: a | b, [F.col(v).isNotNull() for v in values])
+    counts = long.where(seen).groupBy("column", *values).count()
+    top = counts.groupBy("column").agg(*[F.min(F.when(F.col("column") == i, F.struct((-F.col("count")).alias("n"), F.col(v).alias("v")))
+                                               ).alias(v) for i, v in enumerate(values)]).collect()
+    best = {r["column"]: r[f"v{r['column']}"]["v"] for r in top}
+    return {c: best.get(i) for c, i in at.items()}
 
 
 def impute(df: DataFrame, fills: dict, flags: bool = True) -> DataFrame:

@@ -14,11 +14,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabfid.functions.exprs import free_names
 from tabfid.functions.hashing import MOD_OUT, portable_hash
 
 HASH_BITS = 31                 # the portable hash takes values in [0, 2^31)
 BUCKET_BITS = 20
-_H, _B = "_h", "_hb"
 
 
 def train_test_split(df: DataFrame, keys: list[str], test_size: float = 0.2,
@@ -47,6 +47,7 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
     # 2^20 hash buckets: the bucket-count table has at most a million rows per stratum, and the
     # one bucket that is ranked has about a million of 10^12 rows
     h = portable_hash(*keys, seed=seed)
+    _H, _B, need, last, rn = free_names(df, "_h", "_hb", "_need", "_last", "_rn")
     d = df.withColumns({_H: h, _B: F.shiftright(h, HASH_BITS - BUCKET_BITS).cast("int")})
     counts = d.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias("_cnt"))
     if isinstance(quota, int):
@@ -62,16 +63,16 @@ def take_by_hash(df: DataFrame, keys: list[str], quota: int | DataFrame,
     status = run.select(*strata, _B, (F.col("_cum") - F.col("_cnt")).alias("_prev"), "_cum", "_quota")
     status = status.where(F.col("_prev") < F.col("_quota")).select(
         *strata, _B, F.when(F.col("_cum") <= F.col("_quota"), F.lit(None).cast("long"))
-        .otherwise(F.col("_quota") - F.col("_prev")).alias("_need"))
+        .otherwise(F.col("_quota") - F.col("_prev")).alias(need))
     # per stratum one cut: buckets below it are taken whole, the bucket at it is ranked
-    cut = status.groupBy(*strata).agg(F.max(_B).alias("_last"), F.max(F.struct(_B, "_need"))["_need"].alias("_need"))
+    cut = status.groupBy(*strata).agg(F.max(_B).alias(last), F.max(F.struct(_B, need))[need].alias(need))
     j = d.join(cut, strata) if strata else d.join(F.broadcast(cut), F.lit(True))  # without strata one row
-    full = j.where((F.col(_B) < F.col("_last")) | ((F.col(_B) == F.col("_last")) & F.col("_need").isNull()))
-    part = j.where((F.col(_B) == F.col("_last")) & F.col("_need").isNotNull())
+    full = j.where((F.col(_B) < F.col(last)) | ((F.col(_B) == F.col(last)) & F.col(need).isNull()))
+    part = j.where((F.col(_B) == F.col(last)) & F.col(need).isNotNull())
     wr = Window.partitionBy(*strata, _B).orderBy(_H, *keys)
-    part = part.withColumn("_rn", F.row_number().over(wr)).where(F.col("_rn") <= F.col("_need")).drop("_rn")
+    part = part.withColumn(rn, F.row_number().over(wr)).where(F.col(rn) <= F.col(need)).drop(rn)
     out = full.unionByName(part)
-    return out.drop(_H, _B, "_need", "_last")
+    return out.drop(_H, _B, need, last)
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabfid.operators import missing as mis
 from tabfid.operators import schema as sch
 from tabfid.operators import validate as val
+from tabfid.operators.pair import stats_long
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import ROW_KEYS, lineitem_with_nulls, table
 from tabfid.plans.sqltext import LINEITEM_TYPES, NULLS_CTE, union_rows
@@ -135,30 +136,53 @@ def q_b3c(spark, sf_dir):
                     F.lit(d.schema["l_linenumber"].dataType.simpleString() == "tinyint").alias("narrowed"))
 
 
+def _column_counts(df):
+    """(column_name, n_values, n_distinct) of every column, one aggregate over the table."""
+    row = df.agg(*[x for c in df.columns for x in (F.count(c).alias(f"{c}__n"), F.count_distinct(c).alias(f"{c}__d"))])
+    return stats_long(row, df.columns, {"n_values": "n", "n_distinct": "d"})
+
+
+def _counts_sql(tab: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values, count(DISTINCT {c}) AS n_distinct FROM {tab}" for c in cols)
+
+
+LINE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+             "l_returnflag", "l_linestatus", "l_shipdate"]
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 B1_SQL = ("SELECT column_name, CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'Continuous' "
           "WHEN data_type LIKE 'TIMESTAMP%' THEN 'Datetime' ELSE 'Categorical' END AS semantic_type "
           "FROM information_schema.columns WHERE table_name = 'lineitem'")
 
 
-@register("b1_infer_types", B1_SQL)
+@register("b1_infer_types", f"SELECT * FROM ({B1_SQL}) AS t JOIN ({_counts_sql('lineitem', LINE_COLS)}) AS n USING (column_name)")
 def q_b1(spark, sf_dir):
-    """B1: semantic type of each lineitem column."""
-    return sch.types_frame(spark, sch.infer_types(table(spark, sf_dir, "lineitem")))
+    """B1: semantic type of each lineitem column, with its values and distinct values."""
+    li = table(spark, sf_dir, "lineitem")
+    return sch.types_frame(spark, sch.infer_types(li)).join(_column_counts(li), "column_name")
 
 
-@register("b2_override_types", f"SELECT column_name, CASE column_name WHEN 'l_linenumber' THEN 'Ordinal' "
+B2_SQL = (f"SELECT column_name, CASE column_name WHEN 'l_linenumber' THEN 'Ordinal' "
           f"WHEN 'l_suppkey' THEN 'Categorical' ELSE semantic_type END AS semantic_type FROM ({B1_SQL}) AS t")
+
+
+@register("b2_override_types", f"SELECT semantic_type, count(*) AS n_columns, CAST(sum(n_values) AS BIGINT) AS n_values, max(n_distinct) AS most_distinct "
+          f"FROM ({B2_SQL}) AS t JOIN ({_counts_sql('lineitem', LINE_COLS)}) AS n USING (column_name) GROUP BY semantic_type")
 def q_b2(spark, sf_dir):
-    """B2: inferred types with two user choices on top."""
-    types = sch.infer_types(table(spark, sf_dir, "lineitem"))
-    return sch.types_frame(spark, sch.apply_overrides(types, {"l_linenumber": "Ordinal", "l_suppkey": "Categorical"}))
+    """B2: columns, values and most distinct values by semantic type, with two user choices on top of the inferred ones."""
+    li = table(spark, sf_dir, "lineitem")
+    types = sch.apply_overrides(sch.infer_types(li), {"l_linenumber": "Ordinal", "l_suppkey": "Categorical"})
+    j = sch.types_frame(spark, types).join(_column_counts(li), "column_name")
+    return j.groupBy("semantic_type").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_values").alias("n_values"),
+                                          F.max("n_distinct").alias("most_distinct"))
 
 
-@register("b7_prefix_groups", "SELECT split_part(column_name, '_', 1) AS prefix, column_name "
-          "FROM information_schema.columns WHERE table_name = 'orders'")
+@register("b7_prefix_groups", "SELECT split_part(column_name, '_', 1) AS prefix, column_name, n_values, n_distinct "
+          f"FROM ({_counts_sql('orders', ORDER_COLS)}) AS n")
 def q_b7(spark, sf_dir):
-    """Columns of orders under the text before their first underscore."""
-    return spark.createDataFrame(sch.group_by_prefix(table(spark, sf_dir, "orders").columns), "prefix string, column_name string")
+    """Columns of orders under the text before their first underscore, with their values and distinct values."""
+    orders = table(spark, sf_dir, "orders")
+    groups = spark.createDataFrame(sch.group_by_prefix(orders.columns), "prefix string, column_name string")
+    return groups.join(_column_counts(orders), "column_name")
 
 
 B4_SQL = (f"SELECT CAST(sum(bytes_before) AS BIGINT) AS bytes_before, CAST(sum(bytes_after) AS BIGINT) "
