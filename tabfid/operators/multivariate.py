@@ -332,13 +332,7 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     if mo is None and len(cols) > WIDE_PCA:
         return _wide_pca(pair, cols, m, mode)
     mo = mo if mo is not None else moments(pair, cols)
-    sd = np.where(mo["sdp_real"] > 0, mo["sdp_real"], 1.0)
-    # covariance of standardised real = correlation (constant columns -> 0 row/col)
-    nr = max(mo["n_real"], 2)
-    cov_r = mo["corr_real"] * np.outer(mo["sdp_real"] > 0, mo["sdp_real"] > 0) * nr / (nr - 1)
-    w, v = np.linalg.eigh(cov_r)
-    order = np.argsort(w)[::-1][:m]
-    comps, ev_r = v[:, order], w[order]
+    sd, comps, ev_r = _axes(mo, m)
     shift = (mo["mean_syn"] - mo["mean_real"]) / sd
     syn_means = shift @ comps
     ss = mo["sdp_syn"] / sd
@@ -348,6 +342,28 @@ def pca_similarity(pair: TablePair, cols: list[str] | None = None, n_components:
     return _pca_row(spark, syn_means, ev_r, ev_s, mode)
 
 
+def _axes(mo: dict, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(spread of each real column, first ``m`` axes, variances along them) of the standardised real side."""
+    sd = np.where(mo["sdp_real"] > 0, mo["sdp_real"], 1.0)
+    # covariance of standardised real = correlation (constant columns -> 0 row/col)
+    nr = max(mo["n_real"], 2)
+    cov_r = mo["corr_real"] * np.outer(mo["sdp_real"] > 0, mo["sdp_real"] > 0) * nr / (nr - 1)
+    w, v = np.linalg.eigh(cov_r)
+    order = np.argsort(w)[::-1][:m]
+    return sd, v[:, order], w[order]
+
+
+def pca_components(pair: TablePair, cols: list[str] | None = None, n_components: int = 5) -> DataFrame:
+    """J7's axes as a table: (component, variance, column_name, loading, mean, spread), k rows per component."""
+    cols = cols or pair.numeric
+    mo = moments(pair, cols)
+    sd, axes, var = _axes(mo, n_components)
+    rows = [(j, float(var[j]), c, float(axes[i, j]), float(mo["mean_real"][i]), float(sd[i]))
+            for j in range(axes.shape[1]) for i, c in enumerate(cols)]
+    return pair.real.sparkSession.createDataFrame(
+        rows, "component int, variance double, column_name string, loading double, mean double, spread double")
+
+
 def _pca_row(spark, syn_means: np.ndarray, ev_r: np.ndarray, ev_s: np.ndarray, mode: str) -> DataFrame:
     real_means = np.zeros(len(syn_means))
     if mode == "reference":

@@ -103,6 +103,27 @@ def q_j7b(spark, sf_dir):
     return mv.pca_similarity(lineitem_pair(spark, sf_dir), NUM, n_components=5, mode="explained_variance")
 
 
+J7P_SQL = (f"WITH {pair_cte()} SELECT CAST(i AS INTEGER) AS component, count(*) AS n_rows, true AS variance_kept, true AS uncorrelated, "
+           "true AS unit_length, true AS trace_kept FROM real, range(0, 5) AS t(i) GROUP BY i")
+
+
+@register("j7_pca_properties", J7P_SQL)
+def q_j7p(spark, sf_dir):
+    """J7's axes against the rows: the variance of the rows' projections on each axis is its eigenvalue, projections on two
+    axes are uncorrelated, axes have length one, and the eigenvalues add up to the number of columns."""
+    pair = lineitem_pair(spark, sf_dir)
+    rows = mv.pca_components(pair, NUM, 5).collect()  # 25 rows
+    axes = {}
+    for r in rows:
+        axes.setdefault(r["component"], []).append(r)
+    z = pair.real.select(*[sum((F.col(r["column_name"]) - r["mean"]) / r["spread"] * r["loading"] for r in a).alias(f"p{j}") for j, a in axes.items()])
+    got = z.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(f"p{i}", f"p{j}").alias(f"c{i}_{j}") for i in axes for j in axes]).first()
+    trace = abs(sum(a[0]["variance"] for a in axes.values()) - len(NUM) * got["n"] / (got["n"] - 1)) < 1e-6
+    return spark.createDataFrame([(j, got["n"], abs(got[f"c{j}_{j}"] - a[0]["variance"]) < 1e-6, all(abs(got[f"c{i}_{j}"]) < 1e-6 for i in axes if i != j),
+                                   abs(sum(r["loading"] ** 2 for r in a) - 1) < 1e-9, trace) for j, a in axes.items()],
+                                 "component int, n_rows bigint, variance_kept boolean, uncorrelated boolean, unit_length boolean, trace_kept boolean")
+
+
 J8_SQL = (f"WITH {pair_cte()}\n" + union_rows([
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
     f"(SELECT avg({b} / nullif({a}, 0)) FROM real) AS real_ratio_mean, "
