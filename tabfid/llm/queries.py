@@ -315,7 +315,29 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", shifted))
 
 
-@query()
+@query("""
+WITH RECURSIVE bits(i, c, k) AS (SELECT i, CAST(i AS BIGINT), 0 FROM range(256) AS t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2 HAVING length(w) >= 6),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+             lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+      FROM (SELECT w, n, hex(encode(d || ':' || w)) AS x FROM r), crc),
+o AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, i, substr(word, 1, i) || chr(0) || substr(word, i + 2) AS k, substr(word, 1, i) || substr(word, i + 2) AS less
+      FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+e AS (SELECT a.word, b.word AS near, b.n FROM p AS a JOIN p AS b USING (k) WHERE a.word <> b.word
+      UNION SELECT p.word, v.word, v.n FROM p JOIN v ON p.less = v.word
+      UNION SELECT v.word, p.word, p.n FROM p JOIN v ON p.less = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS best, max(n) AS best_n FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n
+      FROM v LEFT JOIN b USING (word)),
+g AS (SELECT word, word AS at FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON g.at = f.word WHERE f.form IS NOT NULL),
+l AS (SELECT g.word, g.at AS root FROM g JOIN f ON g.at = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN l USING (word)
+""")
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, root and number of near words of every word that is frequent enough."""
     words = spelling.word_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
