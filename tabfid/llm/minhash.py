@@ -26,6 +26,7 @@ repeated, share an id or have none; rows without shingles all stay; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +42,8 @@ SHINGLE, PERMUTATIONS, BAND = 5, 64, 4
 LEAST = 75  # hundredths of similarity
 SMALL = 16
 LANES = 8
+#: Ratio of neighbouring size classes in the join of rare shingles.
+SIZE_STEP = 1.1
 #: A class is compared with so many others per task row group; more are dealt to further tasks.
 PER_SALT = 1_000
 BLOCK = 4_096
@@ -139,8 +142,8 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Each lead ``a`` is sent once to each task that compares it, with up to about ``PER_SALT`` others.
     """
     n = F.count(F.lit(1))
-    leads = pairs.groupBy("a1", "a2").agg(F.ceil(n / PER_SALT).cast("int").alias("salts"))
-    salted = pairs.join(leads, ["a1", "a2"]).select(
+    leads = pairs.groupBy("a1", "a2").agg(F.ceil(n / PER_SALT).cast("int").alias("salts"), n.alias("many"))
+    salted = join_heavy(pairs, leads, ["a1", "a2"], "many").select(
         "a1", "a2", F.pmod(F.xxhash64("b1", "b2"), "salts").cast("int").alias("salt"), "b1", "b2")
     own = leads.select("a1", "a2", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                        F.col("a1").alias("b1"), F.col("a2").alias("b2"))
@@ -239,14 +242,24 @@ def _prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
         "f1", "f2", F.col("r.root").alias("root"), F.col("r.bits").alias("bits"), "n", shared.alias("shared"),
         F.posexplode(F.slice("s", F.lit(1), upto.cast("int"))).alias("at", "p")).select(
         "f1", "f2", "root", "bits", "n", (F.col("shared") - F.col("at")).alias("rest"), F.col("p.h").alias("h")), "prefix")
-    x = pre.select("h", *[F.col(c).alias(n) for c, n in zip(pre.columns[:-1], ("a1", "a2", "ra", "bitsa", "na", "resta"), strict=True)])
-    y = pre.select("h", *[F.col(c).alias(n) for c, n in zip(pre.columns[:-1], ("b1", "b2", "rb", "bitsb", "nb", "restb"), strict=True)])
+    # the smaller set of a pair goes to the size classes that its rest allows its partner, the larger one to its own: sets
+    # that share much of a template, but too little for a link, meet nobody
+    most = F.least(F.floor(F.col("n") * 100 / LEAST), F.floor(F.col("rest") * (100 + LEAST) / LEAST) - F.col("n"))
+    step = lambda n: F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+    names = pre.columns[:-1]
+    x = pre.filter(most >= F.col("n")).select("h", F.explode(F.sequence(step(F.col("n")), step(most))).alias("sizes"), *[
+        F.col(c).alias(n) for c, n in zip(names, ("a1", "a2", "ra", "bitsa", "na", "resta"), strict=True)])
+    y = pre.select("h", step(F.col("n")).alias("sizes"), *[
+        F.col(c).alias(n) for c, n in zip(names, ("b1", "b2", "rb", "bitsb", "nb", "restb"), strict=True)])
     room = F.least("resta", "restb") * (100 + LEAST) >= (F.col("na") + F.col("nb")) * LEAST
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * LEAST
     differ = reduce(lambda a, b: a + b, [F.bit_count(F.get("bitsa", F.lit(k)).bitwiseXOR(F.get("bitsb", F.lit(k)))) for k in range(LANES)])
     close = differ * (100 + LEAST) <= (F.col("na") + F.col("nb")) * (100 - LEAST)
-    return x.join(y, "h").filter((F.struct("a1", "a2") < F.struct("b1", "b2")) & (F.col("ra") != F.col("rb")) & sizes & room
-                                 & close).select("a1", "a2", "b1", "b2")
+    one, two = (F.struct(F.col(f"{c}1").alias("f1"), F.col(f"{c}2").alias("f2")) for c in "ab")
+    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (one < two))
+    met = x.join(y, ["h", "sizes"]).filter(once & (F.col("ra") != F.col("rb")) & sizes & room & close)
+    met = met.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b"))
+    return met.select(F.col("a.f1").alias("a1"), F.col("a.f2").alias("a2"), F.col("b.f1").alias("b1"), F.col("b.f2").alias("b2"))
 
 
 def linked_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

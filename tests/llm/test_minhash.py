@@ -105,3 +105,18 @@ def test_chain_of_links(spark):
     rows = [(i, " ".join(words[i * 6:i * 6 + 100])) for i in range(60)]
     got = check(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
     assert {r["component_id"] for r in got} == {0}
+
+
+def test_templates_do_not_meet_pair_by_pair(spark, monkeypatch):
+    """Texts that share three quarters of their shingles with all others, but are no links, make no pairs."""
+    rng = random.Random(11)
+    frame = cases.sentence(rng, 124, 10 ** 6)
+    rows = [(i, f"{frame} {cases.sentence(rng, 40, 10 ** 6)}") for i in range(150)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = []
+    plain = minhash._prefix_pairs
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda *a: made.append(plain(*a).distinct().count()) or plain(*a))
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    check(spark, docs, rows)
+    assert made and all(n <= 20 for n in made), made
