@@ -36,6 +36,8 @@ from tabfid.llm.common import fresh, join_heavy, shared_table
 WINDOW, MER, HOT = 50, 4, 1_000
 #: Windows of a packed string at most: a longer super-k-mer (few words repeated) travels in several.
 PIECE = 256
+#: Frequent minimisers that are broadcast (8 bytes each).
+BROADCAST_MINIMISERS = 1_000_000
 ROWS_OUT, BYTES_OUT = 1_024, 8_000_000
 LAST = 2**63 - 1
 
@@ -221,11 +223,13 @@ def covered_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = key.join(wanted, ["t1", "t2", "owner"]).select("t1", "t2", "owner", "text", "runs")
     packed = shared_table(texts.mapInArrow(
         _packed, "t1 bigint, t2 bigint, owner bigint, mini bigint, start int, packed binary"), "packed")
-    many = packed.groupBy("mini").count()
-    cold = packed.join(many.filter(F.col("count") <= hot).select("mini"), "mini")
+    # at most one in ``hot`` strings has a minimiser of its own here, so its strings need not travel to be told apart
+    many = shared_table(packed.groupBy("mini").count().filter(F.col("count") > hot).select("mini"), "hot-minimisers")
+    many = F.broadcast(many) if many.count() <= BROADCAST_MINIMISERS else many
+    cold = packed.join(many, "mini", "left_anti")
     ranges = "t1 bigint, t2 bigint, start int, upto int"
     found = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(_counted, ranges)
-    more = _hot_ranges(packed.join(many.filter(F.col("count") > hot).select("mini"), "mini"))
+    more = _hot_ranges(packed.join(many, "mini", "left_semi"))
     per = found.unionByName(more).groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "upto"))).alias("ranges"))
     return shared_table(owners.join(per, ["t1", "t2"], "left"), "ranges")
 
