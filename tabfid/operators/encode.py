@@ -3,8 +3,8 @@
 A dictionary is a DataFrame ``(value string, code long)``.  Codes are numbered on the
 *distinct* table, never on raw rows.  Small dictionaries are numbered in one task;
 large ones (``index_sorted``) by range partitions plus per-partition offsets after a
-reliable checkpoint.  Lookups are joins; Spark broadcasts a dictionary whose measured bytes
-are under its own limit and shuffles otherwise.
+reliable checkpoint.  Lookups are joins; a dictionary of up to ``BROADCAST_VALUES`` values is broadcast, so
+that rows are not gathered by a few values, others are left to Spark.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ OTHER = "other"          # rare/tail bucket of E2/E4
 UNSEEN = "Other"         # unseen bucket of E7
 
 SMALL_DICT = 1_000_000   # number in one task below this size
+BROADCAST_VALUES = 10_000
 
 
 @dataclass
@@ -109,10 +110,14 @@ def fit_label_encoder(df: DataFrame, col: str, min_share: float | None = None) -
     return Encoder(col, "label", dictionary, size, fill, folded, kept)
 
 
-def _lookup(df: DataFrame, dictionary: DataFrame, on: str, out: str) -> DataFrame:
+def _small(table: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(table) if size <= BROADCAST_VALUES else table
+
+
+def _lookup(df: DataFrame, enc: Encoder, on: str, out: str) -> DataFrame:
     (v,) = free_names(df, "_v")
-    d = dictionary.select(F.col("value").alias(v), F.col("code").alias(out))
-    return df.join(d, F.col(on) == F.col(v), "left").drop(v)
+    d = enc.dictionary.select(F.col("value").alias(v), F.col("code").alias(out))
+    return df.join(_small(d, enc.size), F.col(on) == F.col(v), "left").drop(v)
 
 
 def _prepared(df: DataFrame, enc: Encoder, val: str) -> DataFrame:
@@ -123,7 +128,7 @@ def _prepared(df: DataFrame, enc: Encoder, val: str) -> DataFrame:
     if enc.folded and enc.kept is not None:
         kv, keep = free_names(d, "_kv", "_keep")
         k = enc.kept.select(F.col("value").alias(kv), F.lit(True).alias(keep))
-        d = d.join(k, F.col(val) == F.col(kv), "left").withColumn(
+        d = d.join(_small(k, enc.size), F.col(val) == F.col(kv), "left").withColumn(
             val, F.when(F.col(keep), F.col(val)).otherwise(F.lit(OTHER))).drop(kv, keep)
     return d
 
@@ -131,7 +136,7 @@ def _prepared(df: DataFrame, enc: Encoder, val: str) -> DataFrame:
 def apply_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
     """Replace the column by its code (long)."""
     val, out = free_names(df, "_val", "_code_out")
-    d = _lookup(_prepared(df, enc, val), enc.dictionary, val, out)
+    d = _lookup(_prepared(df, enc, val), enc, val, out)
     return d.withColumn(enc.column, F.col(out)).drop(val, out)
 
 
@@ -180,7 +185,7 @@ def invert_encoder(df: DataFrame, enc: Encoder) -> DataFrame:
                    F.lit(float(max(enc.size - 1, 0)))).cast("long")
     at, v = free_names(df, "_c", "_v")
     dd = enc.dictionary.select(F.col("value").alias(v), F.col("code").alias(at))
-    return df.withColumn(at, code).join(dd, at, "left").withColumn(c, F.col(v)).drop(at, v)
+    return df.withColumn(at, code).join(_small(dd, enc.size), at, "left").withColumn(c, F.col(v)).drop(at, v)
 
 
 def fit_joint_encoder(real: DataFrame, synthetic: DataFrame, col: str) -> Encoder:
@@ -203,6 +208,6 @@ def fit_with_unseen(train: DataFrame, col: str) -> Encoder:
 def apply_with_unseen(df: DataFrame, enc: Encoder) -> DataFrame:
     """E7 apply: unknown (or null) values take the code of 'Other'."""
     val, out = free_names(df, "_val", "_code_out")
-    d = _lookup(df.withColumn(val, F.col(enc.column).cast("string")), enc.dictionary, val, out)
+    d = _lookup(df.withColumn(val, F.col(enc.column).cast("string")), enc, val, out)
     other = enc.dictionary.where(F.col("value") == UNSEEN).first()["code"]
     return d.withColumn(enc.column, F.coalesce(F.col(out), F.lit(other).cast("long"))).drop(val, out)

@@ -147,3 +147,30 @@ def test_exact_quotas():
     for counts, total in (({"a": 5, "b": 3, "c": 2}, 101), ({"a": 1, "b": 1, "c": 1}, 100), ({"a": 999, "b": 1}, 10)):
         q = exact_quotas(counts, total)
         assert sum(q.values()) == total and min(q.values()) >= 1
+
+
+@pytest.fixture
+def unmeasured(spark):
+    """Spark does not broadcast by measured bytes, as with inputs whose sizes it overrates."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, was)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_not_gathered_by_the_values_of_a_small_dictionary(spark, unmeasured):
+    """Two values in many rows: the lookup must not send the rows by value."""
+    from tabfid.operators import encode
+    df = spark.range(100).selectExpr("id AS k", "CASE WHEN id < 90 THEN 'a' ELSE 'b' END AS v")
+    e = encode.fit_factorize_encoder(df, "v", ["k"])
+    for out in (encode.apply_encoder(df, e), encode.apply_with_unseen(df, encode.fit_with_unseen(df, "v")),
+                encode.invert_encoder(encode.apply_encoder(df, e), e)):
+        assert "SortMergeJoin" not in _plan(out)
+        assert out.count() == 100
+    got = {r["v"]: r["n"] for r in encode.apply_encoder(df, e).groupBy("v").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 90, 1: 10}
