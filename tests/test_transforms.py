@@ -174,3 +174,15 @@ def test_rows_are_not_gathered_by_the_values_of_a_small_dictionary(spark, unmeas
         assert out.count() == 100
     got = {r["v"]: r["n"] for r in encode.apply_encoder(df, e).groupBy("v").agg(F.count("*").alias("n")).collect()}
     assert got == {0: 90, 1: 10}
+
+
+def test_rows_are_not_gathered_by_their_stratum(spark, unmeasured):
+    """Quotas given on the driver: quotas and cuts travel, the rows stay."""
+    from tabfid.operators import sampling
+    df = spark.range(1000).selectExpr("id AS k", "CASE WHEN id % 10 < 9 THEN 'a' ELSE 'b' END AS v")
+    out = sampling.stratified_sample(df, ["k"], "v", {"a": 3, "b": 1}, 40)
+    assert "SortMergeJoin" not in _plan(out)
+    assert {r["v"]: r["n"] for r in out.groupBy("v").agg(F.count("*").alias("n")).collect()} == {"a": 30, "b": 10}
+    quota = spark.createDataFrame([("a", 30), ("b", 10)], "v string, quota long")
+    plain = sampling.take_by_hash(df, ["k"], quota, strata=["v"])
+    assert {r["k"] for r in plain.collect()} == {r["k"] for r in out.collect()}
