@@ -156,3 +156,25 @@ def test_every_code_can_be_generated(spark, tmp_path):
         got = {r["code"]: r["count"] for r in synth.sample_copula(spark, m, 120_000, seed=3).groupBy("code").count().collect()}
         assert set(got) <= {-5, *range(3_000)} and len(got) > 2_990
         assert 2 <= got[-5] <= 40  # 30 of 300,000 rows: 12 expected
+
+
+def test_forest_trains_on_points_that_stand_for_all_rows(spark, monkeypatch):
+    """Past the bound rows of equal features are one point: few points, no row and no label lost, same lesson learnt."""
+    from tabfid.operators import utility as ut
+    df = spark.range(6000).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS a", "CAST((id * 37) % 6000 AS DOUBLE) / 10 AS b")
+    df = df.withColumn("y", F.col("a") * 10 + F.when(F.col("b") > 300, 5.0).otherwise(0.0) + F.col("k") % 3)
+    d = df.select("a", "b", F.col("y").alias("label"))
+    whole, same = ut.training_points(d, ["a", "b"], "regression", 32)
+    assert whole.count() == 6000 and same(d) is d
+    monkeypatch.setattr(ut, "POINTS", 1000)
+    points, binned = ut.training_points(d, ["a", "b"], "regression", 32)
+    n, w, s = points.agg(F.count("*"), F.sum("weight"), F.sum(F.col("weight") * F.col("label"))).first()
+    assert n <= 1300 and w == 6000 and s == pytest.approx(d.agg(F.sum("label")).first()[0])
+    assert binned(d).select("b").distinct().count() <= 32
+    c = d.withColumn("label", F.floor(F.col("a") / 3).cast("double"))
+    points, _ = ut.training_points(c, ["a", "b"], "classification", 32)
+    assert points.count() <= 1300
+    got = {r[0]: r[1] for r in points.groupBy("label").agg(F.sum("weight")).collect()}
+    assert got == {r[0]: r[1] for r in c.groupBy("label").count().collect()}
+    r = ut.ml_utility(df, df, "y", ["k"], "regression", num_trees=5, max_depth=5).first()
+    assert r["real_score"] > 0.9 and r["synthetic_score"] > 0.9
