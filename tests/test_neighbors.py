@@ -78,3 +78,32 @@ def test_nn_empty_leaves_and_zero_inflated_columns(spark):
     d = _brute(a, b)
     r = nearest_neighbor_distance(pair, cols, leaf_size=8, block=5).first()
     assert r["nearest_neighbor_mean"] == pytest.approx(d.mean(), rel=1e-9)
+
+
+def test_search_inside_a_block_leaves_out_far_points():
+    """The search equals brute force bit by bit, with and without a known distance, and measures few of the pairs."""
+    from tabfid.operators import neighbors as nb
+    rng = np.random.default_rng(3)
+
+    def points(n):
+        return np.c_[rng.integers(0, 7, n), rng.integers(0, 50, n) / 15, rng.normal(size=n), rng.integers(0, 11, n) / 3].astype(float)
+
+    a, b = points(2000), points(2048)
+    a[:20] = b[:20]
+    want = nb._min_dist(a, b)
+    seen, met = [], nb._met
+
+    def counted(x, y, p, leaf, starts, d2):
+        seen.append(int((starts[leaf + 1] - starts[leaf]).sum()))
+        met(x, y, p, leaf, starts, d2)
+
+    nb._met = counted
+    try:
+        assert np.array_equal(nb._nearest(a, b), want)
+        bound = want * rng.uniform(0.5, 1.5, len(a))
+        assert np.allclose(nb._nearest(a, b, bound), np.minimum(want, bound), rtol=1e-15)
+    finally:
+        nb._met = met
+    assert 0 < sum(seen) < 0.3 * len(a) * len(b)
+    same = np.ones((3000, 2))
+    assert not nb._nearest(same, same).any()
