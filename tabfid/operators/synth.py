@@ -75,9 +75,7 @@ class CopulaModel:
         return list(self.marginals)
 
 
-def _kinds(df: DataFrame, types: dict | None) -> dict:
-    t = dict(infer_types(df))
-    t.update(types or {})
+def _kinds(t: dict) -> dict:
     out = {}
     for c, k in t.items():
         out[c] = {CONTINUOUS: "continuous", ORDINAL: "continuous", DATETIME: "datetime",
@@ -98,7 +96,8 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     """G1 (and G4 with ``condition``): fit marginals and the normal-score correlation.
 
     A model beyond the driver's bounds, which are checked before anything is collected, is a ``TableModel``."""
-    kinds = _kinds(df, types)
+    t = {**infer_types(df), **(types or {})}
+    kinds = _kinds(t)
     if condition is not None:
         kinds.pop(condition, None)
     cols = list(kinds)
@@ -109,7 +108,6 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
     probs = [i / n_quantiles for i in range(n_quantiles + 1)]
     acc = accuracy or max(10_000, 10 * n_quantiles)
     # by semantic type: integer and ordinal columns only ever take values that were seen
-    t = {**infer_types(df), **(types or {})}
     disc = [c for c in num if t[c] == ORDINAL or isinstance(fields[c], INTEGRAL_TYPES)]
 
     def as_tables() -> TableModel:
@@ -335,11 +333,12 @@ def _fit_corr(df: DataFrame, model: CopulaModel, g) -> dict:
 
 
 def _cholesky(c: np.ndarray) -> np.ndarray:
-    w, v = np.linalg.eigh((c + c.T) / 2)
+    """Of one matrix, or of each of a stack of matrices."""
+    w, v = np.linalg.eigh((c + c.swapaxes(-1, -2)) / 2)
     w = np.clip(w, 1e-9, None)
-    fixed = v @ np.diag(w) @ v.T
-    d = np.sqrt(np.diag(fixed))
-    return np.linalg.cholesky(fixed / np.outer(d, d))
+    fixed = (v * w[..., None, :]) @ v.swapaxes(-1, -2)
+    d = np.sqrt(np.diagonal(fixed, axis1=-2, axis2=-1))
+    return np.linalg.cholesky(fixed / (d[..., :, None] * d[..., None, :]))
 
 
 def _tempered(p: np.ndarray, temperature: float | None) -> np.ndarray:

@@ -8,10 +8,11 @@ statistic is collected by stratum or by value:
   repeated ones, all values of discrete and categorical columns that have at most ``SMALL_VALUES``).
 * ``values``: every value with its count, for the columns of a stratum that have more than that.
 
-Fit: one aggregate per stratum, one count of values, and one pass of normal scores, in which rows and
+Fit: strata of up to ``FEW`` rows are sorted by stratum and fitted many at a time, in one pass over Arrow batches.
+The others take one aggregate per stratum, one count of values, and one pass of normal scores, in which rows and
 strata are merged in the order of (stratum, part); large strata have several parts.
 
-Sample: a stratum's row is cut into blocks of row ids, each generated by itself, with the same random
+Sample: a stratum's row is cut into blocks of row ids, generated many at a time, with the same random
 streams as ``synth.sample_copula``.  A column with many values gets its draw u as a place in the
 cumulative counts; the place falls into one of many buckets of equal mass, the buckets with many rare
 values are cut again, and an equal join on the bucket finds the value (inverse-CDF range join).  Buckets
@@ -25,6 +26,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +36,13 @@ from tabfid.session import shared_table
 
 #: A stratum's column with more values than this keeps them in the table of values.
 SMALL_VALUES = 1_024
+#: Strata of up to so many rows (and no more than quantiles or small values) are fitted together.
+FEW = 512
 #: Rows of a stratum that are scored by one merge, and rows generated from one copy of its statistics.
 PART, BLOCK = 50_000, 65_536
 #: Values in a bucket of equal mass, about; a bucket with more than ``WIDE`` is cut again.
 FILL, WIDE = 16, 256
-MOST_BUCKETS = 1_000_000
+MOST_BUCKETS, MOST_TASKS = 1_000_000, 10_000
 #: Rows that Python hands over at once.
 BATCH = 8_192
 
@@ -85,14 +90,37 @@ def _runs(points: Column, n: int) -> Column:
 def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict, types: dict, condition: str | None,
                n_quantiles: int, accuracy: int) -> TableModel:
     """Fits ``base``: ``_g``, the stratum, and the columns as c0, c1, ... (numbers as double, categories as string)."""
-    rows = base.withColumn("_key", stratum_key(F.col("_g")))
+    rows = base.withColumn("_key", stratum_key(F.col("_g"))).drop("_g")
+    meta = {"kinds": kinds, "types": types, "discrete": discrete}
+    few = min(FEW, n_quantiles, SMALL_VALUES)
+    sizes = shared_table(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "stratum-sizes")
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    if least is None or least > few:
+        strata, values = _fit_large(rows, columns, kinds, discrete, n_quantiles, accuracy)
+    elif most <= few:
+        strata, values = _fit_small(rows, columns, kinds, discrete, n_quantiles), _no_values(rows.sparkSession)
+    else:
+        above = sizes.filter(F.col("n") > few).select("_key")   # at most one in ``few`` rows
+        strata, values = _fit_large(rows.join(above, "_key", "left_semi"), columns, kinds, discrete, n_quantiles, accuracy)
+        strata = strata.unionByName(_fit_small(rows.join(above, "_key", "left_anti"), columns, kinds, discrete, n_quantiles))
+    strata = strata.withColumn("stratum", F.when(F.col("_key") != "null", F.col("_key").substr(F.lit(2), F.length("_key"))))
+    strata = strata.select("_key", "stratum", "n", "nulls", "points", "chol")
+    return TableModel(columns, shared_table(strata, "fitted-strata"), values, condition, n_quantiles, meta)
+
+
+def _no_values(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "_key string, column int, x double, s string, n bigint")
+
+
+def _fit_large(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n_quantiles: int, accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """(strata, values) by aggregates per stratum."""
     k = len(columns)
     cat = [i for i, c in enumerate(columns) if kinds[c] == "categorical"]
     counted = [i for i, c in enumerate(columns) if kinds[c] == "categorical" or discrete[c]]
     smooth = [i for i in range(k) if i not in counted]
     probs = [i / n_quantiles for i in range(n_quantiles + 1)]
     none = F.array().cast(POINTS)
-    aggs = [F.count(F.lit(1)).alias("n"), F.first("_g").alias("stratum"), *[F.count(f"c{i}").alias(f"m{i}") for i in range(k)]]
+    aggs = [F.count(F.lit(1)).alias("n"), *[F.count(f"c{i}").alias(f"m{i}") for i in range(k)]]
     aggs += [F.percentile_approx(f"c{i}", probs, accuracy).alias(f"q{i}") for i in smooth]
     one = rows.groupBy("_key").agg(*aggs)
     runs = [F.struct(F.lit(i).alias("column"), F.lit(False).alias("large"), _runs(F.col(f"q{i}"), n_quantiles).alias("r")) for i in smooth]
@@ -100,8 +128,7 @@ def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict,
         e["column"], e["large"], e["r"]["x"].alias("x"), F.lit(None).cast("array<string>").alias("s"),
         e["r"]["i"].alias("upto"))) if smooth else none
     nulls = F.array(*[1 - F.col(f"m{i}") / F.col("n") for i in range(k)])
-    strata = one.select("_key", "stratum", "n", nulls.alias("nulls"), points.cast(POINTS).alias("points"))
-    spark = rows.sparkSession
+    strata = one.select("_key", "n", nulls.alias("nulls"), points.cast(POINTS).alias("points"))
     if counted:
         long = rows.select("_key", F.inline(F.array(*[F.struct(
             F.lit(i).alias("column"), F.lit(None).cast("double").alias("x") if i in cat else F.col(f"c{i}").alias("x"),
@@ -125,16 +152,134 @@ def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict,
         grid = grid.select("_key", "column", F.lit(True).alias("large"), F.col("e.x").alias("x"), F.col("e.s").alias("s"),
                            F.col("e.i").cast("array<double>").alias("upto"))
         more = few.unionByName(grid).groupBy("_key").agg(F.collect_list(F.struct("column", "large", "x", "s", "upto")).alias("more"))
-        strata = strata.join(more, "_key", "left").select("_key", "stratum", "n", "nulls", F.concat(
+        strata = strata.join(more, "_key", "left").select("_key", "n", "nulls", F.concat(
             "points", F.coalesce(F.col("more").cast(POINTS), none)).alias("points"))
     else:
-        values = spark.createDataFrame([], "_key string, column int, x double, s string, n bigint")
+        values = _no_values(rows.sparkSession)
     strata = shared_table(strata, "strata")
-    meta = {"kinds": kinds, "types": types, "discrete": discrete}
     chol = _factors(_score_sums(rows, strata, columns, kinds, n_quantiles), k)
     identity = F.array(*[F.lit(float(i == j)) for i in range(k) for j in range(k)])
-    strata = strata.join(chol, "_key", "left").withColumn("chol", F.coalesce("chol", identity))
-    return TableModel(columns, shared_table(strata, "fitted-strata"), values, condition, n_quantiles, meta)
+    return strata.join(chol, "_key", "left").withColumn("chol", F.coalesce("chol", identity)), values
+
+
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+
+
+def _fit_small(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n: int) -> DataFrame:
+    """Strata of few rows, as ``_fit_large`` gives them: rows sorted by stratum, whole strata of a batch at a time."""
+    k = len(columns)
+    categorical = [kinds[c] == "categorical" for c in columns]
+    smooth = [not categorical[i] and not discrete[c] for i, c in enumerate(columns)]
+    grid: dict = {}   # values of a column -> first and last place on the grid of quantiles for each rank
+
+    def places(m: int) -> tuple[np.ndarray, np.ndarray]:
+        if m not in grid:
+            ranks = np.maximum(np.ceil(np.arange(n + 1) / n * m), 1)
+            each = np.arange(1, m + 1)
+            grid[m] = np.searchsorted(ranks, each, "left"), np.searchsorted(ranks, each, "right") - 1
+        return grid[m]
+
+    def distribution(i: int, v: pa.Array, g: np.ndarray, many: int):
+        """A column's scores (from 0 to 1), missing cells, and entries of each stratum: (counts, values, places)."""
+        ok = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+        u, of = np.full(len(v), 0.5), g[ok]
+        if categorical[i]:
+            coded = v.dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            by_name = sorted(range(len(names)), key=names.__getitem__)
+            rank = np.empty(len(names), dtype=np.int64)
+            rank[by_name] = np.arange(len(names))
+            x = rank[coded.indices.take(pa.array(ok)).to_numpy(zero_copy_only=False)] if len(ok) else np.zeros(0, dtype=np.int64)
+        else:
+            x = v.to_numpy(zero_copy_only=False)[ok]
+        order = np.lexsort((x, of))
+        of, x = of[order], x[order]
+        new = np.append(True, (of[1:] != of[:-1]) | (x[1:] != x[:-1]))[:len(of)]
+        runs = np.flatnonzero(new)
+        have = np.bincount(of, minlength=many)
+        base, run_of = (np.cumsum(have) - have)[of[runs]], of[runs]
+        before, upto = runs - base, np.append(runs[1:], len(of)) - base
+        total, value = have[run_of], x[runs]
+        if smooth[i]:
+            first, last = np.empty(len(runs), dtype=np.int64), np.empty(len(runs), dtype=np.int64)
+            for m in np.unique(total):
+                at = total == m
+                lo, hi = places(int(m))
+                first[at], last[at] = lo[before[at]], hi[upto[at] - 1]
+            score = np.clip((first + last + 1) / (2.0 * (n + 1)), 0.5 / (n + 1), 1 - 0.5 / (n + 1))
+            twice = 1 + (last > first)
+            ends = np.cumsum(twice)
+            at = np.repeat(first, twice)
+            at[ends - 1] = last
+            entries = np.bincount(run_of, weights=twice, minlength=many).astype(np.int64), pa.array(np.repeat(value, twice)), at
+        else:
+            score = (before + upto) / 2 / total
+            value = pa.array(names, pa.string()).take(pa.array(np.asarray(by_name, dtype=np.int64)[value])) if categorical[i] else pa.array(value)
+            entries = np.bincount(run_of, minlength=many), value, upto
+        u[ok[order]] = score[np.cumsum(new) - 1]
+        return u, 1 - have, entries
+
+    def points(entries: list, many: int) -> pa.ListArray:
+        structs, owners = [], []
+        for i, (counts, value, upto) in enumerate(entries):
+            held = np.flatnonzero(counts)
+            here, size = counts[held], len(held)
+            none = lambda t: pa.nulls(size, pa.list_(t))
+            of = _lists(here, value)
+            structs.append(pa.StructArray.from_arrays(
+                [pa.array(np.full(size, i), pa.int32()), pa.array(np.zeros(size, dtype=bool)), none(pa.float64()) if categorical[i] else of,
+                 of if categorical[i] else none(pa.string()), _lists(here, pa.array(upto.astype(np.float64)))],
+                ["column", "large", "x", "s", "upto"]))
+            owners.append(held)
+        owner = np.concatenate(owners)
+        return _lists(np.bincount(owner, minlength=many), pa.concat_arrays(structs).take(pa.array(np.argsort(owner, kind="stable"))))
+
+    def fitted(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        many, lengths = len(starts), np.diff(np.append(starts, t.num_rows))
+        g = np.repeat(np.arange(many), lengths)
+        found = [distribution(i, t.column(f"c{i}").combine_chunks(), g, many) for i in range(k)]
+        z = norm_ppf(np.stack([u for u, _, _ in found], axis=1))
+        mean = np.add.reduceat(z, starts, axis=0) / lengths[:, None]
+        cov = np.empty((many, k, k))
+        for a in range(k):
+            for b in range(a, k):
+                cov[:, a, b] = cov[:, b, a] = np.add.reduceat(z[:, a] * z[:, b], starts) / lengths - mean[:, a] * mean[:, b]
+        chol = _cholesky_of(cov)
+        chol[lengths < 2] = np.eye(k)
+        nulls = np.stack([1 - (1 - lost) / lengths for _, lost, _ in found], axis=1)
+        flat = lambda m: _lists(np.full(many, m.size // many), pa.array(m.ravel()))
+        return pa.RecordBatch.from_arrays([t.column("_key").combine_chunks().take(pa.array(starts)), pa.array(lengths, pa.int64()), flat(nulls),
+                                           points([e for _, _, e in found], many), flat(chol)], ["_key", "n", "nulls", "points", "chol"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None   # the last stratum, which may go on
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if t.num_rows:
+                keys = t.column("_key").combine_chunks()
+                starts = np.append(0, np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1)
+                rest = t.slice(starts[-1])
+                if len(starts) > 1:
+                    yield fitted(t.slice(0, starts[-1]), starts[:-1])
+        if rest is not None and rest.num_rows:
+            yield fitted(rest, np.array([0]))
+
+    by_key = rows.select("_key", *[f"c{i}" for i in range(k)]).repartition("_key").sortWithinPartitions("_key")
+    return by_key.mapInArrow(fit, f"_key string, n bigint, nulls array<double>, points {POINTS}, chol array<double>")
+
+
+def _cholesky_of(cov: np.ndarray) -> np.ndarray:
+    """Cholesky factors of the correlations of many covariances of scores."""
+    from tabfid.operators.synth import _cholesky
+
+    k = cov.shape[1]
+    d = np.sqrt(np.clip(np.diagonal(cov, axis1=1, axis2=2), 0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = np.nan_to_num(cov / (d[:, :, None] * d[:, None, :]), nan=0.0, posinf=0.0, neginf=0.0)
+    c[:, np.arange(k), np.arange(k)] = 1.0
+    return _cholesky(np.clip(c, -1.0, 1.0))
 
 
 def _read(points) -> dict:
@@ -168,7 +313,7 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
     k = len(columns)
     parts = strata.select("_key", F.floor((F.col("n") - 1) / PART).cast("long").alias("_parts"))
     big = parts.filter("_parts > 0")  # at most one stratum in PART rows
-    dealt = rows.drop("_g").join(big, "_key", "left").withColumn(
+    dealt = rows.join(big, "_key", "left").withColumn(
         "_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(0)) + 1)).drop("_parts")
     empty = F.lit(None).cast(POINTS)
     tagged = dealt.select("_key", "_part", F.lit(1).alias("_tag"), empty.alias("points"), *[f"c{i}" for i in range(k)])
@@ -207,25 +352,19 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
 
 def _factors(sums: DataFrame, k: int) -> DataFrame:
     """(_key, chol): Cholesky factor, row by row, of each stratum's correlation of scores."""
-    from tabfid.operators.synth import _cholesky
-
     upper = np.triu_indices(k + 1)
 
     def factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for v in batch["v"]:
-                m = np.zeros((k + 1, k + 1))
-                m[upper] = [e["v"] for e in v]
-                n = m[0, 0]
-                mean = m[0, 1:] / n
-                cov = (m[1:, 1:] + np.triu(m[1:, 1:], 1).T) / n - np.outer(mean, mean)
-                d = np.sqrt(np.clip(np.diag(cov), 0, None))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    c = np.nan_to_num(cov / np.outer(d, d), nan=0.0, posinf=0.0, neginf=0.0)
-                np.fill_diagonal(c, 1.0)
-                out.append(_cholesky(np.clip(c, -1.0, 1.0)).ravel() if n >= 2 else np.eye(k).ravel())
-            yield pd.DataFrame({"_key": batch["_key"], "chol": out})
+            if len(batch):
+                m = np.zeros((len(batch), k + 1, k + 1))
+                m[:, upper[0], upper[1]] = [[e["v"] for e in v] for v in batch["v"]]
+                n = m[:, 0, 0]
+                mean, prod = m[:, 0, 1:] / n[:, None], m[:, 1:, 1:]
+                cov = (prod + np.triu(prod, 1).swapaxes(1, 2)) / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+                chol = _cholesky_of(cov)
+                chol[n < 2] = np.eye(k)
+                yield pd.DataFrame({"_key": batch["_key"], "chol": list(chol.reshape(len(batch), -1))})
 
     lists = sums.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))
     return lists.mapInPandas(factor, "_key string, chol array<double>")
@@ -268,7 +407,7 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
                   temperature: float | None = None) -> DataFrame:
     """Rows of the model: ``quota`` is a number of rows (no condition), or the rows of each stratum as a dict or a table
     (stratum, rows).  Columns are the condition and the fitted columns as Python leaves them."""
-    from tabfid.operators.synth import TEMPERATURE_ARGMAX, _tempered
+    from tabfid.operators.synth import TEMPERATURE_ARGMAX
 
     columns, kinds, k = model.columns, model.meta["kinds"], len(model.columns)
     categorical = [kinds[c] == "categorical" for c in columns]
@@ -283,12 +422,14 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
         quota = quota.withColumn("_at", F.lit(0))
     want = quota.select(stratum_key(F.col("stratum")).alias("_key"), F.col("rows").cast("long").alias("rows"), "_at").filter("rows > 0")
     want = running(want, [], ["_at", "_key"], "rows", "wanted").drop("_at")
+    asked = want.agg(F.sum("rows")).first()[0] or 0
+    tasks = min(max(-(-asked // (2 * BLOCK)), 1), MOST_TASKS)
     strata = model.strata
     lost = want.join(strata, "_key", "left_anti").limit(5).collect()
     if lost:
         raise ValueError(f"no fitted stratum for {[r['_key'] for r in lost]}")
 
-    large = [r[0] for r in strata.select(F.explode("points").alias("p")).filter("p.large").select("p.column").distinct().collect()]
+    large = sorted(r[0] for r in strata.select(F.explode("points").alias("p")).filter("p.large").select("p.column").distinct().collect())
     values = model.values
     if temperature is not None and temperature <= TEMPERATURE_ARGMAX:  # categories take their mode
         cats = [i for i in large if categorical[i]]
@@ -317,73 +458,114 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
     blocks = want.join(strata, "_key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK))))
     blocks = blocks.select("_key", "stratum", "nulls", "chol", "points", "heads", (F.col("before") + F.col("b") * BLOCK).alias("start"),
                            F.least(F.col("rows") - F.col("b") * BLOCK, F.lit(BLOCK)).cast("int").alias("len"))
-    blocks = blocks.repartition("_key", "start")
+    # a given number: few small rows make much work, and would else be read by a single task
+    blocks = blocks.repartition(tasks, "_key", "start")
     types = ["string" if categorical[i] else "double" for i in range(k)]
     schema = "_key string, _stratum string, " + ", ".join(f"c{i} {t}" for i, t in enumerate(types)) + "".join(
         f", r{i} double, b{i} bigint" for i in large)
     n_q = model.n_quantiles
 
-    def column(dist, u, cat: bool, head):
-        """(values, places, buckets) of a column's draws."""
-        n = len(u)
-        if dist is None:
-            return np.full(n, None, dtype=object) if cat else np.full(n, np.nan), None, None
-        is_large, x, s, upto = dist
-        if is_large:
-            r = np.minimum(u * head["total"], np.nextafter(head["total"], 0))
-            return np.full(n, None, dtype=object) if cat else np.full(n, np.nan), r, np.floor(r / head["width"]).astype(np.int64)
-        if not cat and upto[0] == 0:   # quantile points: places on the grid
-            return np.interp(u * n_q, upto, x), None, None
-        if cat and temperature is not None:
-            share = _tempered(np.diff(upto, prepend=0.0) / upto[-1], temperature)
-        else:
-            share = np.diff(upto, prepend=0.0) / upto[-1]
-        at = np.minimum(np.searchsorted(np.cumsum(share), u, side="right"), len(upto) - 1)
-        return (s.astype(object) if cat else x)[at], None, None
-
-    def made(pieces: list[tuple[dict, np.ndarray]]) -> pd.DataFrame:
-        """Rows of several (stratum, row ids): random numbers at once, values stratum by stratum."""
-        ids = np.concatenate([i for _, i in pieces])
-        z, ends = normals(ids, k, seed), np.cumsum([0, *(len(i) for _, i in pieces)])
-        spans = list(zip(pieces, ends, ends[1:]))
-        for (row, _), lo, hi in spans:
-            z[lo:hi] = z[lo:hi] @ row["chol"].reshape(k, k).T
-        u = norm_cdf(z)
-        holes = uniforms(ids, k, seed + 1_000_003) < np.repeat([r["nulls"] for r, _ in pieces], np.diff(ends), axis=0)
-        names = np.array([[r["_key"], r["stratum"]] for r, _ in pieces], dtype=object).repeat(np.diff(ends), axis=0)
-        out = {"_key": names[:, 0], "_stratum": names[:, 1]}
-        for i in range(k):
-            v = np.full(len(ids), None, dtype=object) if categorical[i] else np.full(len(ids), np.nan)
-            places, numbers = np.full(len(ids), np.nan), -1 - ids  # without a place: a bucket that matches nothing
-            for (row, _), lo, hi in spans:
-                got, r, b = column(row["dists"].get(i), u[lo:hi, i], categorical[i], row["sizes"].get(i))
-                v[lo:hi] = got
-                if r is not None:
-                    places[lo:hi], numbers[lo:hi] = r, b
-            v[holes[:, i]] = None if categorical[i] else np.nan
-            out[f"c{i}"] = v
-            if i in large:
-                out[f"r{i}"] = np.where(holes[:, i], np.nan, places)
-                out[f"b{i}"] = np.where(holes[:, i], -1 - ids, numbers)
-        return pd.DataFrame(out)
-
-    def generate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, many = [], 0
+    def upto_one(upto: np.ndarray, lo: np.ndarray, hi: np.ndarray, cat: np.ndarray) -> np.ndarray:
+        """Cumulative counts of each list [lo, hi) as shares, those of categories (``cat``) at the temperature."""
+        size = hi - lo
+        if temperature is None or not cat.any():
+            return upto / np.repeat(upto[hi[size > 0] - 1], size[size > 0])
+        out = upto_one(upto, lo, hi, np.zeros(len(lo), dtype=bool))
+        lo, size = lo[cat & (size > 0)], size[cat & (size > 0)]
+        if not len(lo):
+            return out
+        at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        starts = np.cumsum(size) - size
+        n = np.diff(upto[at], prepend=0.0)
+        n[starts] = upto[lo]
+        if temperature <= TEMPERATURE_ARGMAX:   # the first of the largest
+            inside = np.arange(len(at)) - np.repeat(starts, size)
+            top = np.where(n == np.repeat(np.maximum.reduceat(n, starts), size), inside, len(at))
+            out[at] = inside >= np.repeat(np.minimum.reduceat(top, starts), size)
+            return out
+        w = np.power(n / np.repeat(upto[lo + size - 1], size), 1.0 / temperature)
+        for j in range(1, size.max()):   # place by place, so that a list's sums do not depend on its neighbours
+            more = starts[size > j] + j
+            w[more] += w[more - 1]
+        out[at] = w / np.repeat(w[starts + size - 1], size)
+        return out
+
+    def above(sorted_lists: np.ndarray, lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """First place in each list [lo, hi) with an entry above q, else hi."""
+        lo, hi = lo.copy(), hi.copy()
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            mid = (lo[open_] + hi[open_]) // 2
+            up = sorted_lists[mid] > q[open_]
+            hi[open_[up]], lo[open_[~up]] = mid[up], mid[~up] + 1
+        return lo
+
+    def by_column(lists: pa.ListArray, many: int) -> tuple[list[np.ndarray], list[pa.Array]]:
+        """Of each column the struct of every row (or -1), and the structs' fields."""
+        flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner, fields = np.repeat(np.arange(many), sizes), flat.flatten()
+        which = fields[0].to_numpy(zero_copy_only=False)
+        at = np.full((k, many), -1)
+        at[which, owner] = np.arange(len(which))
+        return list(at), fields
+
+    def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
-                row |= {"dists": _read(row["points"]), "sizes": {h["column"]: h for h in row["heads"]},
-                        "chol": np.asarray(row["chol"]), "nulls": np.asarray(row["nulls"])}
-                for lo in range(0, row["len"], BATCH):
-                    ids = row["start"] + np.arange(lo, min(lo + BATCH, row["len"]), dtype=np.int64)
-                    held.append((row, ids))
-                    many += len(ids)
-                    if many >= BATCH:
-                        yield made(held)
-                        held, many = [], 0
-        if held:
-            yield made(held)
-
-    out = blocks.mapInPandas(generate, schema)
+            many = batch.num_rows
+            if not many:
+                continue
+            start, length = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "len"))
+            nulls, chol = (batch.column(c).flatten().to_numpy().reshape(many, *s) for c, s in (("nulls", (k,)), ("chol", (k, k))))
+            at, (which, large_, x, s, upto) = by_column(batch.column("points"), many)
+            held, (_, total, width) = by_column(batch.column("heads"), many)
+            total, width, large_ = total.to_numpy(), width.to_numpy(), large_.to_numpy(zero_copy_only=False)
+            (x_at, x), (s_at, s), (u_at, upto) = [(c.offsets.to_numpy().astype(np.int64), c.values) for c in (x, s, upto)]
+            x, upto = x.to_numpy(zero_copy_only=False), upto.to_numpy(zero_copy_only=False)
+            upto, u_at = upto[u_at[0]:u_at[-1]], u_at - u_at[0]
+            cum = upto_one(upto, u_at[:-1], u_at[1:], np.isin(which.to_numpy(), [i for i in range(k) if categorical[i]]) & ~large_)
+            ends = np.cumsum(length)
+            for lo in range(0, int(ends[-1]), BATCH):
+                pos = np.arange(lo, min(lo + BATCH, ends[-1]))
+                of = np.searchsorted(ends, pos, "right")
+                ids = start[of] + pos - (ends - length)[of]
+                free = normals(ids, k, seed)
+                holes = uniforms(ids, k, seed + 1_000_003) < nulls[of]
+                out = [batch.column(c).take(pa.array(of)) for c in ("_key", "stratum")]
+                rest = []
+                for i in range(k):
+                    u = norm_cdf(sum(chol[of, i, j] * free[:, j] for j in range(i + 1)))
+                    e = at[i][of]
+                    is_large = (e >= 0) & large_[e] if len(large_) else np.zeros(len(e), dtype=bool)
+                    got = np.flatnonzero((e >= 0) & ~is_large & ~holes[:, i])
+                    e, q = e[got], u[got]
+                    first, last = u_at[e], u_at[e + 1]
+                    if categorical[i]:
+                        pick = np.full(len(ids), -1)
+                        pick[got] = s_at[e] + np.minimum(above(cum, first, last, q), last - 1) - first
+                        out.append(s.take(pa.array(pick, mask=pick < 0)))
+                    else:
+                        value, grid = np.full(len(ids), np.nan), upto[first] == 0   # quantile points: places on the grid
+                        hit = np.where(grid, above(upto, first, last, q * n_q), above(cum, first, last, np.where(grid, np.inf, q)))
+                        right = np.minimum(hit, last - 1)
+                        left = np.where(grid & (hit < last), right - 1, right)
+                        to_x = x_at[e] - first
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            slope = (x[to_x + right] - x[to_x + left]) / (upto[right] - upto[left])
+                        value[got] = np.where(right > left, slope * (q * n_q - upto[left]), 0.0) + x[to_x + left]
+                        out.append(pa.array(value))
+                    if i in large:
+                        h = held[i][of]
+                        ask = is_large & (h >= 0) & ~holes[:, i]
+                        places, buckets = np.full(len(ids), np.nan), -1 - ids   # without a place: a bucket that matches nothing
+                        t, h = total[h[ask]], h[ask]
+                        places[ask] = np.minimum(u[ask] * t, np.nextafter(t, 0))
+                        buckets[ask] = np.floor(places[ask] / width[h])
+                        rest.append((pa.array(places), pa.array(buckets)))
+                names = ["_key", "_stratum", *[f"c{i}" for i in range(k)]]
+                for i, (r, b) in zip(large, rest):
+                    out, names = [*out, r, b], [*names, f"r{i}", f"b{i}"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    out = blocks.mapInArrow(generate, schema)
     for i in large:
         cut = wide.filter(F.col("column") == i).select("_key", F.col("bucket").alias(f"b{i}"), "cut")
         width = header.filter(F.col("column") == i).select("_key", "width")

@@ -163,3 +163,39 @@ def test_unordered_categories_keep_their_joint_table(spark, tmp_path):
     out = synth.sample_copula(spark, cond, {"0": 9000, "1": 9000}, 4)
     now = {(r[0], r[1]): r[2] for r in out.groupBy("a", "b").count().collect()}
     assert sum(abs(was.get(k, 0) / n - now.get(k, 0) / 18_000) for k in was.keys() | now.keys()) / 2 < 0.02
+
+
+def test_small_strata_are_fitted_together(spark, monkeypatch):
+    """Strata of few rows get what the aggregates per stratum give, without 1,001 quantiles for each; large ones beside them."""
+    n = 3_000
+    df = spark.range(n).select(F.when(F.col("id") < 700, F.lit("big")).otherwise(F.when(F.col("id") % 400 > 0, F.concat(F.lit("s"), F.col("id") % 400))).alias("g"),
+                               F.when(F.col("id") % 5 > 0, F.pmod(F.hash("id"), F.lit(50)) / 10.0).alias("x"), (F.col("id") % 3).cast("int").alias("y"),
+                               F.when(F.col("id") % 4 > 0, F.concat(F.lit("k"), F.pmod(F.hash("id", F.lit(2)), F.lit(3)))).alias("z"))
+    monkeypatch.setattr(synth, "MAX_POINTS", 1)
+
+    def strata(model):
+        out = {}
+        for r in model.strata.collect():
+            assert r["_key"] not in out
+            out[r["_key"]] = (r["stratum"], r["n"], np.round(r["nulls"], 9).tolist(), sorted([p["column"], p["large"], p["x"] if p["s"] is None or p["s"][0] is None else p["s"], p["upto"]] for p in r["points"]),
+                              np.round(r["chol"], 5).tolist())
+        return out
+
+    few = [strata(synth.fit_copula(df, condition="g"))]
+    monkeypatch.setattr(synth_tables, "FEW", 0)
+    few.append(strata(synth.fit_copula(df, condition="g")))
+    assert few[0].keys() == few[1].keys() and len(few[0]) == 401
+    for key, (stratum, rows_, nulls, points, chol) in few[0].items():
+        other = few[1][key]
+        assert (stratum, rows_, nulls, points) == other[:4], key
+        assert np.allclose(chol, other[4], atol=2e-5), key
+    monkeypatch.setattr(synth_tables, "FEW", 512)
+
+    def asked(*a, **b):
+        raise AssertionError("quantiles of each small stratum")
+
+    monkeypatch.setattr(synth_tables.F, "percentile_approx", asked)
+    base = df.filter("g <> 'big' OR g IS NULL").select(F.col("g").alias("_g"), F.col("x").alias("c0"))
+    kinds = {"x": "continuous"}
+    model = synth_tables.fit_tables(base, ["x"], kinds, {"x": False}, {"x": "double"}, "g", 1000, 10_000)
+    assert model.strata.count() == 400
