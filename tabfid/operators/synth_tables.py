@@ -43,6 +43,8 @@ PART, BLOCK = 50_000, 65_536
 #: Values in a bucket of equal mass, about; a bucket with more than ``WIDE`` is cut again.
 FILL, WIDE = 16, 256
 MOST_BUCKETS, MOST_TASKS = 1_000_000, 10_000
+#: Rows of a table that is broadcast.
+MOST_BESIDE = 100_000
 #: Rows that Python hands over at once.
 BATCH = 8_192
 
@@ -78,6 +80,13 @@ def running(df: DataFrame, part: list[str], order: list[str], weight: str, name:
         "before", F.col("_before") + F.col("_own")).drop("_before", "_own", "_range")
 
 
+def beside(df: DataFrame, name: str) -> DataFrame:
+    """A table with a row for each of some (stratum, column), to be joined with their values: broadcast where it is
+    small, so that the values of a few columns are not dealt to as few tasks."""
+    held = shared_table(df, name)
+    return F.broadcast(held) if held.limit(MOST_BESIDE + 1).count() <= MOST_BESIDE else held
+
+
 # ------------------------------------------------------------------ fit
 
 def _runs(points: Column, n: int) -> Column:
@@ -136,7 +145,7 @@ def _fit_large(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict,
         vc = long.filter("x IS NOT NULL OR s IS NOT NULL").groupBy("_key", "column", "x", "s").agg(F.count(F.lit(1)).alias("n"))
         vc = shared_table(vc, "value-counts")
         sizes = vc.groupBy("_key", "column").agg(F.count(F.lit(1)).alias("_many"), F.sum("n").alias("_total"))
-        sized = vc.join(sizes, ["_key", "column"])
+        sized = vc.join(beside(sizes, "value-sizes"), ["_key", "column"])
         by = Window.partitionBy("_key", "column").orderBy("x", "s")
         few = sized.filter(F.col("_many") <= SMALL_VALUES).withColumn("upto", F.sum("n").over(by).cast("double"))
         few = few.groupBy("_key", "column").agg(F.sort_array(F.collect_list(F.struct("x", "s", "upto"))).alias("e"))
@@ -324,12 +333,13 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
     categorical = [kinds[c] == "categorical" for c in columns]
     upper = np.triu_indices(k + 1)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dists, smooth = {}, {}
         for batch in batches:
-            data = [batch[f"c{i}"].to_numpy() for i in range(k)]
-            tags, keys, points = batch["_tag"].to_numpy(), batch["_key"].to_numpy(), batch["points"].to_numpy()
+            data = [batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(k)]
+            tags = batch.column("_tag").to_numpy()
             heads_at = np.flatnonzero(tags == 0)
+            points = dict(zip(heads_at.tolist(), batch.column("points").take(pa.array(heads_at)).to_pylist()))   # null elsewhere
             bounds = [*([] if len(heads_at) and heads_at[0] == 0 else [-1]), *heads_at.tolist(), len(tags)]
             u, groups = np.full((len(tags), k), 0.5), []
             for head, hi in zip(bounds, bounds[1:]):
@@ -343,10 +353,11 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
                         u[lo:hi, i] = _score(d, data[i][lo:hi], smooth[i], categorical[i], n_quantiles)
             if groups:
                 z = np.hstack([np.ones((len(u), 1)), norm_ppf(u)])
-                yield pd.DataFrame({"_key": [keys[lo] for lo, _ in groups],
-                                    "sums": [(z[lo:hi].T @ z[lo:hi])[upper] for lo, hi in groups]})
+                sums = np.concatenate([(z[lo:hi].T @ z[lo:hi])[upper] for lo, hi in groups])
+                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array([lo for lo, _ in groups])), _lists(
+                    np.full(len(groups), len(upper[0])), pa.array(sums))], ["_key", "sums"])
 
-    sums = merged.mapInPandas(add, "_key string, sums array<double>")
+    sums = merged.mapInArrow(add, "_key string, sums array<double>")
     return sums.select("_key", F.posexplode("sums").alias("i", "v")).groupBy("_key", "i").agg(F.sum("v").alias("v"))
 
 
@@ -389,6 +400,7 @@ def _mass_buckets(values: DataFrame, weight: Column) -> tuple[DataFrame, DataFra
     run = shared_table(run, "cdf")
     header = run.groupBy(*part).agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("many"))
     header = header.select(*part, "total", (F.col("total") / F.least(F.ceil(F.col("many") / FILL), F.lit(MOST_BUCKETS))).alias("width"))
+    header = beside(header, "headers")
     j = run.join(header, part)
     # a value also goes to the bucket that starts where it ends, in case a draw is rounded up to there
     j = j.withColumn("bucket", F.explode(F.sequence(*[F.floor(F.col(c) / F.col("width")) for c in ("before", "upto")])))

@@ -12,7 +12,7 @@ from tabfid.operators.sampling import quotas, rows_to_generate
 from tabfid.plans.catalog import register
 from tabfid.plans.fixtures import lineitem_with_nulls, table
 from tabfid.plans.synthesize import synthesize
-from tabfid.session import ensure_checkpoint_dir
+from tabfid.session import ensure_checkpoint_dir, shared_table
 
 GEN_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
             "l_shipdate", "l_linenumber"]
@@ -177,7 +177,7 @@ def q_g2v(spark, sf_dir):
     the frequent ones have their share; of values seen once 1 - 1/e are drawn, within 2 % of the rows."""
     df = _many_values(spark, sf_dir)
     n = df.count()
-    out = synth.sample_copula(spark, synth.fit_copula(df), n, seed=5)
+    out = shared_table(synth.sample_copula(spark, synth.fit_copula(df), n, seed=5), "sampled")   # generated once, read three times
 
     def facts(d):
         seen = {c: d.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")) for c in ("code", "name")}
