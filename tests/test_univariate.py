@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabfid.operators import univariate as uni
 from tabfid.operators.pair import TablePair, cdf_table
@@ -150,3 +151,19 @@ def test_category_frequencies_top_k_paths_agree(spark):
     assert 25 <= len(a) <= 50 and [x[:2] for x in a] == [x[:2] for x in b]
     for x, y in zip(a, b):
         assert x[2:] == pytest.approx(y[2:])
+
+
+def test_counting_tasks_are_bounded(spark, monkeypatch):
+    """Past the bound a single file split is dealt to several tasks, and buckets to as many as there are; the quartiles stay exact."""
+    from tabfid.operators import pair
+    from tabfid.sources import io
+
+    df = spark.range(5_000).select((F.pmod(F.hash("id"), F.lit(900)) / 8.0).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") * 2).alias("b")).coalesce(1)
+    want = sorted(io.describe(df).collect())
+    monkeypatch.setattr(pair, "ENTRIES", 2_000)
+    monkeypatch.setattr(pair, "ENTRIES_SPREAD", 2_000)
+    got = io.describe(df, map_limit=0)
+    assert "RoundRobinPartitioning(5)" in got._jdf.queryExecution().toString()
+    for a, b in zip(want, sorted(got.collect()), strict=True):
+        assert a["column_name"] == b["column_name"] and a["count"] == b["count"]
+        assert [a[c] for c in ("min", "p25", "p50", "p75", "max")] == [b[c] for c in ("min", "p25", "p50", "p75", "max")]
