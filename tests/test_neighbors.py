@@ -107,3 +107,33 @@ def test_search_inside_a_block_leaves_out_far_points():
     assert 0 < sum(seen) < 0.3 * len(a) * len(b)
     same = np.ones((3000, 2))
     assert not nb._nearest(same, same).any()
+
+
+def test_points_without_other_leaves_near_are_done_in_the_home_pass(spark):
+    """Only points with another leaf nearer than their distance go on to the second pass, none of them twice."""
+    from tabfid.operators import neighbors as nb
+    rng = np.random.default_rng(5)
+    a, b = (np.c_[rng.integers(0, 4, 4000) * 10.0, rng.normal(0, 1, (4000, 2))] for _ in range(2))
+    pair, cols = _pair(spark, a, b)
+    held = []
+    pts = nb.nearest_neighbor_points(pair, cols, leaf_size=256, _held=held)
+    got = np.sort([r["d"] for r in pts.collect()])
+    home = held[-1]
+    assert np.allclose(got, np.sort(_brute(a, b)), rtol=1e-12)
+    done = home.where("leaf = -1 AND NOT more").count()
+    assert home.where("leaf = -1").count() == len(b) and done > len(b) / 2
+    assert home.where("leaf >= 0").count() < len(b)
+    for h in held:
+        h.unpersist()
+
+
+@pytest.mark.parametrize("points", [np.ones((300, 2)), np.repeat([[0.0, 1.0]], 200, axis=0)])
+def test_block_tree_parts_all_points_by_its_own_splits(points):
+    from tabfid.operators.neighbors import _block_tree
+    rng = np.random.default_rng(6)
+    tied = np.c_[points, rng.integers(0, 3, len(points))].astype(float)
+    for x in (points, tied, rng.normal(size=(1000, 3))):
+        dims, splits, order, leaf = _block_tree(x, 4)
+        assert np.array_equal(np.sort(order), np.arange(len(x))) and (np.diff(leaf) >= 0).all()
+        assert np.array_equal(leaf_of(x[order], dims, splits, 4), leaf)
+    assert np.bincount(leaf, minlength=16).max() <= 64
