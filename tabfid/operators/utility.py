@@ -83,7 +83,7 @@ def prepare_features(train: DataFrame, others: list[DataFrame], features: list[s
     num = [c for c in features if is_numeric(types[c]) and not isinstance(types[c], T.BooleanType)]
     cat = [c for c in features if c not in num]
     st = sc.fit_scaler(train, num, "standard") if num else {}
-    encs = {c: enc.fit_with_unseen(train, c) for c in cat}
+    encs = {c: enc.fit_with_unseen(_values(train, c), c) for c in cat}
     outs = []
     for df in [train, *others]:
         d = sc.apply_scaler(df, st) if st else df
@@ -94,9 +94,15 @@ def prepare_features(train: DataFrame, others: list[DataFrame], features: list[s
     return outs, max_bins
 
 
+def _values(df: DataFrame, col: str) -> DataFrame:
+    """The distinct values of a column as a table of their own: a dictionary over it does not read the rows again each
+    time it is looked up."""
+    return shared_table(df.select(col).distinct(), "values")
+
+
 def _label(real: DataFrame, syn: DataFrame, target: str, task: str):
     if task == "classification":
-        e = enc.fit_joint_encoder(real, syn, target)
+        e = enc.fit_joint_encoder(_values(real, target), _values(syn, target), target)
         return (lambda df: enc.apply_encoder(df, e).withColumn("label", F.col(target).cast("double"))), e.size
     return (lambda df: df.withColumn("label", F.col(target).cast("double"))), 0
 
@@ -177,12 +183,14 @@ def ml_utility(real: DataFrame, synthetic: DataFrame, target: str, keys: list[st
     te = te.persist(StorageLevel.MEMORY_AND_DISK)
 
     def trained(d: DataFrame) -> float:
+        d = d.persist(StorageLevel.MEMORY_AND_DISK)   # counted, cut at its quantiles and grouped
         points, binned = training_points(d, features, task, max_bins)
         # bagging draws by partition and row order: both are fixed by the rows themselves, so the
         # forest is the same on any cluster
         dealt = va.transform(_dealt(points, features)).select("features", "label", "weight").persist(StorageLevel.MEMORY_AND_DISK)
         model = est.fit(dealt)
         dealt.unpersist()
+        d.unpersist()
         return score(model.transform(va.transform(binned(te)).select("features", "label"))).first()[0]
 
     r, s = trained(tr), trained(sy)

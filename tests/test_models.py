@@ -178,3 +178,16 @@ def test_forest_trains_on_points_that_stand_for_all_rows(spark, monkeypatch):
     assert got == {r[0]: r[1] for r in c.groupBy("label").count().collect()}
     r = ut.ml_utility(df, df, "y", ["k"], "regression", num_trees=5, max_depth=5).first()
     assert r["real_score"] > 0.9 and r["synthetic_score"] > 0.9
+
+
+def test_prepared_features_read_the_rows_once(spark, tmp_path):
+    from tabfid.operators import utility as ut
+    rows = [(i, float(i % 7), "abc"[i % 3], i % 2) for i in range(60)]
+    spark.createDataFrame(rows, "k int, x double, s string, y int").write.parquet(f"{tmp_path}/rows")
+    d = spark.read.parquet(f"{tmp_path}/rows")
+    (train, other), _ = ut.prepare_features(d.where("k < 40"), [d], ["x", "s"])
+    for t in (train, other):
+        assert t._jdf.queryExecution().sparkPlan().toString().count(f"file:{tmp_path}/rows") == 1
+    assert {(r["s"], r["n"]) for r in other.groupBy("s").count().withColumnRenamed("count", "n").collect()} == {(1, 20), (2, 20), (3, 20)}
+    lab, size = ut._label(d, d, "s", "classification")
+    assert size == 3 and lab(d)._jdf.queryExecution().sparkPlan().toString().count(f"file:{tmp_path}/rows") == 1
