@@ -35,9 +35,10 @@ from tabfid.functions.exprs import INTEGRAL_TYPES
 from tabfid.functions.random import norm_cdf, norm_ppf, normals, uniforms
 from tabfid.operators.model_store import find_version, publish
 from tabfid.operators.schema import CATEGORICAL, CONTINUOUS, DATETIME, ORDINAL, infer_types
-from tabfid.operators.synth_tables import TableModel, category_rows, fit_tables, quantile_rows, sample_tables
+from tabfid.operators.synth_tables import TableModel, category_rows, count_values, fit_tables, quantile_rows, sample_tables
 
 MAX_CATEGORIES = 100_000     # values per column, all strata together
+SURELY = 1.25                # an estimate of that many times a bound (standard error 0.05) lies past it
 MAX_POINTS = 2_000_000       # quantile points and entries of correlations, all strata and columns together
 TREE_VALUES = 64             # categories of a column that takes part in the tree of dependences
 TREE_SIGMA = 5.0             # how far the G statistic of an edge lies above its mean under independence
@@ -120,6 +121,22 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
         most = MAX_POINTS // max(1, len(num) * (n_quantiles + 1) + len(cols) ** 2)
         if df.select(g.alias("_g")).distinct().limit(most + 1).count() > most:
             return as_tables()
+    seen: dict = {}
+    if disc or cat:
+        at = {cols.index(c): _numeric_value(c, kinds[c], fields[c]) if c in disc else F.col(c).cast("string") for c in [*disc, *cat]}
+        coded = df.select(g.alias("_g"), *[v.alias(f"c{i}") for i, v in at.items()])
+        # a table far past the bound is not counted here only to be counted again there
+        about = coded.agg(*[F.approx_count_distinct(F.struct("_g", f"c{i}") if condition else F.col(f"c{i}")) for i in at]).first()
+        if max(about) > SURELY * MAX_CATEGORIES:
+            return as_tables()
+        vc = count_values(coded, "_g", list(at), {cols.index(c) for c in cat}).persist()
+        try:
+            if (vc.groupBy("column").count().agg(F.max("count")).first()[0] or 0) > MAX_CATEGORIES:
+                return as_tables()
+            for r in vc.collect():   # at most MAX_CATEGORIES per column
+                seen.setdefault((r["_g"], cols[r["column"]]), []).append((r["s"] if r["x"] is None else r["x"], r["n"]))
+        finally:
+            vc.unpersist()
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in num:
         v = _numeric_value(c, kinds[c], fields[c])
@@ -137,30 +154,15 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
             marg[r["_g"]][c] = Marginal(c, "categorical", fields[c].simpleString(), categories=[], probs=np.zeros(0))
         for c in cols:
             marg[r["_g"]][c].nulls = 1 - r[f"{c}__m"] / max(r["__n"], 1)
-    counted = [*disc, *cat]
-    if counted:
-        long = df.select(g.alias("_g"), F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column_name"),
-                     (_numeric_value(c, kinds[c], fields[c]) if c in disc else F.lit(None).cast("double")).alias("x"),
-                     (F.col(c).cast("string") if c in cat else F.lit(None).cast("string")).alias("s")) for c in counted])))
-        vc = long.where("x IS NOT NULL OR s IS NOT NULL").groupBy("_g", "column_name", "x", "s").count().persist()
-        try:
-            if (vc.groupBy("column_name").count().agg(F.max("count")).first()[0] or 0) > MAX_CATEGORIES:
-                return as_tables()
-            seen: dict = {}
-            for r in vc.collect():   # at most MAX_CATEGORIES per column
-                seen.setdefault((r["_g"], r["column_name"]), []).append((r["s"] if r["x"] is None else r["x"], r["count"]))
-        finally:
-            vc.unpersist()
-        for (s, c), vals in seen.items():
-            vals.sort()
-            p = np.array([n for _, n in vals], dtype=float)
-            m = marg[s][c]
-            m.probs = p / p.sum()
-            if c in cat:
-                m.categories = [v for v, _ in vals]
-            else:
-                m.values = np.array([v for v, _ in vals], dtype=float)
+    for (s, c), vals in seen.items():
+        vals.sort()
+        p = np.array([n for _, n in vals], dtype=float)
+        m = marg[s][c]
+        m.probs = p / p.sum()
+        if c in cat:
+            m.categories = [v for v, _ in vals]
+        else:
+            m.values = np.array([v for v, _ in vals], dtype=float)
     model = CopulaModel(cols, marg, {}, counts, condition, n_quantiles,
                         {"kinds": kinds, "types": {c: fields[c].simpleString() for c in cols}})
     model.corr = _fit_corr(df, model, g)

@@ -10,13 +10,15 @@ statistic is collected by stratum or by value:
 
 Fit: strata of up to ``FEW`` rows are sorted by stratum and fitted many at a time, in one pass over Arrow batches.
 The others take one aggregate per stratum, one count of values, and one pass of normal scores, in which rows and
-strata are merged in the order of (stratum, part); large strata have several parts.
+strata are merged in the order of (stratum, part); large strata have several parts.  Where the large strata are
+few, their rows stay where they are and the distributions are broadcast instead.
 
 Sample: a stratum's row is cut into blocks of row ids, generated many at a time, with the same random
 streams as ``synth.sample_copula``.  A column with many values gets its draw u as a place in the
-cumulative counts; the place falls into one of many buckets of equal mass, the buckets with many rare
-values are cut again, and an equal join on the bucket finds the value (inverse-CDF range join).  Buckets
-of equal mass take equal numbers of draws, whatever the share of a single value is.
+cumulative counts; the place falls into one of many buckets of equal mass, and draws and values are merged in
+the order of the buckets, where a binary search finds the value (inverse-CDF range join).  Buckets
+of equal mass take equal numbers of draws, whatever the share of a single value is, and hold no more values than
+their mass, since no value weighs less than 1.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,11 +43,17 @@ SMALL_VALUES = 1_024
 FEW = 512
 #: Rows of a stratum that are scored by one merge, and rows generated from one copy of its statistics.
 PART, BLOCK = 50_000, 65_536
-#: Values in a bucket of equal mass, about; a bucket with more than ``WIDE`` is cut again.
-FILL, WIDE = 16, 256
-MOST_BUCKETS, MOST_TASKS = 1_000_000, 10_000
-#: Rows of a table that is broadcast.
-MOST_BESIDE = 100_000
+#: Mass, and so the most values, and draws of a bucket of equal mass, about.
+WIDE = 32_768
+#: Values and draws that a task merges.
+MERGED = 400_000
+MOST_TASKS = 10_000
+#: Values of a range that a task sorts, about; rows sampled to bound the ranges, for each range, and at most.
+RANGE, SAMPLED, SAMPLED_RANGE, MOST_SAMPLED = 200_000, 1_000, 50, 2_000_000
+#: Rows of a table that is broadcast, and large strata whose distributions are.
+MOST_BESIDE, MOST_STRATA = 100_000, 64
+#: Longer strings are compared one by one.
+SHORT = 64
 #: Rows that Python hands over at once.
 BATCH = 8_192
 
@@ -55,7 +64,7 @@ POINTS = "array<struct<column:int,large:boolean,x:array<double>,s:array<string>,
 class TableModel:
     columns: list[str]
     strata: DataFrame     # key, stratum, n, nulls, chol, points
-    values: DataFrame     # key, column, x, s, n
+    values: DataFrame     # key, column, x, s, n, before (the counts of the smaller values)
     condition: str | None = None
     n_quantiles: int = 1000
     meta: dict = field(default_factory=dict)   # kinds, types, discrete
@@ -66,18 +75,65 @@ def stratum_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def running(df: DataFrame, part: list[str], order: list[str], weight: str, name: str, per_range: int = 200_000) -> DataFrame:
+def running(df: DataFrame, part: list[str], order: list[str], weight: str, name: str, per_range: int = 200_000,
+            count: int | None = None) -> DataFrame:
     """``df`` with ``before``, the sum of ``weight`` of the earlier rows of the same ``part``, for rows of unique
-    (part, order): range-sorted, running sums in each range, and the ranges' sums added up per part."""
-    ranges = max(1, -(-df.count() // per_range))
-    dealt = shared_table(df.repartitionByRange(ranges, *part, *order).withColumn("_range", F.spark_partition_id()), name)
+    (part, order): range-sorted, running sums in each range, and the ranges' sums added up per part.  ``count``: the
+    rows of ``df`` where they are known."""
+    ranges = max(1, -(-(df.count() if count is None else count) // per_range))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _sorted(list(batches), [*part, *order])
+        if rows is not None:
+            new = np.zeros(rows.num_rows, dtype=bool)
+            for c in part:
+                new[1:] |= pc.not_equal(rows.column(c)[1:], rows.column(c)[:-1]).to_numpy(zero_copy_only=False)
+            yield from _with_sums(rows, weight, np.append(0, np.flatnonzero(new)), np.full(rows.num_rows, TaskContext.get().partitionId()))
+
+    ranged = df.repartitionByRange(ranges, *part, *order)
+    return _placed(shared_table(ranged.mapInArrow(own, _summed_schema(df, weight)), name), part, weight, name)
+
+
+def _sorted(batches: list, by: list[str]) -> pa.RecordBatch | None:
+    """All rows of a range at once, in order: there are not many."""
+    rows = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if rows is None or not rows.num_rows:
+        return None
+    rows = rows.to_batches()[0]
+    return rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in by]))
+
+
+def _with_sums(rows: pa.RecordBatch, weight: str, starts: np.ndarray, ranges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with ``_own``, the sum of the weights before a row in its run, and the number of its range."""
+    w = rows.column(weight).to_numpy()
+    own = np.empty_like(w)
+    for lo, hi in zip(starts, np.append(starts[1:], len(w))):
+        own[lo:hi] = np.cumsum(np.append(w.dtype.type(0), w[lo:hi - 1]))
+    out = pa.RecordBatch.from_arrays([*rows.columns, pa.array(own), pa.array(ranges.astype(np.int32))], [*rows.schema.names, "_own", "_range"])
+    for lo in range(0, len(w), BATCH):
+        yield out.slice(lo, BATCH)
+
+
+def _summed_schema(df: DataFrame, weight: str) -> str:
+    return ", ".join([*[f"`{c}` {kind}" for c, kind in df.dtypes], f"_own {dict(df.dtypes)[weight]}", "_range int"])
+
+
+def _placed(dealt: DataFrame, part: list[str], weight: str, name: str) -> DataFrame:
+    """Adds up the ranges' sums: ``before`` of every row from its ``_own`` and the earlier ranges of its ``part``."""
     by = [*part, "_range"]
     sums = dealt.groupBy(*by).agg(F.sum(weight).alias("_sum"))
     over = Window.partitionBy(*part).orderBy("_range") if part else Window.orderBy("_range")
     sums = sums.select(*by, F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(sums, by).withColumn(
-        "before", F.col("_before") + F.col("_own")).drop("_before", "_own", "_range")
+    return dealt.join(beside(sums, f"{name}-sums"), by).withColumn("before", F.col("_before") + F.col("_own")).drop("_before", "_own", "_range")
+
+
+def _comparable(at, ask: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted strings and those to be looked up among them, as arrays that compare without Python where they can be."""
+    at, values = np.asarray(at, dtype=object), ask.to_numpy(zero_copy_only=False)
+    short = max(map(len, at), default=0) <= SHORT and (pc.max(pc.utf8_length(ask)).as_py() or 0) <= SHORT
+    if not len(at) or not short or any("\0" in a for a in at) or pc.any(pc.match_substring(ask, "\0")).as_py():
+        return at, values
+    return at.astype("U"), values.astype("U")
 
 
 def beside(df: DataFrame, name: str) -> DataFrame:
@@ -104,13 +160,15 @@ def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict,
     few = min(FEW, n_quantiles, SMALL_VALUES)
     sizes = shared_table(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "stratum-sizes")
     least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    large = sizes.filter(F.col("n") > few).limit(MOST_STRATA + 1).collect()
+    large = {r["_key"]: r["n"] for r in large} if 0 < len(large) <= MOST_STRATA else None
     if least is None or least > few:
-        strata, values = _fit_large(rows, columns, kinds, discrete, n_quantiles, accuracy)
+        strata, values = _fit_large(rows, columns, kinds, discrete, n_quantiles, accuracy, large)
     elif most <= few:
         strata, values = _fit_small(rows, columns, kinds, discrete, n_quantiles), _no_values(rows.sparkSession)
     else:
         above = sizes.filter(F.col("n") > few).select("_key")   # at most one in ``few`` rows
-        strata, values = _fit_large(rows.join(above, "_key", "left_semi"), columns, kinds, discrete, n_quantiles, accuracy)
+        strata, values = _fit_large(rows.join(above, "_key", "left_semi"), columns, kinds, discrete, n_quantiles, accuracy, large)
         strata = strata.unionByName(_fit_small(rows.join(above, "_key", "left_anti"), columns, kinds, discrete, n_quantiles))
     strata = strata.withColumn("stratum", F.when(F.col("_key") != "null", F.col("_key").substr(F.lit(2), F.length("_key"))))
     strata = strata.select("_key", "stratum", "n", "nulls", "points", "chol")
@@ -118,11 +176,78 @@ def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict,
 
 
 def _no_values(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "_key string, column int, x double, s string, n bigint")
-
-
-def _fit_large(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n_quantiles: int, accuracy: int) -> tuple[DataFrame, DataFrame]:
-    """(strata, values) by aggregates per stratum."""
+    return spark.createDataFrame([], "_key string, column int, x double, s string, n bigint, before bigint")
+
+
+def count_values(rows: DataFrame, by: str, columns: list[int], categorical: set) -> DataFrame:
+    """(``by``, column, x, s, n): how often each value of the columns c0, c1, ... occurs; numbers in x, categories in s."""
+    none = {"x": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}
+    long = rows.select(by, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("column"), *[(F.col(f"c{i}") if (i in categorical) == (at == "s") else none[at]).alias(at) for at in none]) for i in columns])))
+    return long.filter("x IS NOT NULL OR s IS NOT NULL").groupBy(by, "column", "x", "s").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked_values(rows: DataFrame, columns: list[int], categorical: set, sizes_of: dict) -> DataFrame:
+    """As ``count_values`` with ``before``, the counts of a column's smaller values, for few strata: values are counted in
+    the batches of each task, dealt by ranges of values that a sample of the rows bounds, added up and sorted there."""
+    n = sum(sizes_of.values())
+    picked = rows.select("_key", *[f"c{i}" for i in columns]).sample(min(1.0, max(SAMPLED / n, SAMPLED_RANGE / RANGE)), seed=1).limit(MOST_SAMPLED).toPandas()
+    bounds, first, owners = {}, {}, []
+    for key in sorted(sizes_of):   # ranges that follow each other for each column of a stratum
+        mine = picked[picked["_key"] == key]
+        for i in columns:
+            v = sorted(set(mine[f"c{i}"].dropna()))   # the value that starts each range but the first
+            step = max(1, round(RANGE * max(len(mine), 1) / sizes_of[key]))
+            bounds[key, i], first[key, i] = v[step::step], len(owners)
+            owners += [(key, i)] * (len(bounds[key, i]) + 1)
+    held = rows.sparkSession.sparkContext.broadcast((bounds, first, owners))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, first, _ = held.value
+
+        def counts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for key in pc.unique(table.column("_key")).to_pylist():
+                mine = table.filter(pc.equal(table.column("_key"), key)) if len(sizes_of) > 1 else table
+                for i in columns:
+                    v, m = pc.value_counts(mine.column(f"c{i}").combine_chunks().drop_null()).flatten()
+                    if not len(v):
+                        continue
+                    at, ask = _comparable(bounds[key, i], v) if i in categorical else (np.asarray(bounds[key, i], dtype=float), v.to_numpy())
+                    ranges = first[key, i] + np.searchsorted(at, ask, "right")
+                    x, s = (pa.nulls(len(v), pa.float64()), v) if i in categorical else (v, pa.nulls(len(v), pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), x, s, m], ["range", "x", "s", "n"])
+
+        some, have = [], 0
+        for batch in batches:
+            some.append(batch)
+            have += batch.num_rows
+            if have >= RANGE:
+                yield from counts(pa.Table.from_batches(some))
+                some, have = [], 0
+        if have:
+            yield from counts(pa.Table.from_batches(some))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners, batches = held.value[2], list(batches)
+        t = pa.Table.from_batches(batches).combine_chunks() if batches else None
+        if t is None or not t.num_rows:
+            return
+        t = t.group_by(["range", "x", "s"]).aggregate([("n", "sum")]).rename_columns(["range", "x", "s", "n"])
+        t = _sorted(t.to_batches(), ["range", "x", "s"])
+        at = t.column("range").to_numpy()
+        keys, which = (pa.array([o[j] for o in owners], kind).take(t.column("range")) for j, kind in ((0, pa.string()), (1, pa.int32())))
+        t = pa.RecordBatch.from_arrays([keys, which, *t.columns[1:]], ["_key", "column", "x", "s", "n"])
+        yield from _with_sums(t, "n", np.append(0, np.flatnonzero(at[1:] != at[:-1]) + 1), at)
+
+    parts = rows.select("_key", *[f"c{i}" for i in columns]).mapInArrow(counted, "range int, x double, s string, n bigint")
+    schema = "_key string, column int, x double, s string, n bigint, _own bigint, _range int"
+    dealt = shared_table(parts.repartition(len(owners), "range").mapInArrow(added, schema), "ranked")
+    return _placed(dealt, ["_key", "column"], "n", "ranked")
+
+
+def _fit_large(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n_quantiles: int, accuracy: int,
+               sizes_of: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(strata, values) by aggregates per stratum.  ``sizes_of``: rows by stratum, where the strata are few."""
     k = len(columns)
     cat = [i for i, c in enumerate(columns) if kinds[c] == "categorical"]
     counted = [i for i, c in enumerate(columns) if kinds[c] == "categorical" or discrete[c]]
@@ -139,21 +264,21 @@ def _fit_large(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict,
     nulls = F.array(*[1 - F.col(f"m{i}") / F.col("n") for i in range(k)])
     strata = one.select("_key", "n", nulls.alias("nulls"), points.cast(POINTS).alias("points"))
     if counted:
-        long = rows.select("_key", F.inline(F.array(*[F.struct(
-            F.lit(i).alias("column"), F.lit(None).cast("double").alias("x") if i in cat else F.col(f"c{i}").alias("x"),
-            F.col(f"c{i}").alias("s") if i in cat else F.lit(None).cast("string").alias("s")) for i in counted])))
-        vc = long.filter("x IS NOT NULL OR s IS NOT NULL").groupBy("_key", "column", "x", "s").agg(F.count(F.lit(1)).alias("n"))
-        vc = shared_table(vc, "value-counts")
-        sizes = vc.groupBy("_key", "column").agg(F.count(F.lit(1)).alias("_many"), F.sum("n").alias("_total"))
-        sized = vc.join(beside(sizes, "value-sizes"), ["_key", "column"])
+        if sizes_of is None:
+            vc = shared_table(count_values(rows, "_key", counted, set(cat)), "value-counts")
+        else:
+            vc = _ranked_values(rows, counted, set(cat), sizes_of)
+        sizes = beside(vc.groupBy("_key", "column").agg(F.count(F.lit(1)).alias("_many"), F.sum("n").alias("_total")), "value-sizes")
+        sized = vc.join(sizes, ["_key", "column"])
         by = Window.partitionBy("_key", "column").orderBy("x", "s")
         few = sized.filter(F.col("_many") <= SMALL_VALUES).withColumn("upto", F.sum("n").over(by).cast("double"))
         few = few.groupBy("_key", "column").agg(F.sort_array(F.collect_list(F.struct("x", "s", "upto"))).alias("e"))
         few = few.select("_key", "column", F.lit(False).alias("large"), *[F.col(f"e.{c}").alias(c) for c in ("x", "s", "upto")])
-        many = sized.filter(F.col("_many") > SMALL_VALUES)
-        values = shared_table(many.select("_key", "column", "x", "s", "n"), "values")
+        many = sized.filter(F.col("_many") > SMALL_VALUES).drop("_many")
+        n_many = sizes.filter(F.col("_many") > SMALL_VALUES).agg(F.sum("_many")).first()[0] or 0
+        ranked = running(many, ["_key", "column"], ["x", "s"], "n", "ranked", count=n_many) if sizes_of is None else many
+        values = ranked.select("_key", "column", "x", "s", "n", "before")
         # for the scores: the values at evenly spaced ranks
-        ranked = running(many, ["_key", "column"], ["x", "s"], "n", "ranked")
         step = (F.col("_total") - 1) / F.lit(float(n_quantiles))
         first, last = F.ceil(F.col("before") / step), F.least(F.floor((F.col("before") + F.col("n") - 1) / step), F.lit(n_quantiles))
         grid = ranked.filter(first <= last).select("_key", "column", "x", "s", F.explode(F.sequence(first, last)).alias("i"))
@@ -300,12 +425,19 @@ def _read(points) -> dict:
     return out
 
 
-def _score(dist, v: np.ndarray, smooth: bool, categorical: bool, n: int) -> np.ndarray:
+def _score(dist, v: pa.Array, smooth: bool, categorical: bool, n: int) -> np.ndarray:
     """Middle of the ranks that each of a column's values takes, from 0 to 1; missing values lie at 0.5."""
     large, x, s, upto = dist
-    missing = pd.isna(v)
-    at = s if categorical else x
-    ask = np.where(missing, "", v).astype(object) if categorical else np.where(missing, np.nan, v).astype(float)
+    if categorical:   # equal strings are looked up once
+        v = v.dictionary_encode()
+        missing = v.indices.is_null().to_numpy(zero_copy_only=False)
+        which = v.indices.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(v.dictionary):
+            return np.full(len(v), 0.5)
+        at, ask = _comparable(s, v.dictionary)
+    else:
+        ask = v.to_numpy(zero_copy_only=False)
+        missing, which, at = np.isnan(ask), slice(None), x
     if smooth or large:   # places on the grid of quantiles
         lo, hi = np.searchsorted(at, ask, "left"), np.searchsorted(at, ask, "right")
         first = np.append(upto, n + 1)[lo]
@@ -314,12 +446,50 @@ def _score(dist, v: np.ndarray, smooth: bool, categorical: bool, n: int) -> np.n
     else:
         i = np.minimum(np.searchsorted(at, ask), len(at) - 1)
         u = (upto[i] + np.where(i > 0, upto[i - 1], 0)) / 2 / upto[-1]
-    return np.where(missing, 0.5, u)
+    return np.where(missing, 0.5, u[which])
 
 
 def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: dict, n_quantiles: int) -> DataFrame:
     """(_key, i, v): partial sums 1, z, z z^T of the normal scores of every stratum, as one upper triangle."""
     k = len(columns)
+    categorical = [kinds[c] == "categorical" for c in columns]
+    upper = np.triu_indices(k + 1)
+
+    def ready(points) -> list:
+        """(column, distribution, whether it is a grid of quantiles) of a stratum."""
+        return [(i, d, not categorical[i] and d[3][0] == 0 and not d[0]) for i, d in _read(points).items()]
+
+    def products(u: np.ndarray) -> np.ndarray:
+        z = np.hstack([np.ones((len(u), 1)), norm_ppf(u)])
+        return (z.T @ z)[upper]
+
+    def listed(keys: pa.Array, sums: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, _lists(np.full(len(sums), len(upper[0])), pa.array(np.concatenate(sums)))], ["_key", "sums"])
+
+    def summed(sums: DataFrame) -> DataFrame:
+        return sums.select("_key", F.posexplode("sums").alias("i", "v")).groupBy("_key", "i").agg(F.sum("v").alias("v"))
+
+    heads = strata.select("_key", "points").limit(MOST_STRATA + 1).collect()
+    if len(heads) <= MOST_STRATA:   # at most SMALL_VALUES or n_quantiles values of a column each
+        known = rows.sparkSession.sparkContext.broadcast({r["_key"]: [e.asDict() for e in r["points"]] for r in heads})
+
+        def add_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dists, total = {key: ready(points) for key, points in known.value.items()}, {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                coded = batch.column("_key").dictionary_encode()
+                of = coded.indices.to_numpy()
+                for at, key in enumerate(coded.dictionary.to_pylist()):
+                    mine = batch if len(coded.dictionary) == 1 else batch.filter(pa.array(of == at))
+                    u = np.full((mine.num_rows, k), 0.5)
+                    for i, d, smooth in dists[key]:
+                        u[:, i] = _score(d, mine.column(f"c{i}"), smooth, categorical[i], n_quantiles)
+                    total[key] = total.get(key, 0.0) + products(u)
+            if total:
+                yield listed(pa.array(total.keys(), pa.string()), list(total.values()))
+
+        return summed(rows.select("_key", *[f"c{i}" for i in range(k)]).mapInArrow(add_here, "_key string, sums array<double>"))
     parts = strata.select("_key", F.floor((F.col("n") - 1) / PART).cast("long").alias("_parts"))
     big = parts.filter("_parts > 0")  # at most one stratum in PART rows
     dealt = rows.join(big, "_key", "left").withColumn(
@@ -330,35 +500,29 @@ def _score_sums(rows: DataFrame, strata: DataFrame, columns: list[str], kinds: d
                           F.lit(0).alias("_tag"), "points",
                           *[F.lit(None).cast(rows.schema[f"c{i}"].dataType).alias(f"c{i}") for i in range(k)])
     merged = tagged.unionByName(heads).repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_tag")
-    categorical = [kinds[c] == "categorical" for c in columns]
-    upper = np.triu_indices(k + 1)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dists, smooth = {}, {}
+        dists = []
         for batch in batches:
-            data = [batch.column(f"c{i}").to_numpy(zero_copy_only=False) for i in range(k)]
             tags = batch.column("_tag").to_numpy()
             heads_at = np.flatnonzero(tags == 0)
             points = dict(zip(heads_at.tolist(), batch.column("points").take(pa.array(heads_at)).to_pylist()))   # null elsewhere
             bounds = [*([] if len(heads_at) and heads_at[0] == 0 else [-1]), *heads_at.tolist(), len(tags)]
-            u, groups = np.full((len(tags), k), 0.5), []
+            at, sums = [], []
             for head, hi in zip(bounds, bounds[1:]):
                 if head >= 0:
-                    dists = _read(points[head])
-                    smooth = {i: not categorical[i] and d[3][0] == 0 and not d[0] for i, d in dists.items()}
+                    dists = ready(points[head])
                 lo = head + 1
                 if lo < hi:
-                    groups.append((lo, hi))
-                    for i, d in dists.items():
-                        u[lo:hi, i] = _score(d, data[i][lo:hi], smooth[i], categorical[i], n_quantiles)
-            if groups:
-                z = np.hstack([np.ones((len(u), 1)), norm_ppf(u)])
-                sums = np.concatenate([(z[lo:hi].T @ z[lo:hi])[upper] for lo, hi in groups])
-                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array([lo for lo, _ in groups])), _lists(
-                    np.full(len(groups), len(upper[0])), pa.array(sums))], ["_key", "sums"])
+                    u = np.full((hi - lo, k), 0.5)
+                    for i, d, smooth in dists:
+                        u[:, i] = _score(d, batch.column(f"c{i}").slice(lo, hi - lo), smooth, categorical[i], n_quantiles)
+                    at.append(lo)
+                    sums.append(products(u))
+            if at:
+                yield listed(batch.column("_key").take(pa.array(at)), sums)
 
-    sums = merged.mapInArrow(add, "_key string, sums array<double>")
-    return sums.select("_key", F.posexplode("sums").alias("i", "v")).groupBy("_key", "i").agg(F.sum("v").alias("v"))
+    return summed(merged.mapInArrow(add, "_key string, sums array<double>"))
 
 
 def _factors(sums: DataFrame, k: int) -> DataFrame:
@@ -391,28 +555,69 @@ def proportional_quota(model: TableModel, total: int) -> DataFrame:
     return s.select("stratum", (upto(F.col("before") + F.col("n")) - upto(F.col("before"))).cast("long").alias("rows"))
 
 
-def _mass_buckets(values: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of every (stratum, column): its header (total, width of a bucket), the buckets cut again
-    (``cut``: width inside it) and the entries (value, sum of weights up to it) of each bucket."""
+def _mass_buckets(values: DataFrame, weight: Column | None, want: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of every (stratum, column): its header (total, buckets, width of one, number of the first among all), the entries
+    (column, bucket, x, s, sum of weights up to it) in all its buckets, and the number of values.  ``weight``: None for
+    the counts, whose running sums the model has.  ``want``: (_key, rows) to draw."""
     part = ["_key", "column"]
-    run = running(values.withColumn("_w", weight), part, ["x", "s"], "_w", "cumulative")
+    if weight is None:
+        run = values.withColumn("_w", F.col("n"))
+        if "before" not in values.columns:   # saved before models had it
+            run = running(run, part, ["x", "s"], "_w", "cumulative")
+    else:
+        run = running(values.drop("before").withColumn("_w", weight), part, ["x", "s"], "_w", "cumulative")
     run = run.select(*part, "x", "s", F.col("before").cast("double").alias("before"), (F.col("before") + F.col("_w")).cast("double").alias("upto"))
-    run = shared_table(run, "cdf")
     header = run.groupBy(*part).agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("many"))
-    header = header.select(*part, "total", (F.col("total") / F.least(F.ceil(F.col("many") / FILL), F.lit(MOST_BUCKETS))).alias("width"))
-    header = beside(header, "headers")
-    j = run.join(header, part)
+    header = header.join(want.select("_key", "rows"), "_key").withColumn(
+        "buckets", F.ceil(F.greatest(F.col("total"), F.col("rows").cast("double")) / WIDE))
+    header = running(header, [], part, "buckets", "headers").withColumnRenamed("before", "first")
+    header = beside(header.select(*part, "total", "many", "buckets", "first", (F.col("total") / F.col("buckets")).alias("width")), "numbered-headers")
     # a value also goes to the bucket that starts where it ends, in case a draw is rounded up to there
-    j = j.withColumn("bucket", F.explode(F.sequence(*[F.floor(F.col(c) / F.col("width")) for c in ("before", "upto")])))
-    wide = j.groupBy(*part, "bucket", "width").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > WIDE)
-    wide = wide.select(*part, "bucket", (F.col("width") * FILL * 4 / F.col("m")).alias("cut"))
-    base = F.col("bucket") * F.col("width")
-    inner = j.join(wide, [*part, "bucket"], "left").withColumn("cut", F.coalesce("cut", F.col("width") * 2))
-    lo = F.floor(F.greatest(F.col("before") - base, F.lit(0.0)) / F.col("cut"))
-    hi = F.greatest(F.floor(F.least(F.col("upto") - base, F.col("width")) / F.col("cut")), lo)
-    inner = inner.withColumn("sub", F.explode(F.sequence(lo, hi)))
-    entries = inner.groupBy(*part, "bucket", "sub").agg(F.sort_array(F.collect_list(F.struct("upto", "x", "s"))).alias("entries"))
-    return header, wide, shared_table(entries, "buckets")
+    in_bucket = lambda c: F.least(F.floor(F.col(c) / F.col("width")), F.col("buckets") - 1)
+    entries = run.join(header, part).select("column", "x", "s", "upto", "first", F.explode(F.sequence(in_bucket("before"), in_bucket("upto"))).alias("b"))
+    return header, entries.select("column", "x", "s", "upto", (F.col("first") + F.col("b")).alias("b")), int(header.agg(F.sum("many")).first()[0] or 0)
+
+
+def _looked_up(out: DataFrame, entries: DataFrame, i: int, categorical: bool, tasks: int) -> DataFrame:
+    """``out`` with c{i} of the rows with a bucket b{i} from the entries there: the first above the place r{i}, or else
+    the last.  A task takes the draws and the entries of a few buckets."""
+    rest = [c for c in out.columns if c not in (f"c{i}", f"r{i}", f"b{i}")]
+    kinds, own = dict(out.dtypes), "s" if categorical else "x"
+    draws = out.select(F.lit(True).alias("_drawn"), F.col(f"b{i}").alias("_bucket"), F.col(f"r{i}").alias("_place"), f"c{i}", *rest)
+    listed = entries.filter(F.col("column") == i).select(F.lit(False).alias("_drawn"), F.col("b").alias("_bucket"), F.col("upto").alias("_place"),
+                                                         F.col(own).alias(f"c{i}"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest])
+    merged = draws.unionByName(listed).repartition(tasks, "_bucket")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        t = pa.Table.from_batches(batches) if batches else None
+        if t is None or not t.num_rows:
+            return
+        drawn = t.column("_drawn")
+        held, t = t.filter(pc.invert(drawn)).combine_chunks(), t.filter(drawn).combine_chunks()
+        if not t.num_rows:
+            return
+        at, top = held.column("_bucket").to_numpy(), held.column("_place").to_numpy()
+        order = np.lexsort((top, at))
+        at, top = at[order], top[order]
+        bucket, place = t.column("_bucket").to_numpy(), t.column("_place").to_numpy()
+        asked = np.flatnonzero(bucket >= 0)
+        asked = asked[np.argsort(bucket[asked], kind="stable")]
+        of = bucket[asked]
+        hit = np.empty(len(asked), dtype=np.int64)
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+        for a, b in zip(starts, [*starts[1:], len(of)]):
+            lo, hi = np.searchsorted(at, of[a], "left"), np.searchsorted(at, of[a], "right")
+            hit[a:b] = lo + np.minimum(np.searchsorted(top[lo:hi], place[asked[a:b]], "right"), hi - lo - 1)
+        value = t.column(f"c{i}").combine_chunks()
+        pick = np.arange(len(value))
+        pick[asked] = len(value) + order[hit]
+        value = pa.chunked_array([value, held.column(f"c{i}").combine_chunks()]).combine_chunks().take(pa.array(pick))
+        found = pa.RecordBatch.from_arrays([value, *[t.column(c).combine_chunks() for c in rest]], [f"c{i}", *rest])
+        for lo in range(0, found.num_rows, BATCH):
+            yield found.slice(lo, BATCH)
+
+    return merged.mapInArrow(find, ", ".join(f"`{c}` {kinds[c]}" for c in [f"c{i}", *rest]))
 
 
 def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | DataFrame, seed: int = 42,
@@ -429,7 +634,7 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
         quota = {"__all__": quota}
     if isinstance(quota, dict):
         listed = [(None if s is None else str(s), int(n), i) for i, (s, n) in enumerate(quota.items())]
-        quota = spark.createDataFrame(listed, "stratum string, rows bigint, _at int")
+        quota = spark.createDataFrame(pd.DataFrame(listed, columns=["stratum", "rows", "_at"]), "stratum string, rows bigint, _at int")
     else:
         quota = quota.withColumn("_at", F.lit(0))
     want = quota.select(stratum_key(F.col("stratum")).alias("_key"), F.col("rows").cast("long").alias("rows"), "_at").filter("rows > 0")
@@ -455,16 +660,16 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
             F.coalesce(F.col("_modes").cast(POINTS), F.array().cast(POINTS)))).drop("_modes")
         large = [i for i in large if not categorical[i]]
         values = values.filter(~F.col("column").isin(cats))
-        weight = F.col("n").cast("double")
+        weight = None
     elif temperature is not None:
         weight = F.when(F.col("column").isin([i for i in large if categorical[i]]), F.pow(F.col("n"), F.lit(1.0 / temperature))
                         ).otherwise(F.col("n").cast("double"))
     else:
-        weight = F.col("n").cast("double")
-    strata = strata.withColumn("heads", F.array().cast("array<struct<column:int,total:double,width:double>>"))
+        weight = None
+    strata = strata.withColumn("heads", F.array().cast("array<struct<column:int,total:double,width:double,buckets:bigint,first:bigint>>"))
     if large:
-        header, wide, entries = _mass_buckets(values, weight)
-        heads = header.groupBy("_key").agg(F.collect_list(F.struct("column", "total", "width")).alias("_heads"))
+        header, entries, many_values = _mass_buckets(values, weight, want)
+        heads = header.groupBy("_key").agg(F.collect_list(F.struct("column", "total", "width", "buckets", "first")).alias("_heads"))
         strata = strata.join(heads, "_key", "left").withColumn("heads", F.coalesce("_heads", "heads")).drop("_heads")
 
     blocks = want.join(strata, "_key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK))))
@@ -528,8 +733,8 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
             start, length = (batch.column(c).to_numpy().astype(np.int64) for c in ("start", "len"))
             nulls, chol = (batch.column(c).flatten().to_numpy().reshape(many, *s) for c, s in (("nulls", (k,)), ("chol", (k, k))))
             at, (which, large_, x, s, upto) = by_column(batch.column("points"), many)
-            held, (_, total, width) = by_column(batch.column("heads"), many)
-            total, width, large_ = total.to_numpy(), width.to_numpy(), large_.to_numpy(zero_copy_only=False)
+            held, (_, *head) = by_column(batch.column("heads"), many)
+            (total, width, buckets_, first_), large_ = (c.to_numpy() for c in head), large_.to_numpy(zero_copy_only=False)
             (x_at, x), (s_at, s), (u_at, upto) = [(c.offsets.to_numpy().astype(np.int64), c.values) for c in (x, s, upto)]
             x, upto = x.to_numpy(zero_copy_only=False), upto.to_numpy(zero_copy_only=False)
             upto, u_at = upto[u_at[0]:u_at[-1]], u_at - u_at[0]
@@ -570,26 +775,16 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
                         places, buckets = np.full(len(ids), np.nan), -1 - ids   # without a place: a bucket that matches nothing
                         t, h = total[h[ask]], h[ask]
                         places[ask] = np.minimum(u[ask] * t, np.nextafter(t, 0))
-                        buckets[ask] = np.floor(places[ask] / width[h])
+                        buckets[ask] = first_[h] + np.minimum(np.floor(places[ask] / width[h]), buckets_[h] - 1).astype(np.int64)
                         rest.append((pa.array(places), pa.array(buckets)))
                 names = ["_key", "_stratum", *[f"c{i}" for i in range(k)]]
                 for i, (r, b) in zip(large, rest):
                     out, names = [*out, r, b], [*names, f"r{i}", f"b{i}"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    out = blocks.mapInArrow(generate, schema)
+    out = blocks.mapInArrow(generate, schema).drop("_key", *([] if model.condition is not None else ["_stratum"]))
     for i in large:
-        cut = wide.filter(F.col("column") == i).select("_key", F.col("bucket").alias(f"b{i}"), "cut")
-        width = header.filter(F.col("column") == i).select("_key", "width")
-        cut = cut.join(width, "_key").select("_key", f"b{i}", "cut", (F.col(f"b{i}") * F.col("width")).alias("_base"))
-        out = out.join(cut, ["_key", f"b{i}"], "left").withColumn("_sub", F.coalesce(
-            F.floor(F.greatest(F.col(f"r{i}") - F.col("_base"), F.lit(0.0)) / F.col("cut")), F.lit(0))).drop("cut", "_base")
-        got = entries.filter(F.col("column") == i).select("_key", F.col("bucket").alias(f"b{i}"), F.col("sub").alias("_sub"), "entries")
-        place = F.col(f"r{i}")
-        hit = F.coalesce(F.get(F.filter("entries", lambda e: e["upto"] > place), F.lit(0)), F.element_at("entries", -1))
-        found = hit["s"] if categorical[i] else hit["x"]
-        out = out.join(got, ["_key", f"b{i}", "_sub"], "left").withColumn(f"c{i}", F.coalesce(found, f"c{i}")).drop(
-            "entries", f"b{i}", f"r{i}", "_sub")
+        out = _looked_up(out, entries, i, categorical[i], min(max(-(-(asked + many_values) // MERGED), 1), MOST_TASKS))
     named = [F.col("_stratum").alias(model.condition)] if model.condition is not None else []
     return out.select(*named, *[F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias(c) if not categorical[i]
                                 else F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])

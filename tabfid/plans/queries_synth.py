@@ -180,17 +180,17 @@ def q_g2v(spark, sf_dir):
     out = shared_table(synth.sample_copula(spark, synth.fit_copula(df), n, seed=5), "sampled")   # generated once, read three times
 
     def facts(d):
-        seen = {c: d.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")) for c in ("code", "name")}
-        return seen, d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == 7).alias("hot_code"),
-                           F.count_if(F.col("name") == "hot").alias("hot_name"),
-                           F.count_if(F.col("code").isNull() | F.col("name").isNull()).alias("nulls"))
+        return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == 7).alias("hot_code"),
+                     F.count_if(F.col("name") == "hot").alias("hot_name"),
+                     F.count_if(F.col("code").isNull() | F.col("name").isNull()).alias("nulls"))
 
-    (was, a), (now, b) = facts(df), facts(out)
+    a, b = facts(df), facts(out)
     rare = []
-    for c in ("code", "name"):
-        j = was[c].select("v", F.col("n").alias("n0")).join(now[c].select("v", F.col("n").alias("n1")), "v", "full")
-        rare.append(j.agg(F.count_if(F.col("n0").isNull()).alias(f"{c}_new"), F.count_if(F.col("n0") == 1).alias(f"{c}_once"),
-                          F.count_if((F.col("n0") == 1) & F.col("n1").isNotNull()).alias(f"{c}_drawn")))
+    for c in ("code", "name"):   # rows of both tables counted together: one shuffle, no join of the values
+        j = df.select(F.col(c).alias("v"), F.lit(0).alias("side")).unionByName(out.select(F.col(c).alias("v"), F.lit(1).alias("side")))
+        j = j.groupBy("v").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+        rare.append(j.agg(F.count_if(F.col("n0") == 0).alias(f"{c}_new"), F.count_if(F.col("n0") == 1).alias(f"{c}_once"),
+                          F.count_if((F.col("n0") == 1) & (F.col("n1") > 0)).alias(f"{c}_drawn")))
     one = F.broadcast  # each table has one row
     j = a.select(*[F.col(c).alias(f"was_{c}") for c in a.columns]).join(one(b), F.lit(True)).join(one(rare[0]), F.lit(True)).join(one(rare[1]), F.lit(True))
 

@@ -199,3 +199,45 @@ def test_small_strata_are_fitted_together(spark, monkeypatch):
     kinds = {"x": "continuous"}
     model = synth_tables.fit_tables(base, ["x"], kinds, {"x": False}, {"x": "double"}, "g", 1000, 10_000)
     assert model.strata.count() == 400
+
+
+def test_few_strata_are_counted_once_and_scored_where_their_rows_are(spark, monkeypatch):
+    """With few strata the values are counted and ranked in one shuffle and the rows are not dealt to be scored; the
+    model is that of the path for many strata."""
+    n = 4_000
+    name = F.when(F.col("id") % 3 > 0, F.concat(F.lit("é\U0001f600z").substr(1 + F.pmod(F.hash("id"), F.lit(4)), F.lit(1)), F.col("id") % 900))
+    df = spark.range(n).select((F.col("id") % 2).cast("string").alias("g"), F.when(F.col("id") % 4 > 0, -F.col("id") * 3).otherwise(7).alias("code"),
+                               F.when(F.col("id") % 1_000 == 1, F.concat(name, F.repeat(F.lit("x"), 80))).otherwise(name).alias("name"),
+                               (F.col("id") / 3.0).alias("x"), F.lit(None).cast("string").alias("void"))
+    monkeypatch.setattr(synth, "MAX_CATEGORIES", 10)
+    monkeypatch.setattr(synth_tables, "SMALL_VALUES", 100)
+    monkeypatch.setattr(synth_tables, "FEW", 50)
+    monkeypatch.setattr(synth_tables, "RANGE", 60)
+
+    def facts(model):
+        strata = {r["_key"]: (r["n"], r["nulls"], sorted([p["column"], p["large"], p["x"], p["s"], p["upto"]] for p in r["points"]), r["chol"]) for r in model.strata.collect()}
+        return strata, sorted((tuple(r) for r in model.values.select("_key", "column", "x", "s", "n", "before").collect()), key=repr)
+
+    many = []
+    with monkeypatch.context() as m:
+        m.setattr(synth_tables, "MOST_STRATA", 0)
+        many = facts(synth.fit_copula(df, condition="g"))
+
+    def again(*a, **b):
+        raise AssertionError("the values are counted by a second shuffle")
+
+    monkeypatch.setattr(synth_tables, "count_values", again)
+    monkeypatch.setattr(synth, "count_values", again)
+    strata, values = facts(synth.fit_copula(df, condition="g"))
+    assert values == many[1] and strata.keys() == many[0].keys() == {"=0", "=1"}
+    for key, (rows_, nulls, points, chol) in strata.items():
+        assert (rows_, nulls, points) == many[0][key][:3] and np.allclose(chol, many[0][key][3])
+    plain = Counter((r["g"], i, r[c]) for r in df.collect() for i, c in enumerate(("code", "name")) if r[c] is not None)
+    want = []
+    for g in "01":
+        for i in range(2):
+            before = 0
+            for v, k in sorted((v, k) for (h, j, v), k in plain.items() if (h, j) == (g, i)):
+                want.append((f"={g}", i, float(v) if i == 0 else None, v if i else None, k, before))
+                before += k
+    assert values == sorted(want, key=repr)
