@@ -119,7 +119,7 @@ def fit_copula(df: DataFrame, types: dict | None = None, condition: str | None =
 
     if condition is not None:
         most = MAX_POINTS // max(1, len(num) * (n_quantiles + 1) + len(cols) ** 2)
-        if df.select(g.alias("_g")).distinct().limit(most + 1).count() > most:
+        if df.agg(F.approx_count_distinct(g)).first()[0] > SURELY * most or df.select(g.alias("_g")).distinct().limit(most + 1).count() > most:
             return as_tables()
     seen: dict = {}
     if disc or cat:

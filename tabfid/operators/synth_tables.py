@@ -47,6 +47,8 @@ PART, BLOCK = 50_000, 65_536
 WIDE = 32_768
 #: Values and draws that a task merges.
 MERGED = 400_000
+#: Rows generated for each fitted one from which the strata are dealt anew.
+MUCH = 2
 MOST_TASKS = 10_000
 #: Values of a range that a task sorts, about; rows sampled to bound the ranges, for each range, and at most.
 RANGE, SAMPLED, SAMPLED_RANGE, MOST_SAMPLED = 200_000, 1_000, 50, 2_000_000
@@ -63,7 +65,7 @@ POINTS = "array<struct<column:int,large:boolean,x:array<double>,s:array<string>,
 @dataclass
 class TableModel:
     columns: list[str]
-    strata: DataFrame     # key, stratum, n, nulls, chol, points
+    strata: DataFrame     # key, stratum, n, nulls, chol, points; before (the rows of the strata of smaller keys) where all are of few rows
     values: DataFrame     # key, column, x, s, n, before (the counts of the smaller values)
     condition: str | None = None
     n_quantiles: int = 1000
@@ -158,21 +160,24 @@ def fit_tables(base: DataFrame, columns: list[str], kinds: dict, discrete: dict,
     rows = base.withColumn("_key", stratum_key(F.col("_g"))).drop("_g")
     meta = {"kinds": kinds, "types": types, "discrete": discrete}
     few = min(FEW, n_quantiles, SMALL_VALUES)
-    sizes = shared_table(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "stratum-sizes")
-    least, most = sizes.agg(F.min("n"), F.max("n")).first()
-    large = sizes.filter(F.col("n") > few).limit(MOST_STRATA + 1).collect()
-    large = {r["_key"]: r["n"] for r in large} if 0 < len(large) <= MOST_STRATA else None
-    if least is None or least > few:
+    sizes = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    above = shared_table(sizes.filter(F.col("n") > few), "large-strata")   # at most one in ``few`` rows
+    many, inside = above.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total = rows.count()
+    large = {r["_key"]: r["n"] for r in above.collect()} if 0 < many <= MOST_STRATA else None
+    named = F.when(F.col("_key") != "null", F.col("_key").substr(F.lit(2), F.length("_key"))).alias("stratum")
+    held = ["_key", named, "n", "nulls", "points", "chol"]
+    if not many and total:
+        small = _fit_small(rows, columns, kinds, discrete, n_quantiles, total).select(*held, "_own", "_range")
+        strata = _placed(shared_table(small, "fitted-strata"), [], "n", "fitted-strata")
+        return TableModel(columns, strata, _no_values(rows.sparkSession), condition, n_quantiles, meta)
+    if inside == total:
         strata, values = _fit_large(rows, columns, kinds, discrete, n_quantiles, accuracy, large)
-    elif most <= few:
-        strata, values = _fit_small(rows, columns, kinds, discrete, n_quantiles), _no_values(rows.sparkSession)
     else:
-        above = sizes.filter(F.col("n") > few).select("_key")   # at most one in ``few`` rows
+        above = above.select("_key")
         strata, values = _fit_large(rows.join(above, "_key", "left_semi"), columns, kinds, discrete, n_quantiles, accuracy, large)
-        strata = strata.unionByName(_fit_small(rows.join(above, "_key", "left_anti"), columns, kinds, discrete, n_quantiles))
-    strata = strata.withColumn("stratum", F.when(F.col("_key") != "null", F.col("_key").substr(F.lit(2), F.length("_key"))))
-    strata = strata.select("_key", "stratum", "n", "nulls", "points", "chol")
-    return TableModel(columns, shared_table(strata, "fitted-strata"), values, condition, n_quantiles, meta)
+        strata = strata.unionByName(_fit_small(rows.join(above, "_key", "left_anti"), columns, kinds, discrete, n_quantiles, total - inside).drop("_own", "_range"))
+    return TableModel(columns, shared_table(strata.select(*held), "fitted-strata"), values, condition, n_quantiles, meta)
 
 
 def _no_values(spark: SparkSession) -> DataFrame:
@@ -300,8 +305,9 @@ def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
 
 
-def _fit_small(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n: int) -> DataFrame:
-    """Strata of few rows, as ``_fit_large`` gives them: rows sorted by stratum, whole strata of a batch at a time."""
+def _fit_small(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict, n: int, total: int) -> DataFrame:
+    """Strata of few rows, as ``_fit_large`` gives them: ``total`` rows sorted by stratum, whole strata of a batch at a
+    time.  ``_own`` and ``_range`` as ``running`` has them: the strata come out in the order of their keys."""
     k = len(columns)
     categorical = [kinds[c] == "categorical" for c in columns]
     smooth = [not categorical[i] and not discrete[c] for i, c in enumerate(columns)]
@@ -387,7 +393,15 @@ def _fit_small(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict,
                                            points([e for _, _, e in found], many), flat(chol)], ["_key", "n", "nulls", "points", "chol"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None   # the last stratum, which may go on
+        rest, so_far, here = None, 0, TaskContext.get().partitionId()   # rest: the last stratum, which may go on
+
+        def placed(found: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal so_far
+            n = found.column("n").to_numpy()
+            own, so_far = so_far + np.cumsum(n) - n, so_far + int(n.sum())
+            return pa.RecordBatch.from_arrays([*found.columns, pa.array(own), pa.array(np.full(len(n), here, dtype=np.int32))],
+                                              [*found.schema.names, "_own", "_range"])
+
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if rest is None else pa.concat_tables([rest, t])
@@ -396,12 +410,12 @@ def _fit_small(rows: DataFrame, columns: list[str], kinds: dict, discrete: dict,
                 starts = np.append(0, np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1)
                 rest = t.slice(starts[-1])
                 if len(starts) > 1:
-                    yield fitted(t.slice(0, starts[-1]), starts[:-1])
+                    yield placed(fitted(t.slice(0, starts[-1]), starts[:-1]))
         if rest is not None and rest.num_rows:
-            yield fitted(rest, np.array([0]))
+            yield placed(fitted(rest, np.array([0])))
 
-    by_key = rows.select("_key", *[f"c{i}" for i in range(k)]).repartition("_key").sortWithinPartitions("_key")
-    return by_key.mapInArrow(fit, f"_key string, n bigint, nulls array<double>, points {POINTS}, chol array<double>")
+    by_key = rows.select("_key", *[f"c{i}" for i in range(k)]).repartitionByRange(max(1, -(-total // MERGED)), "_key").sortWithinPartitions("_key")
+    return by_key.mapInArrow(fit, f"_key string, n bigint, nulls array<double>, points {POINTS}, chol array<double>, _own bigint, _range int")
 
 
 def _cholesky_of(cov: np.ndarray) -> np.ndarray:
@@ -548,11 +562,18 @@ def _factors(sums: DataFrame, k: int) -> DataFrame:
 # ------------------------------------------------------------------ sample
 
 def proportional_quota(model: TableModel, total: int) -> DataFrame:
-    """(stratum, rows): ``total`` rows in proportion to the fitted rows, each within one of its share."""
-    s = running(model.strata.select("_key", "stratum", "n"), [], ["_key"], "n", "quota")
-    all_rows = s.agg(F.sum("n")).first()[0] or 1
-    upto = lambda c: F.floor(c.cast("decimal(38,0)") * F.lit(total) / F.lit(all_rows))
-    return s.select("stratum", (upto(F.col("before") + F.col("n")) - upto(F.col("before"))).cast("long").alias("rows"))
+    """(stratum, rows): ``total`` rows in proportion to the fitted rows, each within one of its share.  Where the model has
+    its strata in order, these are its own rows with their quota and first row id, so that ``sample_tables`` need not join them."""
+    ordered = "before" in model.strata.columns
+    s = model.strata if ordered else running(model.strata.select("_key", "stratum", "n"), [], ["_key"], "n", "quota")
+    all_rows = model.strata.agg(F.sum("n")).first()[0] or 1
+    upto = lambda c: F.floor(c.cast("decimal(38,0)") * F.lit(total) / F.lit(all_rows)).cast("long")
+    rows, start = (upto(F.col("before") + F.col("n")) - upto(F.col("before"))).alias("rows"), upto(F.col("before")).alias("before")
+    if not ordered:
+        return s.select("stratum", rows)
+    quota = s.select("stratum", rows, start, "_key", "n", "nulls", "chol", "points")
+    quota._strata_of = model   # lost by any change of the table
+    return quota
 
 
 def _mass_buckets(values: DataFrame, weight: Column | None, want: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -628,6 +649,7 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
 
     columns, kinds, k = model.columns, model.meta["kinds"], len(model.columns)
     categorical = [kinds[c] == "categorical" for c in columns]
+    own = getattr(quota, "_strata_of", None) is model
     if isinstance(quota, int):
         if model.condition is not None:
             raise ValueError("give the rows of each stratum")
@@ -635,20 +657,26 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
     if isinstance(quota, dict):
         listed = [(None if s is None else str(s), int(n), i) for i, (s, n) in enumerate(quota.items())]
         quota = spark.createDataFrame(pd.DataFrame(listed, columns=["stratum", "rows", "_at"]), "stratum string, rows bigint, _at int")
-    else:
+    elif not own:
         quota = quota.withColumn("_at", F.lit(0))
-    want = quota.select(stratum_key(F.col("stratum")).alias("_key"), F.col("rows").cast("long").alias("rows"), "_at").filter("rows > 0")
-    want = running(want, [], ["_at", "_key"], "rows", "wanted").drop("_at")
+    if own:
+        want = quota.filter("rows > 0")
+    else:
+        want = quota.select(stratum_key(F.col("stratum")).alias("_key"), F.col("rows").cast("long").alias("rows"), "_at").filter("rows > 0")
+        want = running(want, [], ["_at", "_key"], "rows", "wanted").drop("_at")
     asked = want.agg(F.sum("rows")).first()[0] or 0
     tasks = min(max(-(-asked // (2 * BLOCK)), 1), MOST_TASKS)
-    strata = model.strata
-    lost = want.join(strata, "_key", "left_anti").limit(5).collect()
+    strata = model.strata.drop("before")
+    lost = [] if own else want.join(strata, "_key", "left_anti").limit(5).collect()
     if lost:
         raise ValueError(f"no fitted stratum for {[r['_key'] for r in lost]}")
 
-    large = sorted(r[0] for r in strata.select(F.explode("points").alias("p")).filter("p.large").select("p.column").distinct().collect())
+    large = [] if "before" in model.strata.columns else sorted(   # strata of few rows have few values
+        r[0] for r in strata.select(F.explode("points").alias("p")).filter("p.large").select("p.column").distinct().collect())
     values = model.values
-    if temperature is not None and temperature <= TEMPERATURE_ARGMAX:  # categories take their mode
+    if not large:
+        weight = None
+    elif temperature is not None and temperature <= TEMPERATURE_ARGMAX:  # categories take their mode
         cats = [i for i in large if categorical[i]]
         modes = values.filter(F.col("column").isin(cats)).groupBy("_key", "column").agg(
             F.min(F.struct((-F.col("n")).alias("n"), "s")).alias("m"))
@@ -666,17 +694,21 @@ def sample_tables(spark: SparkSession, model: TableModel, quota: int | dict | Da
                         ).otherwise(F.col("n").cast("double"))
     else:
         weight = None
-    strata = strata.withColumn("heads", F.array().cast("array<struct<column:int,total:double,width:double,buckets:bigint,first:bigint>>"))
+    no_heads = F.array().cast("array<struct<column:int,total:double,width:double,buckets:bigint,first:bigint>>")
     if large:
         header, entries, many_values = _mass_buckets(values, weight, want)
-        heads = header.groupBy("_key").agg(F.collect_list(F.struct("column", "total", "width", "buckets", "first")).alias("_heads"))
-        strata = strata.join(heads, "_key", "left").withColumn("heads", F.coalesce("_heads", "heads")).drop("_heads")
+        heads = header.groupBy("_key").agg(F.collect_list(F.struct("column", "total", "width", "buckets", "first")).alias("heads"))
+        strata = strata.join(heads, "_key", "left").withColumn("heads", F.coalesce("heads", no_heads))
+    else:
+        strata, want = strata.withColumn("heads", no_heads), want.withColumn("heads", no_heads) if own else want
 
-    blocks = want.join(strata, "_key").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK))))
+    blocks = want if own else want.join(strata, "_key")
+    blocks = blocks.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / BLOCK))))
     blocks = blocks.select("_key", "stratum", "nulls", "chol", "points", "heads", (F.col("before") + F.col("b") * BLOCK).alias("start"),
                            F.least(F.col("rows") - F.col("b") * BLOCK, F.lit(BLOCK)).cast("int").alias("len"))
-    # a given number: few small rows make much work, and would else be read by a single task
-    blocks = blocks.repartition(tasks, "_key", "start")
+    if not own or asked > MUCH * (want.agg(F.sum("n")).first()[0] or 0):
+        # a given number: few small rows make much work, and would else be read by a single task
+        blocks = blocks.repartition(tasks, "_key", "start")
     types = ["string" if categorical[i] else "double" for i in range(k)]
     schema = "_key string, _stratum string, " + ", ".join(f"c{i} {t}" for i, t in enumerate(types)) + "".join(
         f", r{i} double, b{i} bigint" for i in large)

@@ -241,3 +241,25 @@ def test_few_strata_are_counted_once_and_scored_where_their_rows_are(spark, monk
                 want.append((f"={g}", i, float(v) if i == 0 else None, v if i else None, k, before))
                 before += k
     assert values == sorted(want, key=repr)
+
+
+def test_strata_in_order_take_their_quota_without_a_join(spark, monkeypatch):
+    """Strata of few rows come out of the fit in the order of their keys: a proportional quota is drawn from them without
+    any shuffle of the model, with the rows that the join with a table of quotas gives."""
+    monkeypatch.setattr(synth, "MAX_POINTS", 1)
+    monkeypatch.setattr(synth_tables, "MERGED", 700)
+    monkeypatch.setattr(synth_tables, "BLOCK", 3)
+    n = 5_000
+    df = spark.range(n).select(F.when(F.col("id") % 900 > 0, F.concat(F.lit("s"), F.col("id") % 900)).alias("g"), (F.col("id") / 7.0).alias("x"),
+                               F.concat(F.lit("k"), F.col("id") % 3).alias("z"))
+    model = synth.fit_copula(df, condition="g")
+    assert model.strata.orderBy("_key").select("before").collect()[-1][0] == n - model.strata.orderBy(F.desc("_key")).first()["n"]
+    for total in (n, n // 3, 2 * n + 7):
+        quota = synth_tables.proportional_quota(model, total)
+        out = synth.sample_copula(spark, model, quota, 3, 0.8)
+        if total <= 2 * n:
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out) == rows(synth.sample_copula(spark, model, quota.select("stratum", "rows"), 3, 0.8))
+        assert out.count() == total
+    cold = rows(synth.sample_copula(spark, model, synth_tables.proportional_quota(model, 100), 3, 0.2))
+    assert len(cold) == 100
