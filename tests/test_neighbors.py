@@ -137,3 +137,37 @@ def test_block_tree_parts_all_points_by_its_own_splits(points):
         assert np.array_equal(np.sort(order), np.arange(len(x))) and (np.diff(leaf) >= 0).all()
         assert np.array_equal(leaf_of(x[order], dims, splits, 4), leaf)
     assert np.bincount(leaf, minlength=16).max() <= 64
+
+
+@pytest.mark.parametrize("leaf_size,block", [(64, 16), (10 ** 6, 50)])
+def test_approximate_takes_the_nearest_of_the_probed_leaves_without_cogroup(spark, leaf_size, block):
+    """The nearest real point of every probed leaf of every table, however its leaves are cut into blocks; blocks are taken
+    many at a time, not by a call for each, and each leaf of a point is visited once."""
+    from tabfid.operators import neighbors as nb
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(0, 1, (3000, 3)), 2), np.round(rng.normal(0.3, 1.2, (500, 3)), 2)
+    b[:50], b[50:90] = a[:50], b[90]
+    pair, cols = _pair(spark, a, b)
+    out = nb.approximate_points(pair, cols, tables=3, probes=2, leaf_size=leaf_size, block=block)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "MapInArrow" in plan
+    got = {tuple(r[c] for c in cols): (r["w"], r["d"]) for r in out.collect()}
+    m, s = a.mean(0), a.std(0)
+    real, syn = np.unique(a, axis=0), np.unique(b, axis=0, return_counts=True)
+    zr, zs = (real - m) / s, (syn[0] - m) / s
+    assert len(got) == len(zs) and sum(w for w, _ in got.values()) == len(b)
+    depth = max(0, int(np.ceil(np.log2(len(zr) / leaf_size))))
+    want = np.full(len(zs), np.inf)
+    turns = np.random.default_rng(42)
+    turns = [np.eye(3)] + [np.linalg.qr(turns.standard_normal((3, 3)))[0] for _ in range(2)]
+    for turn in turns:   # the sample is all of the real points
+        tree = nb.build_kd_tree(zr @ turn, depth) if depth else None
+        leaf = nb.leaf_of(zr @ turn, *tree, depth) if depth else np.zeros(len(zr), int)
+        probed = nb._probed(zs @ turn, *tree, depth, 2) if depth else np.zeros((len(zs), 1), int)
+        for i, leaves in enumerate(probed):
+            near = zr[np.isin(leaf, leaves)]
+            want[i] = min([want[i], *np.sqrt(((near - zs[i]) ** 2).sum(1))])
+    have = np.array(sorted(got))
+    order = np.lexsort(zs.T[::-1])
+    assert np.allclose(have, zs[order])
+    assert np.allclose([got[tuple(k)][1] for k in have], want[order], atol=1e-9)
